@@ -123,3 +123,104 @@ ORACLE["ratio_mode"] = _with(SCORED, conf_cte()) + "\n" + " UNION ALL ".join(
     for r in ("TPR", "FPR", "PPV", "ACC")
     for m, expr in (("difference", f"max({r}) - min({r})"),
                     ("ratio", f"CASE WHEN max({r}) > 0 THEN min({r}) / max({r}) ELSE 0.0 END")))
+
+
+# ---- step 2 -----------------------------------------------------------------
+AUDIT = """
+audit AS (
+  SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax,
+         p.p_retailprice, l.l_returnflag, l.l_linenumber, p.p_type, p.p_brand,
+         o.o_orderpriority, c.c_mktsegment, o.o_totalprice
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+                  JOIN customer c ON o.o_custkey = c.c_custkey
+                  JOIN part p ON l.l_partkey = p.p_partkey)"""
+NULLS = """
+nulls AS (
+  SELECT * REPLACE (nullif(l_returnflag, 'N') AS l_returnflag, nullif(l_discount, 0.05) AS l_discount),
+         CAST(NULL AS DOUBLE) AS all_null
+  FROM audit)"""
+DOCS = """
+docs AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+         FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+AUDIT_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_retailprice"]
+AUDIT_CAT = ["l_returnflag", "l_linenumber", "p_type", "p_brand"]
+AUDIT_PROT = ["o_orderpriority", "c_mktsegment"]
+_PROFILE_NUMERIC = AUDIT_NUM + ["l_linenumber", "o_totalprice", "all_null"]
+_PROFILE_COLS = AUDIT_NUM + AUDIT_CAT + AUDIT_PROT + ["o_totalprice", "all_null"]
+
+
+def _profile_sql():
+    parts = []
+    for c in _PROFILE_COLS:
+        num = c in _PROFILE_NUMERIC
+        cont = f"(count(DISTINCT {c}) > 10)" if num else "false"
+        stat = (lambda f: f"round(CASE WHEN {cont} THEN {f}(CAST({c} AS DOUBLE)) END, 4)") if num else \
+            (lambda f: "CAST(NULL AS DOUBLE)")
+        parts.append(f"""SELECT '{c}' AS attr,
+  CASE WHEN {cont} THEN 'continuous' ELSE 'categorical' END AS kind,
+  CAST(count(DISTINCT {c}) AS BIGINT) AS unique_values,
+  CAST(count(*) - count({c}) AS BIGINT) AS missing_count,
+  round((count(*) - count({c})) * 100.0 / count(*), 6) AS missing_percentage,
+  {stat('min')} AS min, {stat('max')} AS max, {stat('avg')} AS mean, {stat('stddev_samp')} AS std
+FROM nulls""")
+    return _with(AUDIT, NULLS) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["column_profile"] = _profile_sql()
+
+ORACLE["value_counts_top10"] = _with(AUDIT, """
+vc AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS attr, CAST({c} AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS cnt FROM audit "
+    f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in AUDIT_CAT + AUDIT_PROT) + ")") + """
+SELECT * FROM (SELECT attr, value, cnt,
+  CAST(row_number() OVER (PARTITION BY attr ORDER BY cnt DESC, value ASC) AS INTEGER) AS rank FROM vc)
+WHERE rank <= 10"""
+
+ORACLE["target_distribution"] = _with(DOCS) + """
+SELECT CAST(toxic AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS cnt FROM docs GROUP BY toxic"""
+
+
+def _hist_sql(k=10):
+    parts = []
+    for c in AUDIT_NUM:
+        parts.append(f"""
+SELECT '{c}' AS attr, b.bin, round(b.lo, 4) lo, round(b.hi, 4) hi, CAST(count(x.v) AS BIGINT) AS cnt
+FROM (SELECT i AS bin,
+             CASE WHEN i = 0 THEN mn ELSE mn + i * ((mx - mn) / {k}) END AS lo,
+             CASE WHEN i = {k} - 1 THEN mx ELSE mn + (i + 1) * ((mx - mn) / {k}) END AS hi
+      FROM (SELECT min({c}) mn, max({c}) mx FROM audit), range({k}) t(i)) b
+LEFT JOIN (SELECT CAST({c} AS DOUBLE) v, min({c}) OVER () mn, max({c}) OVER () mx FROM audit) x
+  ON b.bin = CAST(least(greatest(
+        (SELECT count(*) FROM range(1, {k}) e(j) WHERE x.mn + e.j * ((x.mx - x.mn) / {k}) < x.v), 0), {k} - 1) AS INTEGER)
+GROUP BY b.bin, b.lo, b.hi""")
+    return _with(AUDIT) + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["histogram"] = _hist_sql()
+
+_RATES = """
+rates AS (""" + " UNION ALL ".join(
+    f"""SELECT '{p}' AS protected, CAST({p} AS VARCHAR) AS group_value, CAST(count(*) AS BIGINT) n,
+       CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) n_pos,
+       sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) * 1.0 / count(*) AS positive_rate
+  FROM docs WHERE {p} IS NOT NULL GROUP BY {p}""" for p in ("lang", "source")) + ")"
+_BIAS = """
+bias AS (SELECT protected, CAST(count(*) AS BIGINT) n_groups, max(positive_rate) - min(positive_rate) statistical_parity,
+   CASE WHEN max(positive_rate) > 0 THEN min(positive_rate) / max(positive_rate) ELSE 1.0 END disparate_impact,
+   (max(positive_rate) - min(positive_rate)) * 0.8 equal_opportunity_proxy,
+   (max(positive_rate) - min(positive_rate)) * 0.9 equalized_odds_proxy
+ FROM rates GROUP BY protected HAVING count(*) >= 2)"""
+
+ORACLE["group_positive_rates"] = _with(DOCS, _RATES) + """
+SELECT protected, group_value, n, n_pos, round(positive_rate, 6) positive_rate FROM rates"""
+ORACLE["data_bias"] = _with(DOCS, _RATES, _BIAS) + """
+SELECT protected, n_groups, round(statistical_parity, 6) statistical_parity, round(disparate_impact, 6) disparate_impact,
+  round(equal_opportunity_proxy, 6) equal_opportunity_proxy, round(equalized_odds_proxy, 6) equalized_odds_proxy FROM bias"""
+ORACLE["data_bias_combined"] = _with(DOCS, _RATES, _BIAS) + """
+SELECT round(max(statistical_parity), 6) statistical_parity, round(max(equal_opportunity_proxy), 6) equal_opportunity_proxy,
+  round(max(equalized_odds_proxy), 6) equalized_odds_proxy, round(min(disparate_impact), 6) disparate_impact,
+  CAST(count(*) AS BIGINT) n_protected FROM bias"""
+ORACLE["dataset_summary"] = _with(DOCS) + """
+SELECT CAST(count(*) AS BIGINT) n_samples, CAST(2 AS BIGINT) n_features,
+  round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END), 6) positive_rate FROM docs"""

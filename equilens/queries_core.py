@@ -61,3 +61,53 @@ def q_ratio_mode(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return finalize(out)
+
+
+# ---- step 2: profile and data-level bias ------------------------------------
+from equilens.operators import profile as prof_ops  # noqa: E402
+
+PROFILE_COLS = list(fx.AUDIT_SPEC.features) + list(fx.AUDIT_SPEC.protected) + [fx.AUDIT_SPEC.target, "all_null"]
+BIG = {"min": 4, "max": 4, "mean": 4, "std": 4}
+
+
+@register("column_profile")
+def q_column_profile(spark, sf):
+    return finalize(prof_ops.column_profile(fx.nulls(spark, sf), PROFILE_COLS), scales=BIG)
+
+
+@register("value_counts_top10")
+def q_value_counts(spark, sf):
+    a = fx.audit(spark, sf)
+    return prof_ops.top_value_counts(a, list(fx.AUDIT_SPEC.categorical) + list(fx.AUDIT_SPEC.protected))
+
+
+@register("target_distribution")
+def q_target_distribution(spark, sf):
+    return prof_ops.target_distribution(fx.docs(spark, sf), "toxic")
+
+
+@register("histogram")
+def q_histogram(spark, sf):
+    return finalize(prof_ops.histogram(fx.audit(spark, sf), fx.AUDIT_SPEC.numerical), scale=4)
+
+
+@register("group_positive_rates")
+def q_group_rates(spark, sf):
+    return finalize(prof_ops.group_positive_rates(fx.docs(spark, sf), "toxic", fx.DOCS_SPEC.protected))
+
+
+@register("data_bias")
+def q_data_bias(spark, sf):
+    r = prof_ops.group_positive_rates(fx.docs(spark, sf), "toxic", fx.DOCS_SPEC.protected)
+    return finalize(prof_ops.data_bias(r))
+
+
+@register("data_bias_combined")
+def q_data_bias_combined(spark, sf):
+    r = prof_ops.group_positive_rates(fx.docs(spark, sf), "toxic", fx.DOCS_SPEC.protected)
+    return finalize(prof_ops.data_bias_combined(prof_ops.data_bias(r)).drop("individual"))
+
+
+@register("dataset_summary")
+def q_dataset_summary(spark, sf):
+    return finalize(prof_ops.dataset_summary(fx.docs(spark, sf), "toxic", fx.DOCS_SPEC.features))

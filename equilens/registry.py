@@ -23,12 +23,14 @@ def register(name: str):
     return deco
 
 
-def finalize(df: DataFrame, scale: int = 6) -> DataFrame:
-    """Round every double column (incl. inside nothing nested) to ``scale`` decimals."""
+def finalize(df: DataFrame, scale: int = 6, scales: dict | None = None) -> DataFrame:
+    """Round every double column to ``scale`` decimals (per-column ``scales`` override)."""
     out = []
+    scales = scales or {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f"`{f.name}`").cast("double"), scale).alias(f.name))
+            s = scales.get(f.name, scale)
+            out.append(F.round(F.col(f"`{f.name}`").cast("double"), s).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
