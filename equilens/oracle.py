@@ -224,3 +224,86 @@ SELECT round(max(statistical_parity), 6) statistical_parity, round(max(equal_opp
 ORACLE["dataset_summary"] = _with(DOCS) + """
 SELECT CAST(count(*) AS BIGINT) n_samples, CAST(2 AS BIGINT) n_features,
   round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END), 6) positive_rate FROM docs"""
+
+
+# ---- step 3 -----------------------------------------------------------------
+_NULLS_ALL = ["l_orderkey", "l_partkey", "l_suppkey"] + _PROFILE_COLS
+_STRINGS = {"l_returnflag", "p_type", "p_brand", "o_orderpriority", "c_mktsegment"}
+_KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+
+
+def _kinds_sql(rule):
+    parts = []
+    for c in _NULLS_ALL:
+        d = f"count(DISTINCT {c})"
+        if rule == "profile":
+            kind = (f"CASE WHEN {d} > 10 THEN 'numerical' ELSE 'categorical' END"
+                    if c not in _STRINGS else "'categorical'")
+        elif c in _STRINGS:
+            kind = (f"CASE WHEN count({c}) = 0 THEN 'none' WHEN count(TRY_CAST({c} AS DOUBLE)) = count({c}) "
+                    f"THEN (CASE WHEN {d} / count(*) < 0.1 THEN 'categorical' ELSE 'numerical' END) "
+                    f"ELSE 'categorical' END")
+        else:
+            kind = (f"CASE WHEN count({c}) = 0 THEN 'none' WHEN {d} < 20 THEN 'categorical' "
+                    f"ELSE 'numerical' END")
+        parts.append(f"SELECT '{c}' AS attr, {kind} AS kind, CAST({d} AS BIGINT) AS unique_values FROM nulls")
+    return _with(AUDIT, NULLS) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["infer_kinds_loader"] = _kinds_sql("loader")
+ORACLE["infer_kinds_profile"] = _kinds_sql("profile")
+
+ORACLE["bin_median"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, o_totalprice,
+  CASE WHEN o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM audit) THEN 'True' ELSE 'False' END AS bin
+FROM audit"""
+
+
+def _qbin(c):
+    return (f"CAST((SELECT count(*) FROM (SELECT unnest(quantile_cont({c}, [0.25, 0.5, 0.75])) AS e FROM audit) q "
+            f"WHERE q.e < a.{c}) AS VARCHAR)")
+
+
+ORACLE["bin_quartile"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, l_quantity, p_retailprice, {_qbin('l_quantity')} AS bin_qty, {_qbin('p_retailprice')} AS bin_price
+FROM audit a"""
+
+ORACLE["bin_equal_width"] = _with(AUDIT, NULLS) + f"""
+SELECT {_KEYS}, l_discount,
+  CASE WHEN l_discount IS NULL THEN 'nan' ELSE CAST(
+    (SELECT count(*) FROM range(1, 4) e(j), (SELECT min(l_discount) mn, max(l_discount) mx FROM nulls) s
+     WHERE s.mn + e.j * ((s.mx - s.mn) / 4) < n.l_discount) AS VARCHAR) END AS bin
+FROM nulls n"""
+
+_DICT_PARTS = []
+for _c in AUDIT_CAT:
+    _num = _c == "l_linenumber"
+    _order = f"{_c} IS NULL, {_c}" if _num else f"COALESCE({_c}, 'NaN')"
+    _DICT_PARTS.append(
+        f"SELECT '{_c}' AS attr, CAST(row_number() OVER (ORDER BY {_order}) - 1 AS INTEGER) AS code, "
+        f"COALESCE(CAST({_c} AS VARCHAR), 'NaN') AS label, CAST({_c} AS VARCHAR) AS raw "
+        f"FROM (SELECT DISTINCT {_c} FROM nulls)")
+_DICT = "dict AS (" + " UNION ALL ".join(_DICT_PARTS) + ")"
+
+ORACLE["encoding_dictionary"] = _with(AUDIT, NULLS, _DICT) + "\nSELECT attr, code, label FROM dict"
+
+
+def _code(c, alias=None):
+    return (f"(SELECT d.code FROM dict d WHERE d.attr = '{c}' AND d.raw IS NOT DISTINCT FROM CAST(n.{c} AS VARCHAR))"
+            f" AS {alias or c}")
+
+
+ORACLE["label_encode"] = _with(AUDIT, NULLS, _DICT) + f"""
+SELECT n.l_orderkey, n.l_partkey, n.l_suppkey, n.l_linenumber, {_code('l_returnflag')}, {_code('p_type')},
+  {_code('p_brand')}, {_code('l_linenumber', 'linenumber_code')}
+FROM nulls n"""
+
+ORACLE["inverse_encode"] = _with(AUDIT, NULLS) + f"""
+SELECT {_KEYS}, COALESCE(l_returnflag, 'NaN') AS l_returnflag, COALESCE(p_type, 'NaN') AS p_type FROM nulls"""
+
+ORACLE["binarize_target"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, o_totalprice,
+  CAST(o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM audit) AS INTEGER) AS label_Y
+FROM audit"""
+
+ORACLE["binarize_target_binary"] = _with(DOCS) + "\nSELECT doc_id, toxic, CAST(toxic AS INTEGER) AS label_Y FROM docs"

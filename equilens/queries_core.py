@@ -111,3 +111,72 @@ def q_data_bias_combined(spark, sf):
 @register("dataset_summary")
 def q_dataset_summary(spark, sf):
     return finalize(prof_ops.dataset_summary(fx.docs(spark, sf), "toxic", fx.DOCS_SPEC.features))
+
+
+# ---- step 3: kinds, binning, encoding, target ---------------------------------
+from equilens.operators import encode as enc_ops  # noqa: E402
+
+KEYS = list(fx.LINEITEM_KEY)
+NULLS_ALL = ["l_orderkey", "l_partkey", "l_suppkey"] + PROFILE_COLS
+
+
+@register("infer_kinds_loader")
+def q_kinds_loader(spark, sf):
+    return enc_ops.infer_kinds(fx.nulls(spark, sf), NULLS_ALL, rule="loader")
+
+
+@register("infer_kinds_profile")
+def q_kinds_profile(spark, sf):
+    return enc_ops.infer_kinds(fx.nulls(spark, sf), NULLS_ALL, rule="profile")
+
+
+@register("bin_median")
+def q_bin_median(spark, sf):
+    a = fx.audit(spark, sf).select(*KEYS, "o_totalprice")
+    return enc_ops.bin_median(a, "o_totalprice", "bin")
+
+
+@register("bin_quartile")
+def q_bin_quartile(spark, sf):
+    a = fx.audit(spark, sf).select(*KEYS, "l_quantity", "p_retailprice")
+    return enc_ops.bin_quartile(enc_ops.bin_quartile(a, "l_quantity", out="bin_qty"), "p_retailprice", out="bin_price")
+
+
+@register("bin_equal_width")
+def q_bin_equal_width(spark, sf):
+    a = fx.nulls(spark, sf).select(*KEYS, "l_discount")
+    return enc_ops.bin_equal_width(a, "l_discount", 4, out="bin")
+
+
+CAT = list(fx.AUDIT_SPEC.categorical)
+
+
+@register("encoding_dictionary")
+def q_encoding_dictionary(spark, sf):
+    return enc_ops.encoding_dictionary(fx.nulls(spark, sf), CAT).drop("raw")
+
+
+@register("label_encode")
+def q_label_encode(spark, sf):
+    n = fx.nulls(spark, sf).select(*KEYS, *[c for c in CAT if c != "l_linenumber"],
+                                   F.col("l_linenumber").alias("linenumber_code"))
+    return enc_ops.label_encode(n, [c for c in CAT if c != "l_linenumber"] + ["linenumber_code"])
+
+
+@register("inverse_encode")
+def q_inverse_encode(spark, sf):
+    n = fx.nulls(spark, sf).select(*KEYS, "l_returnflag", "p_type")
+    d = enc_ops.encoding_dictionary(n, ["l_returnflag", "p_type"])
+    e = enc_ops.label_encode(n, ["l_returnflag", "p_type"], d)
+    return enc_ops.inverse_encode(enc_ops.inverse_encode(e, "l_returnflag", d), "p_type", d)
+
+
+@register("binarize_target")
+def q_binarize_target(spark, sf):
+    a = fx.audit(spark, sf).select(*KEYS, "o_totalprice")
+    return enc_ops.binarize_target(a, "o_totalprice")
+
+
+@register("binarize_target_binary")
+def q_binarize_target_binary(spark, sf):
+    return enc_ops.binarize_target(fx.docs(spark, sf).select("doc_id", "toxic"), "toxic")
