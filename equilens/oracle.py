@@ -307,3 +307,24 @@ SELECT {_KEYS}, o_totalprice,
 FROM audit"""
 
 ORACLE["binarize_target_binary"] = _with(DOCS) + "\nSELECT doc_id, toxic, CAST(toxic AS INTEGER) AS label_Y FROM docs"
+
+
+# ---- step 4 -----------------------------------------------------------------
+def _hb(seed, salt=""):
+    key = "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+    return f"(CAST('0x' || substr(md5({key} || '{salt}:{seed}'), 1, 8) AS BIGINT) % 1000)"
+
+
+ORACLE["hash_split"] = _with(SCORED) + f"\nSELECT {_KEYS}, {_hb(1)} < 700 AS is_train FROM scored"
+ORACLE["hash_sample"] = _with(SCORED) + f"\nSELECT {_KEYS}, label_Y FROM scored WHERE {_hb(0, 'sample')} < 500"
+ORACLE["stratified_split"] = _with(SCORED) + f"""
+, h AS (SELECT {_KEYS}, label_Y,
+          md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber) || 'strat:42') AS hh FROM scored),
+d AS (SELECT label_Y, hh, count(*) c FROM h GROUP BY label_Y, hh),
+r AS (SELECT label_Y, hh, sum(c) OVER (PARTITION BY label_Y ORDER BY hh) AS cum,
+             sum(c) OVER (PARTITION BY label_Y) AS n FROM d)
+SELECT h.l_orderkey, h.l_partkey, h.l_suppkey, h.l_linenumber, h.label_Y, r.cum > round(r.n * 0.3) AS is_train
+FROM h JOIN r ON h.label_Y = r.label_Y AND h.hh = r.hh"""
+ORACLE["subgroup_filter"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, c_mktsegment, l_returnflag, l_quantity FROM audit
+WHERE c_mktsegment = 'BUILDING' AND l_returnflag = 'R'"""

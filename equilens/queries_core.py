@@ -180,3 +180,28 @@ def q_binarize_target(spark, sf):
 @register("binarize_target_binary")
 def q_binarize_target_binary(spark, sf):
     return enc_ops.binarize_target(fx.docs(spark, sf).select("doc_id", "toxic"), "toxic")
+
+
+# ---- step 4: splits, samples, subgroup filter ------------------------------------
+from equilens.operators import split as split_ops  # noqa: E402
+
+
+@register("hash_split")
+def q_hash_split(spark, sf):
+    return split_ops.hash_split(fx.scored(spark, sf).select(*KEYS), KEYS, 0.3, 1)
+
+
+@register("hash_sample")
+def q_hash_sample(spark, sf):
+    return split_ops.hash_sample(fx.scored(spark, sf).select(*KEYS, "label_Y"), KEYS, 0.5, 0)
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    return split_ops.stratified_split(fx.scored(spark, sf).select(*KEYS, "label_Y"), KEYS, "label_Y", 0.3, 42)
+
+
+@register("subgroup_filter")
+def q_subgroup_filter(spark, sf):
+    a = fx.audit(spark, sf).select(*KEYS, "c_mktsegment", "l_returnflag", "l_quantity")
+    return split_ops.subgroup_filter(a, {"c_mktsegment": "BUILDING", "l_returnflag": "R"})
