@@ -29,8 +29,9 @@ def running_sums(df: DataFrame, keys, order, sum_cols, n_ranges: int | None = No
                                              .alias(f"_o_{c}") for c in sum_cols])
     upto = Window.partitionBy("_rid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(c).over(upto).alias(f"_l_{c}") for c in sum_cols])
-    # offsets hold at most n_ranges rows per key
-    joined = local.join(broadcast_if_small(offsets, 200_000), ["_rid", *keys])
+    # offsets hold at most n_ranges rows per key; AQE broadcasts them at runtime
+    # once the totals stage is materialised and measured (no extra job here)
+    joined = local.join(offsets, ["_rid", *keys])
     return joined.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}")
                                         for c in sum_cols])
 

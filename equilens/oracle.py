@@ -328,3 +328,123 @@ FROM h JOIN r ON h.label_Y = r.label_Y AND h.hh = r.hh"""
 ORACLE["subgroup_filter"] = _with(AUDIT) + f"""
 SELECT {_KEYS}, c_mktsegment, l_returnflag, l_quantity FROM audit
 WHERE c_mktsegment = 'BUILDING' AND l_returnflag = 'R'"""
+
+
+# ---- step 5: epsilon ----------------------------------------------------------
+_PG = "pg AS (" + " UNION ALL ".join(
+    f"SELECT '{p}' AS protected, COALESCE(CAST({p} AS VARCHAR), 'NaN') AS g, * FROM audit" for p in AUDIT_PROT) + ")"
+_PAIRS = """pairs AS (SELECT a.protected, a.g AS g1, b.g AS g2
+  FROM (SELECT DISTINCT protected, g FROM pg) a JOIN (SELECT DISTINCT protected, g FROM pg) b
+    ON a.protected = b.protected AND a.g < b.g)"""
+_NST = "nst AS (" + " UNION ALL ".join(
+    f"SELECT protected, g, '{c}' AS attr, count({c}) AS cnt, avg(CAST({c} AS DOUBLE)) AS m, "
+    f"min(CAST({c} AS DOUBLE)) AS mn, max(CAST({c} AS DOUBLE)) AS mx FROM pg GROUP BY protected, g"
+    for c in AUDIT_NUM) + ")"
+_S_NUMA = """s_numa AS (SELECT a.protected, a.g AS g1, b.g AS g2, a.attr,
+  CASE WHEN greatest(a.mx, b.mx) <> least(a.mn, b.mn) THEN abs(a.m - b.m) / (greatest(a.mx, b.mx) - least(a.mn, b.mn))
+       ELSE abs(a.m - b.m) END AS s
+  FROM nst a JOIN nst b ON a.protected = b.protected AND a.attr = b.attr AND a.g < b.g)"""
+_VCN = "vcn AS (" + " UNION ALL ".join(
+    f"SELECT protected, g, '{c}' AS attr, CAST({c} AS DOUBLE) AS v, count(*) AS cnt FROM pg "
+    f"WHERE {c} IS NOT NULL GROUP BY protected, g, {c}" for c in AUDIT_NUM) + ")"
+_MERGED = """merged AS (
+  SELECT p.protected, p.g1, p.g2, x.attr, x.v,
+         sum(CASE WHEN x.g = p.g1 THEN x.cnt ELSE 0 END) AS a, sum(CASE WHEN x.g = p.g2 THEN x.cnt ELSE 0 END) AS b
+  FROM pairs p JOIN vcn x ON x.protected = p.protected AND (x.g = p.g1 OR x.g = p.g2)
+  GROUP BY p.protected, p.g1, p.g2, x.attr, x.v),
+cum AS (
+  SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER wp AS na, sum(b) OVER wp AS nb,
+         lead(v) OVER w AS nv, min(v) OVER wp AS lo, max(v) OVER wp AS hi
+  FROM merged WINDOW w AS (PARTITION BY protected, g1, g2, attr ORDER BY v),
+                     wp AS (PARTITION BY protected, g1, g2, attr))"""
+_S_NUMB = """s_numb AS (SELECT protected, g1, g2, attr, max(abs(ca / na - cb / nb)) AS s FROM cum
+  GROUP BY protected, g1, g2, attr)"""
+_S_NUMC = """s_numc AS (SELECT protected, g1, g2, attr,
+  0.5 * CASE WHEN max(hi) <> max(lo)
+             THEN sum(coalesce(nv - v, 0) * (ca * (nb - cb) + cb * (na - ca))) / (max(hi) - max(lo))
+             ELSE sum(coalesce(nv - v, 0) * (ca * (nb - cb) + cb * (na - ca))) END AS s
+  FROM cum GROUP BY protected, g1, g2, attr)"""
+_CC = "cc AS (" + " UNION ALL ".join(
+    f"SELECT protected, g, '{c}' AS attr, CAST({c} AS VARCHAR) AS v, count(*) AS cnt FROM pg "
+    f"WHERE {c} IS NOT NULL GROUP BY protected, g, {c}" for c in AUDIT_CAT) + ")"
+_CGRID = """tot AS (SELECT protected, g, attr, sum(cnt) AS t FROM cc GROUP BY protected, g, attr),
+cgrid AS (
+  SELECT p.protected, p.g1, p.g2, vv.attr, vv.v, coalesce(c1.cnt, 0) AS n1, coalesce(c2.cnt, 0) AS n2,
+         t1.t AS t1, t2.t AS t2
+  FROM pairs p JOIN (SELECT DISTINCT protected, attr, v FROM cc) vv ON vv.protected = p.protected
+  LEFT JOIN cc c1 ON c1.protected = p.protected AND c1.g = p.g1 AND c1.attr = vv.attr AND c1.v = vv.v
+  LEFT JOIN cc c2 ON c2.protected = p.protected AND c2.g = p.g2 AND c2.attr = vv.attr AND c2.v = vv.v
+  LEFT JOIN tot t1 ON t1.protected = p.protected AND t1.g = p.g1 AND t1.attr = vv.attr
+  LEFT JOIN tot t2 ON t2.protected = p.protected AND t2.g = p.g2 AND t2.attr = vv.attr
+  WHERE coalesce(c1.cnt, 0) + coalesce(c2.cnt, 0) > 0)"""
+_S_CATA = """s_cata AS (SELECT protected, g1, g2, attr, sum(abs(n1 / t1 - n2 / t2)) / count(*) AS s FROM cgrid
+  GROUP BY protected, g1, g2, attr)"""
+_S_CATB = """s_catb AS (SELECT protected, g1, g2, attr, 0.5 * sum((n1 - n2) ^ 2 / (n1 + n2)) AS s FROM cgrid
+  GROUP BY protected, g1, g2, attr)"""
+
+
+def _eps_ctes(num="a", cat="a"):
+    ctes = [AUDIT, _PG, _PAIRS]
+    if num == "a":
+        ctes += [_NST, _S_NUMA]
+    else:
+        ctes += [_VCN, _MERGED, _S_NUMB if num == "b" else _S_NUMC]
+    ctes += [_CC, _CGRID, _S_CATA if cat == "a" else _S_CATB]
+    ctes.append(f"""s_all AS (SELECT protected, g1, g2, attr, 'numerical' AS kind, s FROM s_num{num}
+  UNION ALL SELECT protected, g1, g2, attr, 'categorical' AS kind, s FROM s_cat{cat})""")
+    return ctes
+
+
+def _scaled_sql(how):
+    w = "PARTITION BY protected, g1, g2, kind"
+    if how == "min":
+        e = f"s / min(s) OVER ({w})"
+    elif how == "mean":
+        e = f"s / avg(s) OVER ({w})"
+    else:
+        return f"""s_z AS (SELECT protected, g1, g2, attr, kind, (s - avg(s) OVER ({w})) / stddev_samp(s) OVER ({w}) AS z
+  FROM s_all), s_sc AS (SELECT protected, g1, g2, attr, kind, z - min(z) OVER ({w}) AS s FROM s_z)"""
+    return f"s_sc AS (SELECT protected, g1, g2, attr, kind, {e} AS s FROM s_all)"
+
+
+_OUT_S = "\nSELECT protected, g1, g2, attr, kind, round(s, {r}) AS s FROM {t}"
+ORACLE["diff_num_a"] = _with(*_eps_ctes("a", "a")) + _OUT_S.format(r=6, t="s_all WHERE kind = 'numerical'")
+ORACLE["diff_num_b"] = _with(*_eps_ctes("b", "a")) + _OUT_S.format(r=6, t="s_all WHERE kind = 'numerical'")
+ORACLE["diff_num_c"] = _with(*_eps_ctes("c", "a")) + _OUT_S.format(r=4, t="s_all WHERE kind = 'numerical'")
+ORACLE["diff_cat_a"] = _with(*_eps_ctes("a", "a")) + _OUT_S.format(r=6, t="s_all WHERE kind = 'categorical'")
+ORACLE["diff_cat_b"] = _with(*_eps_ctes("a", "b")) + _OUT_S.format(r=6, t="s_all WHERE kind = 'categorical'")
+for _sc in ("min", "mean", "sigma"):
+    ORACLE[f"diff_scaled_{_sc}"] = _with(*_eps_ctes("a", "a"), _scaled_sql(_sc)) + _OUT_S.format(r=4, t="s_sc")
+
+_LOO = {
+    "d1A": "sqrt(avg(o.s * o.s))",
+    "d1B": "sqrt(sum(o.s * o.s))",
+}
+
+
+def _loo_cte(how):
+    return f"""loo AS (SELECT a.protected, a.g1, a.g2, a.attr, {_LOO[how]} AS r
+  FROM s_all a JOIN s_all o ON a.protected = o.protected AND a.g1 = o.g1 AND a.g2 = o.g2 AND a.attr <> o.attr
+  GROUP BY a.protected, a.g1, a.g2, a.attr)"""
+
+
+ORACLE["subset_loo_d1a"] = _with(*_eps_ctes(), _loo_cte("d1A")) + \
+    "\nSELECT protected, g1, g2, attr, round(r, 6) AS r FROM loo"
+ORACLE["subset_loo_d1b"] = _with(*_eps_ctes(), _loo_cte("d1B")) + \
+    "\nSELECT protected, g1, g2, attr, round(r, 6) AS r FROM loo"
+
+_U = """u AS (SELECT protected, attr, avg(r) AS u, count(*) OVER (PARTITION BY protected) AS p
+  FROM loo GROUP BY protected, attr),
+eps AS (SELECT protected, attr, abs(u - avg(u) OVER (PARTITION BY protected)) / p AS epsilon FROM u)"""
+
+ORACLE["attr_distance"] = _with(*_eps_ctes(), _loo_cte("d1A"), _U) + """
+SELECT a.protected, a.attr AS a1, b.attr AS a2, round(abs(a.u - b.u) / a.p, 6) AS dist
+FROM u a JOIN u b ON a.protected = b.protected AND a.attr < b.attr"""
+ORACLE["epsilon"] = _with(*_eps_ctes(), _loo_cte("d1A"), _U) + \
+    "\nSELECT protected, attr, round(epsilon, 6) AS epsilon FROM eps"
+ORACLE["epsilon_num_b_cat_b"] = _with(*_eps_ctes("b", "b"), _loo_cte("d1A"), _U) + \
+    "\nSELECT protected, attr, round(epsilon, 6) AS epsilon FROM eps"
+ORACLE["max_epsilon"] = _with(*_eps_ctes(), _loo_cte("d1A"), _U) + """
+SELECT protected, attr, round(epsilon, 6) AS epsilon FROM eps ORDER BY epsilon DESC, protected, attr LIMIT 1"""
+ORACLE["mean_epsilon"] = _with(*_eps_ctes(), _loo_cte("d1A"), _U) + """
+SELECT round(sum(epsilon) / (count(*) + count(DISTINCT protected)), 6) AS mean_epsilon FROM eps"""

@@ -205,3 +205,65 @@ def q_stratified_split(spark, sf):
 def q_subgroup_filter(spark, sf):
     a = fx.audit(spark, sf).select(*KEYS, "c_mktsegment", "l_returnflag", "l_quantity")
     return split_ops.subgroup_filter(a, {"c_mktsegment": "BUILDING", "l_returnflag": "R"})
+
+
+# ---- step 5: epsilon (bias concentration) ---------------------------------------
+from equilens.operators import epsilon as eps_ops  # noqa: E402
+from equilens.spec import EpsilonConfig  # noqa: E402
+
+A = fx.AUDIT_SPEC
+A_NUM = A.with_kinds(A.numerical, ())
+A_CAT = A.with_kinds((), A.categorical)
+NUMC = {"s": 4}
+
+
+def _s_query(spec, cfg, scales=None):
+    def q(spark, sf):
+        s = eps_ops.difference_table(fx.audit(spark, sf), spec, cfg)
+        return finalize(s, scales=scales)
+    return q
+
+
+register("diff_num_a")(_s_query(A_NUM, EpsilonConfig(num="num-a")))
+register("diff_num_b")(_s_query(A_NUM, EpsilonConfig(num="num-b")))
+register("diff_num_c")(_s_query(A_NUM, EpsilonConfig(num="num-c"), NUMC))
+register("diff_cat_a")(_s_query(A_CAT, EpsilonConfig(cat="cat-a")))
+register("diff_cat_b")(_s_query(A_CAT, EpsilonConfig(cat="cat-b")))
+for _sc in ("min", "mean", "sigma"):
+    # ratios over a near-zero minimum amplify summation-order noise: compare at 4 decimals
+    register(f"diff_scaled_{_sc}")(_s_query(A, EpsilonConfig(scale=_sc), {"s": 4}))
+
+
+def _loo(how):
+    def q(spark, sf):
+        return finalize(eps_ops.leave_one_out(eps_ops.difference_table(fx.audit(spark, sf), A), how))
+    return q
+
+
+register("subset_loo_d1a")(_loo("d1A"))
+register("subset_loo_d1b")(_loo("d1B"))
+
+
+@register("attr_distance")
+def q_attr_distance(spark, sf):
+    return finalize(eps_ops.attribute_distance(eps_ops.difference_table(fx.audit(spark, sf), A)))
+
+
+@register("epsilon")
+def q_epsilon(spark, sf):
+    return finalize(eps_ops.epsilon(fx.audit(spark, sf), A))
+
+
+@register("epsilon_num_b_cat_b")
+def q_epsilon_b(spark, sf):
+    return finalize(eps_ops.epsilon(fx.audit(spark, sf), A, EpsilonConfig(num="num-b", cat="cat-b")))
+
+
+@register("max_epsilon")
+def q_max_epsilon(spark, sf):
+    return finalize(eps_ops.max_epsilon(eps_ops.epsilon(fx.audit(spark, sf), A)))
+
+
+@register("mean_epsilon")
+def q_mean_epsilon(spark, sf):
+    return finalize(eps_ops.mean_epsilon(eps_ops.epsilon(fx.audit(spark, sf), A)))
