@@ -448,3 +448,85 @@ ORACLE["max_epsilon"] = _with(*_eps_ctes(), _loo_cte("d1A"), _U) + """
 SELECT protected, attr, round(epsilon, 6) AS epsilon FROM eps ORDER BY epsilon DESC, protected, attr LIMIT 1"""
 ORACLE["mean_epsilon"] = _with(*_eps_ctes(), _loo_cte("d1A"), _U) + """
 SELECT round(sum(epsilon) / (count(*) + count(DISTINCT protected)), 6) AS mean_epsilon FROM eps"""
+
+
+# ---- step 6: transforms ----------------------------------------------------------
+def _poly(x, b):
+    return f"sign({x}) * pow(abs({x}), {b!r})"
+
+
+ORACLE["transform_poly"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, round({_poly('l_quantity', 1/3)}, 6) AS l_quantity, round({_poly('l_discount', 1/5)}, 6) AS l_discount
+FROM audit"""
+ORACLE["transform_log"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, round(abs(ln(abs(l_quantity) + 1e-5) / ln(3.0)) * sign(l_quantity), 6) AS l_quantity,
+  round(abs(ln(abs(l_discount) + 1e-5) / ln(7.0)) * sign(l_discount), 6) AS l_discount
+FROM audit"""
+ORACLE["transform_arcsin"] = _with(AUDIT) + f"""
+, mm AS (SELECT max(abs(l_quantity)) AS amax, min(abs(l_quantity)) AS amin FROM audit),
+xs AS (SELECT a.*, 2.0 * (l_quantity - amin) / (amax - amin) - 1.0 AS xs, amax FROM audit a, mm)
+SELECT {_KEYS}, round(pow(asin(abs(xs) / amax), 3.0) * sign(xs), 6) AS l_quantity FROM xs"""
+ORACLE["transform_t2"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, round({_poly('l_quantity', (1/3) * (1/5) * (1/7))}, 6) AS l_quantity FROM audit"""
+ORACLE["transform_t3"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, round({_poly('l_quantity', 1/3)} + {_poly('l_quantity', 1/5)} + {_poly('l_quantity', 1/7)}, 6)
+  AS l_quantity FROM audit"""
+ORACLE["transform_blend"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, round(0.8 * {_poly('l_quantity', 1/3)} + 0.2 * {_poly('l_quantity', 1/5)}, 6) AS l_quantity,
+  round(0.8 * 1.0 + 0.2 * {_poly('l_discount', 1/3)}, 6) AS l_discount, 1 AS l_tax
+FROM audit"""
+ORACLE["rebin_chain"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, CASE l_returnflag WHEN 'R' THEN 'F' WHEN 'A' THEN 'F' ELSE l_returnflag END AS l_returnflag,
+  CASE l_linenumber WHEN 3 THEN 0 WHEN 1 THEN 0 ELSE l_linenumber END AS linenumber
+FROM audit"""
+ORACLE["transform_validity"] = _with(AUDIT) + f"""
+SELECT CAST(candidate AS INTEGER) AS candidate, attr, valid FROM (
+  SELECT 0 AS candidate, 'l_quantity' AS attr,
+         max(CASE WHEN isinf({_poly('l_quantity', 3.0)}) OR isnan({_poly('l_quantity', 3.0)}) THEN 1 ELSE 0 END) = 0 AS valid FROM audit
+  UNION ALL SELECT 1, 'l_extendedprice',
+         max(CASE WHEN isinf({_poly('l_extendedprice', 945.0)}) THEN 1 ELSE 0 END) = 0 FROM audit
+  UNION ALL SELECT 2, 'l_quantity', false
+  UNION ALL SELECT 3, 'l_discount',
+         max(CASE WHEN isinf(0.8 * {_poly('l_discount', 15.0)} + 0.2 * {_poly('l_discount', 105.0)}) THEN 1 ELSE 0 END) = 0 FROM audit
+  UNION ALL SELECT 4, 'l_returnflag',
+         count(DISTINCT CASE l_returnflag WHEN 'R' THEN 'N' WHEN 'A' THEN 'N' ELSE l_returnflag END) <> 1 FROM audit
+  UNION ALL SELECT 5, 'l_returnflag',
+         count(DISTINCT CASE l_returnflag WHEN 'R' THEN 'A' ELSE l_returnflag END) <> 1 FROM audit
+  UNION ALL SELECT 6, 'p_type',
+         count(DISTINCT CASE p_type WHEN 'PROMO' THEN 'SMALL' ELSE p_type END) <> 1 FROM audit)"""
+
+_E_EXPR = {
+    "E2": ("a / b", "b IS NOT NULL"), "E3": ("a / (a + b)", "b IS NOT NULL"),
+    "E4": ("CAST(abs(a - b) AS DOUBLE)", "b IS NOT NULL"), "E5": ("abs((a - b) / (a + b))", "b IS NOT NULL"),
+    "E7": ("1.0 / a + 1.0 / b", "b IS NOT NULL"), "E8": ("a * b / (a + b)", "b IS NOT NULL"),
+}
+
+
+def _stream_sql(mode):
+    if mode in ("d4A", "d4B"):
+        vals = [float(x) for x in range(3, 23, 2)]
+        if mode == "d4B":
+            vals = [1.0 / v for v in vals]
+        first, last, n = repr(vals[0]), repr(vals[-1]), len(vals)
+        head = _with(AUDIT)
+        f = (lambda b: f"abs(ln(abs(l_quantity) + 1e-5) / ln({b})) * sign(l_quantity)") if mode == "d4A" \
+            else (lambda b: _poly('l_quantity', b))
+        return head + f"""
+SELECT {_KEYS}, l_quantity, round({f(first)}, 6) AS t_first,
+  round({f(last)}, 6) AS t_last, CAST({n} AS BIGINT) AS stream_len FROM audit"""
+    expr, cond = _E_EXPR[mode]
+    return "WITH RECURSIVE " + AUDIT.strip() + f""",
+pw(k, r) AS (SELECT 1, CAST(102 % 173 AS BIGINT) UNION ALL SELECT k + 1, (r * 102) % 173 FROM pw WHERE k < 173),
+res AS (SELECT k, r FROM pw WHERE k >= 2 AND r NOT IN (1, 172)),
+nx AS (SELECT k, r AS a, lead(r) OVER (ORDER BY k) AS b FROM res),
+st AS (SELECT row_number() OVER (ORDER BY k) AS j, v FROM (SELECT k, {expr} AS v FROM nx WHERE {cond})
+       WHERE v > 0.5 AND v < 2.0),
+ends AS (SELECT (SELECT v FROM st WHERE j = 1) AS first, (SELECT v FROM st ORDER BY j DESC LIMIT 1) AS last,
+         (SELECT count(*) FROM st) AS n)
+SELECT {_KEYS}, l_quantity, round(sign(l_quantity) * pow(abs(l_quantity), first), 6) AS t_first,
+  round(sign(l_quantity) * pow(abs(l_quantity), last), 6) AS t_last, CAST(n AS BIGINT) AS stream_len
+FROM audit, ends"""
+
+
+for _mode in ("d4A", "d4B", "E2", "E3", "E4", "E5", "E7", "E8"):
+    ORACLE[f"beta_stream_{_mode.lower()}"] = _stream_sql(_mode)

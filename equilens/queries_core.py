@@ -267,3 +267,94 @@ def q_max_epsilon(spark, sf):
 @register("mean_epsilon")
 def q_mean_epsilon(spark, sf):
     return finalize(eps_ops.mean_epsilon(eps_ops.epsilon(fx.audit(spark, sf), A)))
+
+
+# ---- step 6: transforms, beta streams, re-bins, validity ---------------------------
+from equilens.functions.beta import beta_stream  # noqa: E402
+from equilens.functions.transforms import multi_transform  # noqa: E402
+from equilens.operators import transform as tr_ops  # noqa: E402
+
+D4A, D4B = beta_stream("d4A"), beta_stream("d4B")
+
+
+def _audit_cols(spark, sf, *cols):
+    return fx.audit(spark, sf).select(*KEYS, *cols)
+
+
+@register("transform_poly")
+def q_transform_poly(spark, sf):
+    a = _audit_cols(spark, sf, "l_quantity", "l_discount")
+    return finalize(tr_ops.apply_changes(a, A, {"l_quantity": {"beta_O": 0}, "l_discount": {"beta_O": 1}}, D4B))
+
+
+@register("transform_log")
+def q_transform_log(spark, sf):
+    a = _audit_cols(spark, sf, "l_quantity", "l_discount")
+    return finalize(tr_ops.apply_changes(a, A, {"l_quantity": {"beta_O": 0}, "l_discount": {"beta_O": 2}},
+                                         D4A, method="log"))
+
+
+@register("transform_arcsin")
+def q_transform_arcsin(spark, sf):
+    a = _audit_cols(spark, sf, "l_quantity")
+    return finalize(tr_ops.apply_changes(a, A, {"l_quantity": {"beta_O": 0}}, D4A, method="arcsin"))
+
+
+@register("transform_t2")
+def q_transform_t2(spark, sf):
+    a = _audit_cols(spark, sf, "l_quantity")
+    return finalize(tr_ops.apply_changes(a, A, {"l_quantity": {"beta_O": 2}}, D4B, multi="t2"))
+
+
+@register("transform_t3")
+def q_transform_t3(spark, sf):
+    a = _audit_cols(spark, sf, "l_quantity")
+    return finalize(tr_ops.apply_changes(a, A, {"l_quantity": {"beta_O": 2}}, D4B, multi="t3"))
+
+
+@register("transform_blend")
+def q_transform_blend(spark, sf):
+    a = _audit_cols(spark, sf, "l_quantity", "l_discount", "l_tax")
+    ch = {"l_quantity": {"beta_O": 0, "beta_Y": 1}, "l_discount": {"beta_O": -1, "beta_Y": 0}, "l_tax": "dropped"}
+    return finalize(tr_ops.apply_changes(a, A, ch, D4B))
+
+
+@register("rebin_chain")
+def q_rebin_chain(spark, sf):
+    a = _audit_cols(spark, sf, "l_returnflag").withColumn("linenumber", F.col("l_linenumber"))
+    spec = A.with_kinds(A.numerical, tuple(A.categorical) + ("linenumber",))
+    return tr_ops.apply_changes(a, spec, {"linenumber": {3: 1, 1: 0}, "l_returnflag": {"R": "A", "A": "F"}}, D4A)
+
+
+VALIDITY_CANDIDATES = [
+    ("l_quantity", {"beta_O": 0}),
+    ("l_extendedprice", {"beta_O": 3}),
+    ("l_quantity", {"beta_O": 10}),
+    ("l_discount", {"beta_O": 1, "beta_Y": 2}),
+    ("l_returnflag", {"R": "A", "A": "N"}),
+    ("l_returnflag", {"R": "A"}),
+    ("p_type", {"PROMO": "SMALL"}),
+]
+
+
+@register("transform_validity")
+def q_transform_validity(spark, sf):
+    return tr_ops.validity(fx.audit(spark, sf), A, VALIDITY_CANDIDATES, D4A, multi="t2")
+
+
+def _stream_query(mode):
+    # integer betas up to 21 overflow the significant digits of x^beta: use the log transform there
+    method = "log" if mode == "d4A" else "poly"
+
+    def q(spark, sf):
+        s = beta_stream(mode)
+        a = _audit_cols(spark, sf, "l_quantity")
+        x = F.col("l_quantity").cast("double")
+        return finalize(a.select(*KEYS, "l_quantity", multi_transform(x, s, 0, method).alias("t_first"),
+                                 multi_transform(x, s, len(s) - 1, method).alias("t_last"),
+                                 F.lit(len(s)).cast("long").alias("stream_len")))
+    return q
+
+
+for _mode in ("d4A", "d4B", "E2", "E3", "E4", "E5", "E7", "E8"):
+    register(f"beta_stream_{_mode.lower()}")(_stream_query(_mode))
