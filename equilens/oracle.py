@@ -530,3 +530,57 @@ FROM audit, ends"""
 
 for _mode in ("d4A", "d4B", "E2", "E3", "E4", "E5", "E7", "E8"):
     ORACLE[f"beta_stream_{_mode.lower()}"] = _stream_sql(_mode)
+
+
+# ---- step 7: re-bin choices and importance ------------------------------------------
+_BM = _with(AUDIT, _PG, _PAIRS, _CC, _CGRID) + """
+, d AS (SELECT protected, attr, g1, g2, v,
+          CASE WHEN n1 > 0 AND n2 > 0 THEN n2 / t2 - n1 / t1 ELSE 0.0 END AS d FROM cgrid),
+cands AS (SELECT protected, attr, g1, g2, arg_max(v, (d, v)) AS hv, max(d) AS hd,
+                 arg_min(v, (d, v)) AS lv, min(d) AS ld FROM d GROUP BY protected, attr, g1, g2)"""
+ORACLE["bm_rebin_candidates"] = _BM + """
+SELECT protected, attr, g1, g2, hv AS from_value, lv AS to_value, round(hd + ld, 6) AS diff FROM cands"""
+ORACLE["bm_rebin_choice"] = _BM + """
+SELECT protected, attr, g1, g2, from_value, to_value, diff FROM (
+  SELECT protected, attr, g1, g2, hv AS from_value, lv AS to_value, round(hd + ld, 6) AS diff,
+         row_number() OVER (PARTITION BY protected, attr ORDER BY abs(hd + ld) DESC, g1, g2) AS rk FROM cands)
+WHERE rk = 1"""
+
+_LABELED = """
+labeled AS (SELECT *, CAST(o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM audit) AS INTEGER) AS label_Y
+            FROM audit)"""
+_CLS = "cls AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS attr, CAST({c} AS VARCHAR) AS v, "
+    f"sum(CASE WHEN label_Y = 0 THEN 1 END) AS c0, sum(CASE WHEN label_Y = 1 THEN 1 END) AS c1 "
+    f"FROM labeled WHERE {c} IS NOT NULL GROUP BY {c}" for c in AUDIT_CAT) + ")"
+ORACLE["ae_rebin_r1"] = _with(AUDIT, _LABELED, _CLS) + """
+, d AS (SELECT attr, v, CAST(CASE WHEN c0 IS NOT NULL AND c1 IS NOT NULL THEN abs(c1 - c0) ELSE 0 END AS BIGINT) AS d FROM cls)
+SELECT attr, arg_max(v, (d, v)) AS from_value, arg_min(v, (d, v)) AS to_value, max(d) + min(d) AS diff
+FROM d GROUP BY attr"""
+ORACLE["ae_rebin_r2"] = _with(AUDIT, "vc AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS attr, CAST({c} AS VARCHAR) AS v, count(*) AS cnt FROM audit WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c in AUDIT_CAT) + ")") + """
+SELECT attr, max(CASE WHEN rk = 2 THEN v END) AS from_value, max(CASE WHEN rk = 1 THEN v END) AS to_value FROM (
+  SELECT attr, v, row_number() OVER (PARTITION BY attr ORDER BY cnt, v) AS rk FROM vc)
+GROUP BY attr HAVING count(*) >= 2"""
+
+
+def _mi_sql():
+    items = []
+    for c in AUDIT_NUM:
+        items.append(f"""SELECT '{c}' AS attr, CAST((SELECT count(*) FROM (
+            SELECT DISTINCT unnest(quantile_cont({c}, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,0.0,1.0])) AS e FROM labeled) q
+          WHERE q.e < l.{c} AND q.e > (SELECT min({c}) FROM labeled) AND q.e < (SELECT max({c}) FROM labeled))
+          AS VARCHAR) AS x, label_Y AS y FROM labeled l""")
+    for c in AUDIT_CAT:
+        items.append(f"SELECT '{c}' AS attr, CAST({c} AS VARCHAR) AS x, label_Y AS y FROM labeled WHERE {c} IS NOT NULL")
+    return _with(AUDIT, _LABELED, "xy AS (" + " UNION ALL ".join(items) + ")") + """
+, j AS (SELECT attr, x, y, count(*) AS nxy FROM xy GROUP BY attr, x, y),
+t AS (SELECT attr, nxy, sum(nxy) OVER (PARTITION BY attr) AS n, sum(nxy) OVER (PARTITION BY attr, x) AS nx,
+             sum(nxy) OVER (PARTITION BY attr, y) AS ny FROM j),
+mi AS (SELECT attr, sum((nxy / n) * ln(nxy * n / (nx * ny))) AS importance FROM t GROUP BY attr)"""
+
+
+ORACLE["mi_importance"] = _mi_sql() + "\nSELECT attr, round(importance, 6) AS importance FROM mi"
+ORACLE["pick_lowest_importance"] = _mi_sql() + """
+SELECT attr, round(importance, 6) AS importance FROM mi WHERE attr <> 'l_returnflag' ORDER BY importance, attr LIMIT 1"""

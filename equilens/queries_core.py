@@ -358,3 +358,44 @@ def _stream_query(mode):
 
 for _mode in ("d4A", "d4B", "E2", "E3", "E4", "E5", "E7", "E8"):
     register(f"beta_stream_{_mode.lower()}")(_stream_query(_mode))
+
+
+# ---- step 7: re-bin choices and importance -------------------------------------
+from equilens.operators import importance as imp_ops  # noqa: E402
+from equilens.operators import rebin as rb_ops  # noqa: E402
+
+
+def _audit_labeled(spark, sf):
+    return enc_ops.binarize_target(fx.audit(spark, sf), A.target, "label_Y")
+
+
+@register("bm_rebin_candidates")
+def q_bm_cands(spark, sf):
+    return finalize(rb_ops.bm_rebin_candidates(fx.audit(spark, sf), A.protected, A.categorical))
+
+
+@register("bm_rebin_choice")
+def q_bm_choice(spark, sf):
+    return finalize(rb_ops.bm_rebin_choice(rb_ops.bm_rebin_candidates(fx.audit(spark, sf), A.protected,
+                                                                      A.categorical)))
+
+
+@register("ae_rebin_r1")
+def q_ae_r1(spark, sf):
+    return rb_ops.ae_rebin_r1(_audit_labeled(spark, sf), "label_Y", A.categorical)
+
+
+@register("ae_rebin_r2")
+def q_ae_r2(spark, sf):
+    return rb_ops.ae_rebin_r2(fx.audit(spark, sf), A.categorical)
+
+
+@register("mi_importance")
+def q_mi(spark, sf):
+    return finalize(imp_ops.mutual_information(_audit_labeled(spark, sf), "label_Y", A.numerical, A.categorical))
+
+
+@register("pick_lowest_importance")
+def q_pick_lowest(spark, sf):
+    mi = imp_ops.mutual_information(_audit_labeled(spark, sf), "label_Y", A.numerical, A.categorical)
+    return finalize(imp_ops.pick_lowest(mi, exclude=["l_returnflag"]))
