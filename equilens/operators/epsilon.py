@@ -203,27 +203,30 @@ def difference_table(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = Epsilo
     return scale_s(s.select(*PAIR, "attr", "kind", "s"), cfg.scale)
 
 
-def leave_one_out(s: DataFrame, how: str = "d1A") -> DataFrame:
-    """``(protected, g1, g2, attr, r)`` with r = R(all attributes except attr) of that pair.
+def leave_one_out(s: DataFrame, how: str = "d1A", by=()) -> DataFrame:
+    """``(by..., protected, g1, g2, attr, r)`` with r = R(all attributes except attr) of that pair.
 
     d1A: sqrt(mean of S^2), d1B: sqrt(sum of S^2); null S is skipped and
     lowers the divisor.  Uses the pair total T = sum S^2 (window over p rows).
+    ``by`` evaluates several alternative S tables (e.g. candidates) at once.
     """
-    w = Window.partitionBy(*PAIR)
+    by = list(by)
+    w = Window.partitionBy(*by, *PAIR)
     sq = F.pow(F.col("s"), 2)
     t = s.select("*", F.sum(sq).over(w).alias("_t"), F.count("s").over(w).alias("_c"))
     own = F.coalesce(sq, F.lit(0.0))
     rest_n = F.col("_c") - F.when(F.col("s").isNotNull(), 1).otherwise(0)
     rest = F.greatest(F.col("_t") - own, F.lit(0.0))
     r = F.sqrt(rest / rest_n) if how == "d1A" else F.sqrt(rest)
-    return t.select(*PAIR, "attr", F.when(rest_n > 0, r).alias("r"))
+    return t.select(*by, *PAIR, "attr", F.when(rest_n > 0, r).alias("r"))
 
 
-def attribute_scores(s: DataFrame, how: str = "d1A") -> DataFrame:
-    """``(protected, attr, u, p)``: u = mean over pairs of R(X minus attr)."""
-    loo = leave_one_out(s, how)
-    u = loo.groupBy("protected", "attr").agg(F.avg("r").alias("u"))
-    return u.withColumn("p", F.count(F.lit(1)).over(Window.partitionBy("protected")))
+def attribute_scores(s: DataFrame, how: str = "d1A", by=()) -> DataFrame:
+    """``(by..., protected, attr, u, p)``: u = mean over pairs of R(X minus attr)."""
+    by = list(by)
+    loo = leave_one_out(s, how, by)
+    u = loo.groupBy(*by, "protected", "attr").agg(F.avg("r").alias("u"))
+    return u.withColumn("p", F.count(F.lit(1)).over(Window.partitionBy(*by, "protected")))
 
 
 def attribute_distance(s: DataFrame, how: str = "d1A") -> DataFrame:
@@ -235,11 +238,12 @@ def attribute_distance(s: DataFrame, how: str = "d1A") -> DataFrame:
                      F.col("b.attr").alias("a2"), (F.abs(F.col("a.u") - F.col("b.u")) / F.col("a.p")).alias("dist")))
 
 
-def epsilon_from_s(s: DataFrame, how: str = "d1A") -> DataFrame:
-    """``(protected, attr, epsilon)``: distance of each attribute from the centre of the embedding."""
-    u = attribute_scores(s, how)
-    w = Window.partitionBy("protected")
-    return u.select("protected", "attr", (F.abs(F.col("u") - F.avg("u").over(w)) / F.col("p")).alias("epsilon"))
+def epsilon_from_s(s: DataFrame, how: str = "d1A", by=()) -> DataFrame:
+    """``(by..., protected, attr, epsilon)``: distance of each attribute from the embedding centre."""
+    by = list(by)
+    u = attribute_scores(s, how, by)
+    w = Window.partitionBy(*by, "protected")
+    return u.select(*by, "protected", "attr", (F.abs(F.col("u") - F.avg("u").over(w)) / F.col("p")).alias("epsilon"))
 
 
 def epsilon(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = EpsilonConfig()) -> DataFrame:

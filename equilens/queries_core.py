@@ -399,3 +399,49 @@ def q_mi(spark, sf):
 def q_pick_lowest(spark, sf):
     mi = imp_ops.mutual_information(_audit_labeled(spark, sf), "label_Y", A.numerical, A.categorical)
     return finalize(imp_ops.pick_lowest(mi, exclude=["l_returnflag"]))
+
+
+# ---- step 8: classifiers, evaluation ----------------------------------------------
+from equilens.operators import models as ml_ops  # noqa: E402
+
+CLASSIFIERS = ("LR", "DT", "RF", "GBDT", "NB", "SVM", "MLP")
+
+
+def audit_split(spark, sf):
+    lab = enc_ops.binarize_target(fx.audit(spark, sf), A.target, "label_Y")
+    return split_ops.hash_split(lab, KEYS, 0.3, 1)
+
+
+def _score_query(name):
+    def q(spark, sf):
+        d = audit_split(spark, sf)
+        return finalize(ml_ops.fit_score(d.where("is_train"), d.where("not is_train"), A, name, keep=KEYS))
+    return q
+
+
+for _c in CLASSIFIERS:
+    register(f"score_{_c.lower()}")(_score_query(_c))
+
+
+@register("evaluate_lr")
+def q_evaluate_lr(spark, sf):
+    d = audit_split(spark, sf)
+    scored = ml_ops.fit_score(d.where("is_train"), d.where("not is_train"), A, "LR")
+    conf = conf_ops.confusion_table(scored, A.protected)
+    acc = fair_ops.accuracy_from_confusion(conf).select("metric", F.lit(None).cast("string").alias("protected"),
+                                                        "value")
+    return finalize(acc.unionByName(fair_ops.fairness_from_confusion(conf)))
+
+
+# ---- step 9: mitigation step ------------------------------------------------------------
+@register("bm_iteration")
+def q_bm_iteration(spark, sf):
+    import json
+
+    from equilens.plans.mitigate import mitigation_step
+    base = fx.audit(spark, sf)
+    r = mitigation_step(base, A, {}, D4A)
+    row = (r.protected, r.attr, r.attempts, r.success, r.epsilon_before, r.epsilon_after,
+           json.dumps(r.changes, sort_keys=True, default=str))
+    return spark.createDataFrame([row], "protected string, attr string, attempts int, success boolean, "
+                                        "epsilon_before double, epsilon_after double, changes string")
