@@ -584,3 +584,9 @@ mi AS (SELECT attr, sum((nxy / n) * ln(nxy * n / (nx * ny))) AS importance FROM
 ORACLE["mi_importance"] = _mi_sql() + "\nSELECT attr, round(importance, 6) AS importance FROM mi"
 ORACLE["pick_lowest_importance"] = _mi_sql() + """
 SELECT attr, round(importance, 6) AS importance FROM mi WHERE attr <> 'l_returnflag' ORDER BY importance, attr LIMIT 1"""
+
+ORACLE["rows_changed"] = _with(AUDIT) + """
+SELECT attr, CAST(rows_changed AS BIGINT) AS rows_changed FROM (
+  SELECT 'l_quantity' AS attr, sum(CASE WHEN pow(l_quantity, 1.0 / 3) = l_quantity THEN 0 ELSE 1 END) AS rows_changed FROM audit
+  UNION ALL SELECT 'l_returnflag', sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) FROM audit
+  UNION ALL SELECT 'l_tax', sum(CASE WHEN CAST(l_tax AS VARCHAR) = '1' THEN 0 ELSE 1 END) FROM audit)"""

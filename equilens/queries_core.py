@@ -445,3 +445,45 @@ def q_bm_iteration(spark, sf):
            json.dumps(r.changes, sort_keys=True, default=str))
     return spark.createDataFrame([row], "protected string, attr string, attempts int, success boolean, "
                                         "epsilon_before double, epsilon_after double, changes string")
+
+
+# ---- step 9: the run loop and its history views -----------------------------------
+from equilens.plans import run as run_ops  # noqa: E402
+
+_RUNS: dict = {}
+
+
+def _run_once(spark, sf):
+    """One mitigation run on the audit table (memoised per session and scale)."""
+    key = (id(spark), sf)
+    if key not in _RUNS:
+        cfg = run_ops.RunConfig(max_iterations=1)
+        mh, it, fs = run_ops.run(spark, fx.audit(spark, sf), A, KEYS, cfg)
+        _RUNS[key] = (mh.cache(), it.cache(), fs.cache())
+    return _RUNS[key]
+
+
+@register("run_history")
+def q_run_history(spark, sf):
+    return finalize(_run_once(spark, sf)[0].drop("run_id"))
+
+
+@register("metric_series")
+def q_metric_series(spark, sf):
+    return finalize(run_ops.metric_series(_run_once(spark, sf)[0]).drop("run_id"))
+
+
+@register("before_after")
+def q_before_after(spark, sf):
+    return finalize(run_ops.before_after(_run_once(spark, sf)[0]).drop("run_id"))
+
+
+@register("run_final_state")
+def q_run_final(spark, sf):
+    return finalize(_run_once(spark, sf)[2].drop("run_id"))
+
+
+@register("rows_changed")
+def q_rows_changed(spark, sf):
+    ch = {"l_quantity": {"beta_O": 0}, "l_returnflag": {"R": "A"}, "l_tax": "dropped"}
+    return run_ops.rows_changed(fx.audit(spark, sf), A, ch, D4B)
