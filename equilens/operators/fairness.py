@@ -27,21 +27,24 @@ _SINGLE = {
 _MAXPAIR = {"CUAE": ("PPV", "NPV"), "EO": ("TPR", "FPR")}
 
 
-def _quantities(groups: DataFrame) -> DataFrame:
-    """Unpivot the per-group table into (protected, quantity, x)."""
-    cols = {q: F.col(q) for q in set(_SINGLE.values())}
+def _quantities(groups: DataFrame, by=()) -> DataFrame:
+    """Unpivot the per-group table into (by..., protected, quantity, x)."""
+    cols = {q: F.col(q) for q in sorted(set(_SINGLE.values()))}
     for m, (a, b) in _MAXPAIR.items():
         cols[f"{m}+"] = F.col(a) + F.col(b)
         cols[f"{m}-"] = F.col(a) - F.col(b)
-    wide = groups.select("protected", *[v.cast("double").alias(k) for k, v in cols.items()])
-    return wide.unpivot(["protected"], list(cols), "quantity", "x")
+    wide = groups.select(*by, "protected", *[v.cast("double").alias(k) for k, v in cols.items()])
+    return wide.unpivot([*by, "protected"], list(cols), "quantity", "x")
 
 
-def fairness_from_confusion(conf: DataFrame, metrics=None) -> DataFrame:
-    """``(metric, protected, value)`` from a confusion table (overall row ignored)."""
+def fairness_from_confusion(conf: DataFrame, metrics=None, by=()) -> DataFrame:
+    """``(by..., metric, protected, value)`` from a confusion table (overall row ignored).
+
+    ``by`` adds grouping keys (e.g. a time window) to every partition."""
     metrics = list(metrics or FAIRNESS_METRICS)
+    by = list(by)
     groups = conf.where(F.col("protected") != OVERALL)
-    mad = mean_abs_pair_diff(_quantities(groups), ["protected", "quantity"], "x", "mad")
+    mad = mean_abs_pair_diff(_quantities(groups, by), [*by, "protected", "quantity"], "x", "mad")
     mapping = []
     for m in metrics:
         if m in _SINGLE:
@@ -51,7 +54,7 @@ def fairness_from_confusion(conf: DataFrame, metrics=None) -> DataFrame:
     spark = conf.sparkSession
     mdf = F.broadcast(spark.createDataFrame(mapping, "metric string, quantity string, w double"))
     return (mad.join(mdf, "quantity")
-               .groupBy("metric", "protected")
+               .groupBy(*by, "metric", "protected")
                .agg(F.sum(F.col("w") * F.col("mad")).alias("value")))
 
 

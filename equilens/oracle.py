@@ -590,3 +590,35 @@ SELECT attr, CAST(rows_changed AS BIGINT) AS rows_changed FROM (
   SELECT 'l_quantity' AS attr, sum(CASE WHEN pow(l_quantity, 1.0 / 3) = l_quantity THEN 0 ELSE 1 END) AS rows_changed FROM audit
   UNION ALL SELECT 'l_returnflag', sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) FROM audit
   UNION ALL SELECT 'l_tax', sum(CASE WHEN CAST(l_tax AS VARCHAR) = '1' THEN 0 ELSE 1 END) FROM audit)"""
+
+
+# ---- step 11: streaming monitor (batch equivalent over closed windows) ------------------
+_EV = """
+ev AS (SELECT date_trunc('day', ts) AS ws, date_trunc('day', ts) + INTERVAL 1 DAY AS we, event_type,
+              CAST(value > 5 AS INTEGER) AS label_Y, CAST(user_id % 2 AS INTEGER) AS pred_Y FROM events),
+closed AS (SELECT * FROM ev WHERE we <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+wc AS (SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(we, '%Y-%m-%d %H:%M:%S') AS window_end,
+              'event_type' AS protected, event_type AS group_value, CAST(count(*) AS BIGINT) AS n,
+              CAST(sum(CASE WHEN pred_Y<>0 AND label_Y<>0 THEN 1 ELSE 0 END) AS BIGINT) tp,
+              CAST(sum(CASE WHEN pred_Y<>0 AND label_Y=0 THEN 1 ELSE 0 END) AS BIGINT) fp,
+              CAST(sum(CASE WHEN pred_Y=0 AND label_Y<>0 THEN 1 ELSE 0 END) AS BIGINT) fn,
+              CAST(sum(CASE WHEN pred_Y=0 AND label_Y=0 THEN 1 ELSE 0 END) AS BIGINT) tn,
+              CAST(sum(CASE WHEN label_Y=1 THEN 1 ELSE 0 END) AS BIGINT) n_pos,
+              CAST(sum(CASE WHEN label_Y=0 THEN 1 ELSE 0 END) AS BIGINT) n_neg,
+              sum(CASE WHEN label_Y=1 THEN CAST(pred_Y AS DOUBLE) END) AS sum_score_pos,
+              sum(CASE WHEN label_Y=0 THEN CAST(pred_Y AS DOUBLE) END) AS sum_score_neg
+       FROM closed GROUP BY ws, we, event_type)"""
+ORACLE["stream_counters"] = _with(_EV) + """
+SELECT window_start, window_end, protected, group_value, n, tp, fp, fn, tn, n_pos, n_neg,
+       round(sum_score_pos, 6) sum_score_pos, round(sum_score_neg, 6) sum_score_neg FROM wc"""
+_WCONF = f"""
+conf AS (SELECT window_start, window_end, protected, group_value,
+  {_sd('tp', 'tp+fn')} TPR, {_sd('fp', 'fp+tn')} FPR, {_sd('fn', 'tp+fn')} FNR, {_sd('tp', 'tp+fp')} PPV,
+  {_sd('tn', 'tn+fn')} NPV, {_sd('fp', 'tp+fp')} FDR, {_sd('fn', 'fn+tn')} "FOR", {_sd('tp+tn', 'n')} ACC,
+  {_sd('tp+fp', 'n')} PPOS, {_sd('COALESCE(sum_score_pos,0.0)', 'n_pos')} mean_score_pos,
+  {_sd('COALESCE(sum_score_neg,0.0)', 'n_neg')} mean_score_neg FROM wc)"""
+ORACLE["stream_monitor"] = _with(_EV, _WCONF) + "\n" + " UNION ALL ".join(
+    f"""SELECT a.window_start, a.window_end, '{m}' AS metric, a.protected, round(avg({e}), 6) AS value
+  FROM conf a JOIN conf b ON a.window_start = b.window_start AND a.protected = b.protected
+   AND a.group_value < b.group_value GROUP BY a.window_start, a.window_end, a.protected"""
+    for m, e in _PAIR_EXPR.items())

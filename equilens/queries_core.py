@@ -487,3 +487,38 @@ def q_run_final(spark, sf):
 def q_rows_changed(spark, sf):
     ch = {"l_quantity": {"beta_O": 0}, "l_returnflag": {"R": "A"}, "l_tax": "dropped"}
     return run_ops.rows_changed(fx.audit(spark, sf), A, ch, D4B)
+
+
+# ---- step 11: streaming monitor ----------------------------------------------------
+from equilens.session import ensure_checkpoint_dir  # noqa: E402
+from equilens.streaming import monitor as mon  # noqa: E402
+
+_STREAMS: dict = {}
+
+
+def _stream_once(spark, sf):
+    """Run the monitor over the events table as a file stream (availableNow) into the shared scratch dir."""
+    import uuid
+    key = (id(spark), sf)
+    if key not in _STREAMS:
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/monitor-{uuid.uuid4().hex[:8]}"
+        schema = spark.read.parquet(f"{sf}/events.parquet").schema
+        src = mon.scored_event_stream(spark, f"{sf}/events.parque[t]", schema)
+        mon.start_monitor(spark, src, "event_type", f"{root}/out", f"{root}/ckpt").awaitTermination()
+        _STREAMS[key] = root
+    return _STREAMS[key]
+
+
+def _ts_str(df):
+    return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")) \
+             .withColumn("window_end", F.date_format("window_end", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("stream_counters")
+def q_stream_counters(spark, sf):
+    return finalize(_ts_str(spark.read.parquet(f"{_stream_once(spark, sf)}/out/counters")))
+
+
+@register("stream_monitor")
+def q_stream_monitor(spark, sf):
+    return finalize(_ts_str(spark.read.parquet(f"{_stream_once(spark, sf)}/out/metrics")))
