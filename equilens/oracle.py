@@ -622,3 +622,111 @@ ORACLE["stream_monitor"] = _with(_EV, _WCONF) + "\n" + " UNION ALL ".join(
   FROM conf a JOIN conf b ON a.window_start = b.window_start AND a.protected = b.protected
    AND a.group_value < b.group_value GROUP BY a.window_start, a.window_end, a.protected"""
     for m, e in _PAIR_EXPR.items())
+
+
+# ---- sources and sinks ------------------------------------------------------------
+_LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+            "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+ORACLE["load_preview"] = f"SELECT * FROM lineitem ORDER BY {', '.join(_LI_COLS)} LIMIT 10"
+ORACLE["load_by_name"] = """SELECT CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total,
+  CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers FROM orders"""
+for _fmt in ("csv", "json", "parquet"):
+    ORACLE[f"roundtrip_{_fmt}"] = _with(DOCS) + """
+SELECT CAST(doc_id AS BIGINT) doc_id, lang, source, CAST(n_chars AS BIGINT) n_chars, CAST(quality AS INTEGER) quality,
+       CAST(toxic AS INTEGER) toxic FROM docs"""
+
+
+# ---- intersectional groups, subgroups, calibration ------------------------------------------
+_SP = ["l_linestatus", "o_orderpriority", "c_mktsegment"]
+_ISETS = [s for k in (2, 3) for s in __import__("itertools").combinations(_SP, k)]
+
+
+def _iconf():
+    base = conf_cte()
+    raw = " UNION ALL ".join(
+        _counts(" || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), 'NaN')" for c in s), "&".join(s))
+        + f" GROUP BY {', '.join(s)}" for s in _ISETS)
+    start = base.index("counts AS (") + len("counts AS (")
+    end = base.index("),\nconf AS (")
+    return base[:start] + raw + base[end:]
+
+
+ORACLE["intersectional_confusion"] = _with(SCORED, _iconf()) + """
+SELECT protected, group_value, n, tp, fp, fn, tn, n_pos, n_neg,
+  round(sum_score_pos, 6) sum_score_pos, round(sum_score_neg, 6) sum_score_neg,
+  round(TPR,6) TPR, round(FPR,6) FPR, round(FNR,6) FNR, round(TNR,6) TNR, round(PPV,6) PPV,
+  round(NPV,6) NPV, round(FDR,6) FDR, round("FOR",6) "FOR", round(ACC,6) ACC, round(PPOS,6) PPOS,
+  round(mean_score_pos,6) mean_score_pos, round(mean_score_neg,6) mean_score_neg FROM conf"""
+ORACLE["intersectional"] = _with(SCORED, _iconf(), fairness_cte()) + \
+    "\nSELECT metric, protected, round(value, 6) AS value FROM fair"
+
+
+def _subgroups_sql():
+    from itertools import combinations
+    parts = []
+    for k in range(1, len(_SP) + 1):
+        for s in combinations(_SP, k):
+            desc = " || ' & ' || ".join(f"'{c}=' || CAST({c} AS VARCHAR)" for c in _SP if c in s)
+            parts.append(f"SELECT {desc} AS subgroup, count(*) AS support, sum(CAST(label_Y = pred_Y AS INTEGER)) "
+                         f"AS correct FROM scored GROUP BY {', '.join(s)}")
+    return _with(SCORED, "cube AS (" + " UNION ALL ".join(parts) + ")") + """
+, overall AS (SELECT count(*) AS n_all, sum(CAST(label_Y = pred_Y AS INTEGER)) AS c_all FROM scored),
+s AS (SELECT subgroup, CAST(support AS BIGINT) AS support, correct / support AS accuracy,
+             c_all / n_all AS overall_accuracy, abs(correct / support - c_all / n_all) AS gap
+      FROM cube, overall WHERE support >= 100)
+SELECT subgroup, support, round(accuracy, 6) accuracy, round(overall_accuracy, 6) overall_accuracy,
+       round(gap, 6) gap, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (ORDER BY gap DESC, subgroup) AS rank FROM s) WHERE rank <= 10"""
+
+
+ORACLE["subgroups_top10"] = _subgroups_sql()
+ORACLE["calibration"] = _with(SCORED, "cb AS (" + " UNION ALL ".join(
+    f"SELECT '{p}' AS protected, COALESCE(CAST({p} AS VARCHAR), 'NaN') AS group_value, "
+    f"least(floor(score_S * 10), 9) AS bin, count(*) AS n, avg(score_S) AS ms, avg(label_Y) AS my "
+    f"FROM scored GROUP BY {p}, least(floor(score_S * 10), 9)" for p in _SP) + ")") + """
+SELECT protected, group_value, round(sqrt(sum(n * (ms - my) ^ 2) / sum(n)), 6) AS calibration_rmse,
+       CAST(sum(n) AS BIGINT) AS n FROM cb GROUP BY protected, group_value"""
+
+
+# ---- vector distances ------------------------------------------------------------------
+_VEC = """
+e AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos
+      FROM embeddings),
+c AS (SELECT label, pos, avg(x) AS m FROM e GROUP BY label, pos),
+gv AS (SELECT pos, var_samp(x) AS v FROM e GROUP BY pos),
+j AS (SELECT e.vec_id, e.label, e.pos, e.x, c.m, gv.v,
+             e.x - avg(e.x) OVER (PARTITION BY e.vec_id) AS xc, c.m - avg(c.m) OVER (PARTITION BY e.vec_id) AS mc,
+             abs(e.x) / sum(abs(e.x)) OVER (PARTITION BY e.vec_id) AS px,
+             abs(c.m) / sum(abs(c.m)) OVER (PARTITION BY e.vec_id) AS pm
+      FROM e JOIN c ON e.label = c.label AND e.pos = c.pos JOIN gv ON e.pos = gv.pos),
+b AS (SELECT vec_id, label, CAST(sum(CASE WHEN x > 0 AND m > 0 THEN 1 ELSE 0 END) AS DOUBLE) tt,
+             CAST(sum(CASE WHEN x > 0 AND NOT m > 0 THEN 1 ELSE 0 END) AS DOUBLE) tf,
+             CAST(sum(CASE WHEN NOT x > 0 AND m > 0 THEN 1 ELSE 0 END) AS DOUBLE) ft,
+             CAST(sum(CASE WHEN NOT x > 0 AND NOT m > 0 THEN 1 ELSE 0 END) AS DOUBLE) ff,
+             CAST(count(*) AS DOUBLE) n FROM j GROUP BY vec_id, label)"""
+_DIST_SQL = {
+    "sqeuclidean": ("j", "sum((x - m) * (x - m))"),
+    "euclidean": ("j", "sqrt(sum((x - m) * (x - m)))"),
+    "cityblock": ("j", "sum(abs(x - m))"),
+    "chebyshev": ("j", "max(abs(x - m))"),
+    "minkowski": ("j", "pow(sum(pow(abs(x - m), 3.0)), 1.0 / 3.0)"),
+    "cosine": ("j", "1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m)))"),
+    "correlation": ("j", "1 - sum(xc * mc) / (sqrt(sum(xc * xc)) * sqrt(sum(mc * mc)))"),
+    "canberra": ("j", "sum(CASE WHEN abs(x) + abs(m) > 0 THEN abs(x - m) / (abs(x) + abs(m)) ELSE 0.0 END)"),
+    "braycurtis": ("j", "sum(abs(x - m)) / sum(abs(x + m))"),
+    "hamming": ("j", "avg(CASE WHEN x <> m THEN 1.0 ELSE 0.0 END)"),
+    "seuclidean": ("j", "sqrt(sum((x - m) * (x - m) / v))"),
+    "jensenshannon": ("j", "sqrt((sum(CASE WHEN px > 0 THEN px * ln(px / ((px + pm) / 2)) ELSE 0.0 END) + "
+                           "sum(CASE WHEN pm > 0 THEN pm * ln(pm / ((px + pm) / 2)) ELSE 0.0 END)) / 2)"),
+    "jaccard": ("b", "sum(CASE WHEN tt + tf + ft > 0 THEN (tf + ft) / (tt + tf + ft) ELSE 0.0 END)"),
+    "dice": ("b", "sum((tf + ft) / (2 * tt + tf + ft))"),
+    "yule": ("b", "sum(CASE WHEN tf * ft > 0 THEN 2 * tf * ft / (tt * ff + tf * ft) ELSE 0.0 END)"),
+    "kulczynski1": ("b", "sum(tt / (tf + ft))"),
+    "rogerstanimoto": ("b", "sum(2 * (tf + ft) / (tt + ff + 2 * (tf + ft)))"),
+    "russellrao": ("b", "sum((n - tt) / n)"),
+    "sokalmichener": ("b", "sum(2 * (tf + ft) / (tt + ff + 2 * (tf + ft)))"),
+    "sokalsneath": ("b", "sum(2 * (tf + ft) / (tt + 2 * (tf + ft)))"),
+}
+for _dm, (_src, _expr) in _DIST_SQL.items():
+    ORACLE[f"distance_{_dm}"] = _with(_VEC) + f"""
+SELECT vec_id, label, '{_dm}' AS metric, round({_expr}, 6) AS dist FROM {_src} GROUP BY vec_id, label"""

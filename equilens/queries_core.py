@@ -522,3 +522,82 @@ def q_stream_counters(spark, sf):
 @register("stream_monitor")
 def q_stream_monitor(spark, sf):
     return finalize(_ts_str(spark.read.parquet(f"{_stream_once(spark, sf)}/out/metrics")))
+
+
+# ---- sources and sinks ------------------------------------------------------------
+from equilens.sources import tables as tb  # noqa: E402
+
+
+@register("load_preview")
+def q_load_preview(spark, sf):
+    li = tb.load_table(spark, path=f"{sf}/lineitem.parquet")
+    return tb.preview(li, list(fx.LINEITEM_KEY) + [c for c in li.columns if c not in fx.LINEITEM_KEY])
+
+
+@register("load_by_name")
+def q_load_by_name(spark, sf):
+    o = tb.load_table(spark, name="orders", data_dir=sf)
+    return finalize(o.agg(F.count(F.lit(1)).cast("long").alias("n"), F.sum("o_totalprice").alias("total"),
+                          F.count_distinct("o_custkey").cast("long").alias("customers")), scale=2)
+
+
+def _roundtrip(fmt):
+    def q(spark, sf):
+        import uuid
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex[:8]}/docs.{fmt}"
+        tb.export(fx.docs(spark, sf), path, fmt)
+        back = tb.load_table(spark, path=path, json_records_array=False)
+        return back.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"),
+                           F.col("source").cast("string"), F.col("n_chars").cast("long"),
+                           F.col("quality").cast("int"), F.col("toxic").cast("int"))
+    return q
+
+
+for _fmt in ("csv", "json", "parquet"):
+    register(f"roundtrip_{_fmt}")(_roundtrip(_fmt))
+
+
+# ---- intersectional groups, subgroups, calibration, subgroup report -------------------
+from equilens.operators import subgroup as sg_ops  # noqa: E402
+
+
+@register("intersectional_confusion")
+def q_intersectional_conf(spark, sf):
+    return finalize(sg_ops.intersectional_confusion(fx.scored(spark, sf), P3))
+
+
+@register("intersectional")
+def q_intersectional(spark, sf):
+    return finalize(fair_ops.fairness_from_confusion(sg_ops.intersectional_confusion(fx.scored(spark, sf), P3)))
+
+
+@register("subgroups_top10")
+def q_subgroups_top10(spark, sf):
+    return finalize(sg_ops.subgroups_top(fx.scored(spark, sf), P3, min_support=100, k=10))
+
+
+@register("calibration")
+def q_calibration(spark, sf):
+    return finalize(sg_ops.calibration_by_group(fx.scored(spark, sf), P3))
+
+
+@register("subgroup_report")
+def q_subgroup_report(spark, sf):
+    d = audit_split(spark, sf)
+    scored = ml_ops.fit_score(d.where("is_train"), d, A, "LR", keep=["is_train", "l_returnflag"])
+    return finalize(sg_ops.subgroup_report(scored, {"c_mktsegment": "BUILDING", "l_returnflag": "R"}))
+
+
+# ---- vector distances (embeddings, per label group) ------------------------------------
+from equilens.functions.distances import METRICS as DIST_METRICS  # noqa: E402
+from equilens.operators import vectors as vec_ops  # noqa: E402
+
+
+def _dist_query(metric):
+    def q(spark, sf):
+        return finalize(vec_ops.distance_to_centroid(fx.vectors(spark, sf), "embedding", "label", "vec_id", metric))
+    return q
+
+
+for _dm in DIST_METRICS:
+    register(f"distance_{_dm}")(_dist_query(_dm))
