@@ -93,13 +93,14 @@ def _pair_stats(st: DataFrame) -> DataFrame:
     return j.select(F.col("a.protected").alias("protected"), F.col("a.g").alias("g1"), F.col("b.g").alias("g2"),
                     F.col("a.attr").alias("attr"),
                     F.col("a.cnt").alias("n1"), F.col("b.cnt").alias("n2"),
-                    (F.col("a.s") / F.col("a.cnt")).alias("m1"), (F.col("b.s") / F.col("b.cnt")).alias("m2"),
+                    F.try_divide(F.col("a.s"), F.col("a.cnt")).alias("m1"),
+                    F.try_divide(F.col("b.s"), F.col("b.cnt")).alias("m2"),
                     F.least("a.mn", "b.mn").alias("lo"), F.greatest("a.mx", "b.mx").alias("hi"))
 
 
 def _scaled(expr, lo="lo", hi="hi"):
     rng = F.col(hi) - F.col(lo)
-    return F.when(rng != 0, expr / rng).otherwise(expr)
+    return F.when(rng != 0, F.try_divide(expr, rng)).otherwise(expr)
 
 
 def diff_num_a(st: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def diff_num_a(st: DataFrame) -> DataFrame:
     return ps.select(*PAIR, "attr", _scaled(F.abs(F.col("m1") - F.col("m2"))).alias("s"))
 
 
-def merged_distributions(vc: DataFrame, pairs: DataFrame) -> DataFrame:
+def merged_distributions(vc: DataFrame, pairs: DataFrame, max_key_rows: int | None = None) -> DataFrame:
     """Running counts A(v), B(v) of both groups over the union of their values, per pair and attr."""
     pb = pairs   # G^2/2 rows per protected attribute; AQE broadcasts it after measuring
     one = vc.join(pb, (vc.protected == pb.protected) & (vc.g == pb.g1)).select(
@@ -116,16 +117,75 @@ def merged_distributions(vc: DataFrame, pairs: DataFrame) -> DataFrame:
     two = vc.join(pb, (vc.protected == pb.protected) & (vc.g == pb.g2)).select(
         vc.protected, "g1", "g2", "attr", "v", F.lit(0).cast("long").alias("a"), F.col("cnt").alias("b"))
     merged = one.unionByName(two).groupBy(*PAIR, "attr", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return running_sums(merged, PAIR + ["attr"], ["v"], ["a", "b"])
+    return running_sums(merged, PAIR + ["attr"], ["v"], ["a", "b"], max_key_rows=max_key_rows)
 
 
-def diff_num_b_c(st: DataFrame, vc: DataFrame, pairs: DataFrame) -> DataFrame:
+def diff_num_b_c(st: DataFrame, vc: DataFrame, pairs: DataFrame, max_groups: int = 64) -> DataFrame:
     """KS statistic (num-b) and 1/2 sum over pairs of rows |x - y| of scaled values (num-c).
 
-    num-c uses sum_{i,j} |x_i - y_j| = sum_v (v - lo) [a_v (B_<(v) - B_>(v)) + b_v (A_<(v) - A_>(v))],
-    which needs only the inclusive running counts (shift invariant; lo keeps magnitudes small).
+    num-c uses sum_{i,j} |x_i - y_j| = sum_v (v - c) [a_v (B_<(v) - B_>(v)) + b_v (A_<(v) - A_>(v))]
+    for any shift c, which needs only inclusive running counts.
+
+    Plan: when every protected attribute has at most ``max_groups`` groups, the value
+    counts are pivoted into one slot per group, so ONE ordered pass over the distinct
+    values of (protected, attr) yields the running counts of all groups and every pair
+    statistic is an aggregate expression.  Otherwise each pair's two distributions are
+    merged and ordered separately.
     """
-    rs = merged_distributions(vc, pairs)
+    st = st.persist()
+    meta = st.groupBy("protected").agg(F.sort_array(F.collect_set("g")).alias("gs")).collect()
+    gmax = max((len(r["gs"]) for r in meta), default=0)
+    if gmax > max_groups:
+        out = _diff_num_b_c_pairs(st, vc, pairs)
+    else:
+        out = _diff_num_b_c_pivot(st, vc, {r["protected"]: r["gs"] for r in meta}, gmax)
+    return out
+
+
+def _row_bound(st: DataFrame):
+    """Upper bound of distinct values per (protected, attr): its non-null row count."""
+    r = st.groupBy("protected", "attr").agg(F.sum("cnt").alias("n")).agg(F.max("n").alias("m")).first()
+    return r["m"] or 0
+
+
+def _diff_num_b_c_pivot(st: DataFrame, vc: DataFrame, groups_of: dict, gmax: int) -> DataFrame:
+    spark = st.sparkSession
+    gidx = spark.createDataFrame([(p, g, i) for p, gs in groups_of.items() for i, g in enumerate(gs)],
+                                 "protected string, g string, gi int")
+    wide = (vc.join(F.broadcast(gidx), ["protected", "g"])     # sum of G over protected attributes: driver-built
+              .groupBy("protected", "attr", "v")
+              .agg(*[F.sum(F.when(F.col("gi") == i, F.col("cnt")).otherwise(0)).alias(f"c{i}") for i in range(gmax)]))
+    rs = running_sums(wide, ["protected", "attr"], ["v"], [f"c{i}" for i in range(gmax)],
+                      max_key_rows=_row_bound(st))
+    # per (protected, attr): group totals N_i and the global minimum (shift)
+    tot = (st.join(F.broadcast(gidx), ["protected", "g"]).groupBy("protected", "attr")
+             .agg(*[F.sum(F.when(F.col("gi") == i, F.col("cnt")).otherwise(0)).alias(f"n{i}") for i in range(gmax)],
+                  F.min("mn").alias("c0_shift")))
+    j = rs.join(tot, ["protected", "attr"])
+    dv = F.col("v") - F.col("c0_shift")
+    aggs, stack = [], []
+    for i in range(gmax):
+        for k in range(i + 1, gmax):
+            a, b = F.col(f"c{i}"), F.col(f"c{k}")
+            A, B = F.col(f"cum_c{i}"), F.col(f"cum_c{k}")
+            n1, n2 = F.col(f"n{i}"), F.col(f"n{k}")
+            ks = F.abs(F.try_divide(A, n1) - F.try_divide(B, n2))
+            term = dv * (a * ((B - b) - (n2 - B)) + b * ((A - a) - (n1 - A)))
+            aggs += [F.max(ks).alias(f"ks_{i}_{k}"), F.sum(term).alias(f"raw_{i}_{k}")]
+            stack.append(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"ks_{i}_{k}").alias("ks"),
+                                  F.col(f"raw_{i}_{k}").alias("raw")))
+    per = j.groupBy("protected", "attr").agg(*aggs)
+    long = per.select("protected", "attr", F.explode(F.array(*stack)).alias("x")).select("protected", "attr", "x.*")
+    names = gidx.select("protected", F.col("gi").alias("i"), F.col("g").alias("g1")).join(
+        gidx.select("protected", F.col("gi").alias("k"), F.col("g").alias("g2")), "protected")
+    long = long.join(F.broadcast(names), ["protected", "i", "k"])
+    ps = _pair_stats(st)
+    out = long.join(ps, PAIR + ["attr"])
+    return out.select(*PAIR, "attr", F.col("ks").alias("s_b"), (0.5 * _scaled(F.col("raw"))).alias("s_c"))
+
+
+def _diff_num_b_c_pairs(st: DataFrame, vc: DataFrame, pairs: DataFrame) -> DataFrame:
+    rs = merged_distributions(vc, pairs, _row_bound(st))
     ps = _pair_stats(st)
     j = rs.join(ps, PAIR + ["attr"])
     A, B, a, b = F.col("cum_a"), F.col("cum_b"), F.col("a"), F.col("b")
@@ -133,7 +193,7 @@ def diff_num_b_c(st: DataFrame, vc: DataFrame, pairs: DataFrame) -> DataFrame:
     dv = F.col("v") - F.col("lo")
     term = dv * (a * ((B - b) - (n2 - B)) + b * ((A - a) - (n1 - A)))
     out = j.groupBy(*PAIR, "attr", "lo", "hi").agg(
-        F.max(F.abs(A / n1 - B / n2)).alias("ks"), F.sum(term).alias("raw"))
+        F.max(F.abs(F.try_divide(A, n1) - F.try_divide(B, n2))).alias("ks"), F.sum(term).alias("raw"))
     return out.select(*PAIR, "attr", F.col("ks").alias("s_b"), (0.5 * _scaled(F.col("raw"))).alias("s_c"))
 
 
@@ -157,9 +217,9 @@ def cat_grid(cc: DataFrame, grp: DataFrame) -> DataFrame:
 
 def diff_cat(grid: DataFrame) -> DataFrame:
     """cat-a: (1/K) sum |share_1 - share_2| over the K seen values; cat-b: 1/2 sum (n1-n2)^2/(n1+n2)."""
-    share = F.abs(F.col("n1") / F.col("t1") - F.col("n2") / F.col("t2"))
+    share = F.abs(F.try_divide(F.col("n1"), F.col("t1")) - F.try_divide(F.col("n2"), F.col("t2")))
     chi = F.pow(F.col("n1") - F.col("n2"), 2) / (F.col("n1") + F.col("n2"))
-    return grid.groupBy(*PAIR, "attr").agg((F.sum(share) / F.count(F.lit(1))).alias("s_a"),
+    return grid.groupBy(*PAIR, "attr").agg(F.try_divide(F.sum(share), F.count(F.lit(1))).alias("s_a"),
                                            (0.5 * F.sum(chi)).alias("s_b"))
 
 
@@ -169,11 +229,11 @@ def scale_s(s: DataFrame, how: str) -> DataFrame:
     (z-score by sample std then minus min); anything else leaves S unscaled."""
     w = Window.partitionBy(*PAIR, "kind")
     if how == "min":
-        return s.withColumn("s", F.col("s") / F.min("s").over(w))
+        return s.withColumn("s", F.try_divide(F.col("s"), F.min("s").over(w)))
     if how == "mean":
-        return s.withColumn("s", F.col("s") / F.avg("s").over(w))
+        return s.withColumn("s", F.try_divide(F.col("s"), F.avg("s").over(w)))
     if how == "sigma":
-        z = s.withColumn("s", (F.col("s") - F.avg("s").over(w)) / F.stddev_samp("s").over(w))
+        z = s.withColumn("s", F.try_divide(F.col("s") - F.avg("s").over(w), F.stddev_samp("s").over(w)))
         return z.withColumn("s", F.col("s") - F.min("s").over(w))
     return s
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equilens.operators.prefix import quantile_values
+from equilens.operators.prefix import quantile_table, quantile_values
 from equilens.operators.profile import equal_width_bin
 
 
@@ -21,8 +21,9 @@ def decile_edges(df: DataFrame, col: str, q: int = 10):
 
 def mutual_information(df: DataFrame, label: str, numerical, categorical, bins: int = 10) -> DataFrame:
     items = []
+    qt = quantile_table(df, list(numerical), [i / bins for i in range(bins + 1)]) if numerical else {}
     for c in numerical:
-        edges = decile_edges(df, c, bins)
+        edges = sorted(set(x for x in qt[c] if x is not None))
         b = equal_width_bin(F.col(c).cast("double"), edges) if len(edges) > 2 else F.lit(0)
         items.append(F.struct(F.lit(c).alias("attr"), F.when(F.col(c).isNotNull(), b.cast("string")).alias("x")))
     for c in categorical:

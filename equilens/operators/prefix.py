@@ -17,9 +17,22 @@ from pyspark.sql import functions as F
 from equilens.operators.sizing import broadcast_if_small
 
 
+# rows one task may order in a plain window (a proven bound, not an estimate)
+WINDOW_ROW_LIMIT = 4_000_000
+
+
 def running_sums(df: DataFrame, keys, order, sum_cols, n_ranges: int | None = None,
-                 prefix: str = "cum_") -> DataFrame:
+                 prefix: str = "cum_", max_key_rows: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` ordered by ``order`` within ``keys``.
+
+    ``max_key_rows`` is a caller-proven upper bound on rows per key; under
+    ``WINDOW_ROW_LIMIT`` a plain window is used (one ordered pass, one shuffle).
+    Without a bound, or above it, the range-partitioned plan is used.
+    """
     keys, order, sum_cols = list(keys), list(order), list(sum_cols)
+    if max_key_rows is not None and max_key_rows <= WINDOW_ROW_LIMIT and keys:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
     spark = df.sparkSession
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn("_rid", F.spark_partition_id())
@@ -63,6 +76,40 @@ def exact_quantiles(df: DataFrame, col: str, qs, keys=(), n_ranges: int | None =
     return piv.select(*keys, "q", (F.col("lo") + frac * (F.col("hi") - F.col("lo"))).alias("value"))
 
 
+def exact_quantiles_multi(df: DataFrame, cols, qs) -> DataFrame:
+    """``(attr, q, value)`` for several columns in one plan: the columns are stacked into
+    (attr, v) so a single value-count aggregate and one ordered pass serve all of them.
+    The per-attr row count (one small aggregate) bounds the rows each ordered key holds."""
+    cols, qs = list(cols), [float(q) for q in qs]
+    spark = df.sparkSession
+    items = F.explode(F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).cast("double").alias("v")) for c in cols]))
+    vc = (df.select(items.alias("i")).select("i.*").where(F.col("v").isNotNull())
+            .groupBy("attr", "v").agg(F.count(F.lit(1)).cast("long").alias("cnt"))).persist()
+    tot = vc.groupBy("attr").agg(F.sum("cnt").alias("n")).persist()
+    bound = tot.agg(F.max("n")).first()[0] or 0
+    rs = running_sums(vc, ["attr"], ["v"], ["cnt"], max_key_rows=bound).withColumn("start", F.col("cum_cnt") - F.col("cnt"))
+    qdf = spark.createDataFrame([(q,) for q in qs], "q double")
+    pos = tot.crossJoin(F.broadcast(qdf)).select("attr", "q", ((F.col("n") - 1) * F.col("q")).alias("h"))
+    targets = pos.select("attr", "q", "h", F.explode(F.array(
+        F.struct(F.lit("lo").alias("side"), F.floor("h").cast("long").alias("r")),
+        F.struct(F.lit("hi").alias("side"), F.ceil("h").cast("long").alias("r")))).alias("t")).select(
+        "attr", "q", "h", "t.*")
+    # targets: 2 x |qs| rows per column (driver-bounded)
+    hit = F.broadcast(targets).join(rs, (rs["attr"] == targets["attr"]) & (rs["start"] <= targets["r"])
+                                    & (targets["r"] < rs["cum_cnt"])).select(targets["attr"], "q", "h", "side", "v")
+    piv = hit.groupBy("attr", "q", "h").agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
+                                            F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"))
+    frac = F.col("h") - F.floor("h")
+    return piv.select("attr", "q", (F.col("lo") + frac * (F.col("hi") - F.col("lo"))).alias("value"))
+
+
+def quantile_table(df: DataFrame, cols, qs) -> dict:
+    """Driver dict {col: [quantiles in the order of qs]} (|cols| x |qs| scalars)."""
+    rows = exact_quantiles_multi(df, cols, qs).collect()
+    got = {(r["attr"], round(r["q"], 12)): r["value"] for r in rows}
+    return {c: [got.get((c, round(float(q), 12))) for q in qs] for c in cols}
+
+
 def quantile_values(df: DataFrame, col: str, qs) -> list:
     """Driver-side list of exact quantiles (a handful of scalars) in the order of ``qs``."""
     rows = {round(r["q"], 12): r["value"] for r in exact_quantiles(df, col, qs).collect()}

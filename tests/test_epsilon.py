@@ -100,3 +100,27 @@ def test_mean_epsilon_counts_origin(spark):
     e = spark.createDataFrame([("o", "a", 0.3), ("o", "b", 0.1)], "protected string, attr string, epsilon double")
     assert E.mean_epsilon(e).first()["mean_epsilon"] == pytest.approx(0.4 / 3)
     assert E.max_epsilon(e, exclude=["a"]).first()["attr"] == "b"
+
+
+def test_pair_merge_fallback_equals_pivot(spark):
+    rows = _rows(90, seed=9)
+    df = spark.createDataFrame(rows, SCHEMA)
+    st = E.numeric_group_stats(df, ["o"], ["n1", "n2"])
+    vc = E.value_counts_by_group(df, ["o"], ["n1", "n2"], True)
+    pairs = E.group_pairs(E.groups(df, ["o"]))
+    key = lambda r: (r["g1"], r["g2"], r["attr"])
+    a = {key(r): (r["s_b"], r["s_c"]) for r in E.diff_num_b_c(st, vc, pairs).collect()}
+    b = {key(r): (r["s_b"], r["s_c"]) for r in E.diff_num_b_c(st, vc, pairs, max_groups=1).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == pytest.approx(b[k][0]) and a[k][1] == pytest.approx(b[k][1])
+
+
+def test_running_sums_range_path_equals_window(spark):
+    from pyspark.sql import Window, functions as F
+    from equilens.operators.prefix import running_sums
+    df = spark.range(0, 3000).select((F.col("id") % 4).alias("k"), (F.col("id") * 7919 % 1000).alias("v")) \
+        .groupBy("k", "v").agg(F.count("*").alias("c"))
+    ref = df.withColumn("ref", F.sum("c").over(Window.partitionBy("k").orderBy("v")))
+    got = running_sums(df, ["k"], ["v"], ["c"], n_ranges=6)          # no bound -> range-partitioned plan
+    assert got.join(ref, ["k", "v"]).where("cum_c != ref").count() == 0
