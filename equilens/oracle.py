@@ -730,3 +730,27 @@ _DIST_SQL = {
 for _dm, (_src, _expr) in _DIST_SQL.items():
     ORACLE[f"distance_{_dm}"] = _with(_VEC) + f"""
 SELECT vec_id, label, '{_dm}' AS metric, round({_expr}, 6) AS dist FROM {_src} GROUP BY vec_id, label"""
+
+
+# ---- Gaussian naive Bayes from aggregates --------------------------------------------
+def _nb_sql():
+    feats = AUDIT_NUM
+    split = (f"{_hb(1)} < 700")
+    mom = ", ".join(f"avg({f}) AS m_{f}, var_pop({f}) AS v_{f}" for f in feats)
+    jll = lambda y: " + ".join(
+        [f"ln(c{y}.prior)"] + [f"(-0.5 * ln(2 * pi() * (c{y}.v_{f} + e.eps)) - (t.{f} - c{y}.m_{f}) ^ 2 / (2 * (c{y}.v_{f} + e.eps)))"
+                               for f in feats])
+    return _with(AUDIT, _LABELED) + f"""
+, sp AS (SELECT *, {split} AS is_train FROM labeled),
+tr AS (SELECT * FROM sp WHERE is_train), t AS (SELECT * FROM sp WHERE NOT is_train),
+cls AS (SELECT label_Y AS y, count(*) * 1.0 / (SELECT count(*) FROM tr) AS prior, {mom} FROM tr GROUP BY label_Y),
+e AS (SELECT 1e-9 * greatest({', '.join(f'var_pop({f})' for f in feats)}) AS eps FROM tr),
+j AS (SELECT t.l_orderkey, t.l_partkey, t.l_suppkey, t.l_linenumber, t.label_Y, t.o_orderpriority, t.c_mktsegment,
+             {jll(0)} AS d0, {jll(1)} AS d1
+      FROM t, e, (SELECT * FROM cls WHERE y = 0) c0, (SELECT * FROM cls WHERE y = 1) c1)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(label_Y AS INTEGER) AS label_Y,
+       CAST(CASE WHEN d1 > d0 THEN 1 ELSE 0 END AS INTEGER) AS pred_Y, round(1.0 / (1.0 + exp(d0 - d1)), 4) AS score_S,
+       o_orderpriority, c_mktsegment FROM j"""
+
+
+ORACLE["score_nb_closed"] = _nb_sql()

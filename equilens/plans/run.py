@@ -123,57 +123,114 @@ def accuracy_step(base: DataFrame, spec: AuditSpec, cfg: RunConfig, changes: dic
     return changes, skipped + (attr,), attr
 
 
-def run(spark: SparkSession, df: DataFrame, spec: AuditSpec, key_cols, cfg: RunConfig = RunConfig(),
-        out_dir: str | None = None):
-    """Run the loop; returns (metrics_history, iterations, final_state) DataFrames."""
+@dataclass
+class RunContext:
+    """Everything one run carries between steps: the persisted base table, the config, the
+    small driver state and the history rows (one row per iteration and metric)."""
+    spark: SparkSession
+    base: DataFrame
+    spec: AuditSpec
+    cfg: RunConfig
+    stream: list
+    state: RunState
+    metrics: dict
+    hist: list
+    infos: list
+
+
+def init_run(spark: SparkSession, df: DataFrame, spec: AuditSpec, key_cols, cfg: RunConfig = RunConfig()) -> RunContext:
+    """Iteration 0: thresholds from the initial epsilon and accuracy."""
     run_id = uuid.uuid4().hex[:12]
     stream = beta_stream(cfg.stream)
     base = prepare(df, spec, key_cols, cfg)
-    rows, mean0, max0 = _eps_summary(base, spec, cfg, {})
+    _, mean0, max0 = _eps_summary(base, spec, cfg, {})
     metrics0 = evaluate(base, spec, cfg)
     st = RunState(run_id, {}, 0, (mean0 or 0.0) * cfg.epsilon_factor,
                   metrics0[("ACC", None)] * (1 + cfg.accuracy_gain))
-    hist, infos = [], []
     h, i = _record(run_id, 0, metrics0, mean0, max0, {})
-    hist += h
-    infos.append(i)
-    metrics = metrics0
     if not cfg.use_bias_mitigation and not cfg.use_accuracy_enhancement:
         st.terminated, st.reason = True, "disabled"
-    while not st.terminated and st.iteration < cfg.max_iterations:
-        st.iteration += 1
-        selected = None
-        if cfg.use_bias_mitigation:
-            r = mitigation_step(base, spec, st.changes, stream, cfg.eps, cfg.method, cfg.multi)
-            st.changes, selected = r.changes, (r.protected, r.attr)
-        if cfg.use_accuracy_enhancement:
-            st.changes, st.skipped, _ = accuracy_step(base, spec, cfg, st.changes, st.skipped, stream,
-                                                      metrics[("ACC", None)])
-        cur = apply_changes(base, spec, st.changes, stream, cfg.method, cfg.multi)
-        metrics = evaluate(cur, spec, cfg)
-        _, mean_e, max_e = _eps_summary(cur, spec, cfg, st.changes)
-        h, i = _record(run_id, st.iteration, metrics, mean_e, max_e, st.changes, selected)
-        hist += h
-        infos.append(i)
-        if max_e[2] is not None and max_e[2] <= st.eps_threshold:
-            st.terminated, st.reason = True, "epsilon_threshold"
-        elif metrics[("ACC", None)] >= st.acc_threshold:
-            st.terminated, st.reason = True, "accuracy_threshold"
-    if not st.terminated:
-        st.reason = "max_iterations"
-    base.unpersist()
-    mh = spark.createDataFrame(hist, "run_id string, iteration int, metric string, protected string, value double")
-    it = spark.createDataFrame(infos, "run_id string, iteration int, ts double, selected_protected string, "
-                                      "selected_attr string, changes string")
-    fs = spark.createDataFrame([(run_id, st.iteration, st.reason, json.dumps(st.changes, sort_keys=True, default=str),
+    return RunContext(spark, base, spec, cfg, stream, st, metrics0, list(h), [i])
+
+
+def step(ctx: RunContext) -> RunContext:
+    """One iteration: mitigation, optional enhancement, transform, evaluate, epsilon, record."""
+    st, cfg, spec, base = ctx.state, ctx.cfg, ctx.spec, ctx.base
+    if st.terminated:
+        return ctx
+    if st.iteration >= cfg.max_iterations:
+        st.terminated, st.reason = True, "max_iterations"
+        return ctx
+    st.iteration += 1
+    selected = None
+    if cfg.use_bias_mitigation:
+        r = mitigation_step(base, spec, st.changes, ctx.stream, cfg.eps, cfg.method, cfg.multi)
+        st.changes, selected = r.changes, (r.protected, r.attr)
+        if r.attr is None:
+            st.terminated, st.reason = True, "no_candidate"
+    if cfg.use_accuracy_enhancement:
+        st.changes, st.skipped, _ = accuracy_step(base, spec, cfg, st.changes, st.skipped, ctx.stream,
+                                                  ctx.metrics[("ACC", None)])
+    cur = apply_changes(base, spec, st.changes, ctx.stream, cfg.method, cfg.multi)
+    ctx.metrics = evaluate(cur, spec, cfg)
+    _, mean_e, max_e = _eps_summary(cur, spec, cfg, st.changes)
+    h, i = _record(st.run_id, st.iteration, ctx.metrics, mean_e, max_e, st.changes, selected)
+    ctx.hist += h
+    ctx.infos.append(i)
+    if st.terminated:
+        return ctx
+    if max_e[2] is not None and max_e[2] <= st.eps_threshold:
+        st.terminated, st.reason = True, "epsilon_threshold"
+    elif ctx.metrics[("ACC", None)] >= st.acc_threshold:
+        st.terminated, st.reason = True, "accuracy_threshold"
+    elif st.iteration >= cfg.max_iterations:
+        st.terminated, st.reason = True, "max_iterations"
+    return ctx
+
+
+def finish(ctx: RunContext, out_dir: str | None = None):
+    """History tables of the run: (metrics_history, iterations, final_state)."""
+    spark, st = ctx.spark, ctx.state
+    ctx.base.unpersist()
+    mh = spark.createDataFrame(ctx.hist, "run_id string, iteration int, metric string, protected string, value double")
+    it = spark.createDataFrame(ctx.infos, "run_id string, iteration int, ts double, selected_protected string, "
+                                          "selected_attr string, changes string")
+    fs = spark.createDataFrame([(st.run_id, st.iteration, ctx.cfg.max_iterations, st.reason or "max_iterations",
+                                 json.dumps(st.changes, sort_keys=True, default=str),
                                  st.eps_threshold, st.acc_threshold)],
-                               "run_id string, total_iterations int, termination_reason string, changes string, "
-                               "epsilon_threshold double, accuracy_threshold double")
+                               "run_id string, total_iterations int, max_iterations int, termination_reason string, "
+                               "changes string, epsilon_threshold double, accuracy_threshold double")
     if out_dir:
         write_run(mh, it, fs, out_dir)
     return mh, it, fs
 
 
+def run(spark: SparkSession, df: DataFrame, spec: AuditSpec, key_cols, cfg: RunConfig = RunConfig(),
+        out_dir: str | None = None):
+    """Run the loop to termination; returns (metrics_history, iterations, final_state) DataFrames."""
+    ctx = init_run(spark, df, spec, key_cols, cfg)
+    while not ctx.state.terminated:
+        step(ctx)
+    return finish(ctx, out_dir)
+
+
+def run_status(metrics_history: DataFrame, final: DataFrame) -> DataFrame:
+    """Progress, termination reason and the max-epsilon / accuracy series of each run
+    (series length = number of iterations, small by construction)."""
+    series = (metrics_history.where(F.col("metric").isin("max_epsilon", "ACC"))
+              .groupBy("run_id").agg(
+                  F.transform(F.array_sort(F.collect_list(F.when(F.col("metric") == "max_epsilon",
+                                                                 F.struct("iteration", "value")))),
+                              lambda x: x["value"]).alias("max_epsilon_series"),
+                  F.transform(F.array_sort(F.collect_list(F.when(F.col("metric") == "ACC",
+                                                                 F.struct("iteration", "value")))),
+                              lambda x: x["value"]).alias("accuracy_series")))
+    return final.join(series, "run_id").select(
+        "run_id", "total_iterations", "termination_reason",
+        F.least(F.lit(100.0), F.col("total_iterations") * 100.0 / F.greatest(F.col("max_iterations"), F.lit(1)))
+        .alias("progress_percent"), "max_epsilon_series", "accuracy_series")
+
+
 def write_run(metrics_history: DataFrame, iterations: DataFrame, final: DataFrame, out_dir: str):
     """Experiment log: append the run's tables (parquet, partitioned by run id) and a JSON export."""
     metrics_history.write.mode("append").partitionBy("run_id").parquet(f"{out_dir}/run_metrics")

@@ -601,3 +601,25 @@ def _dist_query(metric):
 
 for _dm in DIST_METRICS:
     register(f"distance_{_dm}")(_dist_query(_dm))
+
+
+# ---- closed-form classifiers (aggregates + driver p x p algebra) ---------------------
+from equilens.operators import discriminant as disc_ops  # noqa: E402
+
+
+def _disc_query(kind):
+    def q(spark, sf):
+        d = audit_split(spark, sf)
+        return finalize(disc_ops.fit_score(d.where("is_train"), d.where("not is_train"), list(A.numerical),
+                                           A.protected, kind, keep=KEYS), scale=4)
+    return q
+
+
+for _k in ("NB", "LDA", "QDA"):
+    register(f"score_{_k.lower()}_closed")(_disc_query(_k))
+
+
+@register("run_status")
+def q_run_status(spark, sf):
+    mh, _, fs = _run_once(spark, sf)
+    return run_ops.run_status(mh, fs).drop("run_id")
