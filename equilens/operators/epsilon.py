@@ -322,3 +322,70 @@ def mean_epsilon(eps: DataFrame) -> DataFrame:
     """Mean over all (protected, attr) plus one zero 'origin' entry per protected attribute."""
     per = eps.groupBy("protected").agg(F.sum("epsilon").alias("t"), F.count(F.lit(1)).alias("n"))
     return per.agg((F.sum("t") / F.sum(F.col("n") + 1)).alias("mean_epsilon"))
+
+
+# ---- general order h (subsets of size >= h) ----------------------------------------------
+MAX_SUBSET_ATTRS = 16
+
+
+def subset_scores(s: DataFrame, attrs, min_size: int, how: str = "d1A") -> DataFrame:
+    """``(protected, mask, U)``: U = mean over group pairs of R(subset) for every attribute
+    subset (bitmask over ``attrs``) with at least ``min_size`` members."""
+    attrs = list(attrs)
+    p = len(attrs)
+    if p > MAX_SUBSET_ATTRS:
+        raise ValueError(f"order-h epsilon enumerates 2^p subsets; p={p} exceeds {MAX_SUBSET_ATTRS}")
+    spark = s.sparkSession
+    masks = spark.range(1 << p).where(F.expr("bit_count(id)") >= min_size).withColumnRenamed("id", "mask")
+    idx = spark.createDataFrame([(a, i) for i, a in enumerate(attrs)], "attr string, bit int")
+    sb = s.join(F.broadcast(idx), "attr")
+    # masks: at most 2^16 rows, generated from p (a proven bound)
+    j = sb.join(F.broadcast(masks), F.expr("shiftleft(CAST(1 AS BIGINT), bit)").bitwiseAND(F.col("mask")) != 0)
+    sq = F.pow(F.col("s"), 2)
+    r = F.sqrt(F.avg(sq)) if how == "d1A" else F.sqrt(F.sum(sq))
+    per_pair = j.groupBy("protected", "g1", "g2", "mask").agg(r.alias("r"))
+    return per_pair.groupBy("protected", "mask").agg(F.avg("r").alias("U"))
+
+
+def attribute_distance_order_h(s: DataFrame, attrs, h: int, how: str = "d1A") -> DataFrame:
+    """d(a, b) = (1/N) sum over subsets t of the other attributes with |t| >= h - 1 of
+    |U(t + a) - U(t + b)|, N counting also the subsets that contain the zero 'origin' element."""
+    from math import comb
+    attrs = list(attrs)
+    p = len(attrs)
+    spark = s.sparkSession
+    u = subset_scores(s, attrs, h, how)
+    n_sub = sum(comb(p - 1, k) for k in range(max(h - 1, 0), p))
+    idx = spark.createDataFrame([(a, i) for i, a in enumerate(attrs)], "a string, ia int")
+    ab = idx.crossJoin(idx.select(F.col("a").alias("b"), F.col("ia").alias("ib"))).where("ia < ib")  # p^2 rows
+    one = u.alias("u1")
+    bit = lambda c: F.expr(f"shiftleft(CAST(1 AS BIGINT), {c})")
+    cand = one.join(F.broadcast(ab), (F.col("u1.mask").bitwiseAND(bit("ia")) != 0) &
+                    (F.col("u1.mask").bitwiseAND(bit("ib")) == 0))
+    cand = cand.select("u1.protected", "a", "b", F.col("u1.U").alias("U1"),
+                       (F.col("u1.mask") - bit("ia") + bit("ib")).alias("m2"))
+    two = u.select(F.col("protected").alias("p2"), F.col("mask").alias("m2"), F.col("U").alias("U2"))
+    d = cand.join(two, (cand.protected == two.p2) & (cand.m2 == two.m2))
+    return d.groupBy("protected", "a", "b").agg((F.sum(F.abs(F.col("U1") - F.col("U2"))) / n_sub).alias("dist")) \
+        .select("protected", F.col("a").alias("a1"), F.col("b").alias("a2"), "dist")
+
+
+def epsilon_from_distance(dist: DataFrame) -> DataFrame:
+    """Distance of each attribute from the centroid of the exact (classical) embedding of a
+    distance table: eps_a^2 = mean_j d_aj^2 - mean_jk d_jk^2 / 2 (Gower)."""
+    both = dist.select("protected", F.col("a1").alias("a"), F.col("a2").alias("b"), "dist").unionByName(
+        dist.select("protected", F.col("a2").alias("a"), F.col("a1").alias("b"), "dist"))
+    attrs = both.select("protected", "a").distinct()
+    p = attrs.groupBy("protected").agg(F.count(F.lit(1)).alias("p"))
+    row = both.groupBy("protected", "a").agg(F.sum(F.pow("dist", 2)).alias("ra"))
+    tot = both.groupBy("protected").agg(F.sum(F.pow("dist", 2)).alias("t"))
+    e = row.join(tot, "protected").join(p, "protected")
+    v = F.col("ra") / F.col("p") - F.col("t") / (2 * F.col("p") * F.col("p"))
+    return e.select("protected", F.col("a").alias("attr"), F.sqrt(F.greatest(v, F.lit(0.0))).alias("epsilon"))
+
+
+def epsilon_order_h(df: DataFrame, spec: AuditSpec, h: int | None = None, cfg: EpsilonConfig = EpsilonConfig()):
+    s = difference_table(df, spec, cfg)
+    attrs = [a for a in spec.features if a not in spec.protected and a != spec.target]
+    h = len(attrs) - 1 if h is None else h
+    return epsilon_from_distance(attribute_distance_order_h(s, attrs, h, cfg.sum))

@@ -754,3 +754,30 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(label_Y AS INTEGER)
 
 
 ORACLE["score_nb_closed"] = _nb_sql()
+
+
+# ---- epsilon of general order h (h = p - 2 on the audit features) ------------------------
+def _order_h_sql(h=7):
+    from math import comb
+    attrs = AUDIT_NUM + AUDIT_CAT
+    p = len(attrs)
+    n_sub = sum(comb(p - 1, k) for k in range(max(h - 1, 0), p))
+    vals = ", ".join(f"('{a}', {i})" for i, a in enumerate(attrs))
+    return _with(*_eps_ctes(), f"idx AS (SELECT * FROM (VALUES {vals}) t(attr, bit))",
+                 f"masks AS (SELECT range AS mask FROM range({1 << p}) WHERE bit_count(range) >= {h})",
+                 """rr AS (SELECT s.protected, s.g1, s.g2, m.mask, sqrt(avg(s.s * s.s)) AS r
+          FROM s_all s JOIN idx USING (attr) JOIN masks m ON (m.mask >> idx.bit) & 1 = 1
+          GROUP BY s.protected, s.g1, s.g2, m.mask)""",
+                 "u AS (SELECT protected, mask, avg(r) AS U FROM rr GROUP BY protected, mask)",
+                 "ab AS (SELECT i1.attr AS a, i1.bit AS ia, i2.attr AS b, i2.bit AS ib FROM idx i1 JOIN idx i2 ON i1.bit < i2.bit)",
+                 f"""d AS (SELECT u1.protected, ab.a, ab.b, sum(abs(u1.U - u2.U)) / {n_sub} AS dist
+          FROM u u1 JOIN ab ON (u1.mask >> ab.ia) & 1 = 1 AND (u1.mask >> ab.ib) & 1 = 0
+          JOIN u u2 ON u2.protected = u1.protected AND u2.mask = u1.mask - (1 << ab.ia) + (1 << ab.ib)
+          GROUP BY u1.protected, ab.a, ab.b)""",
+                 "dd AS (SELECT protected, a, dist FROM d UNION ALL SELECT protected, b AS a, dist FROM d)",
+                 f"""g AS (SELECT protected, a, sum(dist * dist) AS ra,
+                 sum(sum(dist * dist)) OVER (PARTITION BY protected) AS t FROM dd GROUP BY protected, a)""") + f"""
+SELECT protected, a AS attr, round(sqrt(greatest(ra / {p} - t / (2 * {p} * {p}), 0.0)), 6) AS epsilon FROM g"""
+
+
+ORACLE["epsilon_order_h"] = _order_h_sql()

@@ -623,3 +623,8 @@ for _k in ("NB", "LDA", "QDA"):
 def q_run_status(spark, sf):
     mh, _, fs = _run_once(spark, sf)
     return run_ops.run_status(mh, fs).drop("run_id")
+
+
+@register("epsilon_order_h")
+def q_epsilon_order_h(spark, sf):
+    return finalize(eps_ops.epsilon_order_h(fx.audit(spark, sf), A, h=len(A.features) - 2))

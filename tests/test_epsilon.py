@@ -124,3 +124,40 @@ def test_running_sums_range_path_equals_window(spark):
     ref = df.withColumn("ref", F.sum("c").over(Window.partitionBy("k").orderBy("v")))
     got = running_sums(df, ["k"], ["v"], ["c"], n_ranges=6)          # no bound -> range-partitioned plan
     assert got.join(ref, ["k", "v"]).where("cum_c != ref").count() == 0
+
+
+def _subset_distance_h(S, attrs, a1, a2, h):
+    p = len(attrs)
+
+    def R(sub):
+        return {pair: math.sqrt(sum(S[pair][x] ** 2 for x in sub) / len(sub)) for pair in S}
+
+    table = {tuple(sorted(sub)): R(sub) for k in range(p, h - 1, -1) for sub in itertools.combinations(attrs, k)}
+    avail = [x for x in attrs + ["origin"] if x not in (a1, a2)]
+    hh = max(h - 2, -1)
+    subsets = [list(s) for k in range(len(avail), hh, -1) for s in itertools.combinations(avail, k)]
+    res = []
+    for s in subsets:
+        v1 = table.get(tuple(sorted(s + [a1]))) if "origin" not in s else None
+        v2 = table.get(tuple(sorted(s + [a2]))) if "origin" not in s else None
+        diff = [v1[q] - v2[q] for q in S] if v1 and v2 else [0.0]
+        res.append(abs(sum(diff) / len(diff)))
+    return sum(res) / len(res)
+
+
+@pytest.mark.parametrize("h", [2, 3, 4])
+def test_order_h_distance_matches_subset_definition(spark, h):
+    rnd = random.Random(h)
+    attrs = ["a", "b", "c", "d", "e"]
+    pairs = [("G1", "G2"), ("G1", "G3"), ("G2", "G3")]
+    S = {pr: {a: rnd.random() for a in attrs} for pr in pairs}
+    sdf = spark.createDataFrame([("o", g1, g2, a, "numerical", S[(g1, g2)][a]) for (g1, g2) in pairs for a in attrs],
+                                "protected string, g1 string, g2 string, attr string, kind string, s double")
+    dist = {(r["a1"], r["a2"]): r["dist"] for r in E.attribute_distance_order_h(sdf, attrs, h).collect()}
+    for a1, a2 in itertools.combinations(attrs, 2):
+        assert dist[(a1, a2)] == pytest.approx(_subset_distance_h(S, attrs, a1, a2, h), rel=1e-9)
+    if h == 4:   # default order p - 1: Gower epsilon equals the closed form
+        eps_h = {r["attr"]: r["epsilon"] for r in E.epsilon_from_distance(E.attribute_distance_order_h(sdf, attrs, h)).collect()}
+        eps = {r["attr"]: r["epsilon"] for r in E.epsilon_from_s(sdf).collect()}
+        for a in attrs:
+            assert eps_h[a] == pytest.approx(eps[a], abs=1e-12)
