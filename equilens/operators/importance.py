@@ -46,3 +46,70 @@ def pick_lowest(imp: DataFrame, exclude=()) -> DataFrame:
     e = imp.where(~F.col("attr").isin(list(exclude))) if exclude else imp
     b = e.agg(F.min(F.struct("importance", "attr")).alias("b"))
     return b.select("b.attr", "b.importance").where(F.col("attr").isNotNull())
+
+
+def permutation_importance(model, test: DataFrame, feats, key_cols, label: str = "label_Y", repeats: int = 5,
+                           seed: int = 0) -> DataFrame:
+    """Mean accuracy drop when one feature is permuted (``repeats`` permutations each).
+
+    All (feature, repeat) variants are stacked into one DataFrame and scored by one
+    ``model.transform``.  A permutation is a cyclic shift along a content-hash order of
+    the rows: rank r takes the value of rank r+1 (ranks from running counts per variant,
+    so no single task orders a whole variant).  Rows with identical content share a
+    hash and move together.
+    """
+    from equilens.operators.prefix import running_sums
+    feats = list(feats)
+    n_test = test.count()
+    base_pred = model.transform(test)
+    base_acc = base_pred.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("feat"), F.lit(r).alias("rep"))
+                                   for f in feats for r in range(repeats)]))
+    stacked = test.select("*", variants.alias("vr")).select("*", "vr.feat", "vr.rep").drop("vr")
+    content = F.concat_ws("|", *[F.col(c).cast("string") for c in list(key_cols) + feats])
+    h = F.md5(F.concat_ws(":", content, F.col("feat"), F.col("rep").cast("string"), F.lit(str(seed))))
+    val = F.lit(None).cast("string")
+    for f in feats:
+        val = F.when(F.col("feat") == f, F.col(f).cast("string")).otherwise(val)
+    stacked = stacked.withColumn("_h", h).withColumn("_v", val)
+    blocks = stacked.groupBy("feat", "rep", "_h").agg(F.first("_v").alias("_v")).withColumn("_one", F.lit(1))
+    ranked = running_sums(blocks, ["feat", "rep"], ["_h"], ["_one"], max_key_rows=n_test)
+    size = ranked.groupBy("feat", "rep").agg(F.max("cum__one").alias("_b"))
+    ranked = ranked.join(size, ["feat", "rep"]).select("feat", "rep", "_h", "_v", F.col("cum__one").alias("_i"), "_b")
+    nxt = ranked.select("feat", "rep", F.col("_i").alias("_j"), F.col("_v").alias("_nv"))
+    moved = ranked.withColumn("_j", F.col("_i") % F.col("_b") + 1).join(nxt, ["feat", "rep", "_j"]) \
+        .select("feat", "rep", "_h", "_nv")
+    perm = stacked.join(moved, ["feat", "rep", "_h"])
+    types = dict((f.name, f.dataType) for f in test.schema.fields)
+    for f in feats:
+        perm = perm.withColumn(f, F.when(F.col("feat") == f, F.col("_nv").cast(types[f])).otherwise(F.col(f)))
+    acc = (model.transform(perm.drop("_h", "_v", "_nv"))
+           .groupBy("feat", "rep").agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("acc")))
+    return acc.groupBy(F.col("feat").alias("attr")).agg((F.lit(base_acc) - F.avg("acc")).alias("importance"))
+
+
+def lasso_importance(train: DataFrame, numerical, categorical, label: str = "label_Y", folds: int = 5,
+                     seed: int = 0) -> DataFrame:
+    """|coefficient| of an L1 linear regression whose penalty is picked by k-fold cross-validation;
+    categoricals enter as their sorted-label codes (one coefficient per attribute)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    cat = list(categorical)
+    stages = [StringIndexer(inputCols=cat, outputCols=[f"{c}__code" for c in cat], stringOrderType="alphabetAsc",
+                            handleInvalid="keep")] if cat else []
+    cols = list(numerical) + [f"{c}__code" for c in cat]
+    stages.append(VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"))
+    lr = LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=1.0, standardization=False,
+                          maxIter=200)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [10 ** e for e in (-5, -4, -3, -2, -1)]).build()
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=folds, seed=seed,
+                        evaluator=RegressionEvaluator(labelCol=label, metricName="mse"))
+    prep = Pipeline(stages=stages).fit(train)
+    best = cv.fit(prep.transform(train).withColumn(label, F.col(label).cast("double"))).bestModel
+    coef = best.coefficients.toArray().tolist()
+    names = list(numerical) + cat
+    return train.sparkSession.createDataFrame([(n, float(abs(c))) for n, c in zip(names, coef)],
+                                              "attr string, importance double")

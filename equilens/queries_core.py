@@ -628,3 +628,30 @@ def q_run_status(spark, sf):
 @register("epsilon_order_h")
 def q_epsilon_order_h(spark, sf):
     return finalize(eps_ops.epsilon_order_h(fx.audit(spark, sf), A, h=len(A.features) - 2))
+
+
+# ---- importance (permutation, lasso) and boosting -------------------------------------
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    d = audit_split(spark, sf)
+    model = ml_ops.fit(d.where("is_train"), A, "LR")
+    return finalize(imp_ops.permutation_importance(model, d.where("not is_train"), list(A.features), KEYS))
+
+
+@register("lasso_importance")
+def q_lasso_importance(spark, sf):
+    d = audit_split(spark, sf)
+    return finalize(imp_ops.lasso_importance(d.where("is_train"), A.numerical, A.categorical))
+
+
+@register("adaboost_score")
+def q_adaboost(spark, sf):
+    from pyspark.ml import Pipeline
+
+    from equilens.operators import boosting
+    d = audit_split(spark, sf)
+    fe = Pipeline(stages=ml_ops.feature_stages(A)).fit(d.where("is_train"))
+    tr, te = fe.transform(d.where("is_train")), fe.transform(d.where("not is_train"))
+    models, alphas = boosting.fit_adaboost(tr)
+    s = boosting.score_adaboost(models, alphas, te)
+    return finalize(s.select(*KEYS, F.col("label_Y").cast("int").alias("label_Y"), "pred_Y", "score_S", *A.protected))
