@@ -35,3 +35,38 @@ def distance_to_centroid(df: DataFrame, vec: str, group: str, key: str, metric:
     d = distance(metric, F.col(vec), F.col("centroid"), p=3.0,
                  var=F.col("gvar") if metric == "seuclidean" else None)
     return j.select(key, group, F.lit(metric).alias("metric"), d.alias("dist"))
+
+
+MAX_DIM = 512
+
+
+def inverse_covariance(df: DataFrame, vec: str):
+    """Inverse (pseudo-inverse) of the sample covariance of the vectors: one aggregate of
+    sums and cross products (dim^2 values, dim <= MAX_DIM), inverted on the driver."""
+    import numpy as np
+    dim = df.select(F.max(F.size(vec))).first()[0] or 0
+    if dim > MAX_DIM:
+        raise ValueError(f"vector dimension {dim} exceeds {MAX_DIM}")
+    x = F.col(vec)
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[F.sum(x[i]).alias(f"s{i}") for i in range(dim)],
+                 *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(dim) for j in range(i, dim)]).first()
+    n = row["n"]
+    mu = np.array([row[f"s{i}"] / n for i in range(dim)])
+    c = np.zeros((dim, dim))
+    for i in range(dim):
+        for j in range(i, dim):
+            c[i, j] = c[j, i] = (row[f"p{i}_{j}"] - n * mu[i] * mu[j]) / (n - 1)
+    return np.linalg.pinv(c)
+
+
+def mahalanobis_to_centroid(df: DataFrame, vec: str, group: str, key: str) -> DataFrame:
+    """sqrt((x - c)^T VI (x - c)) with VI the inverse covariance over all rows."""
+    vi = inverse_covariance(df, vec)
+    c = centroids(df, vec, group)
+    j = df.select(key, group, vec).join(c, group)
+    d = F.zip_with(F.col(vec), F.col("centroid"), lambda a, b: a - b)
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in vi])
+    y = F.transform(rows, lambda r: F.aggregate(F.zip_with(r, d, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t))
+    q = F.aggregate(F.zip_with(y, d, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    return j.select(key, group, F.lit("mahalanobis").alias("metric"), F.sqrt(F.greatest(q, F.lit(0.0))).alias("dist"))

@@ -277,3 +277,20 @@ def rows_changed(base: DataFrame, spec: AuditSpec, changes: dict, stream: list,
         same = e.cast("string").eqNullSafe(F.col(a).cast("string"))
         aggs.append(F.sum(F.when(same, 0).otherwise(1)).cast("long").alias(a))
     return base.agg(*aggs).unpivot([], attrs, "attr", "rows_changed")
+
+
+def ae_rebin_r3(base: DataFrame, spec: AuditSpec, attr: str, changes: dict, stream: list, cfg: RunConfig):
+    """r3: try every merge {i: j} of two values of ``attr`` (i != j), refit on the train rows,
+    keep the merge with the best test accuracy.  One model fit per value pair (the method's
+    search); the candidate values come from one distinct aggregate."""
+    from itertools import combinations
+    cur = apply_changes(base, spec, changes, stream, cfg.method, cfg.multi)
+    values = sorted(r[0] for r in cur.select(attr).where(F.col(attr).isNotNull()).distinct().collect())
+    prev = changes.get(attr) if isinstance(changes.get(attr), dict) else {}
+    best, best_acc = None, 0.0
+    for i, j in combinations(values, 2):
+        trial = {**changes, attr: {**prev, i: j}}
+        acc = evaluate(apply_changes(base, spec, trial, stream, cfg.method, cfg.multi), spec, cfg)[("ACC", None)]
+        if acc > best_acc:
+            best, best_acc = {i: j}, acc
+    return best, best_acc

@@ -655,3 +655,8 @@ def q_adaboost(spark, sf):
     models, alphas = boosting.fit_adaboost(tr)
     s = boosting.score_adaboost(models, alphas, te)
     return finalize(s.select(*KEYS, F.col("label_Y").cast("int").alias("label_Y"), "pred_Y", "score_S", *A.protected))
+
+
+@register("distance_mahalanobis")
+def q_distance_mahalanobis(spark, sf):
+    return finalize(vec_ops.mahalanobis_to_centroid(fx.vectors(spark, sf), "embedding", "label", "vec_id"))
