@@ -781,3 +781,27 @@ SELECT protected, a AS attr, round(sqrt(greatest(ra / {p} - t / (2 * {p} * {p}),
 
 
 ORACLE["epsilon_order_h"] = _order_h_sql()
+
+
+
+# ---- epsilon on other fixtures: docs (20 groups, p = 2) and nulls -----------------------------
+def _eps_sql_for(table_cte, table, num, cat, prot, num_kind="a", cat_kind="a"):
+    pg = "pg AS (" + " UNION ALL ".join(
+        f"SELECT '{p}' AS protected, COALESCE(CAST({p} AS VARCHAR), 'NaN') AS g, * FROM {table}" for p in prot) + ")"
+    nst = "nst AS (" + " UNION ALL ".join(
+        f"SELECT protected, g, '{c}' AS attr, count({c}) AS cnt, avg(CAST({c} AS DOUBLE)) AS m, "
+        f"min(CAST({c} AS DOUBLE)) AS mn, max(CAST({c} AS DOUBLE)) AS mx FROM pg GROUP BY protected, g" for c in num) + ")"
+    cc = "cc AS (" + " UNION ALL ".join(
+        f"SELECT protected, g, '{c}' AS attr, CAST({c} AS VARCHAR) AS v, count(*) AS cnt FROM pg "
+        f"WHERE {c} IS NOT NULL GROUP BY protected, g, {c}" for c in cat) + ")"
+    ctes = [table_cte, pg, _PAIRS, nst, _S_NUMA, cc, _CGRID, _S_CATA,
+            """s_all AS (SELECT protected, g1, g2, attr, 'numerical' AS kind, s FROM s_numa
+  UNION ALL SELECT protected, g1, g2, attr, 'categorical' AS kind, s FROM s_cata)"""]
+    loo = """loo AS (SELECT a.protected, a.g1, a.g2, a.attr, sqrt(avg(o.s * o.s)) AS r
+  FROM s_all a JOIN s_all o ON a.protected = o.protected AND a.g1 = o.g1 AND a.g2 = o.g2 AND a.attr <> o.attr
+  GROUP BY a.protected, a.g1, a.g2, a.attr)"""
+    return _with(*ctes, loo, _U) + "\nSELECT protected, attr, round(epsilon, 6) AS epsilon FROM eps"
+
+
+ORACLE["epsilon_docs"] = _eps_sql_for(DOCS, "docs", ["n_chars"], ["quality"], ["lang", "source"])
+ORACLE["epsilon_nulls"] = _eps_sql_for(AUDIT + "," + NULLS, "nulls", AUDIT_NUM, AUDIT_CAT, AUDIT_PROT)

@@ -660,3 +660,15 @@ def q_adaboost(spark, sf):
 @register("distance_mahalanobis")
 def q_distance_mahalanobis(spark, sf):
     return finalize(vec_ops.mahalanobis_to_centroid(fx.vectors(spark, sf), "embedding", "label", "vec_id"))
+
+
+@register("epsilon_docs")
+def q_epsilon_docs(spark, sf):
+    """20 source groups (190 pairs) and two features: small groups, p = 2."""
+    return finalize(eps_ops.epsilon(fx.docs(spark, sf), fx.DOCS_SPEC))
+
+
+@register("epsilon_nulls")
+def q_epsilon_nulls(spark, sf):
+    """Nulls inside numeric and categorical features: skipped by the means and value counts."""
+    return finalize(eps_ops.epsilon(fx.nulls(spark, sf), A))
