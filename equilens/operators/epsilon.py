@@ -120,26 +120,58 @@ def merged_distributions(vc: DataFrame, pairs: DataFrame, max_key_rows: int | No
     return running_sums(merged, PAIR + ["attr"], ["v"], ["a", "b"], max_key_rows=max_key_rows)
 
 
-def diff_num_b_c(st: DataFrame, vc: DataFrame, pairs: DataFrame, max_groups: int = 64) -> DataFrame:
+def diff_num_b_c(st: DataFrame, vc: DataFrame, pairs: DataFrame, max_groups: int = 64,
+                 rows: DataFrame | None = None, num=None) -> DataFrame:
     """KS statistic (num-b) and 1/2 sum over pairs of rows |x - y| of scaled values (num-c).
 
     num-c uses sum_{i,j} |x_i - y_j| = sum_v (v - c) [a_v (B_<(v) - B_>(v)) + b_v (A_<(v) - A_>(v))]
     for any shift c, which needs only inclusive running counts.
 
-    Plan: when every protected attribute has at most ``max_groups`` groups, the value
-    counts are pivoted into one slot per group, so ONE ordered pass over the distinct
-    values of (protected, attr) yields the running counts of all groups and every pair
+    Plan: when every protected attribute has at most ``max_groups`` groups, each group is
+    a slot of a pivoted count vector, built straight from the rows (``rows``/``num``) in
+    one aggregate with map-side combine; ONE ordered pass over the distinct values of
+    (protected, attr) then yields the running counts of all groups, and every pair
     statistic is an aggregate expression.  Otherwise each pair's two distributions are
-    merged and ordered separately.
+    merged and ordered separately (from the value counts ``vc``).
     """
     st = st.persist()
     meta = st.groupBy("protected").agg(F.sort_array(F.collect_set("g")).alias("gs")).collect()
     gmax = max((len(r["gs"]) for r in meta), default=0)
     if gmax > max_groups:
-        out = _diff_num_b_c_pairs(st, vc, pairs)
+        return _diff_num_b_c_pairs(st, vc, pairs)
+    groups_of = {r["protected"]: r["gs"] for r in meta}
+    if rows is not None and num:
+        wide = _pivot_from_rows(rows, groups_of, list(num), gmax)
     else:
-        out = _diff_num_b_c_pivot(st, vc, {r["protected"]: r["gs"] for r in meta}, gmax)
-    return out
+        wide = _pivot_from_counts(vc, groups_of, gmax)
+    return _diff_num_b_c_pivot(st, wide, groups_of, gmax)
+
+
+def _pivot_from_rows(df: DataFrame, groups_of: dict, num, gmax: int) -> DataFrame:
+    """``(protected, attr, v, c0..c{G-1})`` from the rows in one aggregate: a row's group
+    becomes its slot through a literal map (at most ``gmax`` entries per protected)."""
+    prots = list(groups_of)
+    items = []
+    for pi, p in enumerate(prots):
+        slot = F.create_map(*[x for i, g in enumerate(groups_of[p]) for x in (F.lit(g), F.lit(i))])
+        gi = slot[_group_label(p)]
+        for ci, c in enumerate(num):
+            items.append(F.struct(F.lit(pi).alias("pi"), F.lit(ci).alias("ci"),
+                                  F.col(c).cast("double").alias("v"), gi.alias("gi")))
+    e = df.select(F.explode(F.array(*items)).alias("i")).select("i.*").where(F.col("v").isNotNull())
+    agg = e.groupBy("pi", "ci", "v").agg(*[F.sum(F.when(F.col("gi") == i, 1).otherwise(0)).cast("long")
+                                           .alias(f"c{i}") for i in range(gmax)])
+    pname = F.element_at(F.array(*[F.lit(p) for p in prots]), F.col("pi") + 1)
+    aname = F.element_at(F.array(*[F.lit(c) for c in num]), F.col("ci") + 1)
+    return agg.select(pname.alias("protected"), aname.alias("attr"), "v", *[f"c{i}" for i in range(gmax)])
+
+
+def _pivot_from_counts(vc: DataFrame, groups_of: dict, gmax: int) -> DataFrame:
+    gidx = vc.sparkSession.createDataFrame([(p, g, i) for p, gs in groups_of.items() for i, g in enumerate(gs)],
+                                           "protected string, g string, gi int")
+    return (vc.join(F.broadcast(gidx), ["protected", "g"])     # sum of G over protected attributes: driver-built
+              .groupBy("protected", "attr", "v")
+              .agg(*[F.sum(F.when(F.col("gi") == i, F.col("cnt")).otherwise(0)).alias(f"c{i}") for i in range(gmax)]))
 
 
 def _row_bound(st: DataFrame):
@@ -148,13 +180,10 @@ def _row_bound(st: DataFrame):
     return r["m"] or 0
 
 
-def _diff_num_b_c_pivot(st: DataFrame, vc: DataFrame, groups_of: dict, gmax: int) -> DataFrame:
+def _diff_num_b_c_pivot(st: DataFrame, wide: DataFrame, groups_of: dict, gmax: int) -> DataFrame:
     spark = st.sparkSession
     gidx = spark.createDataFrame([(p, g, i) for p, gs in groups_of.items() for i, g in enumerate(gs)],
                                  "protected string, g string, gi int")
-    wide = (vc.join(F.broadcast(gidx), ["protected", "g"])     # sum of G over protected attributes: driver-built
-              .groupBy("protected", "attr", "v")
-              .agg(*[F.sum(F.when(F.col("gi") == i, F.col("cnt")).otherwise(0)).alias(f"c{i}") for i in range(gmax)]))
     rs = running_sums(wide, ["protected", "attr"], ["v"], [f"c{i}" for i in range(gmax)],
                       max_key_rows=_row_bound(st))
     # per (protected, attr): group totals N_i and the global minimum (shift)
@@ -250,7 +279,8 @@ def difference_table(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = Epsilo
         if cfg.num == "num-a":
             sn = diff_num_a(st)
         else:
-            bc = diff_num_b_c(st, value_counts_by_group(df, protected, num, True), group_pairs(grp))
+            bc = diff_num_b_c(st, value_counts_by_group(df, protected, num, True), group_pairs(grp),
+                              rows=df, num=num)
             sn = bc.select(*PAIR, "attr", F.col("s_b" if cfg.num == "num-b" else "s_c").alias("s"))
         parts.append(sn.withColumn("kind", F.lit("numerical")))
     if cat:

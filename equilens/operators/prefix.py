@@ -59,8 +59,17 @@ def exact_quantiles(df: DataFrame, col: str, qs, keys=(), n_ranges: int | None =
     spark = df.sparkSession
     x = F.col(col).cast("double")
     vc = df.where(x.isNotNull()).groupBy(*keys, x.alias("v")).agg(F.count(F.lit(1)).cast("long").alias("cnt"))
-    rs = running_sums(vc, keys, ["v"], ["cnt"], n_ranges).withColumn("start", F.col("cum_cnt") - F.col("cnt"))
-    tot = vc.groupBy(*keys).agg(F.sum("cnt").alias("n"))
+    vc = vc.persist()
+    tot = vc.groupBy(*keys).agg(F.sum("cnt").alias("n")).persist()
+    # rows per ordered key <= its value count: a proven bound for the plain-window path
+    bound = tot.agg(F.max("n")).first()[0] or 0
+    if not keys:
+        vc = vc.withColumn("_all", F.lit(0))
+        keys_rs = ["_all"]
+    else:
+        keys_rs = keys
+    rs = running_sums(vc, keys_rs, ["v"], ["cnt"], n_ranges, max_key_rows=bound) \
+        .withColumn("start", F.col("cum_cnt") - F.col("cnt"))
     qdf = spark.createDataFrame([(q,) for q in qs], "q double")
     pos = tot.crossJoin(F.broadcast(qdf)) if not keys else tot.join(F.broadcast(qdf), how="cross")
     pos = pos.select(*keys, "q", ((F.col("n") - 1) * F.col("q")).alias("h"))

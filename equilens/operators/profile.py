@@ -64,9 +64,11 @@ def column_profile(df: DataFrame, cols=None, value_count_limit: int = 100_000,
     categorical, other numerics continuous, non-numerics categorical.
     """
     cols = list(cols or df.columns)
-    stats = column_stats(df, cols)
-    small = [r["attr"] for r in stats.where(F.col("approx_distinct") <= value_count_limit)
-             .select("attr").collect()]
+    stats_q = column_stats(df, cols)
+    # one row per column (bounded by the column count): evaluate once, reuse on the driver
+    srows = stats_q.collect()
+    stats = df.sparkSession.createDataFrame(srows, stats_q.schema)
+    small = [r["attr"] for r in srows if r["approx_distinct"] <= value_count_limit]
     large = [c for c in cols if c not in small]
     exact = (value_counts(df, small).where(F.col("value").isNotNull())
              .groupBy("attr").agg(F.count(F.lit(1)).cast("long").alias("unique_values")))
