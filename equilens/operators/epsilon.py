@@ -386,8 +386,8 @@ def attribute_distance_order_h(s: DataFrame, attrs, h: int, how: str = "d1A") ->
     spark = s.sparkSession
     u = subset_scores(s, attrs, h, how)
     n_sub = sum(comb(p - 1, k) for k in range(max(h - 1, 0), p))
-    idx = spark.createDataFrame([(a, i) for i, a in enumerate(attrs)], "a string, ia int")
-    ab = idx.crossJoin(idx.select(F.col("a").alias("b"), F.col("ia").alias("ib"))).where("ia < ib")  # p^2 rows
+    ab = spark.createDataFrame([(a, i, b, j) for i, a in enumerate(attrs) for j, b in enumerate(attrs) if i < j],
+                               "a string, ia int, b string, ib int")     # p(p-1)/2 attribute pairs
     one = u.alias("u1")
     bit = lambda c: F.expr(f"shiftleft(CAST(1 AS BIGINT), {c})")
     cand = one.join(F.broadcast(ab), (F.col("u1.mask").bitwiseAND(bit("ia")) != 0) &

@@ -70,8 +70,8 @@ def exact_quantiles(df: DataFrame, col: str, qs, keys=(), n_ranges: int | None =
         keys_rs = keys
     rs = running_sums(vc, keys_rs, ["v"], ["cnt"], n_ranges, max_key_rows=bound) \
         .withColumn("start", F.col("cum_cnt") - F.col("cnt"))
-    qdf = spark.createDataFrame([(q,) for q in qs], "q double")
-    pos = tot.crossJoin(F.broadcast(qdf)) if not keys else tot.join(F.broadcast(qdf), how="cross")
+    qarr = F.explode(F.array(*[F.lit(q) for q in qs]))       # |qs| literals per key row
+    pos = tot.select(*keys, "n", qarr.alias("q"))
     pos = pos.select(*keys, "q", ((F.col("n") - 1) * F.col("q")).alias("h"))
     pos = pos.select(*keys, "q", "h", F.floor("h").cast("long").alias("r_lo"), F.ceil("h").cast("long").alias("r_hi"))
     targets = pos.select(*keys, "q", "h", F.explode(F.array(
@@ -97,8 +97,8 @@ def exact_quantiles_multi(df: DataFrame, cols, qs) -> DataFrame:
     tot = vc.groupBy("attr").agg(F.sum("cnt").alias("n")).persist()
     bound = tot.agg(F.max("n")).first()[0] or 0
     rs = running_sums(vc, ["attr"], ["v"], ["cnt"], max_key_rows=bound).withColumn("start", F.col("cum_cnt") - F.col("cnt"))
-    qdf = spark.createDataFrame([(q,) for q in qs], "q double")
-    pos = tot.crossJoin(F.broadcast(qdf)).select("attr", "q", ((F.col("n") - 1) * F.col("q")).alias("h"))
+    pos = tot.select("attr", "n", F.explode(F.array(*[F.lit(q) for q in qs])).alias("q")) \
+        .select("attr", "q", ((F.col("n") - 1) * F.col("q")).alias("h"))
     targets = pos.select("attr", "q", "h", F.explode(F.array(
         F.struct(F.lit("lo").alias("side"), F.floor("h").cast("long").alias("r")),
         F.struct(F.lit("hi").alias("side"), F.ceil("h").cast("long").alias("r")))).alias("t")).select(

@@ -60,7 +60,9 @@ def ae_rebin_r2(df: DataFrame, attrs) -> DataFrame:
     items = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("v")) for a in attrs]))
     vc = (df.select(items.alias("i")).select("i.*").where(F.col("v").isNotNull())
             .groupBy("attr", "v").agg(F.count(F.lit(1)).cast("long").alias("cnt")))
-    two = vc.groupBy("attr").agg(F.array_sort(F.collect_list(F.struct("cnt", "v"))).alias("s"))
-    # collect_list per attr holds the attr's distinct values (categorical: bounded)
-    return two.where(F.size("s") >= 2).select("attr", F.col("s")[1]["v"].alias("from_value"),
-                                              F.col("s")[0]["v"].alias("to_value"))
+    # rarest (count, value) per attr, then the rarest among the rest: two aggregates,
+    # no attribute's values are ever gathered into one row or task
+    first = vc.groupBy("attr").agg(F.min(F.struct("cnt", "v")).alias("r1"))
+    rest = vc.join(first, "attr").where(~((F.col("cnt") == F.col("r1.cnt")) & (F.col("v") == F.col("r1.v"))))
+    second = rest.groupBy("attr").agg(F.min(F.struct("cnt", "v")).alias("r2"))
+    return second.join(first, "attr").select("attr", F.col("r2.v").alias("from_value"), F.col("r1.v").alias("to_value"))

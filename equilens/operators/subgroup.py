@@ -51,8 +51,11 @@ def subgroups_top(df: DataFrame, features, min_support: int = 100, k: int = 10,
     desc = F.concat_ws(" & ", *[F.when(F.col(f"_g{i}") == 0, F.concat(F.lit(f"{f}="), F.col(f).cast("string")))
                                 for i, f in enumerate(features)])
     c = c.withColumn("subgroup", desc)
-    overall = c.where(F.col("subgroup") == "").select(F.col("support").alias("n_all"), F.col("correct").alias("c_all"))
-    s = (c.where((F.col("subgroup") != "") & (F.col("support") >= min_support)).crossJoin(F.broadcast(overall))
+    # the grand-total row of the cube (exactly one row) joined on a constant key
+    overall = c.where(F.col("subgroup") == "").select(F.lit(0).alias("_k"), F.col("support").alias("n_all"),
+                                                     F.col("correct").alias("c_all"))
+    s = (c.where((F.col("subgroup") != "") & (F.col("support") >= min_support)).withColumn("_k", F.lit(0))
+          .join(F.broadcast(overall), "_k")
           .select("subgroup", "support", (F.col("correct") / F.col("support")).alias("accuracy"),
                   (F.col("c_all") / F.col("n_all")).alias("overall_accuracy")))
     s = s.withColumn("gap", F.abs(F.col("accuracy") - F.col("overall_accuracy")))

@@ -30,10 +30,11 @@ def global_variance(df: DataFrame, vec: str) -> DataFrame:
 def distance_to_centroid(df: DataFrame, vec: str, group: str, key: str, metric: str) -> DataFrame:
     c = centroids(df, vec, group)
     j = df.select(key, group, vec).join(c, group)
+    var = None
     if metric == "seuclidean":
-        j = j.crossJoin(F.broadcast(global_variance(df, vec)))   # one row
-    d = distance(metric, F.col(vec), F.col("centroid"), p=3.0,
-                 var=F.col("gvar") if metric == "seuclidean" else None)
+        gv = global_variance(df, vec).first()["gvar"]        # one value per dimension (bounded)
+        var = F.array(*[F.lit(float(v)) for v in gv])
+    d = distance(metric, F.col(vec), F.col("centroid"), p=3.0, var=var)
     return j.select(key, group, F.lit(metric).alias("metric"), d.alias("dist"))
 
 

@@ -50,13 +50,14 @@ def _cat_s_from_counts(cc: DataFrame, grp: DataFrame, cfg: EpsilonConfig) -> Dat
 
 
 def _epsilon_with(s_base: DataFrame, protected: str, attr: str, s_attr: DataFrame, cfg: EpsilonConfig,
-                  by=()) -> DataFrame:
-    """Epsilon of ``attr`` after replacing its S rows (for one protected attribute)."""
-    by = list(by)
+                  cands=None) -> DataFrame:
+    """Epsilon of ``attr`` after replacing its S rows (for one protected attribute).
+    ``cands``: candidate ids (driver list, at most the stream length) evaluated together."""
+    by = ["cand"] if cands is not None else []
     rest = s_base.where((F.col("protected") == protected) & (F.col("attr") != attr))
-    if by:
-        keys = s_attr.select(*by).distinct()
-        rest = rest.crossJoin(F.broadcast(keys))   # one copy of the other S rows per candidate (bounded)
+    if cands is not None:
+        # one copy of the other attributes' S rows per candidate
+        rest = rest.withColumn("cand", F.explode(F.array(*[F.lit(int(c)) for c in cands])))
     s = E.scale_s(rest.unionByName(s_attr.select(*rest.columns)), cfg.scale) if cfg.scale in ("min", "mean", "sigma") \
         else rest.unionByName(s_attr.select(*rest.columns))
     eps = E.epsilon_from_s(s, cfg.sum, by)
@@ -143,7 +144,7 @@ def _numeric_attempts(base, spec, changes, stream, cfg, s_base, prot, attr, e0,
         s_c = E.difference_table(wide, cspec, EpsilonConfig(cfg.num, cfg.cat, "none", cfg.sum))
         s_c = s_c.select(F.split(F.col("attr"), "#")[1].cast("int").alias("cand"), *E.PAIR,
                          F.lit(attr).alias("attr"), "kind", "s")
-        for r in _epsilon_with(s_base, prot, attr, s_c, cfg, by=["cand"]).collect():
+        for r in _epsilon_with(s_base, prot, attr, s_c, cfg, cands=list(cand_cols)).collect():
             eps_by[r["cand"]] = r["epsilon"]
     for n, i in enumerate(valid_idx + [i for i in range(len(tries)) if i not in valid_idx]):
         res.attempts += 1
