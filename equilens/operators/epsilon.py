@@ -419,3 +419,115 @@ def epsilon_order_h(df: DataFrame, spec: AuditSpec, h: int | None = None, cfg: E
     attrs = [a for a in spec.features if a not in spec.protected and a != spec.target]
     h = len(attrs) - 1 if h is None else h
     return epsilon_from_distance(attribute_distance_order_h(s, attrs, h, cfg.sum))
+
+
+# ---- num-d: signed pairwise squared-euclidean term, exact from moments ------------------------
+def num_d_terms(df: DataFrame, protected, num, subsets, scale: str = "zscore") -> dict:
+    """{(protected, subset): num_temp} for the 'num-d' mode with the sqeuclidean metric.
+
+    num_temp = (1/n^2) sum_{i<j} D'_ij (2 [same group] - 1) over all rows, D the squared
+    euclidean distance on the subset's columns, D' scaled over all n^2 cells (diagonal
+    included): zscore (population std), mean, or min (smallest row mean).  Everything
+    follows from per-dimension moments of the centred values, gathered in ONE grouping-sets
+    aggregate (d <= 32 dimensions: d^2 sums); rows with a null feature are left out.
+    """
+    import itertools
+    num, protected = list(num), list(protected)
+    d = len(num)
+    if d > 32:
+        raise ValueError("num-d moments are limited to 32 numeric features")
+    rows = df.where(F.greatest(*[F.col(c).isNull() for c in num]) == False) if d > 1 else \
+        df.where(F.col(num[0]).isNotNull())  # noqa: E712
+    means = rows.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in num]).first()
+    xt = [F.col(c).cast("double") - F.lit(means[c] or 0.0) for c in num]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(xt[k]).alias(f"s{k}") for k in range(d)]
+    aggs += [F.sum(xt[k] * xt[k]).alias(f"q{k}") for k in range(d)]
+    aggs += [F.sum(xt[k] * xt[l]).alias(f"m{k}_{l}") for k in range(d) for l in range(k, d)]
+    aggs += [F.sum(xt[k] * xt[k] * xt[l] * xt[l]).alias(f"r{k}_{l}") for k in range(d) for l in range(k, d)]
+    subs = [tuple(s) for s in subsets]
+    aggs += [F.min(sum((xt[num.index(c)] * xt[num.index(c)] for c in s), F.lit(0.0))).alias(f"mn{i}")
+             for i, s in enumerate(subs)]
+    aggs += [F.grouping(p).alias(f"_g{j}") for j, p in enumerate(protected)]
+    res = rows.groupingSets([[]] + [[p] for p in protected], *protected).agg(*aggs).collect()
+    glob = [r for r in res if all(r[f"_g{j}"] == 1 for j in range(len(protected)))][0]
+    out = {}
+    n = glob["n"]
+    for j, p in enumerate(protected):
+        grp = [r for r in res if r[f"_g{j}"] == 0]
+        for i, s in enumerate(subs):
+            ks = [num.index(c) for c in s]
+            if not ks or n < 2:
+                out[(p, s)] = 0.0
+                continue
+            key = lambda a, b: f"{min(a, b)}_{max(a, b)}"
+            sa = sum(glob[f"q{k}"] for k in ks)                          # sum_i a_i (s = 0 after centring)
+            t = n * sa                                                   # sum_{i<j} D_ij
+            sum_a2 = sum(glob[f"r{key(k, l)}"] for k in ks for l in ks)
+            frob = sum(glob[f"m{key(k, l)}"] ** 2 for k in ks for l in ks)
+            d2 = 2 * n * sum_a2 + 2 * sa * sa + 4 * frob                 # sum over n^2 cells of D^2
+            mu = 2 * t / (n * n)
+            wd = sum(r["n"] * sum(r[f"q{k}"] for k in ks) - sum(r[f"s{k}"] ** 2 for k in ks) for r in grp)
+            w = sum(r["n"] * (r["n"] - 1) / 2 for r in grp)
+            pp = n * (n - 1) / 2
+            signed = 2 * wd - t                                           # sum_{i<j} D (2 delta - 1)
+            if scale == "zscore":
+                var = d2 / (n * n) - mu * mu
+                val = (signed - mu * (2 * w - pp)) / math_sqrt(var) if var > 0 else float("nan")
+            elif scale == "mean":
+                val = signed / mu if mu else float("nan")
+            elif scale == "min":
+                m = glob[f"mn{i}"] + sa / n
+                val = signed / m if m else float("nan")
+            else:
+                val = signed
+            out[(p, s)] = val / (n * n)
+    return out
+
+
+def math_sqrt(x):
+    import math
+    return math.sqrt(x)
+
+
+def epsilon_num_d(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = EpsilonConfig(), metric: str = "sqeuclidean"):
+    """Epsilon in num-d mode (default order): R(sub) = sqrt(mean over the subset's categorical
+    attributes of S^2) + num_temp(subset's numeric attributes)."""
+    if metric != "sqeuclidean":
+        raise ValueError("num-d is exact only for the sqeuclidean metric (others need all row pairs)")
+    protected = list(spec.protected)
+    num = [c for c in spec.numerical if c not in protected]
+    cat = [c for c in spec.categorical if c not in protected]
+    feats = num + cat
+    p = len(feats)
+    subsets = [tuple(num)] + [tuple(c for c in num if c != a) for a in num]
+    terms = num_d_terms(df, protected, num, subsets, cfg.scale)
+    spark = df.sparkSession
+    grp = groups(df, protected)
+    s_cat = diff_cat(cat_grid(value_counts_by_group(df, protected, cat, False), grp)) \
+        .select(*PAIR, "attr", F.col("s_a" if cfg.cat == "cat-a" else "s_b").alias("s"))
+    # per pair: sum and count of S^2 over all categorical attributes, minus the left-out one
+    w = Window.partitionBy(*PAIR)
+    base = s_cat.select(*PAIR, "attr", F.pow("s", 2).alias("sq"))
+    tot = base.groupBy(*PAIR).agg(F.sum("sq").alias("t"), F.count("sq").alias("c"))
+    left = []
+    for a in feats:
+        num_sub = tuple(c for c in num if c != a)
+        nt = F.create_map(*[x for pr in protected for x in (F.lit(pr), F.lit(float(terms[(pr, num_sub)])))])
+        if a in cat:
+            own = base.where(F.col("attr") == a).select(*PAIR, F.col("sq").alias("own"))
+            r = tot.join(own, PAIR, "left").select(
+                *PAIR, F.lit(a).alias("attr"),
+                (F.sqrt(F.try_divide(F.col("t") - F.coalesce("own", F.lit(0.0)),
+                                     F.col("c") - F.when(F.col("own").isNotNull(), 1).otherwise(0)))
+                 + nt[F.col("protected")]).alias("r"))
+        else:
+            r = tot.select(*PAIR, F.lit(a).alias("attr"),
+                           (F.sqrt(F.try_divide(F.col("t"), F.col("c"))) + nt[F.col("protected")]).alias("r"))
+        left.append(r)
+    loo = left[0]
+    for r in left[1:]:
+        loo = loo.unionByName(r)
+    u = loo.groupBy("protected", "attr").agg(F.avg("r").alias("u"))
+    wp = Window.partitionBy("protected")
+    return u.select("protected", "attr", (F.abs(F.col("u") - F.avg("u").over(wp)) / F.lit(p)).alias("epsilon"))

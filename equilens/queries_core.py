@@ -672,3 +672,10 @@ def q_epsilon_docs(spark, sf):
 def q_epsilon_nulls(spark, sf):
     """Nulls inside numeric and categorical features: skipped by the means and value counts."""
     return finalize(eps_ops.epsilon(fx.nulls(spark, sf), A))
+
+
+@register("epsilon_num_d")
+def q_epsilon_num_d(spark, sf):
+    """num-d mode (sqeuclidean, z-scored over all n^2 cells), exact from moments; checked against
+    the dense matrix on a small table in tests/test_epsilon.py (an n^2 SQL oracle is too heavy)."""
+    return finalize(eps_ops.epsilon_num_d(fx.audit(spark, sf), A))

@@ -161,3 +161,26 @@ def test_order_h_distance_matches_subset_definition(spark, h):
         eps = {r["attr"]: r["epsilon"] for r in E.epsilon_from_s(sdf).collect()}
         for a in attrs:
             assert eps_h[a] == pytest.approx(eps[a], abs=1e-12)
+
+
+@pytest.mark.parametrize("scale", ["zscore", "mean", "min"])
+def test_num_d_terms_match_dense_matrix(spark, scale):
+    import numpy as np
+    rnd = random.Random(4)
+    rows = [(rnd.choice("PQR"), rnd.gauss(5, 3), rnd.uniform(0, 40), rnd.choice("xy")) for _ in range(70)]
+    df = spark.createDataFrame(rows, "o string, a double, b double, c string")
+    got = E.num_d_terms(df, ["o"], ["a", "b"], [("a", "b"), ("b",)], scale)
+    lab = np.array([r[0] for r in rows])
+    for sub, cols in ((("a", "b"), [1, 2]), (("b",), [2])):
+        x = np.array([[r[k] for k in cols] for r in rows])
+        dm = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+        if scale == "zscore":
+            dm = (dm - dm.mean()) / dm.std()
+        elif scale == "mean":
+            dm = dm / dm.mean()
+        else:
+            dm = dm / dm.mean(axis=1).min()
+        delta = (lab[:, None] == lab[None, :]).astype(int)
+        mask = np.triu(np.ones_like(dm, dtype=bool), k=1)
+        ref = (dm * (2 * delta - 1) * mask).mean()
+        assert got[("o", sub)] == pytest.approx(ref, rel=1e-8, abs=1e-12)
