@@ -49,10 +49,22 @@ def stratified_split(df: DataFrame, key_cols, label: str, test_fraction: float =
     classes = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     if classes.limit(2).count() < 2:
         return hash_split(df, key_cols, test_fraction, seed, out)
+    n_classes = classes.limit(MAX_CLASSES + 1).count()
+    if n_classes > MAX_CLASSES:
+        raise ValueError(f"stratified split supports at most {MAX_CLASSES} classes")
     dist = h.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_c"))
-    ranks = (running_sums(dist, [label], ["_h"], ["_c"]).join(F.broadcast(classes), label)
-             .select(label, "_h", (F.col("cum__c") > F.round(F.col("_n") * test_fraction)).alias(out)))
-    return h.join(ranks, [label, "_h"]).drop("_h")
+    bound = classes.agg(F.max("_n")).first()[0]
+    ranks = (running_sums(dist, [label], ["_h"], ["_c"], max_key_rows=bound)
+             .join(F.broadcast(classes), label)
+             .where(F.col("cum__c") <= F.round(F.col("_n") * test_fraction)))
+    # per class: the largest hash still inside the test quota (one row per class)
+    cuts = {r[0]: r[1] for r in ranks.groupBy(label).agg(F.max("_h")).collect()}
+    cut = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])[F.col(label)] if cuts \
+        else F.lit(None).cast("string")
+    return h.withColumn(out, F.coalesce(F.col("_h") > cut, F.lit(True))).drop("_h")
+
+
+MAX_CLASSES = 10_000
 
 
 def subgroup_filter(df: DataFrame, conditions: dict, check_nonempty: bool = True) -> DataFrame:

@@ -439,8 +439,9 @@ def q_bm_iteration(spark, sf):
     import json
 
     from equilens.plans.mitigate import mitigation_step
-    base = fx.audit(spark, sf)
+    base = fx.audit(spark, sf).persist()      # the step runs several jobs over the same base table
     r = mitigation_step(base, A, {}, D4A)
+    base.unpersist()
     row = (r.protected, r.attr, r.attempts, r.success, r.epsilon_before, r.epsilon_after,
            json.dumps(r.changes, sort_keys=True, default=str))
     return spark.createDataFrame([row], "protected string, attr string, attempts int, success boolean, "
