@@ -21,15 +21,15 @@ Pipeline (one plan per call, all protected attributes together):
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equilens.operators.prefix import running_sums
-from equilens.operators.sizing import broadcast_if_small
 from equilens.spec import AuditSpec, EpsilonConfig
 
 PAIR = ["protected", "g1", "g2"]
-PAIR_LIMIT = 1_000_000       # group pairs broadcast below this bound
 
 
 def _group_label(c):
@@ -431,7 +431,6 @@ def num_d_terms(df: DataFrame, protected, num, subsets, scale: str = "zscore") -
     follows from per-dimension moments of the centred values, gathered in ONE grouping-sets
     aggregate (d <= 32 dimensions: d^2 sums); rows with a null feature are left out.
     """
-    import itertools
     num, protected = list(num), list(protected)
     d = len(num)
     if d > 32:
@@ -473,7 +472,7 @@ def num_d_terms(df: DataFrame, protected, num, subsets, scale: str = "zscore") -
             signed = 2 * wd - t                                           # sum_{i<j} D (2 delta - 1)
             if scale == "zscore":
                 var = d2 / (n * n) - mu * mu
-                val = (signed - mu * (2 * w - pp)) / math_sqrt(var) if var > 0 else float("nan")
+                val = (signed - mu * (2 * w - pp)) / math.sqrt(var) if var > 0 else float("nan")
             elif scale == "mean":
                 val = signed / mu if mu else float("nan")
             elif scale == "min":
@@ -485,11 +484,6 @@ def num_d_terms(df: DataFrame, protected, num, subsets, scale: str = "zscore") -
     return out
 
 
-def math_sqrt(x):
-    import math
-    return math.sqrt(x)
-
-
 def epsilon_num_d(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = EpsilonConfig(), metric: str = "sqeuclidean"):
     """Epsilon in num-d mode (default order): R(sub) = sqrt(mean over the subset's categorical
     attributes of S^2) + num_temp(subset's numeric attributes)."""

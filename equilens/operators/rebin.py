@@ -21,7 +21,7 @@ def bm_rebin_candidates(df: DataFrame, protected, attrs) -> DataFrame:
                F.col("n2") / F.col("t2") - F.col("n1") / F.col("t1")).otherwise(F.lit(0.0))
     g = grid.select("protected", "attr", "g1", "g2", "v", d.alias("d"))
     agg = g.groupBy("protected", "attr", "g1", "g2").agg(
-        F.max(F.struct(F.col("d").alias("d"), (-F.lit(0)).alias("z"), F.col("v").alias("v"))).alias("hi"),
+        F.max(F.struct(F.col("d").alias("d"), F.col("v").alias("v"))).alias("hi"),
         F.min(F.struct(F.col("d").alias("d"), F.col("v").alias("v"))).alias("lo"))
     return agg.select("protected", "attr", "g1", "g2", F.col("hi.v").alias("from_value"),
                       F.col("lo.v").alias("to_value"), (F.col("hi.d") + F.col("lo.d")).alias("diff"))
@@ -49,7 +49,7 @@ def ae_rebin_r1(df: DataFrame, label: str, attrs) -> DataFrame:
                                     F.sum(F.when(F.col("y") == 1, F.col("cnt"))).alias("c1"))
     d = F.when(F.col("c0").isNotNull() & F.col("c1").isNotNull(), F.abs(F.col("c1") - F.col("c0"))).otherwise(F.lit(0))
     g = p.select("attr", "v", d.cast("long").alias("d"))
-    agg = g.groupBy("attr").agg(F.max(F.struct(F.col("d"), (-F.lit(0)).alias("z"), F.col("v"))).alias("hi"),
+    agg = g.groupBy("attr").agg(F.max(F.struct(F.col("d"), F.col("v"))).alias("hi"),
                                 F.min(F.struct(F.col("d"), F.col("v"))).alias("lo"))
     return agg.select("attr", F.col("hi.v").alias("from_value"), F.col("lo.v").alias("to_value"),
                       (F.col("hi.d") + F.col("lo.d")).alias("diff"))
