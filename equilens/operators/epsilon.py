@@ -273,9 +273,11 @@ def difference_table(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = Epsilo
     num = [c for c in spec.numerical if c not in protected and c != spec.target]
     cat = [c for c in spec.categorical if c not in protected and c != spec.target]
     parts = []
-    grp = groups(df, protected)
+    st = numeric_group_stats(df, protected, num) if num else None
+    # the groups (and their row counts) come with the numeric aggregate: no separate pass
+    grp = (st.select("protected", "g", F.col("_rows").alias("rows")).distinct() if st is not None
+           else groups(df, protected))
     if num:
-        st = numeric_group_stats(df, protected, num)
         if cfg.num == "num-a":
             sn = diff_num_a(st)
         else:
