@@ -120,14 +120,15 @@ def merged_distributions(vc: DataFrame, pairs: DataFrame, max_key_rows: int | No
     return running_sums(merged, PAIR + ["attr"], ["v"], ["a", "b"], max_key_rows=max_key_rows)
 
 
-def diff_num_b_c(st: DataFrame, vc: DataFrame, pairs: DataFrame, max_groups: int = 64,
+def diff_num_b_c(st: DataFrame, vc: DataFrame, pairs: DataFrame, max_groups: int = 8,
                  rows: DataFrame | None = None, num=None) -> DataFrame:
     """KS statistic (num-b) and 1/2 sum over pairs of rows |x - y| of scaled values (num-c).
 
     num-c uses sum_{i,j} |x_i - y_j| = sum_v (v - c) [a_v (B_<(v) - B_>(v)) + b_v (A_<(v) - A_>(v))]
     for any shift c, which needs only inclusive running counts.
 
-    Plan: when every protected attribute has at most ``max_groups`` groups, each group is
+    Plan: when every protected attribute has at most ``max_groups`` groups (the pair
+    statistics are G(G-1) aggregate expressions, so planning cost grows with G^2), each group is
     a slot of a pivoted count vector, built straight from the rows (``rows``/``num``) in
     one aggregate with map-side combine; ONE ordered pass over the distinct values of
     (protected, attr) then yields the running counts of all groups, and every pair
@@ -149,7 +150,7 @@ def diff_num_b_c(st: DataFrame, vc: DataFrame, pairs: DataFrame, max_groups: int
 
 def _pivot_from_rows(df: DataFrame, groups_of: dict, num, gmax: int) -> DataFrame:
     """``(protected, attr, v, c0..c{G-1})`` from the rows in one aggregate: a row's group
-    becomes its slot through a literal map (at most ``gmax`` entries per protected)."""
+    becomes its slot through a literal map (at most ``max_groups`` entries per protected)."""
     prots = list(groups_of)
     items = []
     for pi, p in enumerate(prots):

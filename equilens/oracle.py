@@ -794,8 +794,15 @@ def _eps_sql_for(table_cte, table, num, cat, prot, num_kind="a", cat_kind="a"):
     cc = "cc AS (" + " UNION ALL ".join(
         f"SELECT protected, g, '{c}' AS attr, CAST({c} AS VARCHAR) AS v, count(*) AS cnt FROM pg "
         f"WHERE {c} IS NOT NULL GROUP BY protected, g, {c}" for c in cat) + ")"
-    ctes = [table_cte, pg, _PAIRS, nst, _S_NUMA, cc, _CGRID, _S_CATA,
-            """s_all AS (SELECT protected, g1, g2, attr, 'numerical' AS kind, s FROM s_numa
+    if num_kind == "a":
+        numeric = [nst, _S_NUMA]
+    else:
+        vcn = "vcn AS (" + " UNION ALL ".join(
+            f"SELECT protected, g, '{c}' AS attr, CAST({c} AS DOUBLE) AS v, count(*) AS cnt FROM pg "
+            f"WHERE {c} IS NOT NULL GROUP BY protected, g, {c}" for c in num) + ")"
+        numeric = [vcn, _MERGED, _S_NUMB]
+    ctes = [table_cte, pg, _PAIRS, *numeric, cc, _CGRID, _S_CATA,
+            f"""s_all AS (SELECT protected, g1, g2, attr, 'numerical' AS kind, s FROM s_num{num_kind}
   UNION ALL SELECT protected, g1, g2, attr, 'categorical' AS kind, s FROM s_cata)"""]
     loo = """loo AS (SELECT a.protected, a.g1, a.g2, a.attr, sqrt(avg(o.s * o.s)) AS r
   FROM s_all a JOIN s_all o ON a.protected = o.protected AND a.g1 = o.g1 AND a.g2 = o.g2 AND a.attr <> o.attr
@@ -805,3 +812,5 @@ def _eps_sql_for(table_cte, table, num, cat, prot, num_kind="a", cat_kind="a"):
 
 ORACLE["epsilon_docs"] = _eps_sql_for(DOCS, "docs", ["n_chars"], ["quality"], ["lang", "source"])
 ORACLE["epsilon_nulls"] = _eps_sql_for(AUDIT + "," + NULLS, "nulls", AUDIT_NUM, AUDIT_CAT, AUDIT_PROT)
+
+ORACLE["epsilon_docs_ks"] = _eps_sql_for(DOCS, "docs", ["n_chars"], ["quality"], ["lang", "source"], num_kind="b")

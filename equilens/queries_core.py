@@ -679,3 +679,9 @@ def q_epsilon_num_d(spark, sf):
     """num-d mode (sqeuclidean, z-scored over all n^2 cells), exact from moments; checked against
     the dense matrix on a small table in tests/test_epsilon.py (an n^2 SQL oracle is too heavy)."""
     return finalize(eps_ops.epsilon_num_d(fx.audit(spark, sf), A))
+
+
+@register("epsilon_docs_ks")
+def q_epsilon_docs_ks(spark, sf):
+    """KS on the docs fixture: 20 source groups become 20 pivot slots (190 pair statistics)."""
+    return finalize(eps_ops.epsilon(fx.docs(spark, sf), fx.DOCS_SPEC, EpsilonConfig(num="num-b")))
