@@ -814,3 +814,25 @@ ORACLE["epsilon_docs"] = _eps_sql_for(DOCS, "docs", ["n_chars"], ["quality"], ["
 ORACLE["epsilon_nulls"] = _eps_sql_for(AUDIT + "," + NULLS, "nulls", AUDIT_NUM, AUDIT_CAT, AUDIT_PROT)
 
 ORACLE["epsilon_docs_ks"] = _eps_sql_for(DOCS, "docs", ["n_chars"], ["quality"], ["lang", "source"], num_kind="b")
+
+
+_EV_SLIDE = """
+ev AS (SELECT date_trunc('day', ts) - INTERVAL (o) DAY AS ws, event_type,
+              CAST(value > 5 AS INTEGER) AS label_Y, CAST(user_id % 2 AS INTEGER) AS pred_Y
+       FROM events, (VALUES (0), (1)) t(o)),
+closed AS (SELECT * FROM ev WHERE ws + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)"""
+ORACLE["stream_counters_sliding"] = _with(_EV_SLIDE, """
+wc AS (SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
+              strftime(ws + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+              'event_type' AS protected, event_type AS group_value, CAST(count(*) AS BIGINT) AS n,
+              CAST(sum(CASE WHEN pred_Y<>0 AND label_Y<>0 THEN 1 ELSE 0 END) AS BIGINT) tp,
+              CAST(sum(CASE WHEN pred_Y<>0 AND label_Y=0 THEN 1 ELSE 0 END) AS BIGINT) fp,
+              CAST(sum(CASE WHEN pred_Y=0 AND label_Y<>0 THEN 1 ELSE 0 END) AS BIGINT) fn,
+              CAST(sum(CASE WHEN pred_Y=0 AND label_Y=0 THEN 1 ELSE 0 END) AS BIGINT) tn,
+              CAST(sum(CASE WHEN label_Y=1 THEN 1 ELSE 0 END) AS BIGINT) n_pos,
+              CAST(sum(CASE WHEN label_Y=0 THEN 1 ELSE 0 END) AS BIGINT) n_neg,
+              sum(CASE WHEN label_Y=1 THEN CAST(pred_Y AS DOUBLE) END) AS sum_score_pos,
+              sum(CASE WHEN label_Y=0 THEN CAST(pred_Y AS DOUBLE) END) AS sum_score_neg
+       FROM closed GROUP BY ws, event_type)""") + """
+SELECT window_start, window_end, protected, group_value, n, tp, fp, fn, tn, n_pos, n_neg,
+       round(sum_score_pos, 6) sum_score_pos, round(sum_score_neg, 6) sum_score_neg FROM wc"""

@@ -496,15 +496,16 @@ from equilens.streaming import monitor as mon  # noqa: E402
 _STREAMS: dict = {}
 
 
-def _stream_once(spark, sf):
+def _stream_once(spark, sf, window="1 day", slide=None):
     """Run the monitor over the events table as a file stream (availableNow) into the shared scratch dir."""
     import uuid
-    key = (id(spark), sf)
+    key = (id(spark), sf, window, slide)
     if key not in _STREAMS:
         root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/monitor-{uuid.uuid4().hex[:8]}"
         schema = spark.read.parquet(f"{sf}/events.parquet").schema
         src = mon.scored_event_stream(spark, f"{sf}/events.parque[t]", schema)
-        mon.start_monitor(spark, src, "event_type", f"{root}/out", f"{root}/ckpt").awaitTermination()
+        mon.start_monitor(spark, src, "event_type", f"{root}/out", f"{root}/ckpt", window=window,
+                          slide=slide).awaitTermination()
         _STREAMS[key] = root
     return _STREAMS[key]
 
@@ -685,3 +686,9 @@ def q_epsilon_num_d(spark, sf):
 def q_epsilon_docs_ks(spark, sf):
     """KS on the docs fixture: 20 source groups become 20 pivot slots (190 pair statistics)."""
     return finalize(eps_ops.epsilon(fx.docs(spark, sf), fx.DOCS_SPEC, EpsilonConfig(num="num-b")))
+
+
+@register("stream_counters_sliding")
+def q_stream_counters_sliding(spark, sf):
+    """2-day windows sliding by 1 day: every event is counted in two windows."""
+    return finalize(_ts_str(spark.read.parquet(f"{_stream_once(spark, sf, '2 days', '1 day')}/out/counters")))
