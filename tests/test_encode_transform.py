@@ -66,3 +66,13 @@ def test_beta_streams():
     e2 = beta_stream("E2")
     assert e2 and all(0.5 < v < 2 for v in e2)
     assert beta_stream("E2", order=1) == sorted(e2)
+
+
+def test_constant_column_single_bin_and_unscaled_difference(spark):
+    from equilens.operators import epsilon as E
+    df = spark.createDataFrame([("A", 2.0, "u"), ("A", 2.0, "v"), ("B", 2.0, "u"), ("B", 2.0, "u")],
+                               "o string, x double, c string")
+    assert {r["x"] for r in enc.bin_equal_width(df, "x").collect()} == {"0"}
+    s = {r["attr"]: r["s"] for r in E.difference_table(df, AuditSpec("y", ("o",), ("x",), ("c",))).collect()}
+    assert s["x"] == 0.0                              # equal means; the constant range is left unscaled
+    assert s["c"] == pytest.approx((0.5 + 0.5) / 2)   # shares u: 1/2 vs 1, v: 1/2 vs 0
