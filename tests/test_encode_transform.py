@@ -76,3 +76,12 @@ def test_constant_column_single_bin_and_unscaled_difference(spark):
     s = {r["attr"]: r["s"] for r in E.difference_table(df, AuditSpec("y", ("o",), ("x",), ("c",))).collect()}
     assert s["x"] == 0.0                              # equal means; the constant range is left unscaled
     assert s["c"] == pytest.approx((0.5 + 0.5) / 2)   # shares u: 1/2 vs 1, v: 1/2 vs 0
+
+
+def test_arcsin_outside_domain_is_invalid(spark):
+    # M = max|x| < 1 puts |x'| / M outside [-1, 1] for the extreme rows -> NaN -> invalid
+    small = spark.createDataFrame([(0.1,), (0.2,), (0.5,)], "x double")
+    big = spark.createDataFrame([(1.0,), (2.0,), (5.0,)], "x double")
+    spec = AuditSpec("y", ("o",), ("x",), ())
+    assert validity(small, spec, [("x", {"beta_O": 0})], [3.0], method="arcsin").first()["valid"] is False
+    assert validity(big, spec, [("x", {"beta_O": 0})], [3.0], method="arcsin").first()["valid"] is True

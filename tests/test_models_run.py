@@ -49,3 +49,13 @@ def test_run_with_accuracy_enhancement(spark):
     assert final["termination_reason"] in ("max_iterations", "epsilon_threshold", "accuracy_threshold",
                                            "no_candidate")
     assert mh.where("iteration = 1 and metric = 'ACC'").count() == 1
+
+
+def test_r3_rebin_search_returns_a_merge_of_two_values(spark):
+    cfg = run_ops.RunConfig(max_iterations=1)
+    base = run_ops.prepare(fx.audit(spark, SF_SMALL), A, KEYS, cfg)
+    values = {r[0] for r in base.select("l_returnflag").distinct().collect()}
+    best, acc = run_ops.ae_rebin_r3(base, A, "l_returnflag", {}, [3.0, 5.0], cfg)
+    base.unpersist()
+    (old, new), = best.items()
+    assert old in values and new in values and old != new and 0.0 < acc <= 1.0
