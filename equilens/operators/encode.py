@@ -21,11 +21,14 @@ from equilens.spec import (LOADER_CATEGORICAL_MAX_DISTINCT, LOADER_OBJECT_DISTIN
 DICT_MAP_LIMIT = 50_000   # dictionary entries held as a literal map; above: join
 
 
-def distinct_counts(df: DataFrame, cols, exact_limit: int = 100_000) -> dict:
-    """Exact non-null distinct counts, shuffling raw values only for small-cardinality columns."""
+def distinct_counts(df: DataFrame, cols, exact_limit: int = 100_000, extra_aggs=()) -> dict:
+    """Exact non-null distinct counts, shuffling raw values only for small-cardinality columns.
+
+    ``extra_aggs`` ride along in the first (approximate) aggregate; their values are
+    returned under their aliases, so callers need no separate pass."""
     cols = list(cols)
     first = df.agg(F.count(F.lit(1)).alias("_n"),
-                   *[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+                   *[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)], *extra_aggs).first()
     small = [c for i, c in enumerate(cols) if first[f"a{i}"] <= exact_limit]
     large = [c for c in cols if c not in small]
     out = {c: 0 for c in small}
@@ -37,6 +40,7 @@ def distinct_counts(df: DataFrame, cols, exact_limit: int = 100_000) -> dict:
         row = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(large)]).first()
         out.update({c: row[f"d{i}"] for i, c in enumerate(large)})
     out["__rows__"] = first["_n"]
+    out["__first__"] = first
     return out
 
 
@@ -53,10 +57,10 @@ def infer_kinds(df: DataFrame, cols=None, rule: str = "loader") -> DataFrame:
     cols = list(cols or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     strings = [c for c in cols if isinstance(types[c], T.StringType)]
-    info = df.agg(*[F.count(c).alias(f"nn{i}") for i, c in enumerate(cols)],
-                  *[F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"cn{i}")
-                    for i, c in enumerate(cols) if c in strings]).first()
-    dc = distinct_counts(df, cols)
+    dc = distinct_counts(df, cols, extra_aggs=[
+        *[F.count(c).alias(f"nn{i}") for i, c in enumerate(cols)],
+        *[F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"cn{i}") for i, c in enumerate(cols) if c in strings]])
+    info = dc["__first__"]
     rows = []
     for i, c in enumerate(cols):
         t, nn, d = types[c], info[f"nn{i}"], dc[c]
