@@ -185,7 +185,8 @@ def _hist_sql(k=10):
     parts = []
     for c in AUDIT_NUM:
         parts.append(f"""
-SELECT '{c}' AS attr, b.bin, round(b.lo, 4) lo, round(b.hi, 4) hi, CAST(count(x.v) AS BIGINT) AS cnt
+SELECT '{c}' AS attr, CAST(b.bin AS INTEGER) AS bin, round(b.lo, 4) lo, round(b.hi, 4) hi,
+       CAST(count(x.v) AS BIGINT) AS cnt
 FROM (SELECT i AS bin,
              CASE WHEN i = 0 THEN mn ELSE mn + i * ((mx - mn) / {k}) END AS lo,
              CASE WHEN i = {k} - 1 THEN mx ELSE mn + (i + 1) * ((mx - mn) / {k}) END AS hi
