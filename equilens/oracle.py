@@ -466,7 +466,8 @@ FROM audit"""
 ORACLE["transform_arcsin"] = _with(AUDIT) + f"""
 , mm AS (SELECT max(abs(l_quantity)) AS amax, min(abs(l_quantity)) AS amin FROM audit),
 xs AS (SELECT a.*, 2.0 * (l_quantity - amin) / (amax - amin) - 1.0 AS xs, amax FROM audit a, mm)
-SELECT {_KEYS}, round(pow(asin(abs(xs) / amax), 3.0) * sign(xs), 6) AS l_quantity FROM xs"""
+SELECT {_KEYS}, round(pow(asin(abs(xs) / amax), 3.0) * sign(xs), 6) + 0.0 AS l_quantity FROM xs"""
+# (+ 0.0 turns a rounded -0.0 into 0.0, as Spark's decimal rounding does)
 ORACLE["transform_t2"] = _with(AUDIT) + f"""
 SELECT {_KEYS}, round({_poly('l_quantity', (1/3) * (1/5) * (1/7))}, 6) AS l_quantity FROM audit"""
 ORACLE["transform_t3"] = _with(AUDIT) + f"""
