@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe_automaton, simhash, token_counts
+from equilens.llm import bpe_automaton, line_dedup, mixing, simhash, token_counts
 from equilens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,34 @@ def register(fn):
     return fn
 
 
+@register
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier three-line passage."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed_lines="removed")
+    lines = F.when(F.col("text").isNull(), 0).when((F.col("text") == "") & (F.size("removed") > 0), 0) \
+        .otherwise(F.size(F.split("text", "\n")))
+    return out.select("doc_id", "text", lines.cast("long").alias("n_lines"),
+                      F.size("removed").cast("long").alias("n_removed"))
+
+
+ORACLE["op2_line_dedup"] = """
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+win AS (SELECT doc_id, i, a[i] AS x, a[i+1] AS y, a[i+2] AS z
+        FROM docs, unnest(generate_series(1, len(a) - 2)) AS t(i) WHERE len(a) >= 3),
+later AS (SELECT doc_id, i FROM (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, i) AS k FROM win
+            WHERE regexp_matches(x || y || z, '[^\\x20\\x09-\\x0D]')) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM later, (VALUES (0), (1), (2)) AS s(d)),
+kept AS (SELECT docs.doc_id, string_agg(a[j], chr(10) ORDER BY j) AS text, count(*) AS n
+         FROM docs, unnest(generate_series(1, len(a))) AS t(j)
+         WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = docs.doc_id AND gone.i = j) GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT docs.doc_id, CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+       CAST(coalesce(kept.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
 @register
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the word-level BPE vocabulary."""
@@ -48,3 +76,34 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return near.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and where its first copy stands in training."""
+    plan = mixing.assign(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken",
+                       F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
+
+
+ORACLE["op8_mixing"] = """
+WITH d AS (SELECT doc_id, source, md5(concat_ws(':', doc_id::VARCHAR, md5(coalesce(text, '')))) AS k,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS w
+      FROM d GROUP BY source),
+-- a source is capped where its cap is not above its weight's share of what the sources with smaller cap / weight leave
+r AS (SELECT source, source_size, w, 3 * source_size AS cap,
+             ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(3 * o.source_size) FROM s o
+                WHERE (3.0 * o.source_size / o.w, o.source) < (3.0 * s.source_size / s.w, s.source)), 0))
+             / ((SELECT sum(w) FROM s) - coalesce((SELECT sum(o.w) FROM s o
+                WHERE (3.0 * o.source_size / o.w, o.source) < (3.0 * s.source_size / s.w, s.source)), 0)) AS share FROM s),
+t AS (SELECT *, least(cap::DOUBLE, w * (SELECT min_by(share, cap * 1.0 / w) FROM r WHERE share * w < cap)) AS target FROM r),
+b AS (SELECT *, (w - 2) / 2.0 - (SELECT sum(target * (w - 2) / 2.0) / sum(target) FROM t) AS slope FROM t),
+c AS (SELECT d.*, b.source_size, b.target, b.slope, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle,
+        floor(target / b.source_size) AS passes FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+e AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE passes + (middle <= target - passes * source_size)::INT END AS copies FROM c)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (size * copies)::BIGINT AS taken,
+       CASE WHEN copies > 0 THEN round(least(1.0, 2 * (middle / target)
+         / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * (middle / target)))), 6) END AS first_position FROM e
+"""
