@@ -70,7 +70,8 @@ def hex16(fp: Column) -> Column:
 def _planes(words: np.ndarray) -> np.ndarray:
     """``words x 64`` fingerprints to ``words x 64`` bit planes (bit l of plane b: bit b of lane l)."""
     bits = np.unpackbits(words.view(np.uint8).reshape(len(words), LANES, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    packed = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64)[:, :, 0]
 
 
 def _within(planes: np.ndarray, word: np.ndarray, query: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
