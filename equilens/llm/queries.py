@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe_automaton, line_dedup, mixing, quality_rules, simhash, token_counts
-from equilens.llm.common import table
+from equilens.llm import bpe_automaton, line_dedup, mixing, quality_rules, simhash, token_counts, toxicity
+from equilens.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +115,14 @@ SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
        CASE WHEN copies > 0 THEN round(least(1.0, 2 * (middle / target)
          / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * (middle / target)))), 6) END AS first_position FROM e
 """
+
+
+@register
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels of four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.training_rows(docs, table(spark, sf_dir, "labels"), bucket_of(F.col("id"), 5) != 0)
+    model = toxicity.fit(rows)
+    return docs.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+                       toxicity.score(F.col("text"), model).alias("score")) \
+        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
