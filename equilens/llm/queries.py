@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe_automaton, line_dedup, mixing, quality_rules, simhash, token_counts, toxicity
+from equilens.llm import bpe_automaton, line_dedup, lm_score, mixing, quality_rules, simhash, token_counts, toxicity
 from equilens.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+@register
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and automaton score of every document; every seventh id is held out."""
+    held_out = bucket_of(F.col("doc_id"), 7) == 2
+    return lm_score.score(table(spark, sf_dir, "documents"), ~held_out) \
+        .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @register
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
