@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe_automaton, line_dedup, lm_score, mixing, quality_rules, simhash, token_counts, toxicity
+from equilens.llm import bpe_automaton, line_dedup, lm_score, mixing, quality_rules, simhash, token_counts, toxicity, warc
 from equilens.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,14 @@ SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
 """
 
 
+@register
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives through the capture index."""
+    folder, directory = warc.build(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.read_archives(directory, folder) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels of four fifths of the ids."""
