@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe_automaton, line_dedup, lm_score, mixing, quality_rules, simhash, token_counts, toxicity, warc
+from equilens.llm import bpe_automaton, line_dedup, lm_score, mixing, quality_rules, simhash, token_counts, topk_search, toxicity, warc
 from equilens.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,25 @@ def register(fn):
     return fn
 
 
+@register
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all other vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), topk_search.quantize(F.col("embedding")).alias("v"))
+    return topk_search.search(vectors, F.col("id") % 20 == 0, 20)
+
+
+ORACLE["op1_topk_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
 @register
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier three-line passage."""
