@@ -135,10 +135,9 @@ def _search_block(ids: np.ndarray, x: np.ndarray, dist: np.ndarray, geo: Geometr
             continue
         rows = strips[s][2]
         score = _products(q[go], x[rows])
-        own = q_ids[go][:, None] == ids[rows][None, :]
-        score[own] = NONE // (4 * STRIP)              # below any score, and small enough to be keyed
+        score[q_ids[go][:, None] == ids[rows][None, :]] = score.min() - 1
         top, who = _best(score, ids[rows], k)
-        real = top > NONE // (4 * STRIP)
+        real = who != q_ids[go][:, None]
         if top.shape[1] == k:
             floor[go] = np.maximum(floor[go], np.where(real.all(axis=1), top.min(axis=1), NONE))
         r, c = np.nonzero(real & (top >= floor[go][:, None]))
