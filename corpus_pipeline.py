@@ -18,7 +18,7 @@ from equilens.llm.common import bucket_of, materialize
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not mark; it learns from four fifths of the labelled ids."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(toxicity.training_rows(docs, labels, bucket_of(F.col("id"), 5) != 0))
+    model = toxicity.fit(docs, labels, bucket_of(F.col("id"), 5) != 0)
     return docs.where(toxicity.score(docs["text"], model) < 0.5)
 
 

@@ -156,8 +156,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels of four fifths of the ids."""
     docs = table(spark, sf_dir, "documents")
-    rows = toxicity.training_rows(docs, table(spark, sf_dir, "labels"), bucket_of(F.col("id"), 5) != 0)
-    model = toxicity.fit(rows)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), bucket_of(F.col("id"), 5) != 0)
     return docs.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"),
                        toxicity.score(F.col("text"), model).alias("score")) \
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -272,11 +272,22 @@ def _variants(word: str) -> list[str]:
         [word[:i] + "xqzv"[i % 4] + word[i:] for i in range(1, len(word))]
 
 
-def _sample(labelled: DataFrame, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each label, by the smallest hash of id and text."""
-    key = F.xxhash64("id", "text")
-    parts = [labelled.where(F.col("toxic") == y).orderBy(key).limit(per_class) for y in (0, 1)]
-    return materialize(parts[0].unionByName(parts[1]), "toxic-sample")
+def _marks(labels: DataFrame, use: Column | None, doc_id: str, toxic: str) -> DataFrame:
+    marks = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(toxic).cast("int").alias("toxic"))
+    return marks if use is None else marks.where(use)
+
+
+def _sample(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, per_class: int) -> DataFrame:
+    """Texts of at most ``per_class`` ids of each label, those of the smallest id hashes; repeated texts count once.
+
+    The ids are chosen before any text is read, so the broadcast holds 2 x ``per_class`` rows at most.
+    """
+    ids = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("id")).limit(per_class) for y in (0, 1)]
+    ids = materialize(ids[0].unionByName(ids[1]), "toxic-ids")
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    texts = texts.join(F.broadcast(ids), "id")
+    sample = texts.groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
+    return materialize(sample.repartition(32, "text"), "toxic-sample")
 
 
 def _landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
@@ -327,17 +338,19 @@ def _landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str]
     return toxic, clean
 
 
-def fit(labelled: DataFrame, n_toxic: int = 24, n_clean: int = 8, per_class: int = 6000, top: int = 5,
+def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, text: str = "text", doc_id: str = "doc_id",
+        toxic: str = "toxic", n_toxic: int = 24, n_clean: int = 8, per_class: int = 6000, top: int = 5,
         rounds: int = 4) -> Model:
-    """Fit on ``(id, text, toxic)`` rows.
+    """Fit on the labelled documents whose ``id`` meets the condition ``use``.
 
     The fit takes at most ``per_class`` texts of each label (the documented bound) and
-    gathers ``top`` sentences of each on the driver, as kernel values, and two numbers a text.  Repeated texts count
-    once.  Without texts of both labels the model scores every text by the label share.
+    gathers ``top`` sentences of each on the driver, as kernel values, and two numbers a text.
+    A document labelled twice is toxic if any label says so; null labels and null texts are
+    left out; repeated texts count once.  Without texts of both labels the model scores every
+    text by the label share.
     """
-    labelled = labelled.where("toxic IS NOT NULL").groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
-    labelled = materialize(labelled, "labelled-texts")
-    sample = _sample(labelled, per_class)
+    marks = materialize(_marks(labels, use, doc_id, toxic), "marks")
+    sample = _sample(docs, marks, text, doc_id, per_class)
     telling, clean = _landmarks(sample, n_toxic, n_clean)
     landmarks, n_toxic = telling + clean, len(telling)
     if not telling:
@@ -399,7 +412,7 @@ def fit(labelled: DataFrame, n_toxic: int = 24, n_clean: int = 8, per_class: int
     texts = sample.select("text", "toxic").mapInArrow(evidence, "toxic int, a double, b double").collect()
     texts.sort()
     told = np.array([float(r["toxic"]) for r in texts])
-    total = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = np.where(told > 0, total[1] / max(told.sum(), 1), total[0] / max((1 - told).sum(), 1))
     logistic = _logistic(np.array([[r["a"], r["b"], 1.0] for r in texts]), told, share)
     return Model(tuple(landmarks), tuple(folded.tolist()), float(bias), logistic)
@@ -433,16 +446,3 @@ def score(text: Column, model: Model) -> Column:
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return run(text)
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, use: Column | None = None, text: str = "text",
-                  doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
-    """``(id, text, toxic)`` of labelled documents; ``use`` is a condition on ``id``.
-
-    A document labelled twice counts as toxic if any label says so; null labels and null texts are left out.
-    """
-    marks = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(toxic).cast("int").alias("toxic"))
-    if use is not None:
-        marks = marks.where(use)
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return texts.join(marks, "id")
