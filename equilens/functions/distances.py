@@ -81,6 +81,8 @@ def distance(metric: str, a: Column, b: Column, p: float = 2.0, var: Column | No
         return F.when(tf * ft > 0, 2 * tf * ft / (tt * ff + tf * ft)).otherwise(0.0)
     if metric == "kulczynski1":
         return tt / ne
+    if metric == "matching":
+        return ne / n
     if metric == "rogerstanimoto":
         return 2 * ne / (tt + ff + 2 * ne)
     if metric == "russellrao":
@@ -94,4 +96,4 @@ def distance(metric: str, a: Column, b: Column, p: float = 2.0, var: Column | No
 
 METRICS = ["euclidean", "sqeuclidean", "cityblock", "chebyshev", "minkowski", "cosine", "correlation",
            "canberra", "braycurtis", "hamming", "seuclidean", "jensenshannon", "jaccard", "dice", "yule",
-           "kulczynski1", "rogerstanimoto", "russellrao", "sokalmichener", "sokalsneath"]
+           "kulczynski1", "matching", "rogerstanimoto", "russellrao", "sokalmichener", "sokalsneath"]

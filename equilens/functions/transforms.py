@@ -91,10 +91,17 @@ def compose_rebin(mapping: dict) -> dict:
     return out
 
 
-def rebin(x: Column, mapping: dict) -> Column:
-    """Apply an ordered re-bin map as one lookup: coalesce(map[x], x)."""
+def rebin(x: Column, mapping: dict, dtype=None) -> Column:
+    """Apply an ordered re-bin map as one lookup: coalesce(map[x], x).
+
+    With ``dtype`` (the column's type) the map's entries are read as text and cast to it, so
+    the column keeps its type whatever type the map was built in.
+    """
+    if dtype is not None:
+        mapping = {str(k): str(v) for k, v in mapping.items()}
     final = compose_rebin(mapping)
     if not final:
         return x
-    m = F.create_map(*[F.lit(k) for kv in final.items() for k in kv])
+    lit = (lambda v: F.lit(v).cast(dtype)) if dtype is not None else F.lit
+    m = F.create_map(*[lit(k) for kv in final.items() for k in kv])
     return F.coalesce(m[x], x)

@@ -2,23 +2,23 @@
 
 Scalars that steer the plan (distinct counts, quantile edges, min/max) are
 computed by distributed aggregates and brought to the driver as a handful of
-numbers; the row-level work is a single projection with literal edges or a
-literal dictionary map (size-checked), so no join touches the raw rows for
-small dictionaries.
+numbers; the row-level work is a projection with literal edges or a join with
+a dictionary whose size decides between broadcast and shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.operators.prefix import quantile_values
+from equilens.operators.prefix import quantile_values, running_sums
 from equilens.operators.profile import equal_width_bin, equal_width_edges, value_counts
+from equilens.operators.sizing import broadcast_if_small
 from equilens.spec import (LOADER_CATEGORICAL_MAX_DISTINCT, LOADER_OBJECT_DISTINCT_RATIO,
                            PROFILE_CATEGORICAL_MAX_DISTINCT, AuditSpec)
 
-DICT_MAP_LIMIT = 50_000   # dictionary entries held as a literal map; above: join
+DICT_BROADCAST_ROWS = 200_000   # labels of a column up to which its dictionary is broadcast
 
 
 def distinct_counts(df: DataFrame, cols, exact_limit: int = 100_000, extra_aggs=()) -> dict:
@@ -151,49 +151,43 @@ def bin_protected(df: DataFrame, spec: AuditSpec, method: str = "quartile") -> D
 
 # ---- label encoding -------------------------------------------------------------
 def encoding_dictionary(df: DataFrame, cols, null_label: str = "NaN") -> DataFrame:
-    """``(attr, code, label)``: sorted distinct values -> 0..K-1.
+    """``(attr, code, label)``: sorted distinct labels -> 0..K-1.
 
-    Strings sort by code point with nulls rendered as 'NaN' among them;
-    numerics sort numerically with null as its own last code.
+    Strings sort by code point with nulls rendered as 'NaN' among them (a null and a string
+    'NaN' are one label); numerics sort numerically with null as the last code.  Codes come
+    from sliced running counts, so no task orders all values of an attribute.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for c in cols:
         num = isinstance(types[c], T.NumericType)
         label = F.coalesce(F.col(c).cast("string"), F.lit(null_label))
-        key = F.struct(F.col(c).isNull().alias("n"), F.col(c).cast("double").alias("d")) if num \
-            else F.struct(F.lit(False).alias("n"), F.lit(None).cast("double").alias("d"))
-        parts.append(F.struct(F.lit(c).alias("attr"), label.alias("label"), key.alias("k"),
-                              F.col(c).cast("string").alias("raw")))
-    d = (df.select(F.explode(F.array(*parts)).alias("p")).select("p.attr", "p.label", "p.k", "p.raw")
-           .groupBy("attr", "label", "raw").agg(F.first("k").alias("k")))
-    w = Window.partitionBy("attr").orderBy(F.col("k.n"), F.col("k.d"), F.col("label"))
-    return d.select("attr", (F.row_number().over(w) - 1).cast("int").alias("code"), "label", "raw")
+        # strings: their first bytes as a number, which never falls along the code point order
+        lead = F.rpad(F.hex(F.substring(F.encode(label, "UTF-8"), 1, 6)), 12, "0")
+        x = F.coalesce(F.col(c).cast("double"), F.lit(float("inf"))) if num else F.conv(lead, 16, 10).cast("double")
+        parts.append(F.struct(F.lit(c).alias("attr"), label.alias("label"), F.lit(num).alias("num"), x.alias("x")))
+    d = (df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+           .groupBy("attr", "label").agg(F.min("x").alias("x"), F.lit(1).alias("one")))
+    ranked = running_sums(d, ["attr"], ["x", "label"], ["one"])
+    return ranked.select("attr", (F.col("cum_one") - 1).cast("int").alias("code"), "label")
 
 
 def label_encode(df: DataFrame, cols, dictionary: DataFrame | None = None) -> DataFrame:
-    """Replace each column by its integer code (dictionary from ``encoding_dictionary``)."""
+    """Replace each column by its integer code (dictionary from ``encoding_dictionary``).
+
+    Each column is one join with its labels: broadcast up to ``DICT_BROADCAST_ROWS`` labels,
+    a shuffle join beyond.
+    """
     cols = list(cols)
     d = dictionary if dictionary is not None else encoding_dictionary(df, cols)
-    n = d.limit(DICT_MAP_LIMIT + 1).count()
-    if n <= DICT_MAP_LIMIT:
-        entries = d.collect()
-        out = df
-        for c in cols:
-            pairs = [(r["raw"], r["code"]) for r in entries if r["attr"] == c]
-            null_code = [code for raw, code in pairs if raw is None]
-            m = F.create_map(*[x for raw, code in pairs if raw is not None for x in (F.lit(raw), F.lit(code))]) \
-                if any(raw is not None for raw, _ in pairs) else None
-            enc = m[F.col(c).cast("string")] if m is not None else F.lit(None).cast("int")
-            if null_code:
-                enc = F.when(F.col(c).isNull(), F.lit(null_code[0])).otherwise(enc)
-            out = out.withColumn(c, enc.cast("int"))
-        return out
+    d = d.select("attr", "code", "label").persist()
     out = df
     for c in cols:
-        dc = d.where(F.col("attr") == c).select(F.col("raw").alias("_raw"), F.col("code").alias("_code"))
-        out = (out.join(dc, F.col(c).cast("string").eqNullSafe(F.col("_raw")), "left")
-                  .withColumn(c, F.col("_code")).drop("_raw", "_code"))
+        dc = d.where(F.col("attr") == c).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+        out = (out.join(broadcast_if_small(dc, DICT_BROADCAST_ROWS),
+                        F.coalesce(F.col(c).cast("string"), F.lit("NaN")) == F.col("_label"), "left")
+                  .select(*[F.col("_code").cast("int").alias(c) if x == c else F.col(x) for x in out.columns]))
+    d.unpersist()
     return out
 
 
@@ -202,8 +196,7 @@ def inverse_encode(df: DataFrame, col: str, dictionary: DataFrame, out: str | No
     if col not in df.columns:
         raise ValueError(f"column {col!r} not in the table")
     dc = dictionary.where(F.col("attr") == col).select(F.col("code").alias("_c"), F.col("label").alias("_l"))
-    return (df.join(F.broadcast(dc) if dc.limit(DICT_MAP_LIMIT + 1).count() <= DICT_MAP_LIMIT else dc,
-                    F.col(col) == F.col("_c"), "left")
+    return (df.join(broadcast_if_small(dc, DICT_BROADCAST_ROWS), F.col(col) == F.col("_c"), "left")
               .withColumn(out or col, F.col("_l")).drop("_c", "_l"))
 
 
@@ -216,20 +209,27 @@ def binarize_target(df: DataFrame, target: str, out: str = "label_Y") -> DataFra
     t = {f.name: f.dataType for f in df.schema.fields}[target]
     numeric = isinstance(t, T.NumericType)
     y = F.col(target)
-    if numeric:
+    raw = y.cast("double") if numeric else F.coalesce(y.cast("string"), F.lit("NaN"))
+    # nulls, extremes and whether a third value exists: one aggregate and one filtered row
+    st = df.select(raw.alias("_y")).agg(F.count(F.lit(1)).alias("n"), F.count("_y").alias("nn"), F.min("_y").alias("lo"),
+                                        F.max("_y").alias("hi")).first()
+    lo, hi = st["lo"], st["hi"]
+    more = lo is not None and lo != hi and not df.select(raw.alias("_y")).where(
+        (F.col("_y") != F.lit(lo)) & (F.col("_y") != F.lit(hi))).isEmpty()
+    if numeric and lo is not None and (more or st["nn"] < st["n"]):
+        # nulls take the median, which they do not move; it may itself be a third value
         med = quantile_values(df, target, [0.5])[0]
-        y = F.coalesce(y.cast("double"), F.lit(med)) if med is not None else y.cast("double")
+        y = F.coalesce(raw, F.lit(med))
+        more = more or (st["nn"] < st["n"] and med not in (lo, hi))
+        if more:
+            return df.withColumn(out, (y > F.lit(med)).cast("int"))
     else:
-        y = F.coalesce(y.cast("string"), F.lit("NaN"))
-    st = df.select(y.alias("_y")).agg(F.count_distinct("_y").alias("d"), F.min("_y").alias("lo"),
-                                      F.max("_y").alias("hi")).first()
-    if st["d"] == 2:
-        if numeric and st["lo"] == 0 and st["hi"] == 1:
+        y = raw
+    if more:
+        n = df.select(raw.alias("_y")).agg(F.count_distinct("_y").alias("d")).first()["d"]
+        raise ValueError(f"target {target!r} is multi-class with {n} classes")
+    if lo != hi:
+        if numeric and lo == 0 and hi == 1:
             return df.withColumn(out, y.cast("int"))
-        return df.withColumn(out, F.when(y == F.lit(st["hi"]), 1).otherwise(0))
-    if st["d"] > 2:
-        if not numeric:
-            raise ValueError(f"target {target!r} is multi-class with {st['d']} classes")
-        med = quantile_values(df.select(y.alias("_y")), "_y", [0.5])[0]
-        return df.withColumn(out, (y > F.lit(med)).cast("int"))
+        return df.withColumn(out, F.when(y == F.lit(hi), 1).otherwise(0))
     return df.withColumn(out, y.cast("int") if numeric else F.lit(0))

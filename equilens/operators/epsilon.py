@@ -2,17 +2,14 @@
 
 Pipeline (one plan per call, all protected attributes together):
 
-1. per-group statistics by GROUPING SETS over the protected columns
-   (numeric count/sum/min/max) and per-group value counts (categorical and,
-   for num-b/num-c, numeric distinct values) with map-side combine;
-2. group pairs (g1 < g2) of each protected attribute: a join over the
-   G-row group table, never over data rows;
-3. the difference table S(protected, g1, g2, attr): num-a from the group
-   moments, num-b (KS) and num-c (1/2 sum |x - y|) from range-partitioned
-   running counts of the merged value distributions of the two groups,
-   cat-a / cat-b from the contingency grid;
-4. optional per-pair scaling (min | mean | sigma);
-5. epsilon in closed form.  With the default order h = p - 1 the attribute
+1. per-group moments by GROUPING SETS over the protected columns
+   (numeric count/sum/min/max) with map-side combine;
+2. the difference table S(protected, g1, g2, attr): num-a from the group
+   moments; the others from one table of per-value counters of all groups
+   (``pairs``): num-b (KS) and num-c (1/2 sum |x - y|) from sliced running
+   counts, cat-a / cat-b from the counters themselves;
+3. optional per-pair scaling (min | mean | sigma);
+4. epsilon in closed form.  With the default order h = p - 1 the attribute
    distance is d(a, b) = |u_a - u_b| / p where u_a is the mean over pairs of
    R(X minus a) (root mean square of S over the other attributes), so the
    multidimensional-scaling embedding is one-dimensional and
@@ -26,15 +23,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from equilens.operators.pairs import (PAIR, Slots, counters, group_label, group_slots, merge_values,  # noqa: F401
+                                      pair_aggregate, wide_counts, with_totals)
 from equilens.operators.prefix import running_sums
 from equilens.spec import AuditSpec, EpsilonConfig
 
-PAIR = ["protected", "g1", "g2"]
-
-
-def _group_label(c):
-    return F.coalesce(F.col(c).cast("string"), F.lit("NaN"))
-
 
 def numeric_group_stats(df: DataFrame, protected, num) -> DataFrame:
     """``(protected, g, attr, cnt, s, mn, mx)`` by one GROUPING SETS aggregate."""
@@ -49,7 +42,7 @@ def numeric_group_stats(df: DataFrame, protected, num) -> DataFrame:
     which, grp = F.lit(None).cast("string"), F.lit(None).cast("string")
     for j, p in enumerate(protected):
         which = F.when(F.col(f"_g{j}") == 0, F.lit(p)).otherwise(which)
-        grp = F.when(F.col(f"_g{j}") == 0, _group_label(p)).otherwise(grp)
+        grp = F.when(F.col(f"_g{j}") == 0, group_label(p)).otherwise(grp)
     rows = F.array(*[F.struct(F.lit(c).alias("attr"), F.col(f"c{i}").alias("cnt"), F.col(f"s{i}").alias("s"),
                               F.col(f"l{i}").alias("mn"), F.col(f"h{i}").alias("mx")) for i, c in enumerate(num)])
     return (agg.select(which.alias("protected"), grp.alias("g"), "_rows", F.explode(rows).alias("r"))
@@ -63,28 +56,10 @@ def groups(df: DataFrame, protected) -> DataFrame:
     which, grp = F.lit(None).cast("string"), F.lit(None).cast("string")
     for j, p in enumerate(protected):
         which = F.when(F.col(f"_g{j}") == 0, F.lit(p)).otherwise(which)
-        grp = F.when(F.col(f"_g{j}") == 0, _group_label(p)).otherwise(grp)
+        grp = F.when(F.col(f"_g{j}") == 0, group_label(p)).otherwise(grp)
     return agg.select(which.alias("protected"), grp.alias("g"), "rows")
 
 
-def group_pairs(grp: DataFrame) -> DataFrame:
-    a, b = grp.alias("a"), grp.alias("b")
-    return (a.join(b, (F.col("a.protected") == F.col("b.protected")) & (F.col("a.g") < F.col("b.g")))
-             .select(F.col("a.protected").alias("protected"), F.col("a.g").alias("g1"), F.col("b.g").alias("g2")))
-
-
-def value_counts_by_group(df: DataFrame, protected, cols, numeric: bool) -> DataFrame:
-    """``(protected, g, attr, v, cnt)``; null values excluded; v double or string."""
-    items = []
-    for p in protected:
-        for c in cols:
-            v = F.col(c).cast("double") if numeric else F.col(c).cast("string")
-            items.append(F.struct(F.lit(p).alias("protected"), _group_label(p).alias("g"),
-                                  F.lit(c).alias("attr"), v.alias("v")))
-    return (df.select(F.explode(F.array(*items)).alias("i")).select("i.*").where(F.col("v").isNotNull())
-              .groupBy("protected", "g", "attr", "v").agg(F.count(F.lit(1)).cast("long").alias("cnt")))
-
-
 # ---- S: numeric -----------------------------------------------------------
 def _pair_stats(st: DataFrame) -> DataFrame:
     a, b = st.alias("a"), st.alias("b")
@@ -109,148 +84,40 @@ def diff_num_a(st: DataFrame) -> DataFrame:
     return ps.select(*PAIR, "attr", _scaled(F.abs(F.col("m1") - F.col("m2"))).alias("s"))
 
 
-def merged_distributions(vc: DataFrame, pairs: DataFrame, max_key_rows: int | None = None) -> DataFrame:
-    """Running counts A(v), B(v) of both groups over the union of their values, per pair and attr."""
-    pb = pairs   # G^2/2 rows per protected attribute; AQE broadcasts it after measuring
-    one = vc.join(pb, (vc.protected == pb.protected) & (vc.g == pb.g1)).select(
-        vc.protected, "g1", "g2", "attr", "v", F.col("cnt").alias("a"), F.lit(0).cast("long").alias("b"))
-    two = vc.join(pb, (vc.protected == pb.protected) & (vc.g == pb.g2)).select(
-        vc.protected, "g1", "g2", "attr", "v", F.lit(0).cast("long").alias("a"), F.col("cnt").alias("b"))
-    merged = one.unionByName(two).groupBy(*PAIR, "attr", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return running_sums(merged, PAIR + ["attr"], ["v"], ["a", "b"], max_key_rows=max_key_rows)
-
-
-def diff_num_b_c(st: DataFrame, vc: DataFrame, pairs: DataFrame, max_groups: int = 8,
-                 rows: DataFrame | None = None, num=None) -> DataFrame:
+def diff_num_b_c(st: DataFrame, wide: DataFrame, slots: Slots) -> DataFrame:
     """KS statistic (num-b) and 1/2 sum over pairs of rows |x - y| of scaled values (num-c).
 
     num-c uses sum_{i,j} |x_i - y_j| = sum_v (v - c) [a_v (B_<(v) - B_>(v)) + b_v (A_<(v) - A_>(v))]
-    for any shift c, which needs only inclusive running counts.
-
-    Plan: when every protected attribute has at most ``max_groups`` groups (the pair
-    statistics are G(G-1) aggregate expressions, so planning cost grows with G^2), each group is
-    a slot of a pivoted count vector, built straight from the rows (``rows``/``num``) in
-    one aggregate with map-side combine; ONE ordered pass over the distinct values of
-    (protected, attr) then yields the running counts of all groups, and every pair
-    statistic is an aggregate expression.  Otherwise each pair's two distributions are
-    merged and ordered separately (from the value counts ``vc``).
+    for any shift c, which needs only inclusive running counts.  One ordered pass over the
+    distinct values of each attribute gives the running counts of all groups of all protected
+    attributes; every pair's statistic is an aggregate expression over it.
     """
-    st = st.persist()
-    meta = st.groupBy("protected").agg(F.sort_array(F.collect_set("g")).alias("gs")).collect()
-    gmax = max((len(r["gs"]) for r in meta), default=0)
-    if gmax > max_groups:
-        return _diff_num_b_c_pairs(st, vc, pairs)
-    groups_of = {r["protected"]: r["gs"] for r in meta}
-    if rows is not None and num:
-        wide = _pivot_from_rows(rows, groups_of, list(num), gmax)
-    else:
-        wide = _pivot_from_counts(vc, groups_of, gmax)
-    return _diff_num_b_c_pivot(st, wide, groups_of, gmax)
-
-
-def _pivot_from_rows(df: DataFrame, groups_of: dict, num, gmax: int) -> DataFrame:
-    """``(protected, attr, v, c0..c{G-1})`` from the rows in one aggregate: a row's group
-    becomes its slot through a literal map (at most ``max_groups`` entries per protected)."""
-    prots = list(groups_of)
-    items = []
-    for pi, p in enumerate(prots):
-        slot = F.create_map(*[x for i, g in enumerate(groups_of[p]) for x in (F.lit(g), F.lit(i))])
-        gi = slot[_group_label(p)]
-        for ci, c in enumerate(num):
-            items.append(F.struct(F.lit(pi).alias("pi"), F.lit(ci).alias("ci"),
-                                  F.col(c).cast("double").alias("v"), gi.alias("gi")))
-    e = df.select(F.explode(F.array(*items)).alias("i")).select("i.*").where(F.col("v").isNotNull())
-    agg = e.groupBy("pi", "ci", "v").agg(*[F.sum(F.when(F.col("gi") == i, 1).otherwise(0)).cast("long")
-                                           .alias(f"c{i}") for i in range(gmax)])
-    pname = F.element_at(F.array(*[F.lit(p) for p in prots]), F.col("pi") + 1)
-    aname = F.element_at(F.array(*[F.lit(c) for c in num]), F.col("ci") + 1)
-    return agg.select(pname.alias("protected"), aname.alias("attr"), "v", *[f"c{i}" for i in range(gmax)])
-
-
-def _pivot_from_counts(vc: DataFrame, groups_of: dict, gmax: int) -> DataFrame:
-    gidx = vc.sparkSession.createDataFrame([(p, g, i) for p, gs in groups_of.items() for i, g in enumerate(gs)],
-                                           "protected string, g string, gi int")
-    return (vc.join(F.broadcast(gidx), ["protected", "g"])     # sum of G over protected attributes: driver-built
-              .groupBy("protected", "attr", "v")
-              .agg(*[F.sum(F.when(F.col("gi") == i, F.col("cnt")).otherwise(0)).alias(f"c{i}") for i in range(gmax)]))
-
-
-def _row_bound(st: DataFrame):
-    """Upper bound of distinct values per (protected, attr): its non-null row count."""
-    r = st.groupBy("protected", "attr").agg(F.sum("cnt").alias("n")).agg(F.max("n").alias("m")).first()
-    return r["m"] or 0
-
-
-def _diff_num_b_c_pivot(st: DataFrame, wide: DataFrame, groups_of: dict, gmax: int) -> DataFrame:
-    spark = st.sparkSession
-    gidx = spark.createDataFrame([(p, g, i) for p, gs in groups_of.items() for i, g in enumerate(gs)],
-                                 "protected string, g string, gi int")
-    rs = running_sums(wide, ["protected", "attr"], ["v"], [f"c{i}" for i in range(gmax)],
-                      max_key_rows=_row_bound(st))
-    # per (protected, attr): group totals N_i and the global minimum (shift)
-    tot = (st.join(F.broadcast(gidx), ["protected", "g"]).groupBy("protected", "attr")
-             .agg(*[F.sum(F.when(F.col("gi") == i, F.col("cnt")).otherwise(0)).alias(f"n{i}") for i in range(gmax)],
-                  F.min("mn").alias("c0_shift")))
-    j = rs.join(tot, ["protected", "attr"])
-    dv = F.col("v") - F.col("c0_shift")
-    aggs, stack = [], []
-    for i in range(gmax):
-        for k in range(i + 1, gmax):
-            a, b = F.col(f"c{i}"), F.col(f"c{k}")
-            A, B = F.col(f"cum_c{i}"), F.col(f"cum_c{k}")
-            n1, n2 = F.col(f"n{i}"), F.col(f"n{k}")
-            ks = F.abs(F.try_divide(A, n1) - F.try_divide(B, n2))
-            term = dv * (a * ((B - b) - (n2 - B)) + b * ((A - a) - (n1 - A)))
-            aggs += [F.max(ks).alias(f"ks_{i}_{k}"), F.sum(term).alias(f"raw_{i}_{k}")]
-            stack.append(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"ks_{i}_{k}").alias("ks"),
-                                  F.col(f"raw_{i}_{k}").alias("raw")))
-    per = j.groupBy("protected", "attr").agg(*aggs)
-    long = per.select("protected", "attr", F.explode(F.array(*stack)).alias("x")).select("protected", "attr", "x.*")
-    names = gidx.select("protected", F.col("gi").alias("i"), F.col("g").alias("g1")).join(
-        gidx.select("protected", F.col("gi").alias("k"), F.col("g").alias("g2")), "protected")
-    long = long.join(F.broadcast(names), ["protected", "i", "k"])
-    ps = _pair_stats(st)
-    out = long.join(ps, PAIR + ["attr"])
-    return out.select(*PAIR, "attr", F.col("ks").alias("s_b"), (0.5 * _scaled(F.col("raw"))).alias("s_c"))
+    cs = [c for _, _, c in counters(slots)]
+    tot = wide.groupBy("attr").agg(*[F.sum(c).alias(f"n_{c}") for c in cs], F.min("v").alias("shift"))
+    ranked = running_sums(wide, ["attr"], ["v"], cs).join(tot, "attr")
 
+    def pair(one: str, two: str) -> dict:
+        a, b, A, B = F.col(one), F.col(two), F.col(f"cum_{one}"), F.col(f"cum_{two}")
+        n1, n2 = F.col(f"n_{one}"), F.col(f"n_{two}")
+        term = (F.col("v") - F.col("shift")) * (a * ((B - b) - (n2 - B)) + b * ((A - a) - (n1 - A)))
+        return {"ks": F.max(F.abs(F.try_divide(A, n1) - F.try_divide(B, n2))), "raw": F.sum(term)}
 
-def _diff_num_b_c_pairs(st: DataFrame, vc: DataFrame, pairs: DataFrame) -> DataFrame:
-    rs = merged_distributions(vc, pairs, _row_bound(st))
-    ps = _pair_stats(st)
-    j = rs.join(ps, PAIR + ["attr"])
-    A, B, a, b = F.col("cum_a"), F.col("cum_b"), F.col("a"), F.col("b")
-    n1, n2 = F.col("n1"), F.col("n2")
-    dv = F.col("v") - F.col("lo")
-    term = dv * (a * ((B - b) - (n2 - B)) + b * ((A - a) - (n1 - A)))
-    out = j.groupBy(*PAIR, "attr", "lo", "hi").agg(
-        F.max(F.abs(F.try_divide(A, n1) - F.try_divide(B, n2))).alias("ks"), F.sum(term).alias("raw"))
+    out = pair_aggregate(ranked, slots, pair).join(_pair_stats(st), PAIR + ["attr"])
     return out.select(*PAIR, "attr", F.col("ks").alias("s_b"), (0.5 * _scaled(F.col("raw"))).alias("s_c"))
 
 
 # ---- S: categorical --------------------------------------------------------
-def cat_grid(cc: DataFrame, grp: DataFrame) -> DataFrame:
-    """Pair x value grid with counts n1, n2 (0 when absent) and group totals."""
-    vals = cc.select("protected", "attr", "v").distinct()
-    full = vals.join(grp.select("protected", "g"), "protected").join(cc, ["protected", "attr", "v", "g"], "left") \
-        .select("protected", "attr", "v", "g", F.coalesce("cnt", F.lit(0)).alias("cnt"))
-    tot = cc.groupBy("protected", "g", "attr").agg(F.sum("cnt").alias("tot"))
-    full = full.join(tot, ["protected", "g", "attr"], "left")
-    a, b = full.alias("a"), full.alias("b")
-    j = a.join(b, (F.col("a.protected") == F.col("b.protected")) & (F.col("a.attr") == F.col("b.attr"))
-               & (F.col("a.v") == F.col("b.v")) & (F.col("a.g") < F.col("b.g")))
-    return j.select(F.col("a.protected").alias("protected"), F.col("a.g").alias("g1"), F.col("b.g").alias("g2"),
-                    F.col("a.attr").alias("attr"), F.col("a.v").alias("v"),
-                    F.col("a.cnt").alias("n1"), F.col("b.cnt").alias("n2"),
-                    F.col("a.tot").alias("t1"), F.col("b.tot").alias("t2")) \
-            .where((F.col("n1") > 0) | (F.col("n2") > 0))
-
+def diff_cat(wide: DataFrame, slots: Slots) -> DataFrame:
+    """cat-a: (1/K) sum |share_1 - share_2| over the K values either group has; cat-b: 1/2 sum (n1-n2)^2/(n1+n2)."""
+    def pair(one: str, two: str) -> dict:
+        n1, n2 = F.col(one), F.col(two)
+        seen = (n1 > 0) | (n2 > 0)
+        share = F.abs(F.try_divide(n1, F.col(f"n_{one}")) - F.try_divide(n2, F.col(f"n_{two}")))
+        return {"k": F.count(F.when(seen, 1)), "share": F.sum(F.when(seen, share)),
+                "chi": F.sum(F.try_divide(F.pow(n1 - n2, 2), n1 + n2))}
 
-def diff_cat(grid: DataFrame) -> DataFrame:
-    """cat-a: (1/K) sum |share_1 - share_2| over the K seen values; cat-b: 1/2 sum (n1-n2)^2/(n1+n2)."""
-    share = F.abs(F.try_divide(F.col("n1"), F.col("t1")) - F.try_divide(F.col("n2"), F.col("t2")))
-    chi = F.pow(F.col("n1") - F.col("n2"), 2) / (F.col("n1") + F.col("n2"))
-    return grid.groupBy(*PAIR, "attr").agg(F.try_divide(F.sum(share), F.count(F.lit(1))).alias("s_a"),
-                                           (0.5 * F.sum(chi)).alias("s_b"))
+    out = pair_aggregate(with_totals(wide, slots), slots, pair).where("k > 0")
+    return out.select(*PAIR, "attr", F.try_divide("share", "k").alias("s_a"), (0.5 * F.col("chi")).alias("s_b"))
 
 
 # ---- S assembly, scaling and epsilon --------------------------------------------
@@ -275,19 +142,19 @@ def difference_table(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = Epsilo
     cat = [c for c in spec.categorical if c not in protected and c != spec.target]
     parts = []
     st = numeric_group_stats(df, protected, num) if num else None
-    # the groups (and their row counts) come with the numeric aggregate: no separate pass
-    grp = (st.select("protected", "g", F.col("_rows").alias("rows")).distinct() if st is not None
-           else groups(df, protected))
+    slots = None
+    if cat or cfg.num != "num-a":
+        # the groups come with the numeric aggregate where there is one
+        slots = group_slots(st if st is not None else groups(df, protected))
     if num:
         if cfg.num == "num-a":
             sn = diff_num_a(st)
         else:
-            bc = diff_num_b_c(st, value_counts_by_group(df, protected, num, True), group_pairs(grp),
-                              rows=df, num=num)
+            bc = diff_num_b_c(st, wide_counts(df, slots, num, True), slots)
             sn = bc.select(*PAIR, "attr", F.col("s_b" if cfg.num == "num-b" else "s_c").alias("s"))
         parts.append(sn.withColumn("kind", F.lit("numerical")))
     if cat:
-        dc = diff_cat(cat_grid(value_counts_by_group(df, protected, cat, False), grp))
+        dc = diff_cat(wide_counts(df, slots, cat, False), slots)
         parts.append(dc.select(*PAIR, "attr", F.col("s_a" if cfg.cat == "cat-a" else "s_b").alias("s"))
                      .withColumn("kind", F.lit("categorical")))
     s = parts[0]
@@ -500,8 +367,8 @@ def epsilon_num_d(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = EpsilonCo
     subsets = [tuple(num)] + [tuple(c for c in num if c != a) for a in num]
     terms = num_d_terms(df, protected, num, subsets, cfg.scale)
     spark = df.sparkSession
-    grp = groups(df, protected)
-    s_cat = diff_cat(cat_grid(value_counts_by_group(df, protected, cat, False), grp)) \
+    slots = group_slots(groups(df, protected))
+    s_cat = diff_cat(wide_counts(df, slots, cat, False), slots) \
         .select(*PAIR, "attr", F.col("s_a" if cfg.cat == "cat-a" else "s_b").alias("s"))
     # per pair: sum and count of S^2 over all categorical attributes, minus the left-out one
     w = Window.partitionBy(*PAIR)

@@ -58,10 +58,6 @@ def fairness_from_confusion(conf: DataFrame, metrics=None, by=()) -> DataFrame:
                .agg(F.sum(F.col("w") * F.col("mad")).alias("value")))
 
 
-def fairness_metrics(scored: DataFrame, protected, metrics=None, **cols) -> DataFrame:
-    return fairness_from_confusion(confusion_table(scored, protected, **cols), metrics)
-
-
 def accuracy_from_confusion(conf: DataFrame) -> DataFrame:
     """``(metric, value)`` rows for ACC, F1, Recall, Precision of the overall row."""
     o = conf.where(F.col("protected") == OVERALL)

@@ -10,15 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equilens.operators.prefix import quantile_table, quantile_values
+from equilens.operators.prefix import hash_fraction, quantile_table, running_sums
 from equilens.operators.profile import equal_width_bin
 
 
-def decile_edges(df: DataFrame, col: str, q: int = 10):
-    e = quantile_values(df, col, [i / q for i in range(q + 1)])
-    return sorted(set(x for x in e if x is not None))
-
-
 def mutual_information(df: DataFrame, label: str, numerical, categorical, bins: int = 10) -> DataFrame:
     items = []
     qt = quantile_table(df, list(numerical), [i / bins for i in range(bins + 1)]) if numerical else {}
@@ -58,9 +53,7 @@ def permutation_importance(model, test: DataFrame, feats, key_cols, label: str =
     so no single task orders a whole variant).  Rows with identical content share a
     hash and move together.
     """
-    from equilens.operators.prefix import running_sums
     feats = list(feats)
-    n_test = test.count()
     base_pred = model.transform(test)
     base_acc = base_pred.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
     variants = F.explode(F.array(*[F.struct(F.lit(f).alias("feat"), F.lit(r).alias("rep"))
@@ -73,7 +66,7 @@ def permutation_importance(model, test: DataFrame, feats, key_cols, label: str =
         val = F.when(F.col("feat") == f, F.col(f).cast("string")).otherwise(val)
     stacked = stacked.withColumn("_h", h).withColumn("_v", val)
     blocks = stacked.groupBy("feat", "rep", "_h").agg(F.first("_v").alias("_v")).withColumn("_one", F.lit(1))
-    ranked = running_sums(blocks, ["feat", "rep"], ["_h"], ["_one"], max_key_rows=n_test)
+    ranked = running_sums(blocks, ["feat", "rep"], ["_h"], ["_one"], slice_by=hash_fraction(F.col("_h")))
     size = ranked.groupBy("feat", "rep").agg(F.max("cum__one").alias("_b"))
     ranked = ranked.join(size, ["feat", "rep"]).select("feat", "rep", "_h", "_v", F.col("cum__one").alias("_i"), "_b")
     nxt = ranked.select("feat", "rep", F.col("_i").alias("_j"), F.col("_v").alias("_nv"))

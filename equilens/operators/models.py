@@ -7,11 +7,11 @@ columns, so every metric operator applies unchanged.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint, VectorSlicer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,24 +20,53 @@ from equilens.spec import AuditSpec
 SEED = 0
 
 
+def vector_width(df: DataFrame, col: str) -> int:
+    """Length of a vector column, from the metadata that the feature stages attach."""
+    return int(df.schema[col].metadata["ml_attr"]["num_attrs"])
+
+
+class DropLastSlot(Transformer):
+    """Cuts the last slot off a vector column."""
+
+    def __init__(self, input_col: str, output_col: str):
+        super().__init__()
+        self.input_col, self.output_col = input_col, output_col
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        n = vector_width(dataset, self.input_col) - 1
+        if n > 0:
+            return VectorSlicer(inputCol=self.input_col, outputCol=self.output_col, indices=list(range(n))).transform(dataset)
+        empty = dataset.withColumn(self.output_col, array_to_vector(F.array().cast("array<double>")))
+        return VectorSizeHint(inputCol=self.output_col, size=0, handleInvalid="optimistic").transform(empty)
+
+
 def feature_stages(spec: AuditSpec, features_col: str = "features"):
-    """One-hot (first level dropped: descending order + dropLast) for categoricals; numerics as is."""
+    """One-hot without the first level (levels in descending order, the last one left out); numerics as they are.
+
+    A level not seen in training gets all zeros, like the first level: the indexer puts it into an
+    extra index, and the vector keeps only the slots of the seen levels but the first.
+    """
     cat = list(spec.categorical)
-    stages = []
+    stages, oh = [], []
     if cat:
-        idx = [f"{c}__idx" for c in cat]
-        oh = [f"{c}__oh" for c in cat]
-        stages.append(StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep",
-                                    stringOrderType="alphabetDesc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=True, handleInvalid="keep"))
-    else:
-        oh = []
-    stages.append(VectorAssembler(inputCols=list(spec.numerical) + oh, outputCol=features_col,
-                                  handleInvalid="keep"))
+        idx, full, oh = ([f"{c}__{k}" for c in cat] for k in ("idx", "all", "oh"))
+        stages.append(StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetDesc"))
+        # with the extra index, dropping the last slot leaves one slot for each seen level
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=full, dropLast=True))
+        stages += [DropLastSlot(f, o) for f, o in zip(full, oh)]
+    stages.append(VectorAssembler(inputCols=list(spec.numerical) + oh, outputCol=features_col, handleInvalid="keep"))
     return stages
 
 
-def classifier(name: str, n_train: int | None = None, n_features: int | None = None, label: str = "label_Y"):
+# the method grows trees without a bound; Spark allows a depth of 30 at most.  A forest of 100
+# trees that deep holds up to one node for each row and tree, so its default is lower: raise
+# ``max_depth`` where the executors' memory allows it
+MAX_TREE_DEPTH = 30
+RF_DEPTH = 12
+
+
+def classifier(name: str, n_train: int | None = None, n_features: int | None = None, label: str = "label_Y",
+               max_depth: int | None = None):
     """Factory of the supported classifiers (names as in the method's configuration)."""
     kw = dict(featuresCol="features", labelCol=label)
     if name == "LR":
@@ -47,9 +76,9 @@ def classifier(name: str, n_train: int | None = None, n_features: int | None = N
         return LogisticRegression(regParam=1.0 / max(n_train or 1, 1), elasticNetParam=0.0,
                                   standardization=False, maxIter=1000, **kw)
     if name == "DT":
-        return DecisionTreeClassifier(maxDepth=20, seed=SEED, **kw)
+        return DecisionTreeClassifier(maxDepth=MAX_TREE_DEPTH, seed=SEED, **kw)
     if name == "RF":
-        return RandomForestClassifier(numTrees=100, seed=SEED, **kw)
+        return RandomForestClassifier(numTrees=100, maxDepth=max_depth or RF_DEPTH, seed=SEED, **kw)
     if name in ("GBDT", "XGBoost", "LGBM", "CatBoost"):
         return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED, **kw)
     if name == "NB":
@@ -63,7 +92,7 @@ def classifier(name: str, n_train: int | None = None, n_features: int | None = N
 
 def fit(train: DataFrame, spec: AuditSpec, name: str = "LR", label: str = "label_Y"):
     fe = Pipeline(stages=feature_stages(spec)).fit(train)
-    n_features = fe.transform(train.limit(1)).first()["features"].size
+    n_features = vector_width(fe.transform(train), "features")
     n_train = train.count() if name.startswith("LR") else None
     clf = classifier(name, n_train, n_features, label)
     return Pipeline(stages=[fe, clf]).fit(train)

@@ -1,125 +1,116 @@
 """Running totals and exact quantiles without a single-task window.
 
-``running_sums`` computes inclusive cumulative sums ordered by ``order``
-within ``keys``.  A plain ``Window.partitionBy(keys).orderBy(order)`` puts
-every row of a key into one task; here the rows are range-partitioned on
-(keys, order) into ``n_ranges`` slices, each slice computes local running
-sums, and per-slice totals (n_ranges x #keys rows, a bounded table) give
-the offsets.  Inputs should be pre-aggregated (unique per keys + order),
-which bounds a hot value to a single row.
+``running_sums`` computes inclusive cumulative sums ordered by ``order`` within ``keys``.  A
+plain ``Window.partitionBy(keys).orderBy(order)`` would put all rows of a key into one task.
+Here the ordering column is cut into slices by bounds that are computed once and then stand
+in the plan as literals, so the slice number is a pure function of the row: the totals of the
+slices and the running sums inside them agree whatever Spark recomputes or reuses.  Inputs
+should be pre-aggregated (unique per keys + order), which bounds a hot value to one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equilens.operators.sizing import broadcast_if_small
+MIN_SLICES, MAX_SLICES = 8, 200     # bounds in the plan; rows of a slice: about rows / slices
 
 
-# rows one task may order in a plain window (a proven bound, not an estimate)
-WINDOW_ROW_LIMIT = 4_000_000
+def slice_count(df: DataFrame) -> int:
+    return min(max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MIN_SLICES), MAX_SLICES)
 
 
-def running_sums(df: DataFrame, keys, order, sum_cols, n_ranges: int | None = None,
-                 prefix: str = "cum_", max_key_rows: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` ordered by ``order`` within ``keys``.
+def slice_of(df: DataFrame, by: Column, n: int) -> Column:
+    """Slice number of a row: how many of the (approximate) ``n``-quantiles of ``by`` lie below it.
 
-    ``max_key_rows`` is a caller-proven upper bound on rows per key; under
-    ``WINDOW_ROW_LIMIT`` a plain window is used (one ordered pass, one shuffle).
-    Without a bound, or above it, the range-partitioned plan is used.
-    """
-    keys, order, sum_cols = list(keys), list(order), list(sum_cols)
-    if max_key_rows is not None and max_key_rows <= WINDOW_ROW_LIMIT and keys:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
-    spark = df.sparkSession
-    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn("_rid", F.spark_partition_id())
-    totals = ranged.groupBy("_rid", *keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    before = Window.partitionBy(*keys).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_rid", *keys, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0))
-                                             .alias(f"_o_{c}") for c in sum_cols])
-    upto = Window.partitionBy("_rid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(c).over(upto).alias(f"_l_{c}") for c in sum_cols])
-    # offsets hold at most n_ranges rows per key; AQE broadcasts them at runtime
-    # once the totals stage is materialised and measured (no extra job here)
-    joined = local.join(offsets, ["_rid", *keys])
-    return joined.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}")
-                                        for c in sum_cols])
-
-
-def exact_quantiles(df: DataFrame, col: str, qs, keys=(), n_ranges: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles (the pandas/numpy default) of non-null ``col``.
-
-    Returns ``(keys..., q, value)``.  Only distinct (keys, value) counts are
-    shuffled; the k-th values are located through running counts.
+    The quantiles are taken over all rows, so a key's share of the slices follows its share of
+    the distinct values.  Null goes to slice 0.
     """
-    keys, qs = list(keys), [float(q) for q in qs]
-    spark = df.sparkSession
-    x = F.col(col).cast("double")
-    vc = df.where(x.isNotNull()).groupBy(*keys, x.alias("v")).agg(F.count(F.lit(1)).cast("long").alias("cnt"))
-    vc = vc.persist()
-    tot = vc.groupBy(*keys).agg(F.sum("cnt").alias("n")).persist()
-    # rows per ordered key <= its value count: a proven bound for the plain-window path
-    bound = tot.agg(F.max("n")).first()[0] or 0
-    if not keys:
-        vc = vc.withColumn("_all", F.lit(0))
-        keys_rs = ["_all"]
-    else:
-        keys_rs = keys
-    rs = running_sums(vc, keys_rs, ["v"], ["cnt"], n_ranges, max_key_rows=bound) \
-        .withColumn("start", F.col("cum_cnt") - F.col("cnt"))
-    qarr = F.explode(F.array(*[F.lit(q) for q in qs]))       # |qs| literals per key row
-    pos = tot.select(*keys, "n", qarr.alias("q"))
-    pos = pos.select(*keys, "q", ((F.col("n") - 1) * F.col("q")).alias("h"))
-    pos = pos.select(*keys, "q", "h", F.floor("h").cast("long").alias("r_lo"), F.ceil("h").cast("long").alias("r_hi"))
-    targets = pos.select(*keys, "q", "h", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.col("r_lo").alias("r")),
-        F.struct(F.lit("hi").alias("side"), F.col("r_hi").alias("r")))).alias("t")).select(*keys, "q", "h", "t.*")
-    cond = [rs[k] == targets[k] for k in keys] + [rs["start"] <= targets["r"], targets["r"] < rs["cum_cnt"]]
-    hit = broadcast_if_small(targets, 200_000).join(rs, cond).select(*[targets[k] for k in keys], "q", "h", "side", "v")
-    piv = hit.groupBy(*keys, "q", "h").agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
-                                           F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"))
-    frac = F.col("h") - F.floor("h")
-    return piv.select(*keys, "q", (F.col("lo") + frac * (F.col("hi") - F.col("lo"))).alias("value"))
+    cuts = df.agg(F.percentile_approx(by, [i / n for i in range(1, n)], 50 * n)).first()[0] or []
+    return F.coalesce(reduce(lambda a, c: a + (by > F.lit(c)).cast("int"), sorted(set(cuts)), F.lit(0)), F.lit(0))
 
 
-def exact_quantiles_multi(df: DataFrame, cols, qs) -> DataFrame:
-    """``(attr, q, value)`` for several columns in one plan: the columns are stacked into
-    (attr, v) so a single value-count aggregate and one ordered pass serve all of them.
-    The per-attr row count (one small aggregate) bounds the rows each ordered key holds."""
-    cols, qs = list(cols), [float(q) for q in qs]
-    spark = df.sparkSession
-    items = F.explode(F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).cast("double").alias("v")) for c in cols]))
-    vc = (df.select(items.alias("i")).select("i.*").where(F.col("v").isNotNull())
-            .groupBy("attr", "v").agg(F.count(F.lit(1)).cast("long").alias("cnt"))).persist()
-    tot = vc.groupBy("attr").agg(F.sum("cnt").alias("n")).persist()
-    bound = tot.agg(F.max("n")).first()[0] or 0
-    rs = running_sums(vc, ["attr"], ["v"], ["cnt"], max_key_rows=bound).withColumn("start", F.col("cum_cnt") - F.col("cnt"))
-    pos = tot.select("attr", "n", F.explode(F.array(*[F.lit(q) for q in qs])).alias("q")) \
-        .select("attr", "q", ((F.col("n") - 1) * F.col("q")).alias("h"))
-    targets = pos.select("attr", "q", "h", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.floor("h").cast("long").alias("r")),
-        F.struct(F.lit("hi").alias("side"), F.ceil("h").cast("long").alias("r")))).alias("t")).select(
-        "attr", "q", "h", "t.*")
-    # targets: 2 x |qs| rows per column (driver-bounded)
-    hit = F.broadcast(targets).join(rs, (rs["attr"] == targets["attr"]) & (rs["start"] <= targets["r"])
-                                    & (targets["r"] < rs["cum_cnt"])).select(targets["attr"], "q", "h", "side", "v")
-    piv = hit.groupBy("attr", "q", "h").agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
-                                            F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"))
+def _slice_starts(sliced: DataFrame, keys, sum_cols) -> DataFrame:
+    """``(keys..., _slice, _o_<col>)``: sums over the slices before; one row for each key and slice."""
+    totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*keys, "_slice", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                            for c in sum_cols])
+
+
+def running_sums(df: DataFrame, keys, order, sum_cols, slice_by: Column | None = None, n_slices: int | None = None,
+                 prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` ordered by ``order`` within ``keys`` (null-safe in the keys).
+
+    ``slice_by``: a number that never falls along ``order`` (by default the first ordering
+    column itself).  The offsets have one row for each key and slice; AQE broadcasts them
+    once the totals are measured.
+    """
+    keys, order, sum_cols = list(keys), list(order), list(sum_cols)
+    by = F.col(order[0]).cast("double") if slice_by is None else slice_by
+    sliced = df.withColumn("_slice", slice_of(df, by, n_slices or slice_count(df)))
+    starts = _slice_starts(sliced, keys, sum_cols)
+    starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"),
+                           *[f"_o_{c}" for c in sum_cols])
+    upto = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.select("*", *[F.sum(c).over(upto).alias(f"_l_{c}") for c in sum_cols])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
+                  F.col("_slice") == F.col("_s"))
+    return local.join(starts, same).select(*[F.col(c) for c in df.columns],
+                                           *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
+
+
+def hash_fraction(hex_digest: Column) -> Column:
+    """The leading 32 bits of a hex digest as a number: grows with the digest."""
+    return F.conv(F.substring(hex_digest, 1, 8), 16, 10).cast("double")
+
+
+def _value_counts(df: DataFrame, items: Column) -> DataFrame:
+    return (df.select(items.alias("i")).select("i.*").where(F.col("v").isNotNull())
+              .groupBy("attr", "v").agg(F.count(F.lit(1)).cast("long").alias("cnt")))
+
+
+def _ranked_values(vc: DataFrame, qs) -> DataFrame:
+    """``(attr, q, value)`` from value counts: the two ranks around each position are looked up in
+    the slice that holds them (equality joins on attr and slice only)."""
+    sliced = vc.withColumn("_slice", slice_of(vc, F.col("v"), slice_count(vc)))
+    totals = sliced.groupBy("attr", "_slice").agg(F.sum("cnt").alias("_in"))
+    upto = Window.partitionBy("attr").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("attr")
+    totals = totals.select("attr", "_slice", (F.sum("_in").over(upto) - F.col("_in")).alias("_from"),
+                           F.sum("_in").over(upto).alias("_to"), F.sum("_in").over(whole).alias("n"))
+    h = (F.col("n") - 1) * F.col("q")
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor("h").cast("long").alias("r")),
+                             F.struct(F.lit(1).alias("side"), F.ceil("h").cast("long").alias("r"))))
+    targets = totals.select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).withColumn("h", h) \
+        .select("attr", "_slice", "_from", "_to", "q", "h", side.alias("t")).select("*", "t.side", "t.r").drop("t") \
+        .where((F.col("r") >= F.col("_from")) & (F.col("r") < F.col("_to")))
+    inner = Window.partitionBy("attr", "_slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.select("attr", "_slice", "v", "cnt", F.sum("cnt").over(inner).alias("_c"))
+    at = F.col("r") - F.col("_from")
+    hit = targets.join(local, ["attr", "_slice"]).where((at < F.col("_c")) & (at >= F.col("_c") - F.col("cnt")))
+    piv = hit.groupBy("attr", "q", "h").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("lo"),
+                                            F.max(F.when(F.col("side") == 1, F.col("v"))).alias("hi"))
     frac = F.col("h") - F.floor("h")
     return piv.select("attr", "q", (F.col("lo") + frac * (F.col("hi") - F.col("lo"))).alias("value"))
 
 
 def quantile_table(df: DataFrame, cols, qs) -> dict:
-    """Driver dict {col: [quantiles in the order of qs]} (|cols| x |qs| scalars)."""
-    rows = exact_quantiles_multi(df, cols, qs).collect()
-    got = {(r["attr"], round(r["q"], 12)): r["value"] for r in rows}
-    return {c: [got.get((c, round(float(q), 12))) for q in qs] for c in cols}
+    """Driver dict {col: [quantiles in the order of qs]}: exact, linearly interpolated (the pandas
+    and numpy default), nulls left out, None for a column without values.
+
+    The columns are stacked, so one value-count aggregate and one ordered pass serve all.
+    """
+    cols, qs = list(cols), [float(q) for q in qs]
+    items = F.explode(F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).cast("double").alias("v")) for c in cols]))
+    vc = _value_counts(df, items).persist()
+    got = {(r["attr"], round(r["q"], 12)): r["value"] for r in _ranked_values(vc, qs).collect()}
+    vc.unpersist()
+    return {c: [got.get((c, round(q, 12))) for q in qs] for c in cols}
 
 
 def quantile_values(df: DataFrame, col: str, qs) -> list:
-    """Driver-side list of exact quantiles (a handful of scalars) in the order of ``qs``."""
-    rows = {round(r["q"], 12): r["value"] for r in exact_quantiles(df, col, qs).collect()}
-    return [rows.get(round(float(q), 12)) for q in qs]
+    """Exact quantiles of one column in the order of ``qs``."""
+    return quantile_table(df, [col], qs)[col]

@@ -9,22 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equilens.operators.epsilon import cat_grid, groups, value_counts_by_group
+from equilens.operators.epsilon import groups
+from equilens.operators.pairs import PAIR, Slots, group_slots, pair_aggregate, wide_counts, with_totals
 
 
 def bm_rebin_candidates(df: DataFrame, protected, attrs) -> DataFrame:
     """Per (protected, attr, g1 < g2): delta_v = share_g2(v) - share_g1(v) (0 when v is absent
     from either group); merge the value with the largest delta into the one with the smallest.
     ``diff`` = max delta + min delta."""
-    grid = cat_grid(value_counts_by_group(df, protected, attrs, False), groups(df, protected))
-    d = F.when((F.col("n1") > 0) & (F.col("n2") > 0),
-               F.col("n2") / F.col("t2") - F.col("n1") / F.col("t1")).otherwise(F.lit(0.0))
-    g = grid.select("protected", "attr", "g1", "g2", "v", d.alias("d"))
-    agg = g.groupBy("protected", "attr", "g1", "g2").agg(
-        F.max(F.struct(F.col("d").alias("d"), F.col("v").alias("v"))).alias("hi"),
-        F.min(F.struct(F.col("d").alias("d"), F.col("v").alias("v"))).alias("lo"))
-    return agg.select("protected", "attr", "g1", "g2", F.col("hi.v").alias("from_value"),
-                      F.col("lo.v").alias("to_value"), (F.col("hi.d") + F.col("lo.d")).alias("diff"))
+    slots = group_slots(groups(df, protected))
+    return bm_candidates_from_counts(wide_counts(df, slots, attrs, False), slots)
+
+
+def bm_candidates_from_counts(wide: DataFrame, slots: Slots) -> DataFrame:
+    def pair(one: str, two: str) -> dict:
+        n1, n2 = F.col(one), F.col(two)
+        d = F.when((n1 > 0) & (n2 > 0), n2 / F.col(f"n_{two}") - n1 / F.col(f"n_{one}")).otherwise(F.lit(0.0))
+        at = F.when((n1 > 0) | (n2 > 0), F.struct(d.alias("d"), F.col("v").alias("v")))
+        return {"hi": F.max(at), "lo": F.min(at)}
+
+    out = pair_aggregate(with_totals(wide, slots), slots, pair).where("hi IS NOT NULL")
+    return out.select(*PAIR, "attr", F.col("hi.v").alias("from_value"), F.col("lo.v").alias("to_value"),
+                      (F.col("hi.d") + F.col("lo.d")).alias("diff"))
 
 
 def bm_rebin_choice(cands: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equilens.operators.prefix import running_sums
+from equilens.operators.prefix import hash_fraction, running_sums
 
 
 def hash_bucket(key_cols, seed, salt: str = "") -> Column:
@@ -39,9 +39,9 @@ def stratified_split(df: DataFrame, key_cols, label: str, test_fraction: float =
     """Per-class split with exact class proportions.
 
     Rows are ranked inside their class by the content hash; the first
-    round(test_fraction * n_class) go to test.  The rank comes from range-
-    partitioned running counts over distinct (class, hash), so a dominant
-    class is never ranked inside a single task.  With a single class the
+    round(test_fraction * n_class) go to test.  The rank comes from sliced
+    running counts over distinct (class, hash), so a dominant class is never
+    ranked inside a single task.  With a single class the
     split falls back to ``hash_split``.
     """
     key = F.md5(F.concat(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]), F.lit(f"strat:{seed}")))
@@ -49,22 +49,14 @@ def stratified_split(df: DataFrame, key_cols, label: str, test_fraction: float =
     classes = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     if classes.limit(2).count() < 2:
         return hash_split(df, key_cols, test_fraction, seed, out)
-    n_classes = classes.limit(MAX_CLASSES + 1).count()
-    if n_classes > MAX_CLASSES:
-        raise ValueError(f"stratified split supports at most {MAX_CLASSES} classes")
     dist = h.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_c"))
-    bound = classes.agg(F.max("_n")).first()[0]
-    ranks = (running_sums(dist, [label], ["_h"], ["_c"], max_key_rows=bound)
-             .join(F.broadcast(classes), label)
-             .where(F.col("cum__c") <= F.round(F.col("_n") * test_fraction)))
+    ranks = running_sums(dist, [label], ["_h"], ["_c"], slice_by=hash_fraction(F.col("_h")))
+    quota = classes.select(F.col(label).alias("_y"), F.round(F.col("_n") * test_fraction).alias("_q"))
     # per class: the largest hash still inside the test quota (one row per class)
-    cuts = {r[0]: r[1] for r in ranks.groupBy(label).agg(F.max("_h")).collect()}
-    cut = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])[F.col(label)] if cuts \
-        else F.lit(None).cast("string")
-    return h.withColumn(out, F.coalesce(F.col("_h") > cut, F.lit(True))).drop("_h")
-
-
-MAX_CLASSES = 10_000
+    cuts = ranks.join(quota, F.col(label).eqNullSafe(F.col("_y"))).where(F.col("cum__c") <= F.col("_q")) \
+        .groupBy("_y").agg(F.max("_h").alias("_cut"))
+    return h.join(cuts, F.col(label).eqNullSafe(F.col("_y")), "left") \
+        .select(*df.columns, F.coalesce(F.col("_h") > F.col("_cut"), F.lit(True)).alias(out))
 
 
 def subgroup_filter(df: DataFrame, conditions: dict, check_nonempty: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ def change_expr(df: DataFrame, spec: AuditSpec, attr: str, change, stream, metho
         return numeric_change(x.cast("double"), change, stream, method, multi,
                               stats=(stats or {}).get(attr))
     if attr in spec.categorical:
-        return rebin(x, change)
+        return rebin(x, change, df.schema[attr].dataType)
     return x
 
 

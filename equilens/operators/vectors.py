@@ -34,7 +34,7 @@ def distance_to_centroid(df: DataFrame, vec: str, group: str, key: str, metric:
     if metric == "seuclidean":
         gv = global_variance(df, vec).first()["gvar"]        # one value per dimension (bounded)
         var = F.array(*[F.lit(float(v)) for v in gv])
-    d = distance(metric, F.col(vec), F.col("centroid"), p=3.0, var=var)
+    d = distance(metric, F.col(vec), F.col("centroid"), p=2.0, var=var)
     return j.select(key, group, F.lit(metric).alias("metric"), d.alias("dist"))
 
 

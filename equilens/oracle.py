@@ -711,7 +711,7 @@ _DIST_SQL = {
     "euclidean": ("j", "sqrt(sum((x - m) * (x - m)))"),
     "cityblock": ("j", "sum(abs(x - m))"),
     "chebyshev": ("j", "max(abs(x - m))"),
-    "minkowski": ("j", "pow(sum(pow(abs(x - m), 3.0)), 1.0 / 3.0)"),
+    "minkowski": ("j", "sqrt(sum(abs(x - m) * abs(x - m)))"),
     "cosine": ("j", "1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m)))"),
     "correlation": ("j", "1 - sum(xc * mc) / (sqrt(sum(xc * xc)) * sqrt(sum(mc * mc)))"),
     "canberra": ("j", "sum(CASE WHEN abs(x) + abs(m) > 0 THEN abs(x - m) / (abs(x) + abs(m)) ELSE 0.0 END)"),
@@ -723,6 +723,7 @@ _DIST_SQL = {
     "jaccard": ("b", "sum(CASE WHEN tt + tf + ft > 0 THEN (tf + ft) / (tt + tf + ft) ELSE 0.0 END)"),
     "dice": ("b", "sum((tf + ft) / (2 * tt + tf + ft))"),
     "yule": ("b", "sum(CASE WHEN tf * ft > 0 THEN 2 * tf * ft / (tt * ff + tf * ft) ELSE 0.0 END)"),
+    "matching": ("b", "sum((tf + ft) / n)"),
     "kulczynski1": ("b", "sum(tt / (tf + ft))"),
     "rogerstanimoto": ("b", "sum(2 * (tf + ft) / (tt + ff + 2 * (tf + ft)))"),
     "russellrao": ("b", "sum((n - tt) / n)"),
@@ -758,6 +759,74 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(label_Y AS INTEGER)
 ORACLE["score_nb_closed"] = _nb_sql()
 
 
+# ---- metrics of the closed-form model, protected bins, one-hot slots -------------------------
+def _nb_scored(table):
+    """``scored`` for the metric CTEs: the closed-form model over the rows of ``table``."""
+    head, _, _ = _nb_sql().rpartition("SELECT l_orderkey")
+    head = head.replace("t AS (SELECT * FROM sp WHERE NOT is_train)", f"t AS (SELECT * FROM {table})") \
+        .replace("t.label_Y, t.o_orderpriority", "t.label_Y, t.is_train, t.l_returnflag, t.o_orderpriority")
+    return head.rstrip() + """
+, scored AS (SELECT *, CASE WHEN d1 > d0 THEN 1 ELSE 0 END AS pred_Y, 1.0 / (1.0 + exp(d0 - d1)) AS score_S FROM j)"""
+
+
+_TWO = ("o_orderpriority", "c_mktsegment")
+ORACLE["evaluate_nb"] = _nb_scored("(SELECT * FROM sp WHERE NOT is_train)").replace(
+    "FROM (SELECT * FROM sp WHERE NOT is_train))", "FROM sp WHERE NOT is_train)") + "," + conf_cte(_TWO) + "," + fairness_cte() + """
+SELECT metric, CAST(NULL AS VARCHAR) AS protected, round(value, 6) AS value FROM (
+  SELECT 'ACC' metric, ACC value FROM conf WHERE protected='__overall__' UNION ALL
+  SELECT 'F1', CASE WHEN PPV+TPR > 0 THEN 2*PPV*TPR/(PPV+TPR) ELSE 0.0 END FROM conf WHERE protected='__overall__' UNION ALL
+  SELECT 'Recall', TPR FROM conf WHERE protected='__overall__' UNION ALL
+  SELECT 'Precision', PPV FROM conf WHERE protected='__overall__')
+UNION ALL SELECT metric, protected, round(value, 6) AS value FROM fair"""
+
+_SUB = "c_mktsegment = 'BUILDING' AND l_returnflag = 'R'"
+ORACLE["subgroup_report_nb"] = _nb_scored("sp") + f""",
+g AS (SELECT 'subgroup_all' AS scope, * FROM scored WHERE {_SUB} UNION ALL
+      SELECT 'subgroup_test', * FROM scored WHERE {_SUB} AND NOT is_train UNION ALL
+      SELECT 'overall_test', * FROM scored WHERE NOT is_train),
+n AS (SELECT scope, count(*) AS size, sum((pred_Y = 1 AND label_Y = 1)::INT) tp, sum((pred_Y = 1 AND label_Y <> 1)::INT) fp,
+             sum((pred_Y <> 1 AND label_Y = 1)::INT) fn, sum((pred_Y <> 1 AND label_Y <> 1)::INT) tn FROM g GROUP BY scope),
+r AS (SELECT *, {_sd('tp', 'tp+fp')} AS pr, {_sd('tp', 'tp+fn')} AS re FROM n)
+SELECT scope, CAST(size AS BIGINT) AS size, round({_sd('tp+tn', 'tp+fp+fn+tn')}, 6) AS accuracy, round(pr, 6) AS "precision",
+       round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1,
+       round({_sd('fp', 'fp+tn')}, 6) AS fpr, (SELECT count(*) FROM scored) AS overall_size,
+       round(size * 100.0 / (SELECT count(*) FROM scored), 6) AS percentage FROM r"""
+
+ORACLE["bin_protected"] = _with(AUDIT) + f"""
+SELECT {_KEYS}, {_qbin('l_quantity')} AS l_quantity, {_qbin('p_retailprice')} AS p_retailprice, o_orderpriority FROM audit a"""
+
+ORACLE["one_hot"] = _with(AUDIT, "lv AS (" + " UNION ALL ".join(
+    f"SELECT DISTINCT {i} AS a, CAST({c} AS VARCHAR) AS v FROM audit" for i, c in enumerate(AUDIT_CAT)) + ")",
+    "sz AS (SELECT a, count(*) AS k FROM lv GROUP BY a)",
+    """sl AS (SELECT lv.a, lv.v, k, row_number() OVER (PARTITION BY lv.a ORDER BY lv.v DESC) - 1 AS r,
+         coalesce((SELECT sum(o.k - 1) FROM sz o WHERE o.a < lv.a), 0) AS off FROM lv JOIN sz USING (a))""",
+    "hot AS (SELECT a, v, CASE WHEN r < k - 1 THEN CAST(off + r AS INTEGER) END AS slot FROM sl)") + f"""
+SELECT {_KEYS}, list_filter([{', '.join(f's{i}.slot' for i in range(len(AUDIT_CAT)))}], lambda x: x IS NOT NULL) AS slots,
+       CAST((SELECT sum(k - 1) FROM sz) AS BIGINT) AS width
+FROM audit """ + " ".join(f"JOIN hot s{i} ON s{i}.a = {i} AND s{i}.v = CAST(audit.{c} AS VARCHAR)" for i, c in enumerate(AUDIT_CAT))
+
+
+# ---- history views over a history derived from the scored rows ----------------------------
+_HIST = """
+ra AS (SELECT l_linenumber AS iteration, c_mktsegment, avg(pred_Y) AS value FROM scored GROUP BY l_linenumber, c_mktsegment),
+mh AS (SELECT l_linenumber AS iteration, 'ACC' AS metric, CAST(NULL AS VARCHAR) AS protected,
+              avg((label_Y = pred_Y)::INT) AS value FROM scored GROUP BY l_linenumber
+       UNION ALL SELECT iteration, 'PPOS', c_mktsegment, value FROM ra
+       UNION ALL SELECT iteration, 'max_epsilon', NULL, max(value) FROM ra GROUP BY iteration)"""
+ORACLE["metric_series"] = _with(SCORED, _HIST) + """
+SELECT iteration, metric, round(avg(value), 6) AS value FROM mh GROUP BY iteration, metric"""
+ORACLE["before_after"] = _with(SCORED, _HIST) + """
+SELECT metric, protected, iteration, round(value, 6) AS value,
+       round(first_value(value) OVER w, 6) AS initial, round(value - lag(value) OVER w, 6) AS delta_previous,
+       round(value - first_value(value) OVER w, 6) AS delta_initial
+FROM mh WINDOW w AS (PARTITION BY metric, protected ORDER BY iteration)"""
+ORACLE["run_status"] = _with(SCORED, _HIST) + """
+SELECT max(iteration) AS total_iterations, 'epsilon_threshold' AS termination_reason,
+       round(least(100.0, max(iteration) * 100.0 / 10), 6) AS progress_percent,
+       list(round(value, 6) ORDER BY iteration) FILTER (metric = 'max_epsilon') AS max_epsilon_series,
+       list(round(value, 6) ORDER BY iteration) FILTER (metric = 'ACC') AS accuracy_series FROM mh"""
+
+
 # ---- epsilon of general order h (h = p - 2 on the audit features) ------------------------
 def _order_h_sql(h=7):
     from math import comb

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from equilens.functions.transforms import numeric_change, rebin
 from equilens.operators import epsilon as E
-from equilens.operators.rebin import bm_rebin_choice
-from equilens.operators.transform import apply_changes, validity
+from equilens.operators.rebin import bm_candidates_from_counts, bm_rebin_choice
+from equilens.operators.transform import apply_changes, arcsin_stats, validity
 from equilens.spec import AuditSpec, EpsilonConfig
 
 
@@ -43,8 +43,8 @@ def _dropped(changes):
     return [a for a, c in changes.items() if c == "dropped"]
 
 
-def _cat_s_from_counts(cc: DataFrame, grp: DataFrame, cfg: EpsilonConfig) -> DataFrame:
-    d = E.diff_cat(E.cat_grid(cc, grp))
+def _cat_s_from_counts(wide: DataFrame, slots: dict, cfg: EpsilonConfig) -> DataFrame:
+    d = E.diff_cat(wide, slots)
     return d.select(*E.PAIR, "attr", F.col("s_a" if cfg.cat == "cat-a" else "s_b").alias("s"),
                     F.lit("categorical").alias("kind"))
 
@@ -69,49 +69,44 @@ def mitigation_step(base: DataFrame, spec: AuditSpec, changes: dict, stream: lis
                     s_base: DataFrame | None = None) -> StepResult:
     """Run one mitigation step against the *base* table with the current change set."""
     cur = apply_changes(base, spec, changes, stream, method, multi)
-    if s_base is None:
-        s_base = E.difference_table(cur, spec, EpsilonConfig(cfg.num, cfg.cat, "none", cfg.sum)).cache()
-    s_scaled = E.scale_s(s_base, cfg.scale)
-    eps = E.epsilon_from_s(s_scaled, cfg.sum)
+    own = s_base is None
+    if own:
+        s_base = raw_differences(cur, spec, cfg)
+    eps = E.epsilon_from_s(E.scale_s(s_base, cfg.scale), cfg.sum)
     pick = E.max_epsilon(eps, exclude=_dropped(changes)).first()
-    if pick is None or not pick["epsilon"] or pick["epsilon"] <= 0:
-        return StepResult(dict(changes), None, None)
-    prot, attr, e0 = pick["protected"], pick["attr"], float(pick["epsilon"])
-    res = StepResult(dict(changes), prot, attr, epsilon_before=e0)
-    if attr in spec.categorical:
-        _categorical_attempts(cur, spec, changes, stream, cfg, s_base, prot, attr, e0, res)
-    else:
-        _numeric_attempts(base, spec, changes, stream, cfg, s_base, prot, attr, e0, res, method, multi)
-    s_base.unpersist()
+    res = StepResult(dict(changes), None, None)
+    if pick is not None and pick["epsilon"] and pick["epsilon"] > 0:
+        prot, attr, e0 = pick["protected"], pick["attr"], float(pick["epsilon"])
+        res = StepResult(dict(changes), prot, attr, epsilon_before=e0)
+        if attr in spec.categorical:
+            _categorical_attempts(base, cur, spec, changes, stream, cfg, s_base, prot, attr, e0, res)
+        else:
+            _numeric_attempts(base, spec, changes, stream, cfg, s_base, prot, attr, e0, res, method, multi)
+    if own:
+        s_base.unpersist()
     return res
 
 
-def _categorical_attempts(cur, spec, changes, stream, cfg, s_base, prot, attr, e0, res):
-    grp = E.groups(cur, [prot]).cache()
-    # contingency of the base values of attr (the change set is re-applied on it)
-    base_vals = cur.select(prot, attr)
-    cc0 = E.value_counts_by_group(base_vals, [prot], [attr], False).cache()
-    mapping = dict(changes.get(attr, {})) if isinstance(changes.get(attr), dict) else {}
+def raw_differences(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig) -> DataFrame:
+    """The unscaled difference table, persisted (one row for each pair and feature); the caller frees it."""
+    return E.difference_table(df, spec, EpsilonConfig(cfg.num, cfg.cat, "none", cfg.sum)).persist()
+
+
+def _categorical_attempts(base, cur, spec, changes, stream, cfg, s_base, prot, attr, e0, res):
+    """Merge values until epsilon falls.  The counters of the base values are taken once; every
+    attempt applies the whole map to them, as ``apply_changes`` does to the rows."""
+    slots = {prot: E.group_slots(E.groups(cur, [prot]))[prot]}
+    wide0 = E.wide_counts(base.select(prot, attr), slots, [attr], False).persist()
+    mapping = {str(k): str(v) for k, v in changes[attr].items()} if isinstance(changes.get(attr), dict) else {}
     for k in range(len(stream)):
-        cc = (cc0.withColumn("v", rebin(F.col("v"), mapping) if mapping else F.col("v"))
-                 .groupBy("protected", "g", "attr", "v").agg(F.sum("cnt").alias("cnt")))
-        grid = E.cat_grid(cc, grp)
-        d = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n2") / F.col("t2") - F.col("n1") / F.col("t1")) \
-            .otherwise(F.lit(0.0))
-        g = grid.select("protected", "attr", "g1", "g2", "v", d.alias("d"))
-        cands = g.groupBy("protected", "attr", "g1", "g2").agg(
-            F.max(F.struct("d", "v")).alias("hi"), F.min(F.struct("d", "v")).alias("lo")).select(
-            "protected", "attr", "g1", "g2", F.col("hi.v").alias("from_value"), F.col("lo.v").alias("to_value"),
-            (F.col("hi.d") + F.col("lo.d")).alias("diff"))
-        choice = bm_rebin_choice(cands).first()
+        now = E.merge_values(wide0, slots, rebin(F.col("v"), mapping))
+        choice = bm_rebin_choice(bm_candidates_from_counts(now, slots)).first()
         res.attempts = k + 1
         if choice is None or choice["from_value"] == choice["to_value"]:
             break
-        mapping = dict(mapping)
-        mapping[choice["from_value"]] = choice["to_value"]
-        cc_new = (cc0.withColumn("v", rebin(F.col("v"), mapping))
-                     .groupBy("protected", "g", "attr", "v").agg(F.sum("cnt").alias("cnt")))
-        e1 = _epsilon_with(s_base, prot, attr, _cat_s_from_counts(cc_new, grp, cfg), cfg).first()
+        mapping = {**mapping, choice["from_value"]: choice["to_value"]}
+        after = E.merge_values(wide0, slots, rebin(F.col("v"), mapping))
+        e1 = _epsilon_with(s_base, prot, attr, _cat_s_from_counts(after, slots, cfg), cfg).first()
         e1 = float(e1["epsilon"]) if e1 and e1["epsilon"] is not None else None
         res.log.append({"attempt": k + 1, "change": dict(mapping), "epsilon": e1})
         if e1 is not None and e1 < e0:
@@ -120,13 +115,20 @@ def _categorical_attempts(cur, spec, changes, stream, cfg, s_base, prot, attr, e
             break
     if not res.success:
         res.changes[attr] = "dropped"
-    cc0.unpersist()
-    grp.unpersist()
+    wide0.unpersist()
+
+
+def next_index(prev, side: str) -> int:
+    """Next stream index of one side: after the side's last one; 1 where only the other side was changed; else 0."""
+    if not isinstance(prev, dict):
+        return 0
+    return prev.get(side, 0) + 1
 
 
 def _numeric_attempts(base, spec, changes, stream, cfg, s_base, prot, attr, e0, res, method, multi):
     prev = changes.get(attr)
-    start = prev.get("beta_O", -1) + 1 if isinstance(prev, dict) else 0
+    # an attribute first changed on the other side counts as having used the first index here
+    start = next_index(prev, "beta_O")
     tries = []
     for k in range(len(stream)):
         ch = dict(prev) if isinstance(prev, dict) else {}
@@ -135,7 +137,8 @@ def _numeric_attempts(base, spec, changes, stream, cfg, s_base, prot, attr, e0,
     valid_idx = [i for i, ch in enumerate(tries) if ch["beta_O"] < len(stream)]
     ok = {r["candidate"]: r["valid"] for r in
           validity(base, spec, [(attr, tries[i]) for i in valid_idx], stream, method, multi).collect()}
-    cand_cols = {i: numeric_change(F.col(attr).cast("double"), tries[i], stream, method, multi)
+    stats = arcsin_stats(base, [attr])[attr] if method == "arcsin" else None
+    cand_cols = {i: numeric_change(F.col(attr).cast("double"), tries[i], stream, method, multi, stats=stats)
                  for n, i in enumerate(valid_idx) if ok.get(n)}
     eps_by = {}
     if cand_cols:

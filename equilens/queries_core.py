@@ -274,7 +274,8 @@ from equilens.functions.beta import beta_stream  # noqa: E402
 from equilens.functions.transforms import multi_transform  # noqa: E402
 from equilens.operators import transform as tr_ops  # noqa: E402
 
-D4A, D4B = beta_stream("d4A"), beta_stream("d4B")
+D4A = [2.0 * i + 3 for i in range(10)]       # the sequences d4A and d4B (see beta_table)
+D4B = [1 / b for b in D4A]
 
 
 def _audit_cols(spark, sf, *cols):
@@ -347,7 +348,7 @@ def _stream_query(mode):
     method = "log" if mode == "d4A" else "poly"
 
     def q(spark, sf):
-        s = beta_stream(mode)
+        s = beta_stream(mode, spark=spark)
         a = _audit_cols(spark, sf, "l_quantity")
         x = F.col("l_quantity").cast("double")
         return finalize(a.select(*KEYS, "l_quantity", multi_transform(x, s, 0, method).alias("t_first"),
@@ -423,6 +424,20 @@ for _c in CLASSIFIERS:
     register(f"score_{_c.lower()}")(_score_query(_c))
 
 
+@register("one_hot")
+def q_one_hot(spark, sf):
+    """Dummy columns of the categorical features (first level left out): set slots of every row."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    a = fx.audit(spark, sf)
+    spec = A.with_kinds((), A.categorical)
+    out = Pipeline(stages=ml_ops.feature_stages(spec)).fit(a).transform(a)
+    width = ml_ops.vector_width(out, "features")
+    x = vector_to_array("features")
+    at = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i) == 1)
+    return out.select(*KEYS, at.alias("slots"), F.lit(width).cast("long").alias("width"))
+
+
 @register("evaluate_lr")
 def q_evaluate_lr(spark, sf):
     d = audit_split(spark, sf)
@@ -439,8 +454,9 @@ def q_bm_iteration(spark, sf):
     import json
 
     from equilens.plans.mitigate import mitigation_step
-    base = fx.audit(spark, sf)
+    base = fx.audit(spark, sf).select(*A.protected, *A.features).persist()
     r = mitigation_step(base, A, {}, D4A)
+    base.unpersist()
     row = (r.protected, r.attr, r.attempts, r.success, r.epsilon_before, r.epsilon_after,
            json.dumps(r.changes, sort_keys=True, default=str))
     return spark.createDataFrame([row], "protected string, attr string, attempts int, success boolean, "
@@ -459,7 +475,7 @@ def _run_once(spark, sf):
     if key not in _RUNS:
         cfg = run_ops.RunConfig(max_iterations=1)
         mh, it, fs = run_ops.run(spark, fx.audit(spark, sf), A, KEYS, cfg)
-        _RUNS[key] = (mh.cache(), it.cache(), fs.cache())
+        _RUNS[key] = (mh, it, fs)
     return _RUNS[key]
 
 
@@ -468,14 +484,28 @@ def q_run_history(spark, sf):
     return finalize(_run_once(spark, sf)[0].drop("run_id"))
 
 
+def _scored_history(spark, sf):
+    """A run history over the scored rows: iteration = l_linenumber, accuracy (no protected attribute),
+    positive prediction rate for each segment, and their largest as max_epsilon."""
+    s = fx.scored(spark, sf).select(F.col("l_linenumber").alias("iteration"), "c_mktsegment", "label_Y", "pred_Y")
+    none = F.lit(None).cast("string")
+    acc = s.groupBy("iteration").agg(F.avg((F.col("label_Y") == F.col("pred_Y")).cast("double")).alias("value"))
+    rate = s.groupBy("iteration", "c_mktsegment").agg(F.avg("pred_Y").alias("value"))
+    top = rate.groupBy("iteration").agg(F.max("value").alias("value"))
+    rows = [acc.select("iteration", F.lit("ACC").alias("metric"), none.alias("protected"), "value"),
+            rate.select("iteration", F.lit("PPOS").alias("metric"), F.col("c_mktsegment").alias("protected"), "value"),
+            top.select("iteration", F.lit("max_epsilon").alias("metric"), none.alias("protected"), "value")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("run_id", F.lit("scored"))
+
+
 @register("metric_series")
 def q_metric_series(spark, sf):
-    return finalize(run_ops.metric_series(_run_once(spark, sf)[0]).drop("run_id"))
+    return finalize(run_ops.metric_series(_scored_history(spark, sf)).drop("run_id"))
 
 
 @register("before_after")
 def q_before_after(spark, sf):
-    return finalize(run_ops.before_after(_run_once(spark, sf)[0]).drop("run_id"))
+    return finalize(run_ops.before_after(_scored_history(spark, sf)).drop("run_id"))
 
 
 @register("run_final_state")
@@ -496,14 +526,27 @@ from equilens.streaming import monitor as mon  # noqa: E402
 _STREAMS: dict = {}
 
 
+FEED_PARTS = 5
+
+
+def _feed(spark, sf, path):
+    """The events in time order as ``FEED_PARTS`` deliveries, each one micro-batch of the stream."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    lo, hi = ev.agg(F.min("ts").cast("timestamp").cast("double"), F.max("ts").cast("timestamp").cast("double")).first()
+    part = F.least(F.floor((F.col("ts").cast("timestamp").cast("double") - lo) / max(hi - lo, 1.0) * FEED_PARTS), F.lit(FEED_PARTS - 1))
+    for i in range(FEED_PARTS):
+        ev.where(part == i).coalesce(1).write.parquet(f"{path}/delivery{i}")
+
+
 def _stream_once(spark, sf, window="1 day", slide=None):
     """Run the monitor over the events table as a file stream (availableNow) into the shared scratch dir."""
     import uuid
     key = (id(spark), sf, window, slide)
     if key not in _STREAMS:
         root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/monitor-{uuid.uuid4().hex[:8]}"
+        _feed(spark, sf, f"{root}/in")
         schema = spark.read.parquet(f"{sf}/events.parquet").schema
-        src = mon.scored_event_stream(spark, f"{sf}/events.parque[t]", schema)
+        src = mon.scored_event_stream(spark, f"{root}/in/*", schema)
         mon.start_monitor(spark, src, "event_type", f"{root}/out", f"{root}/ckpt", window=window,
                           slide=slide).awaitTermination()
         _STREAMS[key] = root
@@ -517,12 +560,12 @@ def _ts_str(df):
 
 @register("stream_counters")
 def q_stream_counters(spark, sf):
-    return finalize(_ts_str(spark.read.parquet(f"{_stream_once(spark, sf)}/out/counters")))
+    return finalize(_ts_str(mon.read_sink(spark, f"{_stream_once(spark, sf)}/out", "counters")))
 
 
 @register("stream_monitor")
 def q_stream_monitor(spark, sf):
-    return finalize(_ts_str(spark.read.parquet(f"{_stream_once(spark, sf)}/out/metrics")))
+    return finalize(_ts_str(mon.read_sink(spark, f"{_stream_once(spark, sf)}/out", "metrics")))
 
 
 # ---- sources and sinks ------------------------------------------------------------
@@ -622,10 +665,50 @@ for _k in ("NB", "LDA", "QDA"):
 
 @register("run_status")
 def q_run_status(spark, sf):
+    mh = _scored_history(spark, sf)
+    fs = mh.groupBy("run_id").agg(F.max("iteration").alias("total_iterations")).withColumn("max_iterations", F.lit(10)) \
+        .withColumn("termination_reason", F.lit("epsilon_threshold"))
+    out = run_ops.run_status(mh, fs).drop("run_id")
+    for c in ("max_epsilon_series", "accuracy_series"):
+        out = out.withColumn(c, F.transform(c, lambda x: F.round(x, 6)))
+    return finalize(out)
+
+
+@register("run_status_loop")
+def q_run_status_loop(spark, sf):
+    """The same over a real run (rows only)."""
     mh, _, fs = _run_once(spark, sf)
     return run_ops.run_status(mh, fs).drop("run_id")
 
 
+@register("bin_protected")
+def q_bin_protected(spark, sf):
+    """Numeric protected columns in quartile bins, others as they are."""
+    a = fx.audit(spark, sf).select(*KEYS, "l_quantity", "p_retailprice", "o_orderpriority")
+    spec = type(A)(A.target, ("l_quantity", "p_retailprice", "o_orderpriority"))
+    return enc_ops.bin_protected(a, spec)
+
+
+def _nb_scored(spark, sf, where_test=True, keep=()):
+    d = audit_split(spark, sf)
+    return disc_ops.fit_score(d.where("is_train"), d.where("not is_train") if where_test else d, list(A.numerical),
+                              A.protected, "NB", keep=keep)
+
+
+@register("evaluate_nb")
+def q_evaluate_nb(spark, sf):
+    """All accuracy and fairness metrics of the closed-form naive Bayes on the test rows."""
+    conf = conf_ops.confusion_table(_nb_scored(spark, sf), A.protected)
+    acc = fair_ops.accuracy_from_confusion(conf).select("metric", F.lit(None).cast("string").alias("protected"), "value")
+    return finalize(acc.unionByName(fair_ops.fairness_from_confusion(conf)))
+
+
+@register("subgroup_report_nb")
+def q_subgroup_report_nb(spark, sf):
+    scored = _nb_scored(spark, sf, where_test=False, keep=["is_train", "l_returnflag"])
+    return finalize(sg_ops.subgroup_report(scored, {"c_mktsegment": "BUILDING", "l_returnflag": "R"}))
+
+
 @register("epsilon_order_h")
 def q_epsilon_order_h(spark, sf):
     return finalize(eps_ops.epsilon_order_h(fx.audit(spark, sf), A, h=len(A.features) - 2))
@@ -691,4 +774,4 @@ def q_epsilon_docs_ks(spark, sf):
 @register("stream_counters_sliding")
 def q_stream_counters_sliding(spark, sf):
     """2-day windows sliding by 1 day: every event is counted in two windows."""
-    return finalize(_ts_str(spark.read.parquet(f"{_stream_once(spark, sf, '2 days', '1 day')}/out/counters")))
+    return finalize(_ts_str(mon.read_sink(spark, f"{_stream_once(spark, sf, '2 days', '1 day')}/out", "counters")))

@@ -30,11 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(*cols) -> F.Column:
-    """Stable row identity: md5 over the given columns (not unique per key part)."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
-
-
 def lineitem_orders_customer(spark, sf_dir, li_cols, o_cols, c_cols) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *[c for c in li_cols if c != "l_orderkey"])
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey",
@@ -88,14 +83,6 @@ def nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
              .withColumn("all_null", F.lit(None).cast("double")))
 
 
-def events_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return e.select("event_id", "ts", "event_type",
-                    (F.col("value") > 5).cast("int").alias("label_Y"),
-                    (F.col("user_id") % 2).cast("int").alias("pred_Y"),
-                    F.col("value"))
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")

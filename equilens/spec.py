@@ -19,11 +19,7 @@ ALPHA_O = 0.8                             # weight of the protected-side transfo
 EPSILON_THRESHOLD_FACTOR = 0.9
 ACCURACY_THRESHOLD_GAIN = 0.01
 DEFAULT_MAX_ITERATIONS = 2
-TRAINING_RATE = 0.5
-BETA_STREAM_CONFIG = {"p": 102, "q": 173, "emin": 0.5, "emax": 2.0, "order": 0, "length": 10}
 TOP_VALUE_COUNTS = 10
-SPLIT_TEST_FRACTION = 0.3
-SPLIT_SEED = 1
 
 
 @dataclass(frozen=True)

@@ -3,8 +3,10 @@
 Confusion counters per event-time window and protected group are kept in
 streaming state (``withWatermark`` bounds lateness; rows later than the
 watermark are dropped by the engine).  Append mode emits a window once the
-watermark passes its end; ``foreachBatch`` derives the 13 pairwise metrics
-of each closed window and appends both tables to the sink folder.
+watermark passes its end, so windows that are still open stay in state;
+``foreachBatch`` derives the 13 pairwise metrics of each closed window and
+writes both tables into a folder of its epoch.  A batch that is run again
+overwrites its folder, so nothing is written twice.
 """
 
 from __future__ import annotations
@@ -41,16 +43,26 @@ def window_metrics(counters: DataFrame) -> DataFrame:
     return fairness_from_confusion(with_rates(counters), by=["window_start", "window_end"])
 
 
+def write_epoch(counters: DataFrame, epoch_id: int, out_dir: str) -> None:
+    """Counters and metrics of one micro-batch, replacing what an earlier attempt left."""
+    batch = counters.persist()
+    batch.write.mode("overwrite").parquet(f"{out_dir}/counters/epoch={epoch_id}")
+    window_metrics(batch).write.mode("overwrite").parquet(f"{out_dir}/metrics/epoch={epoch_id}")
+    batch.unpersist()
+
+
+def read_sink(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
+    """The ``counters`` or ``metrics`` of all epochs."""
+    return spark.read.option("basePath", f"{out_dir}/{table}").parquet(f"{out_dir}/{table}").drop("epoch")
+
+
 def start_monitor(spark: SparkSession, source: DataFrame, protected: str, out_dir: str, checkpoint: str,
                   available_now: bool = True, **kw):
     """Start the monitor; returns the StreamingQuery (``awaitTermination`` for availableNow)."""
     counters = window_counters(source, protected, **kw)
 
     def sink(batch: DataFrame, epoch_id: int):
-        batch = batch.persist()
-        batch.write.mode("append").parquet(f"{out_dir}/counters")
-        window_metrics(batch).write.mode("append").parquet(f"{out_dir}/metrics")
-        batch.unpersist()
+        write_epoch(batch, epoch_id, out_dir)
 
     w = counters.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

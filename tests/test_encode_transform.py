@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from equilens.functions.beta import beta_stream, residues
+from equilens.functions.beta import beta_stream, beta_table, residue_table
 from equilens.functions.transforms import compose_rebin
 from equilens.operators import encode as enc
 from equilens.operators.transform import apply_changes, validity
@@ -58,14 +58,62 @@ def test_apply_changes_and_validity(spark):
     assert [r["valid"] for r in v] == [True, False, False]
 
 
-def test_beta_streams():
-    assert len(residues(102, 173)) == 170
+def test_beta_streams(spark):
+    kept = [pow(102, k, 173) for k in range(2, 174)]
+    kept = [r for r in kept if r not in (1, 172)]
+    table = residue_table(spark, 102, 173).orderBy("k").collect()
+    assert [r["a"] for r in table] == kept and [r["b"] for r in table][:-1] == kept[1:]
     assert beta_stream("d4A")[:3] == [3.0, 5.0, 7.0] and beta_stream("d4B")[0] == pytest.approx(1 / 3)
     for m in ("E1", "E6", "E9"):
         assert beta_stream(m) == []
     e2 = beta_stream("E2")
-    assert e2 and all(0.5 < v < 2 for v in e2)
-    assert beta_stream("E2", order=1) == sorted(e2)
+    assert e2 == [x for x in (x / y for x, y in zip(kept, kept[1:])) if 0.5 < x < 2]
+    assert beta_stream("E2", order=1) == sorted(e2) and beta_stream("E2", order=-1) == sorted(e2, reverse=True)
+    assert beta_table(spark, "E8").columns == ["idx", "beta"]
+    with pytest.raises(ValueError):
+        beta_stream("E10")
+
+
+def test_rebin_keeps_the_column_type(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "b"), (None, None)], "c int, s string")
+    spec = AuditSpec("y", ("o",), (), ("c", "s"))
+    out = apply_changes(df, spec, {"c": {"3": "1", "1": "0"}, "s": {"a": "b"}}, [3.0])
+    assert out.schema["c"].dataType.simpleString() == "int"
+    assert [tuple(r) for r in out.collect()] == [(0, "b"), (0, "b"), (None, None)]
+
+
+def test_null_and_nan_string_are_one_label(spark):
+    df = spark.createDataFrame([(0, "NaN"), (1, None), (2, "A"), (3, "Z"), (4, "é")], "i int, c string")
+    d = {r["label"]: r["code"] for r in enc.encoding_dictionary(df, ["c"]).collect()}
+    assert d == {"A": 0, "NaN": 1, "Z": 2, "é": 3}
+    assert [r["c"] for r in enc.label_encode(df, ["c"]).orderBy("i").collect()] == [1, 1, 0, 2, 3]
+
+
+def test_labels_sort_by_code_point_beyond_their_first_bytes(spark):
+    words = ["prefix-b", "prefix-a", "prefix", "pre", "", "\U0001F600", "z", "Z"]
+    df = spark.createDataFrame([(w,) for w in words], "c string")
+    d = {r["label"]: r["code"] for r in enc.encoding_dictionary(df, ["c"]).collect()}
+    assert [w for w, _ in sorted(d.items(), key=lambda x: x[1])] == sorted(words)
+
+
+def test_numeric_labels_with_null(spark):
+    df = spark.createDataFrame([(10.0,), (9.0,), (None,), (-1.0,)], "c double")
+    d = {r["label"]: r["code"] for r in enc.encoding_dictionary(df, ["c"]).collect()}
+    assert d == {"-1.0": 0, "9.0": 1, "10.0": 2, "NaN": 3}
+
+
+def test_target_with_nulls_and_two_values(spark):
+    two = spark.createDataFrame([(5.0,), (5.0,), (9.0,), (None,)], "y double")       # the null takes the median 5
+    assert sorted(r["label_Y"] for r in enc.binarize_target(two, "y").collect()) == [0, 0, 0, 1]
+    mid = spark.createDataFrame([(5.0,), (9.0,), (None,)], "y double")               # the median 7 is a third value
+    assert sorted(r["label_Y"] for r in enc.binarize_target(mid, "y").collect()) == [0, 0, 1]
+
+
+def test_bin_protected_bins_only_numbers(spark):
+    df = spark.createDataFrame([(float(i), "ab"[i % 2]) for i in range(1, 9)], "age double, sex string")
+    out = enc.bin_protected(df, AuditSpec("y", ("age", "sex")))
+    assert sorted(r["age"] for r in out.collect()) == ["0", "0", "1", "1", "2", "2", "3", "3"]
+    assert {r["sex"] for r in out.collect()} == {"a", "b"}
 
 
 def test_constant_column_single_bin_and_unscaled_difference(spark):

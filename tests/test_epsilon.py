@@ -54,24 +54,28 @@ def test_difference_table_matches_definitions(spark, num):
         assert got[k] == pytest.approx(ref[k], rel=1e-9, abs=1e-9)
 
 
-def _subset_distance(S, attrs, a1, a2):
-    """The subset definition of the attribute distance with an 'origin' element (default order p - 1)."""
-    p = len(attrs)
-
-    def R(sub):
-        return {pair: math.sqrt(sum(S[pair][x] ** 2 for x in sub) / len(sub)) for pair in S}
-
-    table = {tuple(sorted(sub)): R(sub) for k in (p, p - 1) for sub in itertools.combinations(attrs, k)}
-    avail = [x for x in attrs + ["origin"] if x not in (a1, a2)]
-    h = (p - 1) - 2
-    subsets = [list(s) for k in range(len(avail), max(h, -1), -1) for s in itertools.combinations(avail, k)]
-    res = []
-    for s in subsets:
-        v1 = table.get(tuple(sorted(s + [a1]))) if "origin" not in s else None
-        v2 = table.get(tuple(sorted(s + [a2]))) if "origin" not in s else None
-        diff = [v1[q] - v2[q] for q in S] if v1 and v2 else [0.0]
-        res.append(abs(sum(diff) / len(diff)))
-    return sum(res) / len(res)
+def _mean_rms(S, attrs):
+    """U by bitmask: the mean over group pairs of the root mean square of S over the mask's attributes."""
+    out = [0.0]
+    for mask in range(1, 1 << len(attrs)):
+        sq = [[row[a] ** 2 for i, a in enumerate(attrs) if mask >> i & 1] for row in S.values()]
+        out.append(sum(math.sqrt(sum(x) / len(x)) for x in sq) / len(sq))
+    return out
+
+
+def _distance(S, attrs, i, j, h):
+    """Mean of |U(t + i) - U(t + j)| over the sets t of h - 1 or more of the other attributes and one
+    extra element; a set that holds the extra element counts with 0."""
+    u, p = _mean_rms(S, attrs), len(attrs)
+    free = ((1 << p) - 1) & ~(1 << i | 1 << j)
+    total, t = 0.0, free
+    while True:
+        if t.bit_count() >= h - 1:
+            total += abs(u[t | 1 << i] - u[t | 1 << j])
+        if t == 0:
+            break
+        t = (t - 1) & free
+    return total / sum(math.comb(p - 1, k) for k in range(max(h - 1, 0), p))
 
 
 def test_closed_form_distance_and_epsilon_match_subset_definition(spark):
@@ -82,8 +86,8 @@ def test_closed_form_distance_and_epsilon_match_subset_definition(spark):
     sdf = spark.createDataFrame([("o", g1, g2, a, "numerical", S[(g1, g2)][a]) for (g1, g2) in pairs for a in attrs],
                                 "protected string, g1 string, g2 string, attr string, kind string, s double")
     dist = {(r["a1"], r["a2"]): r["dist"] for r in E.attribute_distance(sdf).collect()}
-    for a1, a2 in itertools.combinations(attrs, 2):
-        assert dist[(a1, a2)] == pytest.approx(_subset_distance(S, attrs, a1, a2), rel=1e-12)
+    for i, j in itertools.combinations(range(len(attrs)), 2):
+        assert dist[(attrs[i], attrs[j])] == pytest.approx(_distance(S, attrs, i, j, len(attrs) - 1), rel=1e-12)
     eps = {r["attr"]: r["epsilon"] for r in E.epsilon_from_s(sdf).collect()}
     # the embedding x_a = +-epsilon_a is centred and reproduces every distance (zero stress)
     u = {r["attr"]: r["u"] for r in E.attribute_scores(sdf).collect()}
@@ -102,47 +106,63 @@ def test_mean_epsilon_counts_origin(spark):
     assert E.max_epsilon(e, exclude=["a"]).first()["attr"] == "b"
 
 
-def test_pair_merge_fallback_equals_pivot(spark):
-    rows = _rows(90, seed=9)
+def test_pair_statistics_do_not_depend_on_the_passes(spark, monkeypatch):
+    from equilens.operators import pairs
+    rows = [(f"G{i % 7}", *r[1:]) for i, r in enumerate(_rows(140, seed=9))]
     df = spark.createDataFrame(rows, SCHEMA)
-    st = E.numeric_group_stats(df, ["o"], ["n1", "n2"])
-    vc = E.value_counts_by_group(df, ["o"], ["n1", "n2"], True)
-    pairs = E.group_pairs(E.groups(df, ["o"]))
-    key = lambda r: (r["g1"], r["g2"], r["attr"])
-    a = {key(r): (r["s_b"], r["s_c"]) for r in E.diff_num_b_c(st, vc, pairs).collect()}
-    b = {key(r): (r["s_b"], r["s_c"]) for r in E.diff_num_b_c(st, vc, pairs, max_groups=1).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k][0] == pytest.approx(b[k][0]) and a[k][1] == pytest.approx(b[k][1])
-
-
-def test_running_sums_range_path_equals_window(spark):
-    from pyspark.sql import Window, functions as F
+    for cfg in (EpsilonConfig(num="num-b", cat="cat-b"), EpsilonConfig(num="num-c")):
+        got = []
+        for n in (200, 4):
+            monkeypatch.setattr(pairs, "PAIRS_PER_PASS", n)
+            got.append({(r["g1"], r["g2"], r["attr"]): r["s"] for r in E.difference_table(df, SPEC, cfg).collect()})
+        assert got[0].keys() == got[1].keys() and len(got[0]) == 21 * 4
+        for k in got[0]:
+            assert got[0][k] == pytest.approx(got[1][k])
+
+
+def test_one_group_has_no_pairs(spark):
+    df = spark.createDataFrame([("P", 1.0, 2.0, "x", "u")], SCHEMA)
+    for cfg in (EpsilonConfig(), EpsilonConfig(num="num-b", cat="cat-b")):
+        assert E.difference_table(df, SPEC, cfg).count() == 0
+
+
+def test_running_sums_on_a_million_rows_with_payload(spark):
+    """Slices of one key over many tasks, with a column the sums don't use."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
     from equilens.operators.prefix import running_sums
-    df = spark.range(0, 3000).select((F.col("id") % 4).alias("k"), (F.col("id") * 7919 % 1000).alias("v")) \
-        .groupBy("k", "v").agg(F.count("*").alias("c"))
-    ref = df.withColumn("ref", F.sum("c").over(Window.partitionBy("k").orderBy("v")))
-    got = running_sums(df, ["k"], ["v"], ["c"], n_ranges=6)          # no bound -> range-partitioned plan
-    assert got.join(ref, ["k", "v"]).where("cum_c != ref").count() == 0
+    df = spark.range(0, 1_000_000, numPartitions=8).select(
+        F.lit("k").alias("k"), F.xxhash64("id").cast("double").alias("v"), (F.col("id") % 5).alias("c"),
+        F.concat(F.lit("row "), F.col("id").cast("string")).alias("payload"))
+    got = running_sums(df, ["k"], ["v"], ["c"], n_slices=16)
+    ref = df.select("v", F.sum("c").over(Window.partitionBy("k").orderBy("v")).alias("ref"))
+    j = got.join(ref, "v")
+    assert got.columns == ["k", "v", "c", "payload", "cum_c"]
+    assert j.where("cum_c != ref").count() == 0 and j.count() == 1_000_000
+
 
+def test_running_sums_null_and_small_keys(spark):
+    from equilens.operators.prefix import running_sums
+    df = spark.createDataFrame([(None, 1.0, 2), (None, 3.0, 5), ("a", 2.0, 1), ("a", 2.5, 1), ("b", -1.0, 9)], "k string, v double, c int")
+    got = {(r["k"], r["v"]): r["cum_c"] for r in running_sums(df, ["k"], ["v"], ["c"], n_slices=4).collect()}
+    assert got == {(None, 1.0): 2, (None, 3.0): 7, ("a", 2.0): 1, ("a", 2.5): 2, ("b", -1.0): 9}
 
-def _subset_distance_h(S, attrs, a1, a2, h):
-    p = len(attrs)
 
-    def R(sub):
-        return {pair: math.sqrt(sum(S[pair][x] ** 2 for x in sub) / len(sub)) for pair in S}
+def test_quantiles_are_exact_and_repeat(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
 
-    table = {tuple(sorted(sub)): R(sub) for k in range(p, h - 1, -1) for sub in itertools.combinations(attrs, k)}
-    avail = [x for x in attrs + ["origin"] if x not in (a1, a2)]
-    hh = max(h - 2, -1)
-    subsets = [list(s) for k in range(len(avail), hh, -1) for s in itertools.combinations(avail, k)]
-    res = []
-    for s in subsets:
-        v1 = table.get(tuple(sorted(s + [a1]))) if "origin" not in s else None
-        v2 = table.get(tuple(sorted(s + [a2]))) if "origin" not in s else None
-        diff = [v1[q] - v2[q] for q in S] if v1 and v2 else [0.0]
-        res.append(abs(sum(diff) / len(diff)))
-    return sum(res) / len(res)
+    from equilens.operators.prefix import quantile_table, quantile_values
+    df = spark.range(0, 300_000).select(F.round(F.rand(3) * 1e5, 1).alias("x"), (F.col("id") % 7).cast("double").alias("y"),
+                                        F.lit(None).cast("double").alias("z")).persist()
+    x = np.array([r[0] for r in df.select("x").collect()])
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for _ in range(3):
+        assert quantile_values(df, "x", qs) == pytest.approx(np.quantile(x, qs).tolist())
+    t = quantile_table(df, ["y", "z"], [0.5])
+    assert t == {"y": [3.0], "z": [None]}
+    df.unpersist()
 
 
 @pytest.mark.parametrize("h", [2, 3, 4])
@@ -154,8 +174,8 @@ def test_order_h_distance_matches_subset_definition(spark, h):
     sdf = spark.createDataFrame([("o", g1, g2, a, "numerical", S[(g1, g2)][a]) for (g1, g2) in pairs for a in attrs],
                                 "protected string, g1 string, g2 string, attr string, kind string, s double")
     dist = {(r["a1"], r["a2"]): r["dist"] for r in E.attribute_distance_order_h(sdf, attrs, h).collect()}
-    for a1, a2 in itertools.combinations(attrs, 2):
-        assert dist[(a1, a2)] == pytest.approx(_subset_distance_h(S, attrs, a1, a2, h), rel=1e-9)
+    for i, j in itertools.combinations(range(len(attrs)), 2):
+        assert dist[(attrs[i], attrs[j])] == pytest.approx(_distance(S, attrs, i, j, h), rel=1e-9)
     if h == 4:   # default order p - 1: Gower epsilon equals the closed form
         eps_h = {r["attr"]: r["epsilon"] for r in E.epsilon_from_distance(E.attribute_distance_order_h(sdf, attrs, h)).collect()}
         eps = {r["attr"]: r["epsilon"] for r in E.epsilon_from_s(sdf).collect()}

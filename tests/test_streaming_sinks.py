@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from equilens.streaming.monitor import start_monitor, window_counters
+from equilens.streaming.monitor import read_sink, start_monitor, window_counters, write_epoch
 
 
 def _ev(spark, rows):
@@ -32,7 +32,7 @@ def test_stream_drops_late_rows_and_matches_batch(spark):
     q = start_monitor(spark, src, "event_type", f"{root}/out", f"{root}/ckpt", window="1 hour",
                       watermark="1 hour")
     q.awaitTermination()
-    got = spark.read.parquet(f"{root}/out/counters")
+    got = read_sink(spark, f"{root}/out", "counters")
     ten = {r["group_value"]: r["n"] for r in got.where(F.hour("window_start") == 10).collect()}
     assert ten == {"a": 2, "b": 1}                  # the late 10:50 row was dropped
     # in-time rows equal the batch computation over the same closed windows
@@ -43,6 +43,37 @@ def test_stream_drops_late_rows_and_matches_batch(spark):
     assert key(got) == key(closed)
 
 
+def test_replayed_batch_changes_nothing(spark):
+    root = tempfile.mkdtemp(prefix="eq-replay-")
+    t = dt.datetime(2024, 1, 1, 10, 5)
+    rows = _ev(spark, [(1, t, "a", 1, 1), (2, t, "b", 0, 1), (3, t, "a", 0, 0)])
+    counters = window_counters(rows, "event_type", window="1 hour", watermark=None)
+    for epoch in (0, 1, 0):
+        write_epoch(counters if epoch == 0 else counters.limit(0), epoch, root)
+    assert read_sink(spark, root, "counters").count() == 2 and read_sink(spark, root, "metrics").count() == 13
+
+
+def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
+    from equilens import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_mahalanobis_matches_numpy(spark):
     from equilens.operators.vectors import mahalanobis_to_centroid
     rng = np.random.default_rng(1)
