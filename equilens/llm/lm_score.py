@@ -7,11 +7,10 @@ towards the root (Dirichlet weight ``MU``), and a failure arc to the root that c
 rest of its mass.  A text is scored by one left-to-right traversal.
 
 No task holds the whole automaton.  Texts are packed into blocks; a block asks for the
-corpus counts of its own words, then of its own bigrams, and builds the slice of the
-automaton that its texts can reach.  Questions and answers travel as packed arrays, one for
-each block and hash bucket, so a frequent word is one entry for each block, not one row for
-each occurrence.  A bigram with a word that no other block holds needs no question: its
-count is the block's own.
+corpus counts of its own distinct words and bigrams, and builds the slice of the automaton
+that its texts can reach.  Questions and answers travel as packed arrays, one for each block
+and hash range, so a frequent word is one entry for each block, not one row for each
+occurrence.
 """
 
 from __future__ import annotations
@@ -33,7 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from equilens.llm.common import materialize, text_slices
 
 MU = 300.0                   # weight of the root against a state's own counts
-BUCKET_ENTRIES = 3_000_000   # entries that one bucket task holds, about
+BUCKET_ENTRIES = 2_000_000   # entries that one bucket task holds, about
+PART_TOKENS = 4_000_000      # tokens of the blocks that one task scores one after the other, about
 END = b""                    # the end mark; words are never empty
 
 
@@ -47,7 +47,7 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
 
 
-def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_bytes: int = 2 << 20) -> DataFrame:
+def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_bytes: int = 4 << 20) -> DataFrame:
     """Texts as blocks of token numbers: one row for about ``block_bytes`` of text (a text is never cut)."""
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
@@ -120,10 +120,6 @@ class Block:
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             return x ^ (x >> np.uint64(31))
 
-    def open_pairs(self, shared: np.ndarray) -> np.ndarray:
-        """Bigrams that other blocks may hold: both words occur elsewhere too."""
-        return np.flatnonzero(shared[self.state] & shared[self.label])
-
 
 # ---------------------------------------------------------------- questions and answers
 
@@ -131,36 +127,49 @@ _ASK = "bucket int, block long, keys binary, counts binary"
 _ANSWER = "block long, bucket int, counts binary, n long, n1 long, n2 long, total long"
 
 
+def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Hash range of each key; ranges follow the keys' order."""
+    return ((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as steps, bytes of one weight together: the leading ones are mostly zero."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return _pack(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    planes = _unpack(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64)
+
+
 def _questions(block: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """One packed row for each bucket the keys fall into, keys in their given order."""
-    bucket = (keys >> np.uint64(8)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-    used = np.flatnonzero(np.diff(cut))
+    """One packed row for each bucket the keys fall into."""
+    order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order].astype(np.uint32)
+    cut = np.searchsorted(_bucket(keys, n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
+    used = np.flatnonzero(np.diff(cut))
     return pa.RecordBatch.from_arrays([
         pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()),
-        pa.array([keys[cut[b]:cut[b + 1]].tobytes() for b in used], pa.binary()),
+        pa.array([_pack_keys(keys[cut[b]:cut[b + 1]]) for b in used], pa.binary()),
         pa.array([_pack(counts[cut[b]:cut[b + 1]]) for b in used], pa.binary())],
         names=["bucket", "block", "keys", "counts"])
 
 
-def _put_answers(keys: np.ndarray, n_buckets: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The inverse: counts, and whether another block asked too, in the order of ``keys``."""
+def _put_answers(keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+    """The inverse: corpus counts in the order of ``keys``."""
     out = np.zeros(len(keys), np.int64)
-    bucket = (keys >> np.uint64(8)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    parts = [_unpack(answers[b], np.int64) for b in np.unique(bucket).tolist()]
-    if parts:
-        out[order] = np.concatenate(parts)
-    return out >> 1, (out & 1).astype(bool)
+    if len(keys):
+        out[np.argsort(keys, kind="stable")] = np.concatenate([_unpack(answers[b], np.int64) for b in sorted(answers)])
+    return out
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """Rows of sorted batches, key by key."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             if held and row[key] != held[0][key]:
                 yield held
                 held = []
@@ -169,22 +178,27 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]
         yield held
 
 
-def _answer(questions: DataFrame) -> DataFrame:
+def _answer(questions: DataFrame, n_buckets: int) -> DataFrame:
     """Corpus counts for every question, and each bucket's totals (block null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "bucket"):
-            keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+            keys = [_unpack_keys(r["keys"]) for r in rows]
             own = np.concatenate([_unpack(r["counts"], np.uint32) for r in rows])
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(at, own, len(distinct)).astype(np.int64)
-            back, start = ((total << 1) | (np.bincount(at) > 1))[at], 0
+            start = 0
             for r, k in zip(rows, keys):
-                yield _answer_row(r["block"], r["bucket"], _pack(back[start:start + len(k)]), 0, 0, 0, 0)
+                yield _answer_row(r["block"], r["bucket"], _pack(total[at[start:start + len(k)]]), 0, 0, 0, 0)
                 start += len(k)
             yield _answer_row(None, rows[0]["bucket"], b"", int((total > 0).sum()), int((total == 1).sum()),
                               int((total == 2).sum()), int(total.sum()))
 
-    return questions.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _ANSWER)
+    n = max(n_buckets, _partitions(questions))
+    return questions.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _ANSWER)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _answer_row(block, bucket, counts, n, n1, n2, total) -> pa.RecordBatch:
@@ -193,14 +207,14 @@ def _answer_row(block, bucket, counts, n, n1, n2, total) -> pa.RecordBatch:
                                       names=["block", "bucket", "counts", "n", "n1", "n2", "total"])
 
 
-def _with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
+def _with_answers(blocks: DataFrame, n_parts: int, **answers: DataFrame) -> DataFrame:
     """Blocks and the answers to them, brought together by block."""
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in blocks.schema if f.name != "block"]
     out = blocks.select("*", F.lit("").alias("kind"), F.lit(None).cast("int").alias("bucket"),
                         F.lit(None).cast("binary").alias("counts"))
     for kind, rows in answers.items():
         out = out.unionByName(rows.where("block IS NOT NULL").select("block", *empty, F.lit(kind).alias("kind"), "bucket", "counts"))
-    return out.repartition("block").sortWithinPartitions("block", "kind")
+    return out.repartition(max(n_parts, _partitions(blocks)), "block").sortWithinPartitions("block", "kind")
 
 
 def _read(rows: list[dict]) -> tuple[Block, dict[str, dict[int, bytes]]]:
@@ -270,35 +284,29 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     n_words = max(1, math.ceil((size["types"] or 0) / BUCKET_ENTRIES))
     n_pairs = max(1, math.ceil((size["tokens"] or 0) / BUCKET_ENTRIES))
 
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                yield _questions(b.block, b.types, b.own, n_words)
+    def ask(what: str, n_buckets: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _grouped(batches, "block"):
+                b = Block(rows[0])
+                if what == "words":
+                    yield _questions(b.block, b.types, b.own, n_buckets)
+                else:
+                    b.bigrams()
+                    yield _questions(b.block, b.pair_hash(), b.own_pairs, n_buckets)
 
-    words = materialize(_answer(blocks.mapInArrow(ask_words, _ASK)), "word-counts")
+        return _answer(blocks.mapInArrow(run, _ASK), n_buckets)
+
+    words = materialize(ask("words", n_words), "word-counts")
     t = words.where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n1", "n2", "total")]).first()
     totals = Totals(t["total"], t["n"], t["n1"], t["n2"])
-
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, "block"):
-            b, got = _read(rows)
-            _, shared = _put_answers(b.types, n_words, got["words"])
-            b.bigrams()
-            ask = b.open_pairs(shared)
-            if len(ask):
-                yield _questions(b.block, b.pair_hash()[ask], b.own_pairs[ask], n_pairs)
-
-    pairs = materialize(_answer(_with_answers(blocks, words=words).mapInArrow(ask_pairs, _ASK)), "pair-counts")
+    pairs = materialize(ask("pairs", n_pairs), "pair-counts")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "block"):
             b, got = _read(rows)
-            counts, shared = _put_answers(b.types, n_words, got["words"])
+            counts = _put_answers(b.types, got["words"])
             b.bigrams()
-            pair_counts = b.own_pairs.copy()
-            ask = b.open_pairs(shared)
-            pair_counts[ask], _ = _put_answers(b.pair_hash()[ask], n_pairs, got["pairs"])
+            pair_counts = _put_answers(b.pair_hash(), got["pairs"])
             automaton = BackoffAutomaton(counts, b.state, b.label, pair_counts, totals, mu)
             known = np.add.reduceat((counts > 0)[b.tokens].astype(np.int64), b.first)
             base = np.add.reduceat(totals.base(counts)[b.tokens], b.first)
@@ -310,5 +318,6 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()),
                            T.StructField("score", T.DoubleType())])
-    out = _with_answers(blocks, words=words, pairs=pairs).mapInArrow(finish, schema)
+    n_parts = math.ceil((size["tokens"] or 0) / PART_TOKENS)
+    out = _with_answers(blocks, n_parts, words=words, pairs=pairs).mapInArrow(finish, schema)
     return out.withColumn("train_tokens", F.lit(totals.tokens).cast("long"))
