@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equilens.operators.prefix import quantile_values, running_sums
-from equilens.operators.profile import equal_width_bin, equal_width_edges, value_counts
+from equilens.operators.profile import distinct_values, equal_width_bin, equal_width_edges
 from equilens.operators.sizing import broadcast_if_small
 from equilens.spec import (LOADER_CATEGORICAL_MAX_DISTINCT, LOADER_OBJECT_DISTINCT_RATIO,
                            PROFILE_CATEGORICAL_MAX_DISTINCT, AuditSpec)
@@ -21,29 +21,6 @@ from equilens.spec import (LOADER_CATEGORICAL_MAX_DISTINCT, LOADER_OBJECT_DISTIN
 DICT_BROADCAST_ROWS = 200_000   # labels of a column up to which its dictionary is broadcast
 
 
-def distinct_counts(df: DataFrame, cols, exact_limit: int = 100_000, extra_aggs=()) -> dict:
-    """Exact non-null distinct counts, shuffling raw values only for small-cardinality columns.
-
-    ``extra_aggs`` ride along in the first (approximate) aggregate; their values are
-    returned under their aliases, so callers need no separate pass."""
-    cols = list(cols)
-    first = df.agg(F.count(F.lit(1)).alias("_n"),
-                   *[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)], *extra_aggs).first()
-    small = [c for i, c in enumerate(cols) if first[f"a{i}"] <= exact_limit]
-    large = [c for c in cols if c not in small]
-    out = {c: 0 for c in small}
-    if small:
-        for r in (value_counts(df, small).where(F.col("value").isNotNull())
-                  .groupBy("attr").count().collect()):
-            out[r["attr"]] = r["count"]
-    if large:
-        row = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(large)]).first()
-        out.update({c: row[f"d{i}"] for i, c in enumerate(large)})
-    out["__rows__"] = first["_n"]
-    out["__first__"] = first
-    return out
-
-
 def infer_kinds(df: DataFrame, cols=None, rule: str = "loader") -> DataFrame:
     """``(attr, kind)`` with kind in categorical | numerical | none.
 
@@ -57,13 +34,12 @@ def infer_kinds(df: DataFrame, cols=None, rule: str = "loader") -> DataFrame:
     cols = list(cols or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     strings = [c for c in cols if isinstance(types[c], T.StringType)]
-    dc = distinct_counts(df, cols, extra_aggs=[
-        *[F.count(c).alias(f"nn{i}") for i, c in enumerate(cols)],
-        *[F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"cn{i}") for i, c in enumerate(cols) if c in strings]])
-    info = dc["__first__"]
+    info = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"nn{i}") for i, c in enumerate(cols)],
+                  *[F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"cn{i}") for i, c in enumerate(cols) if c in strings]).first()
+    distinct = {r["attr"]: r["unique_values"] for r in distinct_values(df, cols).collect()}
     rows = []
     for i, c in enumerate(cols):
-        t, nn, d = types[c], info[f"nn{i}"], dc[c]
+        t, nn, d = types[c], info[f"nn{i}"], distinct.get(c, 0)
         if rule == "profile":
             kind = ("numerical" if isinstance(t, T.NumericType) and d > PROFILE_CATEGORICAL_MAX_DISTINCT
                     else "categorical")
@@ -76,7 +52,7 @@ def infer_kinds(df: DataFrame, cols=None, rule: str = "loader") -> DataFrame:
         elif isinstance(t, T.NumericType):
             kind = "categorical" if d < LOADER_CATEGORICAL_MAX_DISTINCT else "numerical"
         elif c in strings and info[f"cn{i}"] == nn:
-            kind = "categorical" if d / dc["__rows__"] < LOADER_OBJECT_DISTINCT_RATIO else "numerical"
+            kind = "categorical" if d / info["rows"] < LOADER_OBJECT_DISTINCT_RATIO else "numerical"
         else:
             kind = "categorical"
         rows.append((c, kind, int(d)))

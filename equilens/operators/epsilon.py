@@ -19,6 +19,7 @@ Pipeline (one plan per call, all protected attributes together):
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -299,12 +300,10 @@ def num_d_terms(df: DataFrame, protected, num, subsets, scale: str = "zscore") -
     euclidean distance on the subset's columns, D' scaled over all n^2 cells (diagonal
     included): zscore (population std), mean, or min (smallest row mean).  Everything
     follows from per-dimension moments of the centred values, gathered in ONE grouping-sets
-    aggregate (d <= 32 dimensions: d^2 sums); rows with a null feature are left out.
+    aggregate (d^2 sums); rows with a null feature are left out.
     """
     num, protected = list(num), list(protected)
     d = len(num)
-    if d > 32:
-        raise ValueError("num-d moments are limited to 32 numeric features")
     rows = df.where(F.greatest(*[F.col(c).isNull() for c in num]) == False) if d > 1 else \
         df.where(F.col(num[0]).isNotNull())  # noqa: E712
     means = rows.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in num]).first()
@@ -354,18 +353,74 @@ def num_d_terms(df: DataFrame, protected, num, subsets, scale: str = "zscore") -
     return out
 
 
+def _complete(df: DataFrame, cols) -> DataFrame:
+    """Rows without a null in ``cols``, these as doubles around their mean (pair distances don't change)."""
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+    mean = rows.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    return rows.select(*[F.col(x) if x not in cols else (F.col(x).cast("double") - F.lit(mean[x] or 0.0)).alias(x)
+                         for x in rows.columns])
+
+
+def num_d_cityblock_terms(df: DataFrame, protected, num, subsets, scale: str = "none") -> dict:
+    """``num_d_terms`` for the city-block distance and scale none, mean or min.
+
+    The distance adds up over the columns, and sum_{i<j} |x_i - x_j| = sum_v c_v (v C(v) - W(v)) with
+    the count C and the sum W of all smaller values: sliced running sums of the value counts of
+    all rows and of each group.  ``min`` needs each row's mean distance, which joins every
+    column's value table to the rows.
+    """
+    if scale not in ("none", "mean", "min"):
+        raise ValueError("num-d with the city-block distance is exact for scale none, mean and min")
+    protected, num = list(protected), list(num)
+    rows = _complete(df.select(*dict.fromkeys([*protected, *num])), num).persist()
+    n = rows.count()
+    parts = [F.struct(F.lit(p).alias("protected"), g.alias("g")) for p, g in
+             [("", F.lit("")), *[(p, group_label(p)) for p in protected]]]
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).alias("v")) for c in num]))
+    vc = (rows.select(F.explode(F.array(*parts)).alias("k"), *num).select("k.*", values.alias("i"))
+              .groupBy("protected", "g", "i.attr", "i.v").agg(F.count(F.lit(1)).alias("c")).withColumn("w", F.col("c") * F.col("v")))
+    key = ["protected", "g", "attr"]
+    cum = running_sums(vc.persist(), key, ["v"], ["c", "w"])
+    below = F.col("v") * (F.col("cum_c") - F.col("c")) - (F.col("cum_w") - F.col("w"))
+    sums = cum.groupBy("protected", "attr").agg(F.sum(F.col("c") * below).alias("t"))
+    got = {(r["protected"], r["attr"]): r["t"] for r in sums.collect()}        # one row for each attribute pair
+    subs = [tuple(s) for s in subsets]
+    low = {}
+    if scale == "min" and n:
+        allv = cum.where("protected = ''")
+        far = allv.select("attr", "v", (F.col("v") * (2 * F.col("cum_c") - n) - 2 * F.col("cum_w")).alias("f"))
+        wide = rows.select(*num)
+        for c in num:
+            own = far.where(F.col("attr") == c).select(F.col("v").alias(c), F.col("f").alias(f"f_{c}"))
+            wide = wide.join(own, c)
+        aggs = [F.min(sum((F.col(f"f_{c}") for c in s), F.lit(0.0))).alias(f"m{i}") for i, s in enumerate(subs)]
+        r = wide.agg(*aggs).first()           # the columns are centred, so their total W is zero
+        low = {s: r[f"m{i}"] / n for i, s in enumerate(subs)}
+    vc.unpersist()
+    rows.unpersist()
+    out = {}
+    for p in protected:
+        for s in subs:
+            total = sum(got.get(("", c), 0.0) for c in s)
+            signed = 2 * sum(got.get((p, c), 0.0) for c in s) - total
+            unit = 1.0 if scale == "none" else (2 * total / (n * n) if scale == "mean" and n else low.get(s, 0.0))
+            out[(p, s)] = 0.0 if not s or n < 2 else (signed / unit if unit else float("nan")) / (n * n)
+    return out
+
+
 def epsilon_num_d(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = EpsilonConfig(), metric: str = "sqeuclidean"):
     """Epsilon in num-d mode (default order): R(sub) = sqrt(mean over the subset's categorical
     attributes of S^2) + num_temp(subset's numeric attributes)."""
-    if metric != "sqeuclidean":
-        raise ValueError("num-d is exact only for the sqeuclidean metric (others need all row pairs)")
+    terms_of = {"sqeuclidean": num_d_terms, "cityblock": num_d_cityblock_terms}.get(metric)
+    if terms_of is None:
+        raise ValueError("num-d is exact for sqeuclidean and cityblock only (others need all row pairs)")
     protected = list(spec.protected)
     num = [c for c in spec.numerical if c not in protected]
     cat = [c for c in spec.categorical if c not in protected]
     feats = num + cat
     p = len(feats)
     subsets = [tuple(num)] + [tuple(c for c in num if c != a) for a in num]
-    terms = num_d_terms(df, protected, num, subsets, cfg.scale)
+    terms = terms_of(df, protected, num, subsets, cfg.scale)
     spark = df.sparkSession
     slots = group_slots(groups(df, protected))
     s_cat = diff_cat(wide_counts(df, slots, cat, False), slots) \

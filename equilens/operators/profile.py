@@ -1,11 +1,8 @@
 """Column profile and data-level (model-free) bias.
 
-Plan shape: one wide aggregate for the per-column statistics (count,
-non-null, min/max/mean/std, approximate distinct) and one
-``stack -> groupBy(attr, value)`` aggregate for exact distinct counts and
-value counts.  The value-count shuffle is limited to columns whose
-approximate cardinality is under ``value_count_limit``, so a continuous
-column never shuffles its raw values unless exact counts are requested.
+Plan shape: one wide aggregate for the per-column statistics (count, non-null,
+min/max/mean/std) and one ``explode -> groupBy(attr, value)`` aggregate for exact
+distinct counts and value counts, with map-side combine.
 """
 
 from __future__ import annotations
@@ -23,13 +20,13 @@ def is_numeric(dt) -> bool:
 
 
 def column_stats(df: DataFrame, cols=None) -> DataFrame:
-    """One row per column: rows, non_null, approx_distinct, min, max, mean, std (numerics)."""
+    """One row per column: rows, non_null, min, max, mean, std (numerics)."""
     cols = list(cols or df.columns)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         x = F.col(c)
-        aggs += [F.count(x).alias(f"nn_{i}"), F.approx_count_distinct(x).alias(f"ad_{i}")]
+        aggs.append(F.count(x).alias(f"nn_{i}"))
         if is_numeric(types[c]):
             d = x.cast("double")
             aggs += [F.min(d).alias(f"mn_{i}"), F.max(d).alias(f"mx_{i}"),
@@ -38,7 +35,7 @@ def column_stats(df: DataFrame, cols=None) -> DataFrame:
     null = F.lit(None).cast("double")
     rows = [F.struct(F.lit(c).alias("attr"), F.lit(i).alias("pos"),
                      F.lit(is_numeric(types[c])).alias("numeric"),
-                     F.col(f"nn_{i}").alias("non_null"), F.col(f"ad_{i}").alias("approx_distinct"),
+                     F.col(f"nn_{i}").alias("non_null"),
                      *[(F.col(f"{p}_{i}") if is_numeric(types[c]) else null).alias(n)
                        for p, n in (("mn", "min"), ("mx", "max"), ("av", "mean"), ("sd", "std"))])
             for i, c in enumerate(cols)]
@@ -56,28 +53,32 @@ def value_counts(df: DataFrame, cols) -> DataFrame:
               .groupBy("attr", "value").agg(F.count(F.lit(1)).cast("long").alias("cnt")))
 
 
-def column_profile(df: DataFrame, cols=None, value_count_limit: int = 100_000,
-                   exact_distinct: bool = True) -> DataFrame:
+def distinct_values(df: DataFrame, cols) -> DataFrame:
+    """``(attr, unique_values)``: exact non-null distinct counts of all columns.
+
+    One aggregate over (attr, value) with map-side combine; numbers stay numbers.  A column
+    without values has no row.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    null = F.lit(None)
+    items = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("attr"), (F.col(c).cast("double") if is_numeric(types[c]) else null.cast("double")).alias("x"),
+        (null.cast("string") if is_numeric(types[c]) else F.col(c).cast("string")).alias("s")) for c in cols]))
+    pairs = df.select(items.alias("i")).select("i.*").where(F.col("x").isNotNull() | F.col("s").isNotNull())
+    return pairs.groupBy("attr", "x", "s").agg(F.lit(1).alias("one")) \
+        .groupBy("attr").agg(F.count(F.lit(1)).cast("long").alias("unique_values"))
+
+
+def column_profile(df: DataFrame, cols=None) -> DataFrame:
     """unique_values, missing_count, missing_percentage, kind and continuous stats per column.
 
     kind follows the profile rule: numeric with <= 10 distinct values is
     categorical, other numerics continuous, non-numerics categorical.
     """
     cols = list(cols or df.columns)
-    stats_q = column_stats(df, cols)
-    # one row per column (bounded by the column count): evaluate once, reuse on the driver
-    srows = stats_q.collect()
-    stats = df.sparkSession.createDataFrame(srows, stats_q.schema)
-    small = [r["attr"] for r in srows if r["approx_distinct"] <= value_count_limit]
-    large = [c for c in cols if c not in small]
-    exact = (value_counts(df, small).where(F.col("value").isNotNull())
-             .groupBy("attr").agg(F.count(F.lit(1)).cast("long").alias("unique_values")))
-    if large and exact_distinct:
-        big = df.agg(*[F.count_distinct(F.col(c)).cast("long").alias(c) for c in large])
-        exact = exact.unionByName(big.unpivot([], large, "attr", "unique_values"))
-    prof = stats.join(F.broadcast(exact), "attr", "left")
-    uv = F.coalesce(F.col("unique_values"), F.when(F.col("attr").isin(small), F.lit(0)),
-                    F.col("approx_distinct")).cast("long")
+    # both sides have one row for each column
+    prof = column_stats(df, cols).join(distinct_values(df, cols), "attr", "left")
+    uv = F.coalesce(F.col("unique_values"), F.lit(0)).cast("long")
     kind = F.when(F.col("numeric") & (uv > PROFILE_CATEGORICAL_MAX_DISTINCT), "continuous").otherwise("categorical")
     cont = kind == "continuous"
     return prof.select(

@@ -907,3 +907,35 @@ wc AS (SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
        FROM closed GROUP BY ws, event_type)""") + """
 SELECT window_start, window_end, protected, group_value, n, tp, fp, fn, tn, n_pos, n_neg,
        round(sum_score_pos, 6) sum_score_pos, round(sum_score_neg, 6) sum_score_neg FROM wc"""
+
+
+# ---- num-d on the labelled documents: dense matrix of all row pairs -------------------------
+def _num_d_docs_sql(dist, scaled):
+    prot, cat = ("lang", "source"), ("quality", "toxic")
+    pg = "pg AS (" + " UNION ALL ".join(f"SELECT '{p}' AS protected, {p} AS g, n_chars, quality, toxic FROM docs" for p in prot) + ")"
+    cc = "cc AS (" + " UNION ALL ".join(f"SELECT protected, g, '{c}' AS attr, {c} AS v, count(*) AS n FROM pg GROUP BY protected, g, {c}"
+                                        for c in cat) + ")"
+    return _with(
+        DOCS, pg, cc,
+        "tot AS (SELECT protected, g, attr, sum(n) AS t FROM cc GROUP BY ALL)",
+        """pv AS (SELECT a.protected, a.g AS g1, b.g AS g2, a.attr, v.v,
+             coalesce((SELECT n FROM cc WHERE (protected, g, attr, v) = (a.protected, a.g, a.attr, v.v)), 0) AS n1,
+             coalesce((SELECT n FROM cc WHERE (protected, g, attr, v) = (b.protected, b.g, a.attr, v.v)), 0) AS n2, a.t AS t1, b.t AS t2
+           FROM tot a JOIN tot b ON a.protected = b.protected AND a.attr = b.attr AND a.g < b.g
+           JOIN (SELECT DISTINCT attr, v FROM cc) v ON v.attr = a.attr)""",
+        """s AS (SELECT protected, g1, g2, attr, avg(abs(n1 / t1 - n2 / t2)) AS s FROM pv WHERE n1 > 0 OR n2 > 0 GROUP BY ALL)""",
+        f"""dm AS (SELECT a.doc_id AS i, b.doc_id AS j, a.lang = b.lang AS same_lang, a.source = b.source AS same_source,
+             {dist} AS d FROM docs a CROSS JOIN docs b)""",
+        "st AS (SELECT avg(d) AS mu, stddev_pop(d) AS sd, count(*) AS nn FROM dm)",
+        "term AS (" + " UNION ALL ".join(
+            f"SELECT '{p}' AS protected, sum(({scaled}) * (CASE WHEN same_{p} THEN 1 ELSE -1 END)) / any_value(nn) AS x FROM dm, st WHERE i < j"
+            for p in prot) + ")",
+        """r AS (SELECT protected, g1, g2, 'n_chars' AS attr, sqrt(avg(s * s)) AS r FROM s GROUP BY ALL
+           UNION ALL SELECT s.protected, g1, g2, CASE attr WHEN 'quality' THEN 'toxic' ELSE 'quality' END, abs(s) + x
+                     FROM s JOIN term USING (protected))""",
+        "u AS (SELECT protected, attr, avg(r) AS u FROM r GROUP BY ALL)") + """
+SELECT protected, attr, round(abs(u - avg(u) OVER (PARTITION BY protected)) / 3, 6) AS epsilon FROM u"""
+
+
+ORACLE["epsilon_num_d_docs"] = _num_d_docs_sql("(a.n_chars - b.n_chars) ^ 2", "(d - mu) / sd")
+ORACLE["epsilon_num_d_cityblock"] = _num_d_docs_sql("abs(a.n_chars - b.n_chars)", "d / mu")

@@ -765,6 +765,21 @@ def q_epsilon_num_d(spark, sf):
     return finalize(eps_ops.epsilon_num_d(fx.audit(spark, sf), A))
 
 
+D_NUM_D = type(A)("doc_id", ("lang", "source"), ("n_chars",), ("quality", "toxic"))
+
+
+@register("epsilon_num_d_docs")
+def q_epsilon_num_d_docs(spark, sf):
+    """num-d (sqeuclidean, z-scored) on the labelled documents, few enough for a dense oracle."""
+    return finalize(eps_ops.epsilon_num_d(fx.docs(spark, sf), D_NUM_D))
+
+
+@register("epsilon_num_d_cityblock")
+def q_epsilon_num_d_cityblock(spark, sf):
+    """num-d with the city-block distance, scaled by its mean."""
+    return finalize(eps_ops.epsilon_num_d(fx.docs(spark, sf), D_NUM_D, EpsilonConfig(scale="mean"), "cityblock"))
+
+
 @register("epsilon_docs_ks")
 def q_epsilon_docs_ks(spark, sf):
     """KS on the docs fixture: 20 source groups become 20 pivot slots (190 pair statistics)."""

@@ -204,3 +204,25 @@ def test_num_d_terms_match_dense_matrix(spark, scale):
         mask = np.triu(np.ones_like(dm, dtype=bool), k=1)
         ref = (dm * (2 * delta - 1) * mask).mean()
         assert got[("o", sub)] == pytest.approx(ref, rel=1e-8, abs=1e-12)
+
+
+@pytest.mark.parametrize("scale", ["none", "mean", "min"])
+def test_num_d_cityblock_matches_dense_matrix(spark, scale):
+    import numpy as np
+    rnd = random.Random(8)
+    rows = [(rnd.choice("PQR"), rnd.choice("uv"), round(rnd.gauss(5, 3), 1), rnd.uniform(0, 40)) for _ in range(80)] + [("P", "u", None, 1.0)]
+    df = spark.createDataFrame(rows, "o string, q string, a double, b double")
+    got = E.num_d_cityblock_terms(df, ["o", "q"], ["a", "b"], [("a", "b"), ("b",), ()], scale)
+    full = [r for r in rows if r[2] is not None]
+    for p in (0, 1):
+        lab = np.array([r[p] for r in full])
+        for sub, cols in ((("a", "b"), [2, 3]), (("b",), [3])):
+            x = np.array([[r[k] for k in cols] for r in full])
+            dm = np.abs(x[:, None, :] - x[None, :, :]).sum(-1)
+            dm = dm / {"none": 1.0, "mean": dm.mean(), "min": dm.mean(axis=1).min()}[scale]
+            delta = (lab[:, None] == lab[None, :]).astype(int)
+            ref = (dm * (2 * delta - 1) * np.triu(np.ones_like(dm, dtype=bool), k=1)).mean()
+            assert got[("oq"[p], sub)] == pytest.approx(ref, rel=1e-8, abs=1e-12)
+        assert got[("oq"[p], ())] == 0.0
+    with pytest.raises(ValueError):
+        E.num_d_cityblock_terms(df, ["o"], ["a"], [("a",)], "zscore")
