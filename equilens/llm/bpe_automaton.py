@@ -100,11 +100,19 @@ class Automaton:
                     token.append(-1)
                 node = children[node][byte]
             token[node] = i
-        self.step = np.zeros((len(children), 256), np.int32)       # 0: no such spelling
-        for node, kids in enumerate(children):
-            for byte, child in kids.items():
-                self.step[node, byte] = child
-        self.token = np.array(token, np.int32)
+        # nodes with children come first, so the table has no rows for the many ends
+        inner = [n for n, kids in enumerate(children) if kids]
+        number = {n: i for i, n in enumerate(inner)}
+        for n, kids in enumerate(children):
+            if not kids:
+                number[n] = len(number)
+        self.n_inner = len(inner)
+        self.step = np.zeros((self.n_inner, 256), np.int32)        # 0: no such spelling
+        for n in inner:
+            for byte, child in children[n].items():
+                self.step[number[n], byte] = number[child]
+        self.token = np.empty(len(token), np.int32)
+        self.token[[number[n] for n in range(len(token))]] = token
 
     def _arc_one(self, x: int, y: int) -> bool:
         """Has the state behind token ``x`` an arc ``y`` after the gadgets applied so far?"""
@@ -187,6 +195,8 @@ class Automaton:
                     ok = self.arcs(last[r, j], t)
                     r, t = r[ok], t[ok]
                 last[r, k + 1] = t
+                on = node < self.n_inner
+                rows, node = rows[on], node[on]
         # walk back along the arcs, all words at once
         at, rows = sizes.copy(), np.arange(len(words))
         found: list[list[int]] = [[] for _ in words]
@@ -213,6 +223,8 @@ class Automaton:
                 t = int(token[node])
                 if t >= 0 and (j == 0 or self._arc_one(state, t)):
                     last[k + 1] = t
+                if node >= self.n_inner:
+                    break
         ids, at = [], len(word)
         while at:
             ids.append(last[at])
@@ -248,6 +260,16 @@ class Encoder:
         for content, i in self.auto.special.items():
             self.add([content], [[i]])
 
+    def keep(self, used: set[str]) -> None:
+        """Forget all chunks but those in use now, the frequent ones among them."""
+        kept = [c for c in self.known if c in used and c not in self.auto.special]
+        rows = np.array([self.known[c] for c in kept], np.int64)
+        begin, sizes, flat = np.cumsum(self.sizes) - self.sizes, self.sizes[rows], self.flat
+        at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin[rows], sizes)
+        self.clear()
+        self.known.update(zip(kept, range(len(self.known), len(self.known) + len(kept))))
+        self.flat, self.sizes = np.concatenate([self.flat, flat[at]]), np.concatenate([self.sizes, sizes])
+
     def add(self, chunks: list[str], ids: list[list[int]]) -> None:
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -263,17 +285,21 @@ class Encoder:
         return CHUNK.findall(text)
 
     def learn(self, chunks: list[str]) -> None:
-        seen: dict[str, int] = {}
-        parts = [[seen.setdefault(w, len(seen)) for w in SPLIT.findall(c)] for c in chunks]
+        # letters alone, with or without the space before, are one pre-token
+        plain = [c for c in chunks if c.isalpha() or c[0] == " " and c[1:].isalpha()]
+        rest = list(set(chunks).difference(plain))
+        seen = dict(zip(plain, range(len(plain))))
+        parts = [[seen.setdefault(w, len(seen)) for w in SPLIT.findall(c)] for c in rest]
         ids = self.auto.encode_words([w.encode("utf-8") for w in seen])
-        self.add(chunks, [ids[p[0]] if len(p) == 1 else [i for w in p for i in ids[w]] for p in parts])
+        self.add(plain + rest, ids[:len(plain)] + [[i for w in p for i in ids[w]] for p in parts])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of each text (empty for null and empty texts)."""
         split = [self.chunks(t) for t in texts]
+        used = set().union(*split)
         if len(self.known) > self.max_chunks:
-            self.clear()
-        new = set().union(*split) - self.known.keys()
+            self.keep(used)
+        new = used - self.known.keys()
         if new:
             self.learn(list(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
