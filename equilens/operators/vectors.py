@@ -38,27 +38,22 @@ def distance_to_centroid(df: DataFrame, vec: str, group: str, key: str, metric:
     return j.select(key, group, F.lit(metric).alias("metric"), d.alias("dist"))
 
 
-MAX_DIM = 512
-
-
 def inverse_covariance(df: DataFrame, vec: str):
-    """Inverse (pseudo-inverse) of the sample covariance of the vectors: one aggregate of
-    sums and cross products (dim^2 values, dim <= MAX_DIM), inverted on the driver."""
+    """Inverse (pseudo-inverse) of the sample covariance of the vectors, inverted on the driver.
+
+    Every position of a vector is one row with the products of its value and all others, so
+    the aggregate has one group and one sum for each dimension (dim x dim numbers).
+    """
     import numpy as np
     dim = df.select(F.max(F.size(vec))).first()[0] or 0
-    if dim > MAX_DIM:
-        raise ValueError(f"vector dimension {dim} exceeds {MAX_DIM}")
-    x = F.col(vec)
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.sum(x[i]).alias(f"s{i}") for i in range(dim)],
-                 *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(dim) for j in range(i, dim)]).first()
-    n = row["n"]
-    mu = np.array([row[f"s{i}"] / n for i in range(dim)])
-    c = np.zeros((dim, dim))
-    for i in range(dim):
-        for j in range(i, dim):
-            c[i, j] = c[j, i] = (row[f"p{i}_{j}"] - n * mu[i] * mu[j]) / (n - 1)
-    return np.linalg.pinv(c)
+    n = df.where(F.col(vec).isNotNull()).count()
+    at = df.select(F.posexplode(vec).alias("i", "x"), F.col(vec).alias("v"))
+    rows = at.groupBy("i").agg(F.sum("x").alias("s"), F.array(*[F.sum(F.col("x") * F.get("v", F.lit(j))) for j in range(dim)])
+                               .alias("p")).collect()
+    mu, prod = np.zeros(dim), np.zeros((dim, dim))
+    for r in rows:
+        mu[r["i"]], prod[r["i"]] = r["s"] / n, r["p"]
+    return np.linalg.pinv((prod - n * np.outer(mu, mu)) / (n - 1))
 
 
 def mahalanobis_to_centroid(df: DataFrame, vec: str, group: str, key: str) -> DataFrame:
