@@ -504,7 +504,8 @@ _E_EXPR = {
 }
 
 
-def _stream_sql(mode):
+def _stream_sql(mode, order=0):
+    by = {0: "k", 1: "v, k", -1: "v DESC, k"}[order]
     if mode in ("d4A", "d4B"):
         vals = [float(x) for x in range(3, 23, 2)]
         if mode == "d4B":
@@ -521,7 +522,7 @@ SELECT {_KEYS}, l_quantity, round({f(first)}, 6) AS t_first,
 pw(k, r) AS (SELECT 1, CAST(102 % 173 AS BIGINT) UNION ALL SELECT k + 1, (r * 102) % 173 FROM pw WHERE k < 173),
 res AS (SELECT k, r FROM pw WHERE k >= 2 AND r NOT IN (1, 172)),
 nx AS (SELECT k, r AS a, lead(r) OVER (ORDER BY k) AS b FROM res),
-st AS (SELECT row_number() OVER (ORDER BY k) AS j, v FROM (SELECT k, {expr} AS v FROM nx WHERE {cond})
+st AS (SELECT row_number() OVER (ORDER BY {by}) AS j, v FROM (SELECT k, {expr} AS v FROM nx WHERE {cond})
        WHERE v > 0.5 AND v < 2.0),
 ends AS (SELECT (SELECT v FROM st WHERE j = 1) AS first, (SELECT v FROM st ORDER BY j DESC LIMIT 1) AS last,
          (SELECT count(*) FROM st) AS n)
@@ -532,6 +533,8 @@ FROM audit, ends"""
 
 for _mode in ("d4A", "d4B", "E2", "E3", "E4", "E5", "E7", "E8"):
     ORACLE[f"beta_stream_{_mode.lower()}"] = _stream_sql(_mode)
+ORACLE["beta_stream_e2_rising"] = _stream_sql("E2", 1)
+ORACLE["beta_stream_e5_falling"] = _stream_sql("E5", -1)
 
 
 # ---- step 7: re-bin choices and importance ------------------------------------------
@@ -759,6 +762,34 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(label_Y AS INTEGER)
 ORACLE["score_nb_closed"] = _nb_sql()
 
 
+# ---- linear and quadratic discriminants over two features: the 2 x 2 inverse by hand --------
+def _disc_pair_sql(kind):
+    one = lambda y: {
+        "LDA": f"""(i.a * c{y}.m1 + i.b * c{y}.m2) * t.f1 + (i.b * c{y}.m1 + i.d * c{y}.m2) * t.f2
+             - 0.5 * (i.a * c{y}.m1 ^ 2 + 2 * i.b * c{y}.m1 * c{y}.m2 + i.d * c{y}.m2 ^ 2) + ln(c{y}.n / nn.n)""",
+        "QDA": f"""ln(c{y}.n / nn.n) - 0.5 * ln(c{y}.det) - 0.5 * (c{y}.d * (t.f1 - c{y}.m1) ^ 2
+             - 2 * c{y}.b * (t.f1 - c{y}.m1) * (t.f2 - c{y}.m2) + c{y}.a * (t.f2 - c{y}.m2) ^ 2) / c{y}.det"""}[kind]
+    return _with(AUDIT, _LABELED) + f"""
+, sp AS (SELECT *, l_quantity AS f1, l_discount AS f2, {_hb(1)} < 700 AS is_train FROM labeled),
+tr AS (SELECT * FROM sp WHERE is_train), t AS (SELECT * FROM sp WHERE NOT is_train),
+nn AS (SELECT count(*) * 1.0 AS n FROM tr),
+raw AS (SELECT label_Y AS y, count(*) AS n, avg(f1) AS m1, avg(f2) AS m2, var_samp(f1) AS va, covar_samp(f1, f2) AS vb,
+               var_samp(f2) AS vd FROM tr GROUP BY label_Y),
+cls AS (SELECT y, n, m1, m2, 0.99 * va + 0.01 AS a, 0.99 * vb AS b, 0.99 * vd + 0.01 AS d,
+               (0.99 * va + 0.01) * (0.99 * vd + 0.01) - (0.99 * vb) ^ 2 AS det FROM raw),
+po AS (SELECT sum((n - 1) * va) / (sum(n) - 2) AS a, sum((n - 1) * vb) / (sum(n) - 2) AS b, sum((n - 1) * vd) / (sum(n) - 2) AS d FROM raw),
+i AS (SELECT d / (a * d - b * b) AS a, -b / (a * d - b * b) AS b, a / (a * d - b * b) AS d FROM po),
+j AS (SELECT t.*, {one(0)} AS d0, {one(1)} AS d1
+      FROM t, nn, i, (SELECT * FROM cls WHERE y = 0) c0, (SELECT * FROM cls WHERE y = 1) c1)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(label_Y AS INTEGER) AS label_Y,
+       CAST(CASE WHEN d1 > d0 THEN 1 ELSE 0 END AS INTEGER) AS pred_Y, round(1.0 / (1.0 + exp(d0 - d1)), 4) AS score_S,
+       o_orderpriority, c_mktsegment FROM j"""
+
+
+ORACLE["score_lda_two_features"] = _disc_pair_sql("LDA")
+ORACLE["score_qda_two_features"] = _disc_pair_sql("QDA")
+
+
 # ---- metrics of the closed-form model, protected bins, one-hot slots -------------------------
 def _nb_scored(table):
     """``scored`` for the metric CTEs: the closed-form model over the rows of ``table``."""

@@ -343,12 +343,12 @@ def q_transform_validity(spark, sf):
     return tr_ops.validity(fx.audit(spark, sf), A, VALIDITY_CANDIDATES, D4A, multi="t2")
 
 
-def _stream_query(mode):
+def _stream_query(mode, order=0):
     # integer betas up to 21 overflow the significant digits of x^beta: use the log transform there
     method = "log" if mode == "d4A" else "poly"
 
     def q(spark, sf):
-        s = beta_stream(mode, spark=spark)
+        s = beta_stream(mode, order=order, spark=spark)
         a = _audit_cols(spark, sf, "l_quantity")
         x = F.col("l_quantity").cast("double")
         return finalize(a.select(*KEYS, "l_quantity", multi_transform(x, s, 0, method).alias("t_first"),
@@ -359,6 +359,8 @@ def _stream_query(mode):
 
 for _mode in ("d4A", "d4B", "E2", "E3", "E4", "E5", "E7", "E8"):
     register(f"beta_stream_{_mode.lower()}")(_stream_query(_mode))
+register("beta_stream_e2_rising")(_stream_query("E2", 1))
+register("beta_stream_e5_falling")(_stream_query("E5", -1))
 
 
 # ---- step 7: re-bin choices and importance -------------------------------------
@@ -663,6 +665,19 @@ for _k in ("NB", "LDA", "QDA"):
     register(f"score_{_k.lower()}_closed")(_disc_query(_k))
 
 
+def _disc_pair_query(kind):
+    """Two features, so that the oracle can invert the covariance by hand."""
+    def q(spark, sf):
+        d = audit_split(spark, sf)
+        return finalize(disc_ops.fit_score(d.where("is_train"), d.where("not is_train"), ["l_quantity", "l_discount"],
+                                           A.protected, kind, keep=KEYS), scale=4)
+    return q
+
+
+for _k in ("LDA", "QDA"):
+    register(f"score_{_k.lower()}_two_features")(_disc_pair_query(_k))
+
+
 @register("run_status")
 def q_run_status(spark, sf):
     mh = _scored_history(spark, sf)
