@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from equilens.operators.prefix import quantile_values, running_sums
 from equilens.operators.profile import distinct_values, equal_width_bin, equal_width_edges
-from equilens.operators.sizing import broadcast_if_small
+from equilens.operators.sizing import broadcast_if_small, written
 from equilens.spec import (LOADER_CATEGORICAL_MAX_DISTINCT, LOADER_OBJECT_DISTINCT_RATIO,
                            PROFILE_CATEGORICAL_MAX_DISTINCT, AuditSpec)
 
@@ -156,14 +156,13 @@ def label_encode(df: DataFrame, cols, dictionary: DataFrame | None = None) -> Da
     """
     cols = list(cols)
     d = dictionary if dictionary is not None else encoding_dictionary(df, cols)
-    d = d.select("attr", "code", "label").persist()
+    d = written(d.select("attr", "code", "label"), "dictionary")
     out = df
     for c in cols:
         dc = d.where(F.col("attr") == c).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
         out = (out.join(broadcast_if_small(dc, DICT_BROADCAST_ROWS),
                         F.coalesce(F.col(c).cast("string"), F.lit("NaN")) == F.col("_label"), "left")
                   .select(*[F.col("_code").cast("int").alias(c) if x == c else F.col(x) for x in out.columns]))
-    d.unpersist()
     return out
 
 

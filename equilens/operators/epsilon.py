@@ -380,7 +380,7 @@ def num_d_cityblock_terms(df: DataFrame, protected, num, subsets, scale: str = "
     vc = (rows.select(F.explode(F.array(*parts)).alias("k"), *num).select("k.*", values.alias("i"))
               .groupBy("protected", "g", "i.attr", "i.v").agg(F.count(F.lit(1)).alias("c")).withColumn("w", F.col("c") * F.col("v")))
     key = ["protected", "g", "attr"]
-    cum = running_sums(vc.persist(), key, ["v"], ["c", "w"])
+    cum = running_sums(vc, key, ["v"], ["c", "w"])
     below = F.col("v") * (F.col("cum_c") - F.col("c")) - (F.col("cum_w") - F.col("w"))
     sums = cum.groupBy("protected", "attr").agg(F.sum(F.col("c") * below).alias("t"))
     got = {(r["protected"], r["attr"]): r["t"] for r in sums.collect()}        # one row for each attribute pair
@@ -396,7 +396,6 @@ def num_d_cityblock_terms(df: DataFrame, protected, num, subsets, scale: str = "
         aggs = [F.min(sum((F.col(f"f_{c}") for c in s), F.lit(0.0))).alias(f"m{i}") for i, s in enumerate(subs)]
         r = wide.agg(*aggs).first()           # the columns are centred, so their total W is zero
         low = {s: r[f"m{i}"] / n for i, s in enumerate(subs)}
-    vc.unpersist()
     rows.unpersist()
     out = {}
     for p in protected:

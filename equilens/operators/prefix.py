@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equilens.operators.sizing import written
+
 MIN_SLICES, MAX_SLICES = 8, 200     # bounds in the plan; rows of a slice: about rows / slices
 
 
@@ -49,6 +51,7 @@ def running_sums(df: DataFrame, keys, order, sum_cols, slice_by: Column | None =
     once the totals are measured.
     """
     keys, order, sum_cols = list(keys), list(order), list(sum_cols)
+    df = written(df, "ordered")                # read three times: bounds, totals, sums
     by = F.col(order[0]).cast("double") if slice_by is None else slice_by
     sliced = df.withColumn("_slice", slice_of(df, by, n_slices or slice_count(df)))
     starts = _slice_starts(sliced, keys, sum_cols)
