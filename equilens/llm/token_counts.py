@@ -133,7 +133,8 @@ class ChunkCounter:
                 extra[i] = len(self.table.split_special.findall(chunk))
                 parts = self.table.split_special.split(chunk)
             for part in parts:
-                for word in self.table.pattern.findall(lower_each(unicodedata.normalize("NFC", part))):
+                part = lower_each(part if part.isascii() else unicodedata.normalize("NFC", part))
+                for word in (part,) if part.isalpha() else self.table.pattern.findall(part):
                     words.append(seen.setdefault(word, len(seen)))
                     owner.append(i)
         if words:
@@ -143,9 +144,10 @@ class ChunkCounter:
 
     def count(self, texts: list[str | None]) -> list[int]:
         split = [white_chunks(t) if t else [] for t in texts]
-        if len(self.known) > self.max_chunks:
-            self.known.clear()
-        new = set().union(*split) - self.known.keys()
+        used = set().union(*split)
+        if len(self.known) > self.max_chunks:       # keep what is in use now, the frequent chunks among it
+            self.known = {c: n for c, n in self.known.items() if c in used}
+        new = used - self.known.keys()
         if new:
             self.learn(list(new))
         get = self.known.__getitem__
