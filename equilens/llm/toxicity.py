@@ -173,7 +173,7 @@ def _units(text: str | None) -> tuple[list[str], list[int]]:
 class SentenceFeatures:
     """Largest kernel value per landmark for every sentence; keeps the units it has seen, boundedly."""
 
-    def __init__(self, kernel: Kernel, max_units: int = 250_000):
+    def __init__(self, kernel: Kernel, max_units: int = 150_000):
         self.kernel, self.max_units = kernel, max_units
         self.clear()
 
@@ -184,14 +184,17 @@ class SentenceFeatures:
     def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Features of all sentences and the number of sentences of each text."""
         split = [_units(t) for t in texts]
-        if len(self.known) > self.max_units:
-            self.clear()
-        new = list(set().union(*(u for u, _ in split)) - self.known.keys())
+        used = set().union(*(u for u, _ in split))
+        if len(self.known) > self.max_units:        # keep what is in use now, the frequent units among it
+            kept = [u for u in self.known if u in used]
+            self.rows = self.rows[[self.known[u] for u in kept]]
+            self.known = dict(zip(kept, range(len(kept))))
+        new = list(used - self.known.keys())
         if new:
             first = len(self.known)
             need = first + len(new)
             if need > len(self.rows):
-                grown = np.zeros((max(need, 2 * len(self.rows)), self.rows.shape[1]), np.float32)
+                grown = np.zeros((need + (1 << 15), self.rows.shape[1]), np.float32)
                 grown[:first] = self.rows[:first]
                 self.rows = grown
             self.rows[first:need] = self.kernel.of_units(new)
