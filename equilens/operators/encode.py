@@ -185,12 +185,13 @@ def binarize_target(df: DataFrame, target: str, out: str = "label_Y") -> DataFra
     numeric = isinstance(t, T.NumericType)
     y = F.col(target)
     raw = y.cast("double") if numeric else F.coalesce(y.cast("string"), F.lit("NaN"))
-    # nulls, extremes and whether a third value exists: one aggregate and one filtered row
+    # nulls, extremes and whether a third value exists: one aggregate, and one filtered row where it
+    # may not.  A sketch of two values has two filled registers at most, so it can't estimate 10
     st = df.select(raw.alias("_y")).agg(F.count(F.lit(1)).alias("n"), F.count("_y").alias("nn"), F.min("_y").alias("lo"),
-                                        F.max("_y").alias("hi")).first()
+                                        F.max("_y").alias("hi"), F.approx_count_distinct("_y").alias("about")).first()
     lo, hi = st["lo"], st["hi"]
-    more = lo is not None and lo != hi and not df.select(raw.alias("_y")).where(
-        (F.col("_y") != F.lit(lo)) & (F.col("_y") != F.lit(hi))).isEmpty()
+    more = lo is not None and lo != hi and (st["about"] >= 10 or not df.select(raw.alias("_y")).where(
+        (F.col("_y") != F.lit(lo)) & (F.col("_y") != F.lit(hi))).isEmpty())
     if numeric and lo is not None and (more or st["nn"] < st["n"]):
         # nulls take the median, which they do not move; it may itself be a third value
         med = quantile_values(df, target, [0.5])[0]

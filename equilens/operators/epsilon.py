@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from equilens.operators.pairs import (PAIR, Slots, counters, group_label, group_slots, merge_values,  # noqa: F401
                                       pair_aggregate, wide_counts, with_totals)
 from equilens.operators.prefix import running_sums
+from equilens.operators.sizing import written
 from equilens.spec import AuditSpec, EpsilonConfig
 
 
@@ -145,7 +146,8 @@ def difference_table(df: DataFrame, spec: AuditSpec, cfg: EpsilonConfig = Epsilo
     st = numeric_group_stats(df, protected, num) if num else None
     slots = None
     if cat or cfg.num != "num-a":
-        # the groups come with the numeric aggregate where there is one
+        # the groups come with the numeric aggregate where there is one; it has a row for each group and feature
+        st = written(st, "moments") if st is not None else None
         slots = group_slots(st if st is not None else groups(df, protected))
     if num:
         if cfg.num == "num-a":

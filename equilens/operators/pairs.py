@@ -14,8 +14,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equilens.operators.sizing import written
+
 PAIR = ["protected", "g1", "g2"]
-PAIRS_PER_PASS = 200      # aggregate expressions of one pass; more pairs take further passes
+PAIRS_PER_PASS = 40       # pairs of one aggregate; more pairs take further passes, each written by itself
 
 Slots = dict[str, list[str]]
 
@@ -41,12 +43,14 @@ def wide_counts(df: DataFrame, slots: Slots, cols, numeric: bool) -> DataFrame:
     for j, (p, gs) in enumerate(slots.items()):
         at = F.create_map(*[x for i, g in enumerate(gs) for x in (F.lit(g), F.lit(i))])
         slot.append(at[group_label(p)].alias(f"s{j}"))
-    items = F.explode(F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).cast("double" if numeric else "string").alias("v"))
-                                for c in cols]))
+    items = F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), F.col(c).cast("double" if numeric else "string").alias("v"))
+                                for i, c in enumerate(cols)]))
     rows = df.select(*slot, items.alias("i")).select(*[f"s{j}" for j in range(len(slots))], "i.attr", "i.v").where(F.col("v").isNotNull())
     names = list(slots)
-    return rows.groupBy("attr", "v").agg(*[
+    wide = rows.groupBy("attr", "v").agg(*[
         F.sum((F.col(f"s{names.index(p)}") == i).cast("long")).alias(c) for p, i, c in counters(slots)])
+    # attributes travel as numbers and get their names afterwards
+    return wide.withColumn("attr", F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("attr") + 1))
 
 
 def merge_values(wide: DataFrame, slots: Slots, v: Column) -> DataFrame:
@@ -65,7 +69,9 @@ def pair_aggregate(wide: DataFrame, slots: Slots, make: Callable[[str, str], dic
     """``(protected, g1, g2, attr, <names>)``: ``make(counter 1, counter 2)`` gives the aggregates of one pair."""
     name = {(p, i): c for p, i, c in counters(slots)}
     pairs = [(p, i, k) for p, gs in slots.items() for i, k in combinations(range(len(gs)), 2)]
-    out = None
+    out, several = None, len(pairs) > PAIRS_PER_PASS
+    if several:
+        wide = written(wide, "counters")
     for start in range(0, max(len(pairs), 1), PAIRS_PER_PASS):
         aggs, rows = [], []
         for x, (p, i, k) in enumerate(pairs[start:start + PAIRS_PER_PASS]):
@@ -80,5 +86,7 @@ def pair_aggregate(wide: DataFrame, slots: Slots, make: Callable[[str, str], dic
             return empty.withColumn("shift", F.lit(0.0)).groupBy(*PAIR, "attr").agg(*[c.alias(n) for n, c in none.items()])
         part = wide.groupBy("attr").agg(*aggs).select("attr", F.explode(F.array(*rows)).alias("x")) \
             .select("x.protected", "x.g1", "x.g2", "attr", *[f"x.{n}" for n in make(*[name[pairs[0][0], 0]] * 2)])
+        if several:                             # keeps the expressions of one plan few
+            part = written(part, "pairs")
         out = part if out is None else out.unionByName(part)
     return out

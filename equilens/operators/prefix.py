@@ -107,11 +107,11 @@ def quantile_table(df: DataFrame, cols, qs) -> dict:
     The columns are stacked, so one value-count aggregate and one ordered pass serve all.
     """
     cols, qs = list(cols), [float(q) for q in qs]
-    items = F.explode(F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).cast("double").alias("v")) for c in cols]))
+    items = F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
     vc = _value_counts(df, items).persist()
     got = {(r["attr"], round(r["q"], 12)): r["value"] for r in _ranked_values(vc, qs).collect()}
     vc.unpersist()
-    return {c: [got.get((c, round(q, 12))) for q in qs] for c in cols}
+    return {c: [got.get((i, round(q, 12))) for q in qs] for i, c in enumerate(cols)}
 
 
 def quantile_values(df: DataFrame, col: str, qs) -> list:
