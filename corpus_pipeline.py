@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that repeat an earlier three-line passage; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Every document, without lines that repeat an earlier passage (three lines, or over 50 words on fewer); ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs, long_words=line_dedup.LONG_WORDS)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -45,7 +45,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 @register
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier three-line passage."""
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed_lines="removed")
+    return _line_counts(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed_lines="removed"))
+
+
+def _line_counts(out: DataFrame) -> DataFrame:
     lines = F.when(F.col("text").isNull(), 0).when((F.col("text") == "") & (F.size("removed") > 0), 0) \
         .otherwise(F.size(F.split("text", "\n")))
     return out.select("doc_id", "text", lines.cast("long").alias("n_lines"),
@@ -70,6 +73,31 @@ FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
 
+@register
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_line_dedup, and without passages of over 50 words that repeat as one or two lines."""
+    return _line_counts(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed_lines="removed",
+                                               long_words=line_dedup.LONG_WORDS))
+
+
+ORACLE["op2_passage_dedup"] = """
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+win AS (SELECT doc_id, i, n, array_to_string(a[i:i+n-1], chr(10)) AS w
+        FROM docs, (VALUES (1), (2), (3)) AS s(n), unnest(generate_series(1, len(a))) AS t(i) WHERE i + n - 1 <= len(a)),
+later AS (SELECT doc_id, i, n FROM (
+            SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, w ORDER BY doc_id, i) AS k FROM win
+            WHERE len(regexp_extract_all(w, '[^\\x20\\x09-\\x0D]+')) > CASE n WHEN 3 THEN 0 ELSE 50 END) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM later, (VALUES (0), (1), (2)) AS s(d) WHERE d < n),
+kept AS (SELECT docs.doc_id, string_agg(a[j], chr(10) ORDER BY j) AS text, count(*) AS n
+         FROM docs, unnest(generate_series(1, len(a))) AS t(j)
+         WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = docs.doc_id AND gone.i = j) GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT docs.doc_id, CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+       CAST(coalesce(kept.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
 @register
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the word-level BPE vocabulary."""

@@ -47,6 +47,23 @@ def test_lines_of_an_empty_table(spark, docs):
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_long_passages_of_one_and_two_lines(spark):
+    long, a, b = " ".join(f"w{i}" for i in range(51)), " ".join(["a"] * 26), " ".join(["b"] * 25)
+    fifty = " ".join(["c"] * 50)
+    rows = [(1, f"{long}\none"), (2, long), (3, f"x\n{long}\ny\nz"), (4, f"{a}\n{b}"), (5, f"p\n{a}\n{b}\nq"), (6, a),
+            (7, fifty), (8, fifty), (9, None), (10, ""), (11, f"{long}\n{long}"), (12, "k\nl\nm"), (13, "k\nl\nm\nn")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.cut) for r in line_dedup.dedup_lines(frame, removed_lines="cut", long_words=50).collect()}
+    want = dict(rows) | {2: "", 3: "x\ny\nz", 5: "p\nq", 8: fifty, 11: "", 13: "n"}
+    assert {i: t for i, (t, _) in got.items()} == want
+    assert got[3][1] == [1] and got[5][1] == [1, 2] and got[11][1] == [0, 1] and got[8][1] == []
+    # the pipeline's stage takes them out as well
+    import corpus_pipeline
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, frame, "").collect()} == want
+    # without the option the three-line rule stands alone
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()} == {i: t for (i, _), t in brute_lines(rows).items()}
+
+
 def fingerprint(text):
     w = words(lower(text))
     if not w:
