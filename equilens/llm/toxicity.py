@@ -10,6 +10,10 @@ vector machine gives its margin, and a text's margin is that of its most toxic s
 Labels belong to texts, so sentences are labelled in rounds: every sentence of a clean text
 is clean; of a toxic text the sentence with the highest margin and those above zero are toxic.  Landmarks are
 the words whose presence the labels depend on most, counted by Spark over the fitting rows.
+
+Every letter of every script is a symbol of its own.  Words are what stands between spaces: in
+scripts written without spaces only whole runs and their first letters can become landmarks, and
+so can no word of under three letters.
 """
 
 from __future__ import annotations
@@ -32,20 +36,46 @@ from equilens.llm.common import materialize, text_slices
 LAMBDA = 0.7             # weight of one position of span
 DEGREE = 3               # power of the normalised kernel: many weak likenesses do not add up to a strong one
 STEMS = (3, 4, 5)        # lengths of the stems that may be landmarks
+MAX_LOOKUP = 1 << 22     # triples of symbols in a table; of larger alphabets they are searched for
 WINDOW = 24              # longer units are compared in windows of this many characters, half overlapping
-# bytes of Latin-1 text as symbols: the start mark, a-z, accented letters; digits read as the
-# letters they resemble; anything else is 0, which holds a place but matches nothing
-START = b"^"
-_SYMBOLS = [*START, *range(97, 123), *range(0xDF, 0x100)]
-BASE = len(_SYMBOLS) + 1
+# a symbol is the code point of a letter or of a mark that belongs to one, or the start mark;
+# digits read as the letters they resemble; anything else is 0, which holds a place but matches nothing
+START = "^"
+_TOP = 0x32400           # no letters beyond
+
+
+def _is_letter(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LM"
+
+
+@lru_cache(maxsize=2)
+def _symbols(n: int) -> np.ndarray:
+    """Symbol of each of the first ``n`` code points; the last is none."""
+    out = np.fromiter((i if _is_letter(chr(i)) or chr(i) == START else 0 for i in range(n)), np.uint32, n)
+    out[list(b"013457")] = list(b"oieast")
+    return out.astype(np.uint8) if n <= 256 else out
 
 
-_CODES = np.zeros(256, np.uint8)
-_CODES[_SYMBOLS] = np.arange(1, BASE)
-_CODES[list(b"013457")] = _CODES[list(b"oieast")]
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
+def _core(unit: str) -> str:
+    """The unit without what is neither letter, mark nor digit at its ends."""
+    if unit.isascii():
+        return _EDGE.sub("", unit)
+    a, b = 0, len(unit)
+    while a < b and not (unit[a].isalnum() or unit[a] == "_"):
+        a += 1
+    while a < b and not (unit[b - 1].isalnum() or unit[b - 1] == "_" or _is_letter(unit[b - 1])):
+        b -= 1
+    return unit[a:b]
+
+
+def _spelt(word: str) -> bool:
+    """Letters only, with the marks that belong to them."""
+    return word.isalpha() or not word.isascii() and all(map(_is_letter, word))
+
+
 # ---------------------------------------------------------------- kernel
 
 @lru_cache(maxsize=64)
@@ -56,13 +86,19 @@ def _triples(n: int) -> tuple[np.ndarray, ...]:
 
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Flat symbol codes of all units, each after a start mark, and their sizes.  Units hold no line breaks."""
-    text = "\n^" .join(units)
+    text = f"\n{START}".join(units)
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    raw = np.frombuffer(b"^" + text.encode("latin-1", "replace") + b"\n", np.uint8)
+    text = f"{START}{text}\n"
+    try:
+        raw = np.frombuffer(text.encode("latin-1"), np.uint8)
+        symbols = _symbols(256)
+    except UnicodeEncodeError:
+        raw = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), _TOP - 1)
+        symbols = _symbols(_TOP)
     ends = np.flatnonzero(raw == 10)
     size = np.diff(np.concatenate([[-1], ends])) - 1
-    return _CODES[raw[raw != 10]], size
+    return symbols[raw[raw != 10]], size
 
 
 def _code(word: str) -> np.ndarray:
@@ -87,22 +123,44 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        index: dict[int, int] = {}
+        codes = [_code(word) for word in landmarks]
+        # the alphabet: the landmarks' letters from 1 on; 0 is any other, which no landmark has
+        letters = np.unique(np.concatenate([np.zeros(1, np.int64), *codes])).astype(np.int64)
+        letters = letters[letters > 0]
+        self.base = len(letters) + 1
+        self.symbol = np.zeros(max(int(letters.max(initial=0)) + 2, 256), np.int64)
+        self.symbol[letters] = np.arange(1, self.base)
         parts = []
-        for word in landmarks:
-            c = _code(word).astype(np.int64)
-            i, j, k, w = _triples(len(c))
-            ok = (c[i] > 0) & (c[j] > 0) & (c[k] > 0)
-            codes = (c[i] * BASE * BASE + c[j] * BASE + c[k])[ok]
-            parts.append((np.array([index.setdefault(int(x), len(index)) for x in codes], np.int64), w[ok]))
-        self.lookup = np.full(BASE ** 3, -1, np.int16)
-        for code, at in index.items():
-            self.lookup[code] = at
-        self.basis = np.zeros((max(len(index), 1), len(landmarks)), np.float32)
-        for col, (at, w) in enumerate(parts):
-            np.add.at(self.basis[:, col], at, w)
+        for code in codes:
+            i, j, k, w = _triples(len(code))
+            ok = (code[i] > 0) & (code[j] > 0) & (code[k] > 0)
+            parts.append((self._triple(code[None], i, j, k)[0, ok], w[ok]))
+        self.keys = np.unique(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in parts)]))
+        self.lookup = None
+        if self.base ** 3 <= MAX_LOOKUP:
+            self.lookup = np.full(self.base ** 3, -1, np.int16 if len(self.keys) < 1 << 15 else np.int32)
+            self.lookup[self.keys] = np.arange(len(self.keys))
+        self.basis = np.zeros((max(len(self.keys), 1), len(landmarks)), np.float32)
+        for col, (triple, w) in enumerate(parts):
+            np.add.at(self.basis[:, col], np.searchsorted(self.keys, triple), w)
         self.basis /= np.maximum(np.sqrt((self.basis ** 2).sum(axis=0)), 1e-12)
 
+    def _triple(self, codes: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Three places of each row as one number in base ``base``; one with another letter is no landmark's."""
+        if codes.dtype != np.uint8:
+            codes = np.minimum(codes, len(self.symbol) - 1)
+        c = self.symbol[codes]
+        if self.base ** 3 <= MAX_LOOKUP:
+            c = c.astype(np.int32)
+        return c[:, i] * (self.base * self.base) + c[:, j] * self.base + c[:, k]
+
+    def _feature(self, triple: np.ndarray) -> np.ndarray:
+        """Row of ``basis`` for each triple, -1 where no landmark has it."""
+        if self.lookup is not None:
+            return self.lookup[triple]
+        at = np.minimum(np.searchsorted(self.keys, triple), len(self.keys) - 1)
+        return np.where(self.keys[at] == triple, at, -1)
+
     def of_units(self, units: list[str]) -> np.ndarray:
         """``len(units) x m``: the largest value over the windows of each unit."""
         out = np.zeros((len(units), len(self.landmarks)), np.float32)
@@ -131,13 +189,7 @@ class Kernel:
 
     def _block(self, codes: np.ndarray) -> np.ndarray:
         i, j, k, w = _triples(codes.shape[1])
-        c = codes.astype(np.int32)
-        triple = c[:, i] * (BASE * BASE) + c[:, j] * BASE + c[:, k]
-        # a place without a letter gives a code that could collide: rule those out
-        letters = c > 0
-        feat = self.lookup[triple]
-        if not letters.all():
-            feat[~(letters[:, i] & letters[:, j] & letters[:, k])] = -1
+        feat = self._feature(self._triple(codes, i, j, k))
         row, col = np.nonzero(feat >= 0)
         out = np.zeros((len(codes), len(self.landmarks)), np.float32)
         if len(row):
@@ -301,8 +353,8 @@ def _landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str]
             for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                 units, begins = _units(text)
                 for a, b in zip(begins, [*begins[1:], len(units)]):
-                    found = {_EDGE.sub("", u) for u in units[a:b]}
-                    out.append(sorted(u for u in found if 3 <= len(u) <= WINDOW and u.isalpha()))
+                    found = {_core(u) for u in units[a:b]}
+                    out.append(sorted(u for u in found if 3 <= len(u) <= WINDOW and _spelt(u)))
                     t.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), pa.array(t, pa.int32())],
                                              names=["words", "toxic"])

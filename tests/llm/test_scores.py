@@ -157,6 +157,33 @@ def test_kernel_matches_enumeration():
             assert abs(got[i, j] - brute_kernel(u, m)) < 1e-4, (u, m)
 
 
+def test_kernel_of_every_script():
+    marks = ["дурак", "βλάκας", "أحمق", "笨蛋东西", "मूर्ख", "hlupák", "žebrák"]
+    units = [*marks, "д-у-р-а-к", "дуxрак", "дура", "idiot", "hlupak", "東京都民", "\U000323AF\U0010FFFF"]
+    for k in (toxicity.Kernel(marks), toxicity.Kernel([*marks, "".join(map(chr, range(0x4E00, 0x4E00 + 200)))])):
+        got = k.of_units(units)
+        assert (k.lookup is None) == (len(k.landmarks) > len(marks))
+        for i, u in enumerate(units):
+            for j, m in enumerate(marks):
+                assert abs(got[i, j] - brute_kernel(u, m)) < 1e-4, (u, m)
+            assert i >= len(marks) or got[i, i] > 0.999
+
+
+def test_toxicity_learns_other_scripts(spark):
+    rng = np.random.default_rng(6)
+    plain = ["тихий", "день", "город", "письмо", "окно", "сестра", "бумага", "сад", "дом", "река", "поле", "शहर", "नदी", "खिड़की"]
+    line = lambda: " ".join(rng.choice(plain, 8))
+    rows = [(i, f"{line()}. {line()}.", 0) for i in range(120)] + \
+        [(200 + i, f"{line()}. {line()} {('дурак', 'मूर्ख')[i % 2]}! {line()}.", 1) for i in range(120)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"),
+                         spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert {"дурак", "मूर्ख"} <= set(model.landmarks)
+    texts = ["ты дурак", "ты д-у-р-а-к", "तुम मूर्ख हो", "тихий день", "नदी शहर"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r.s for r in frame.select("i", toxicity.score(F.col("text"), model).alias("s")).orderBy("i").collect()]
+    assert min(got[:3]) >= 0.5 > max(got[3:]), got
+
+
 def test_long_units_keep_their_insult():
     k = toxicity.Kernel(["idiot"])
     assert k.of_units(["-" * 200 + "idiot" + "-" * 200])[0, 0] > 0.3
