@@ -21,10 +21,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, combinations
+from itertools import chain, combinations, islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -176,7 +177,7 @@ class Kernel:
             owner, begin, size = (np.concatenate([x[short], more[:, c]]) for c, x in enumerate((owner, begin, size)))
         for n in np.unique(size[size >= 3]).tolist():
             rows = np.flatnonzero(size == n)
-            step = max(1, 100_000 // len(_triples(n)[0]))
+            step = max(1, 3_200_000 // max(32, len(self.landmarks)) // len(_triples(n)[0]))
             for i in range(0, len(rows), step):
                 part = rows[i:i + step]
                 got = self._block(flat[begin[part][:, None] + np.arange(n)])
@@ -226,7 +227,7 @@ class SentenceFeatures:
     """Largest kernel value per landmark for every sentence; keeps the units it has seen, boundedly."""
 
     def __init__(self, kernel: Kernel, max_units: int = 150_000):
-        self.kernel, self.max_units = kernel, max_units
+        self.kernel, self.max_units = kernel, max_units * 32 // max(32, len(kernel.landmarks))
         self.clear()
 
     def clear(self) -> None:
@@ -345,8 +346,12 @@ def _sample(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, per_class
     return materialize(sample.repartition(32, "text"), "toxic-sample")
 
 
-def _landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Words by dependence of the label on their presence (a G statistic), and the most frequent others."""
+def _landmarks(sample: DataFrame, n_clean: int) -> tuple[list[str], list[str]]:
+    """Words by dependence of the label on their presence (a G statistic), and the most frequent others.
+
+    Every word whose statistic is sure enough is a landmark or shares the letters of one from its
+    start on; the sample bounds their number.
+    """
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 1 << 20):
             out, t = [], []
@@ -381,32 +386,34 @@ def _landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str]
     share = (c1 + c0) / (n1 + n0)
     g = term(c1, share * n1) + term(c0, share * n0) + term(n1 - c1, (1 - share) * n1) + term(n0 - c0, (1 - share) * n0)
     counts = counts.where((c1 + c0 >= 3) & (c1 + c0 < n1 + n0)).withColumn("g", F.when(c1 / n1 > c0 / n0, g).otherwise(0.0))
-    found = counts.where("g >= 16").orderBy(F.desc("g"), F.desc(F.length("word")), "word").limit(40 * n_toxic).collect()
+    found = counts.where("g >= 16").orderBy(F.desc("g"), F.desc(F.length("word")), "word").collect()
+    by_word = sorted((r["word"], i) for i, r in enumerate(found))
     toxic: list[str] = []
     for r in found:
         # the longest word that tells nearly as much as its stem stands for it
-        word = max((x["word"] for x in found if x["word"].startswith(r["word"]) and x["g"] >= 0.8 * r["g"]), key=len)
-        if len(toxic) < n_toxic and r["g"] >= 0.05 * found[0]["g"] \
-                and not any(word.startswith(t) or t.startswith(word) for t in toxic):
+        same = takewhile(lambda x: x[0].startswith(r["word"]), islice(by_word, bisect_left(by_word, (r["word"], 0)), None))
+        word = max((x for x in same if found[x[1]]["g"] >= 0.8 * r["g"]), key=lambda x: (len(x[0]), -x[1]))[0]
+        if not any(word.startswith(t) or t.startswith(word) for t in toxic):
             toxic.append(word)
     clean = [r["word"] for r in counts.where("g = 0").orderBy(F.desc("c0"), "word").limit(n_clean).collect()]
     return toxic, clean
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, text: str = "text", doc_id: str = "doc_id",
-        toxic: str = "toxic", n_toxic: int = 24, n_clean: int = 8, per_class: int = 6000, top: int = 5,
+        toxic: str = "toxic", n_clean: int = 8, per_class: int = 6000, top: int = 5,
         rounds: int = 4) -> Model:
     """Fit on the labelled documents whose ``id`` meets the condition ``use``.
 
     The fit takes at most ``per_class`` texts of each label (the documented bound) and
     gathers ``top`` sentences of each on the driver, as kernel values, and two numbers a text.
+    Every word of these with sure evidence is covered by a landmark, however many there are.
     A document labelled twice is toxic if any label says so; null labels and null texts are
     left out; repeated texts count once.  Without texts of both labels the model scores every
     text by the label share.
     """
     marks = materialize(_marks(labels, use, doc_id, toxic), "marks")
     sample = _sample(docs, marks, text, doc_id, per_class)
-    telling, clean = _landmarks(sample, n_toxic, n_clean)
+    telling, clean = _landmarks(sample, n_clean)
     landmarks, n_toxic = telling + clean, len(telling)
     if not telling:
         rate = sample.agg(F.avg("toxic")).first()[0] or 0.0

@@ -1,6 +1,7 @@
 """Quality rules, language-model scores and toxicity against brute force and held-out labels."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -184,6 +185,18 @@ def test_toxicity_learns_other_scripts(spark):
     assert min(got[:3]) >= 0.5 > max(got[3:]), got
 
 
+def test_landmarks_cover_rare_and_many_families(spark):
+    """One dominant insult and forty rare ones: each has sure evidence and becomes a landmark."""
+    names = [a + b + "rx" for a in ("bak", "dom", "fel", "gor", "hiv", "jun", "kel", "lom") for b in ("a", "e", "i", "o", "u")]
+    rows = [(f"word{i % 7} thing{i % 11} n{i}", 0) for i in range(3000)] + [(f"thing{i % 11} idiot n{i}", 1) for i in range(3000)] + \
+        [(f"word{i % 7} {w} m{i}", 1) for w in names for i in range(40)]
+    rows = [(re.sub(r"\d+", lambda m: "".join(chr(97 + int(d)) for d in m[0]), t), y) for t, y in rows]
+    toxic, clean = toxicity._landmarks(spark.createDataFrame(rows, "text string, toxic int"), 8)
+    assert toxic[0] == "idiot" and len(clean) == 8
+    for w in names:
+        assert any(w.startswith(t) or t.startswith(w) for t in toxic), w
+
+
 def test_long_units_keep_their_insult():
     k = toxicity.Kernel(["idiot"])
     assert k.of_units(["-" * 200 + "idiot" + "-" * 200])[0, 0] > 0.3
