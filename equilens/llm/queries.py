@@ -174,9 +174,10 @@ SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
 
 @register
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's record as read back from the archives through the capture index."""
-    folder, directory = warc.build(table(spark, sf_dir, "pages"), min_bytes=0)
-    return warc.read_archives(directory, folder) \
+    """Every page's record as looked up in the archives by its URL (null included) through the capture index."""
+    pages = table(spark, sf_dir, "pages")
+    folder, directory = warc.build(pages, min_bytes=0)
+    return warc.lookup(directory, folder, pages) \
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -297,7 +297,9 @@ def lookup(directory: DataFrame, folder: str, urls: DataFrame, url: str = "url")
                     i += 1
 
     asked = urls.select(F.col(url).alias("url")).distinct().mapInArrow(place, "file string, key string").distinct()
-    return asked.repartition("file", "key").sortWithinPartitions("file", "key").mapInArrow(read, RECORD_FIELDS)
+    # by ranges of keys: a block is opened by one task or two, however many keys are asked for
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.repartitionByRange(parts, "file", "key").sortWithinPartitions("file", "key").mapInArrow(read, RECORD_FIELDS)
 
 
 def build(pages: DataFrame, folder: str | None = None, block: int = BLOCK, **options) -> tuple[str, DataFrame]:

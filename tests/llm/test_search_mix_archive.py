@@ -167,6 +167,17 @@ def test_lookup(spark, pages, tmp_path):
         assert sorted(str(r.page_id) for r in got) == sorted(str(r.page_id) for r in pages.collect() if warc.url_key(r.url) in keys)
 
 
+def test_query_looks_every_url_up(spark, pages, tmp_path, monkeypatch):
+    """The registered query searches the index; it gives what a scan of the archives gives."""
+    pages.select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    folder, directory = warc.build(pages, f"file://{tmp_path}/w", block=4, min_bytes=0)
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = sorted(map(str, warc.read_archives(directory, folder).select(*cols).collect()))
+    monkeypatch.setattr(warc, "read_archives", None)
+    got = sorted(map(str, QUERIES["op9_warc"](spark, str(tmp_path)).collect()))
+    assert got == want and len(got) == pages.count()
+
+
 def test_small_payloads_are_responses(spark, pages, tmp_path):
     folder, directory = warc.build(pages, f"file://{tmp_path}/w", min_bytes=50)
     assert warc.read_archives(directory, folder).where("record_type = 'revisit'").count() == 0
