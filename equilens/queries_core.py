@@ -532,12 +532,16 @@ FEED_PARTS = 5
 
 
 def _feed(spark, sf, path):
-    """The events in time order as ``FEED_PARTS`` deliveries, each one micro-batch of the stream."""
+    """Write the events in time order as ``FEED_PARTS`` deliveries; yields the number of files of each once it is there.
+
+    Every task writes what its part of the table has of a delivery, so none holds a whole delivery.
+    """
     ev = spark.read.parquet(f"{sf}/events.parquet")
     lo, hi = ev.agg(F.min("ts").cast("timestamp").cast("double"), F.max("ts").cast("timestamp").cast("double")).first()
     part = F.least(F.floor((F.col("ts").cast("timestamp").cast("double") - lo) / max(hi - lo, 1.0) * FEED_PARTS), F.lit(FEED_PARTS - 1))
     for i in range(FEED_PARTS):
-        ev.where(part == i).coalesce(1).write.parquet(f"{path}/delivery{i}")
+        ev.where(part == i).write.parquet(f"{path}/delivery{i}")
+        yield len(spark.read.schema(ev.schema).parquet(f"{path}/delivery{i}").inputFiles())
 
 
 def _stream_once(spark, sf, window="1 day", slide=None):
@@ -546,11 +550,12 @@ def _stream_once(spark, sf, window="1 day", slide=None):
     key = (id(spark), sf, window, slide)
     if key not in _STREAMS:
         root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/monitor-{uuid.uuid4().hex[:8]}"
-        _feed(spark, sf, f"{root}/in")
         schema = spark.read.parquet(f"{sf}/events.parquet").schema
-        src = mon.scored_event_stream(spark, f"{root}/in/*", schema)
-        mon.start_monitor(spark, src, "event_type", f"{root}/out", f"{root}/ckpt", window=window,
-                          slide=slide).awaitTermination()
+        # one micro-batch takes all files of a delivery; the checkpoint carries windows and watermark on
+        for files in _feed(spark, sf, f"{root}/in"):
+            src = mon.scored_event_stream(spark, f"{root}/in/*", schema, max_files=max(files, 1))
+            mon.start_monitor(spark, src, "event_type", f"{root}/out", f"{root}/ckpt", window=window,
+                              slide=slide).awaitTermination()
         _STREAMS[key] = root
     return _STREAMS[key]
 

@@ -107,3 +107,24 @@ def test_run_log_sink_roundtrip(spark):
     assert ba[("ACC", 1)] == pytest.approx(0.02) and ba[("SP", 1)] == pytest.approx(-0.1)
     ms = {(r["metric"], r["iteration"]): r["value"] for r in metric_series(mh).collect()}
     assert ms[("SP", 0)] == pytest.approx(0.2)
+
+
+def test_feed_of_a_delivery_has_many_files_in_one_batch(spark, tmp_path):
+    """A delivery is written by several tasks, and its rows enter the stream as one micro-batch."""
+    from equilens import queries_core as qc
+    spark.range(4000).selectExpr("id as event_id", "timestamp_seconds(id * 60) as ts").repartition(8).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "8k")
+    try:
+        files, rows = [], []
+        for n in qc._feed(spark, str(tmp_path), f"{tmp_path}/in"):
+            files.append(n)
+            src = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", n).parquet(f"{tmp_path}/in/*")
+            q = src.writeStream.foreachBatch(lambda b, e: rows.append(b.count())).trigger(availableNow=True) \
+                .option("checkpointLocation", f"{tmp_path}/ckpt").start()
+            q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(files) == qc.FEED_PARTS and min(files) > 1
+    assert len(rows) == qc.FEED_PARTS and sum(rows) == 4000
