@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import bpe_automaton, line_dedup, lm_score, mixing, quality_rules, simhash, token_counts, topk_search, toxicity, warc
+from equilens.llm import (bpe_automaton, hard_negatives, line_dedup, lm_score, mixing, quality_rules, simhash, token_align, token_counts,
+                          topk_search, toxicity, warc, word_shuffle)
 from equilens.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +190,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"),
                        toxicity.score(F.col("text"), model).alias("score")) \
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@register
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, in the score windows of its five best vectors of its own label."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), shifted.alias("label"),
+                                                     topk_search.quantize(F.col("embedding"), 256.0).alias("v"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, n_positives=5, n_negatives=10, low=30, high=90)
+
+
+ORACLE["op11_hard_negatives"] = """
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.u, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS score
+      FROM r a JOIN r c ON a.u <> c.u WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.u, p.k ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.u = s.u WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@register
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and corpus-wide link counts of every document's tokens under two tokenizers."""
+    aligned = token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return token_align.link_counts(aligned.withColumn("groups_sha256", digest), keep=("doc_id", "groups_sha256"))
+
+
+@register
+def op13_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of the bytes they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = word_shuffle.encode(table(spark, sf_dir, "documents"), path, packed=True)
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_u32", 256).alias("ids_sha256"), "ids")
+    back = word_shuffle.decode(coded, path, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

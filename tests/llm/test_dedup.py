@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from equilens.llm import line_dedup, simhash
 
 
-def brute_lines(rows):
-    """Kept lines of (id, text) rows: windows in the order of id and position."""
-    seen, gone = set(), {}
-    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines = (t or "").split("\n")
-        for p in range(len(lines) - 2 if t is not None else 0):
-            w = tuple(lines[p:p + 3])
-            if words("".join(w)):
-                if w in seen:
-                    gone.setdefault((i, t), set()).update((p, p + 1, p + 2))
-                seen.add(w)
+def brute_lines(rows, spans=(3,)):
+    """Kept lines of (id, text) rows: windows of every span in the order of id and position; windows
+    of three lines hold a word, shorter ones over 50."""
+    gone = {}
+    for n in spans:
+        seen = set()
+        for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+            lines = (t or "").split("\n")
+            for p in range(len(lines) - n + 1 if t is not None else 0):
+                w = tuple(lines[p:p + n])
+                if len(words("\n".join(w))) > (0 if n == 3 else 50):
+                    if w in seen:
+                        gone.setdefault((i, t), set()).update(range(p, p + n))
+                    seen.add(w)
     return {(i, t): None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get((i, t), ()))
             for i, t in rows}
 
