@@ -12,6 +12,3 @@ def spark():
     s = build_session("local[4]", shuffle_partitions=4)
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"

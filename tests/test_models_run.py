@@ -7,7 +7,7 @@ from equilens.plans import run as run_ops
 from equilens.sources import fixtures as fx
 from equilens.spec import AuditSpec
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 A = fx.AUDIT_SPEC
 KEYS = list(fx.LINEITEM_KEY)
