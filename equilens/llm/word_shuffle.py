@@ -11,8 +11,8 @@ and what travels by word is the blocks' vocabularies, not their texts.  Words an
 from two passes over the documents, which is cheaper than a written copy of both; a block's
 vocabulary has a digest, so input whose rows change order between the passes is refused.
 
-Decoding explodes ids with positions, joins the table of token bytes (one row for each entry of
-the vocabulary) and puts the bytes together again by position.
+Decoding joins ids with the table of token bytes, which the vocabulary bounds, so every task
+joins its own rows' ids by position, a gather from the table, and puts the bytes together.
 """
 
 from __future__ import annotations
@@ -30,16 +30,16 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from equilens.llm.bpe_automaton import CHUNK
 from equilens.llm.common import text_slices
 from equilens.llm.token_counts import WHITE
 
-BLOCK_BYTES = 32 << 20
-SCAN_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
+SCAN_BYTES = 1 << 20
+ANSWER_WORDS = 500_000                               # answers that a task holds before it sends them on
 SHORT_WORD = 48
 
 # fixed values: letters and numbers that Unicode has got since version 16, which the vocabulary's library doesn't know
@@ -168,11 +168,14 @@ class Vocabulary:
                 self.sizes.append(len(words))
         return found
 
-    def codes(self, found: list[list[str]]) -> list[np.ndarray]:
-        """Word numbers of each text by position."""
+    def rows(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk numbers of the texts one after another, and how many each text has."""
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        rows = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
-        codes, lens = ragged(rows, np.array(self.flat, np.int64), np.array(self.sizes, np.int64))
+        return np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(found)), np.int32, int(counts.sum())), counts
+
+    def codes(self, rows: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Word numbers of each text by position."""
+        codes, lens = ragged(rows, np.array(self.flat, np.int32), np.array(self.sizes, np.int64))
         upto = np.concatenate([[0], np.cumsum(lens)])
         cut = upto[np.concatenate([[0], np.cumsum(counts)])].tolist()
         return [codes[a:b] for a, b in zip(cut, cut[1:])]
@@ -182,32 +185,33 @@ class Vocabulary:
         return xxhash.xxh3_64_intdigest("\0".join(self.words)) >> 1
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], split: regex.Pattern, block_bytes: int):
-    """``(block number, vocabulary, parts)`` with each part's batch and the chunks of its texts."""
+def _blocks(batches: Iterator[pa.RecordBatch], split: regex.Pattern, block_bytes: int, with_rows: bool):
+    """``(block number, vocabulary, parts)``; parts have the columns beside the text, and the chunk numbers of the texts."""
     number, words, parts, held = TaskContext.get().partitionId() << 32, Vocabulary(split), [], 0
     for part in text_slices(batches, "_text", SCAN_BYTES):
-        parts.append((part, words.add(part.column("_text").to_pylist())))
-        held += pc.sum(pc.binary_length(part.column("_text"))).as_py() or 0
+        found = words.add(part.column("_text").to_pylist())
+        if with_rows:
+            parts.append((part.columns[:-1], *words.rows(found)))
+        held += (pc.sum(pc.binary_length(part.column("_text"))).as_py() or 0) + len(part)
         if held >= block_bytes:
             yield number, words, parts
             number, words, parts, held = number + 1, Vocabulary(split), [], 0
-    if parts:
+    if held:
         yield number, words, parts
 
 
 def block_words(texts: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """``(_of, _digest, _code, _word)``: the distinct pre-tokens of each block of ``_text`` rows."""
+    """``(_of, _digest, _code, _word)``: the distinct pre-tokens of each block of ``_text`` rows; the first has the digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop = (b.select(["_text"]) for b in batches)
-        for number, words, _ in _blocks(drop, split_pattern(pattern), block_bytes):
+        for number, words, _ in _blocks(batches, split_pattern(pattern), block_bytes, False):
             digest, names = words.digest(), list(words.words)
-            for i in range(0, len(names), 50_000):
-                n = len(names[i:i + 50_000])
+            for i in range(0, len(names), 20_000):
+                n = len(names[i:i + 20_000])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * n, pa.int64()), pa.array([digest] * n, pa.int64()), pa.array(range(i, i + n), pa.int32()),
-                     pa.array(names[i:i + n], pa.string())], names=["_of", "_digest", "_code", "_word"])
+                    [pa.array([number] * n, pa.int64()), pa.array([None if i + k else digest for k in range(n)], pa.int64()),
+                     pa.array(range(i, i + n), pa.int32()), pa.array(names[i:i + n], pa.string())], names=["_of", "_digest", "_code", "_word"])
 
-    return texts.mapInArrow(run, "_of long, _digest long, _code int, _word string")
+    return texts.select("_text").mapInArrow(run, "_of long, _digest long, _code int, _word string")
 
 
 def block_codes(texts: DataFrame, pattern: str, block_bytes: int, keep: list[str]) -> DataFrame:
@@ -215,40 +219,79 @@ def block_codes(texts: DataFrame, pattern: str, block_bytes: int, keep: list[str
     new = [T.StructField("_block", T.LongType()), T.StructField("_digest", T.LongType()), T.StructField("_codes", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, words, parts in _blocks(batches, split_pattern(pattern), block_bytes):
+        for number, words, parts in _blocks(batches, split_pattern(pattern), block_bytes, True):
             digest, width = words.digest(), width_of(len(words.words))
-            for part, found in parts:
-                n = part.num_rows
-                packed = [pack(c, width) for c in words.codes(found)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in range(len(keep))], pa.array([number] * n, pa.int64()),
-                     pa.array([digest] * n, pa.int64()), pa.array(packed, pa.binary())], names=[*keep, *[f.name for f in new]])
+            for cols, rows, counts in parts:
+                n = len(counts)
+                packed = [pack(c, width) for c in words.codes(rows, counts)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([number] * n, pa.int64()), pa.array([digest] * n, pa.int64()),
+                                                  pa.array(packed, pa.binary())], names=[*keep, *[f.name for f in new]])
 
     return texts.mapInArrow(run, T.StructType([T.StructField(c, texts.schema[c].dataType) for c in keep] + new))
 
 
+_ANSWER = "_of long, _digest long, _n int, _codes binary, _sizes binary, _ids binary"
+
+
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``(_of, _digest, _code, _ids)``: ids of every row's ``_word``, each distinct word encoded once.
+    """Packed ``(_codes, _sizes, _ids)`` of ``_n`` words of block ``_of``; each distinct word is encoded once.
 
-    Equal words meet in one partition and stand together, so one look at the word before is enough.
-    Ids are little-endian unsigned 32-bit integers.
+    Equal words meet in one partition and stand together, so one look at the word before is
+    enough.  A task gathers its answers by block and sends them as byte planes.
     """
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, last, ids = load_ranks(path), None, b""
-        for batch in batches:
+        ranks, last, ids = load_ranks(path), None, []
+        blocks, codes, digests, sizes, flat = [], [], [], [], []
+
+        def send() -> pa.RecordBatch:
+            of, code = np.concatenate(blocks), np.concatenate(codes)
+            size, items = np.array(sizes, np.int64), np.array(flat, np.int64)
+            order = np.argsort(of, kind="stable")
+            cut = [0, *(np.flatnonzero(np.diff(of[order])) + 1).tolist(), len(of)]
             out = []
+            for a, b in zip(cut, cut[1:]):
+                some = order[a:b]
+                some = some[np.argsort(code[some])]
+                got, lens = ragged(some, items, size)
+                out.append((int(of[some[0]]), next((digests[i] for i in some[:1].tolist() if code[i] == 0), None), b - a,
+                            pack(code[some], width_of(int(code[some].max()) + 1)), pack(lens, width_of(int(lens.max()) + 1)),
+                            pack(got, width_of(int(got.max()) + 1))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3))],
+                                              names=[f.split()[0] for f in _ANSWER.split(", ")])
+
+        for batch in batches:
             for word in batch.column("_word").to_pylist():
                 if word != last:
-                    last, ids = word, np.array(encode_word(word.encode("utf-8"), ranks), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_of", "_digest", "_code")], pa.array(out, pa.binary())],
-                                             names=["_of", "_digest", "_code", "_ids"])
+                    last, ids = word, encode_word(word.encode("utf-8"), ranks)
+                sizes.append(len(ids))
+                flat += ids
+            blocks.append(batch.column("_of").to_numpy())
+            codes.append(batch.column("_code").to_numpy())
+            digests += batch.column("_digest").to_pylist()
+            if len(flat) >= ANSWER_WORDS:
+                yield send()
+                blocks, codes, digests, sizes, flat = [], [], [], [], []
+        if sizes:
+            yield send()
 
     # merging is work by the word, not by the byte: the number of tasks doesn't follow the table's size
-    return words.repartition(n, "_word").sortWithinPartitions("_word") \
-        .mapInArrow(run, "_of long, _digest long, _code int, _ids binary")
+    return words.repartition(n, "_word").sortWithinPartitions("_word").mapInArrow(run, _ANSWER)
+
+
+def _unpacked(known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes of a block's words in the order of their codes."""
+    codes, sizes, flat = [], [], []
+    for n, *packed in zip(*[known.column(c).to_pylist() for c in ("_n", "_codes", "_sizes", "_ids")]):
+        c, s = (unpack(x, len(x) // n) for x in packed[:2])
+        total = int(s.sum())
+        codes.append(c)
+        sizes.append(s)
+        flat.append(unpack(packed[2], len(packed[2]) // total))
+    if not codes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return ragged(np.argsort(np.concatenate(codes)), np.concatenate(flat), np.concatenate(sizes))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), packed: bool = False,
@@ -269,13 +312,12 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     new = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("ids_u32", T.BinaryType())] * packed
 
     def assemble(docs: pa.Table, known: pa.Table) -> pa.Table:
-        docs, known = docs.combine_chunks(), known.sort_by("_code").combine_chunks()
-        if pc.unique(docs.column("_digest")).to_pylist()[:2] != (pc.unique(known.column("_digest")).to_pylist()
-                                                                 or [Vocabulary(None).digest()]):
+        docs = docs.combine_chunks()
+        flat, sizes = _unpacked(known)
+        first = known.column("_digest").drop_null().to_pylist() or [Vocabulary(None).digest()]
+        if pc.unique(docs.column("_digest")).to_pylist() != first:
             raise RuntimeError("the rows to encode came in another order the second time; write them first")
-        raw = known.column("_ids").to_pylist()
-        flat, sizes = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        width = width_of(len(raw))
+        width = width_of(len(sizes))
         codes = [unpack(c, width) for c in docs.column("_codes").to_pylist()]
         ids, lens = ragged(np.concatenate(codes) if codes else np.zeros(0, np.int64), flat, sizes)
         upto = np.concatenate([[0], np.cumsum(lens)])
@@ -294,58 +336,41 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
 
 # ---------------------------------------------------------------- decoding
 
-def token_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, bytes)`` of every entry of the rank file: as many rows as the vocabulary has."""
-    rows = [(rank, bytearray(token)) for token, rank in load_ranks(path).items()]
-    return spark.createDataFrame(rows, "_id int, _bytes binary")
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table by id: all bytes, and the begin and length of each id's; one row more, empty, at its end."""
+    ranks = load_ranks(path)
+    table = [b""] * (max(ranks.values(), default=-1) + 2)
+    for token, rank in ranks.items():
+        table[rank] = token
+    sizes = np.fromiter(map(len, table), np.int64, len(table))
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``decoded``, the bytes (binary, UTF-8 or not) that the ids stand for.
 
     Null and empty ids decode to no bytes; so does an id that the vocabulary lacks, or null.
-    The join is a broadcast of the vocabulary, whose size doesn't grow with the data, so a row's
-    ids stay together and in order; positions are checked all the same.
     """
     keep = list(keep)
-    tokens = df.select(F.struct(*keep).alias("_keep"), df[ids].alias("_ids")).select("_keep", F.posexplode_outer("_ids").alias("_pos", "_id"))
-    # a row begins at position 0; its other columns travel with its first token only
-    tokens = tokens.select(F.coalesce("_pos", F.lit(0)).alias("_pos"), "_id",
-                           F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_keep")).alias("_keep"))
-    joined = tokens.join(F.broadcast(token_bytes(df.sparkSession, path)), "_id", "left").select("_pos", "_bytes", "_keep")
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_keep, open_parts, last = None, [], -1    # the row whose end is not in sight, its last position
-
-        def out(keeps: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*keeps.flatten(), pa.array(texts, pa.binary())], names=[*keep, "decoded"])
-
+        data, begin, sizes = token_bytes(path)
+        none = len(sizes) - 1
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            place = batch.column(0).to_numpy()
-            whole = batch.column(1).fill_null(b"").cast(pa.large_binary())
-            ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset:whole.offset + n + 1]
-            data = (whole.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-            first = np.flatnonzero(place == 0)
-            follows = np.concatenate([[last], place[:-1]]) + 1 == place
-            if not (follows | (place == 0)).all():
-                raise RuntimeError("the ids of a row came out of order")
-            stop = int(first[0]) if len(first) else n
-            open_parts.append(data[ends[0]:ends[stop]])
-            if len(first):
-                if open_keep is not None:
-                    yield out(open_keep, [b"".join(open_parts)])
-                cut = ends[np.concatenate([first, [n]])].tolist()
-                texts = [data[a:b] for a, b in zip(cut, cut[1:])]
-                keeps = batch.column(2).take(pa.array(first))
-                if len(texts) > 1:
-                    yield out(keeps.slice(0, len(texts) - 1), texts[:-1])
-                open_keep, open_parts = keeps.slice(len(texts) - 1), [texts[-1]]
-            last = int(place[-1])
-        if open_keep is not None:
-            yield out(open_keep, [b"".join(open_parts)])
-
-    return joined.mapInArrow(run, schema)
+            counts = pc.list_value_length(batch.column("_ids")).fill_null(0).to_numpy()
+            bounds = np.searchsorted(np.cumsum(counts), np.arange(0, counts.sum(), SCAN_BYTES), "left")
+            bounds = np.unique([0, *bounds.tolist(), batch.num_rows]).tolist()
+            for i, j in zip(bounds, bounds[1:]):
+                part = batch.slice(i, j - i)
+                at = pc.fill_null(part.column("_ids").flatten(), none).to_numpy(zero_copy_only=False).astype(np.int64)
+                at[(at < 0) | (at > none)] = none
+                lens = sizes[at]
+                ends = np.concatenate([[0], np.cumsum(lens)])
+                text = data[np.arange(ends[-1]) - np.repeat(ends[:-1] - begin[at], lens)].tobytes()
+                cut = ends[np.concatenate([[0], np.cumsum(counts[i:j])]).astype(np.int64)].tolist()
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(len(keep))],
+                                                  pa.array([text[a:b] for a, b in zip(cut, cut[1:])], pa.binary())], names=[*keep, "decoded"])
+
+    return df.select(*keep, df[ids].alias("_ids")).mapInArrow(run, schema)
