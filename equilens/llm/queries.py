@@ -220,10 +220,9 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 @register
 def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and corpus-wide link counts of every document's tokens under two tokenizers."""
-    aligned = token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                                public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return token_align.link_counts(aligned.withColumn("groups_sha256", digest), keep=("doc_id", "groups_sha256"))
+    return token_align.align_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                   public_tokenizers.path("piece_bpe_32k.model"), derived={"groups_sha256": digest})
 
 
 @register

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,8 @@ from equilens.llm.word_shuffle import pack, ragged, unpack, width_of
 
 RANGE_BYTES = 64 << 10
 FAN = 16
-BLOCK_BYTES = 32 << 20
+MAX_PIECES = 250_000
+BLOCK_BYTES = 8 << 20
 SCAN_BYTES = 1 << 20
 ID_BITS = 21                                          # a pair of ids and a document's place fit in 64 bits
 
@@ -268,40 +269,26 @@ def _cut_ranges(text: str, size: int) -> tuple[list[str], np.ndarray, np.ndarray
     return pieces, starts, np.concatenate([[0], bounds, starts[-1:]])
 
 
-def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-          range_bytes: int = RANGE_BYTES, max_pieces: int = 500_000) -> DataFrame:
-    """``keep``, ``a``, ``b`` (token ids), ``na``, ``nb`` (tokens of A and B in each group) and ``groups``
-    (the same as text: ``a1,a2|b1;a3|b2,b3``) of each row.
+def _fields(df: DataFrame, keep: list[str]) -> list[T.StructField]:
+    return [T.StructField(c, df.schema[c].dataType) for c in keep]
 
-    A encodes a space and the text, B the text (it adds the space itself); strings of special tokens
-    are plain text.  Null and empty texts, and texts that a tokenizer doesn't spell byte for byte (a
-    literal U+2581, for one), have no tokens, no groups and an empty ``groups``.  Texts over
-    ``range_bytes`` are cut into ranges of that size; the results don't depend on it.  Every row gives
-    one row, repeated or not.
-    """
-    keep = list(keep)
+
+def _aligned(df: DataFrame, path_a: str, path_b: str, text: str, keep: list[str], range_bytes: int, max_pieces: int, emit, schema) -> DataFrame:
+    """Align every row; ``emit`` turns an iterator of ``(keep columns, A, B, groups per row)`` into batches of ``schema``."""
     docs = df.select(*keep, df[text].alias("_text"))
     size = F.coalesce(F.octet_length("_text"), F.lit(0))
-    fields = [T.StructField(c, df.schema[c].dataType) for c in keep]
-    sides = T.StructType.fromDDL(_SIDES).fields
-    out_schema = T.StructType(fields + sides + [T.StructField("groups", T.StringType())])
-
-    def finish(cols: list[pa.Array], fine: np.ndarray, a: tuple, b: tuple, segments: np.ndarray) -> pa.RecordBatch:
-        a, b, groups = _groups(fine, a, b, segments)
-        return pa.RecordBatch.from_arrays([*cols, *_parts(fine, a, b, groups)[1:], pa.array(groups_text(a, b, groups), pa.string())],
-                                          names=out_schema.names)
+    fields, sides = _fields(df, keep), T.StructType.fromDDL(_SIDES).fields
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         tokens = Tokens(tokenizers_of(path_a, path_b), max_pieces)
         for part in text_slices(batches, "_text", SCAN_BYTES):
             texts = [PIECE.findall(" " + t) if t else [] for t in part.column("_text").to_pylist()]
             fine, n_bytes, *both = tokens.of(texts)
             zero = np.zeros(len(texts), np.int64)
-            yield finish([part.column(i) for i in range(len(keep))], fine, *fragments(both, zero, zero, n_bytes))
+            yield part.columns[:-1], *_groups(fine, *fragments(both, zero, zero, n_bytes))
 
-    range_schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_at", T.LongType()), T.StructField("_ranges", T.LongType()),
-                                 T.StructField("_start", T.LongType()), T.StructField("_low", T.LongType()), T.StructField("_high", T.LongType()),
-                                 T.StructField("_text", T.StringType())] + fields)
+    range_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("_row", "_at", "_ranges", "_start", "_low", "_high")]
+                                + [T.StructField("_text", T.StringType())] + fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -337,14 +324,14 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: tup
                 pa.array([pc.all(part.column("_fine")).as_py()]), *ids, *joined, *[part.column(c).slice(0, 1) for c in keep]]
         return pa.Table.from_arrays([pa.chunked_array([c]) if isinstance(c, pa.Array) else c for c in cols], names=fragment_schema.names)
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):           # one long document at a time
                 one = batch.slice(i, 1)
                 (ia, ca), (ib, cb), (na, segments), (nb, _) = (_flat(one.column(c)) for c in ("a", "b", "na", "nb"))
-                yield finish([one.column(c) for c in keep], one.column("_fine").to_numpy(zero_copy_only=False), (ia, na, ca), (ib, nb, cb), segments)
+                yield [one.column(c) for c in keep], *_groups(one.column("_fine").to_numpy(zero_copy_only=False), (ia, na, ca), (ib, nb, cb), segments)
 
-    short = docs.where(size <= range_bytes).mapInArrow(whole, out_schema)
+    short = docs.where(size <= range_bytes).mapInArrow(lambda batches: emit(whole(batches)), schema)
     ranges = materialize(docs.where(size > range_bytes).mapInArrow(cut, range_schema), "ranges")
     most = ranges.agg(F.max("_ranges")).first()[0] or 0
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -352,7 +339,29 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: tup
     while most > 1:                                   # a round joins FAN neighbours
         tree = tree.groupBy("_row", F.floor(F.col("_at") / FAN).alias("_to")).applyInArrow(compose, fragment_schema)
         most = -(-most // FAN)
-    return short.unionByName(tree.mapInArrow(close, out_schema))
+    return short.unionByName(tree.mapInArrow(lambda batches: emit(close(batches)), schema))
+
+
+def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+          range_bytes: int = RANGE_BYTES, max_pieces: int = MAX_PIECES) -> DataFrame:
+    """``keep``, ``a``, ``b`` (token ids), ``na``, ``nb`` (tokens of A and B in each group) and ``groups``
+    (the same as text: ``a1,a2|b1;a3|b2,b3``) of each row.
+
+    A encodes a space and the text, B the text (it adds the space itself); strings of special tokens
+    are plain text.  Null and empty texts, and texts that a tokenizer doesn't spell byte for byte (a
+    literal U+2581, for one), have no tokens, no groups and an empty ``groups``.  Texts over
+    ``range_bytes`` are cut into ranges of that size; the results don't depend on it.  Every row gives
+    one row, repeated or not.
+    """
+    keep = list(keep)
+    schema = T.StructType(_fields(df, keep) + T.StructType.fromDDL(_SIDES).fields + [T.StructField("groups", T.StringType())])
+
+    def emit(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for cols, a, b, groups in rows:
+            yield pa.RecordBatch.from_arrays([*cols, *_parts(groups > 0, a, b, groups)[1:], pa.array(groups_text(a, b, groups), pa.string())],
+                                             names=schema.names)
+
+    return _aligned(df, path_a, path_b, text, keep, range_bytes, max_pieces, emit, schema)
 
 
 # ---------------------------------------------------------------- links
@@ -368,10 +377,10 @@ def document_links(a: tuple, b: tuple, groups: np.ndarray) -> tuple[np.ndarray,
     doc = np.repeat(np.arange(n_docs), groups)
     links = np.bincount(doc, a[1] * b[1], n_docs).astype(np.int64)
     ga, gb = np.repeat(np.arange(n_groups), a[1]), np.repeat(np.arange(n_groups), b[1])
-    ids, times, sizes = [a[0], b[0]], [None, None], [a[1], b[1]]
+    ids, times, sizes = [a[0].astype(np.int64), b[0].astype(np.int64)], [None, None], [a[1], b[1]]
     large = a[1] * b[1] > 256
     if large.any():
-        for side, (g, (flat, _, _)) in enumerate(zip((ga, gb), (a, b))):
+        for side, (g, flat) in enumerate(zip((ga, gb), list(ids))):
             some = large[g]
             key, count = np.unique((g[some] << ID_BITS) | flat[some], return_counts=True)
             g = np.concatenate([g[~some], key >> ID_BITS])
@@ -393,64 +402,63 @@ def document_links(a: tuple, b: tuple, groups: np.ndarray) -> tuple[np.ndarray,
     return key & ((1 << 2 * ID_BITS) - 1), count, np.bincount(key >> (2 * ID_BITS), minlength=n_docs), links
 
 
-def link_counts(aligned: DataFrame, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep`` of aligned rows and ``n_a, n_b, n_groups, n_links, n_best, count_sum`` (long).
+def align_links(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+                derived: dict[str, Column] | None = None, range_bytes: int = RANGE_BYTES, max_pieces: int = MAX_PIECES,
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``keep`` of each row, ``n_a, n_b, n_groups, n_links, n_best, count_sum`` (long) of its alignment, and the
+    ``derived`` columns, expressions over ``keep`` and ``groups`` (as ``align`` gives them).
 
-    A pair's count is the number of rows in which its ids are linked.  ``n_best`` are the links whose
-    count is the highest of their A id (ties included), ``count_sum`` sums the counts of all links.
+    A pair's count is the number of rows in which its ids are linked, that is, stand in one group.
+    ``n_best`` are the links whose count is the highest of their A id (ties included), ``count_sum``
+    sums the counts of all links.  Rows without tokens have zeros.
     """
-    keep = list(keep)
-    kept = [T.StructField(c, aligned.schema[c].dataType) for c in keep]
+    keep, derived = list(keep), derived or {}
     own = ["n_a", "n_b", "n_groups", "n_links"]
-    schema = T.StructType(kept + [T.StructField(c, T.LongType()) for c in own] + [
+    schema = T.StructType(_fields(df, keep) + [T.StructField("groups", T.StringType())] + [T.StructField(c, T.LongType()) for c in own] + [
         T.StructField("_block", T.LongType()), T.StructField("_codes", T.BinaryType()), T.StructField("_times", T.BinaryType()),
         T.StructField("_code", T.IntegerType()), T.StructField("_a", T.IntegerType()), T.StructField("_b", T.IntegerType()),
         T.StructField("_docs", T.LongType())])
     names = schema.names
 
-    def emit(number: int, docs: list) -> Iterator[pa.RecordBatch]:
-        pairs, back, seen = np.unique(np.concatenate([d[1] for d in docs]), return_inverse=True, return_counts=True)
+    def send(number: int, docs: list) -> Iterator[pa.RecordBatch]:
+        pairs, back, seen = np.unique(np.concatenate([d[2] for d in docs]), return_inverse=True, return_counts=True)
         order = np.argsort(-seen, kind="stable")      # frequent pairs get small codes
         code_of = np.empty(len(order), np.int64)
         code_of[order] = np.arange(len(order))
         codes, width, at = code_of[back], width_of(len(pairs)), 0
-        for cols, flat, times, counts, numbers in docs:
+        for cols, texts, flat, times, counts, numbers in docs:
             n = len(counts)
             cut = np.concatenate([[0], np.cumsum(counts)]).tolist()
             packed = [pack(codes[at + i:at + j], width) for i, j in zip(cut, cut[1:])]
-            often = [pack(np.minimum(t, 2 ** 32 - 1), width_of(int(t.max(initial=0)) + 1)) for t in (times[i:j] for i, j in zip(cut, cut[1:]))]
+            often = [pack(t, width_of(int(t.max(initial=0)) + 1)) for t in (times[i:j] for i, j in zip(cut, cut[1:]))]
             at += len(flat)
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.int64()) for x in numbers], pa.array([number] * n, pa.int64()),
+            yield pa.RecordBatch.from_arrays([*cols, texts, *[pa.array(x, pa.int64()) for x in numbers], pa.array([number] * n, pa.int64()),
                                               pa.array(packed, pa.binary()), pa.array(often, pa.binary()),
                                               *[pa.nulls(n, pa.int32())] * 3, pa.nulls(n, pa.int64())], names=names)
         types = [c.type for c in docs[0][0]]
-        for i in range(0, len(order), 100_000):
-            some = order[i:i + 100_000]
+        for i in range(0, len(order), 50_000):
+            some = order[i:i + 50_000]
             n = len(some)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, t) for t in types], *[pa.nulls(n, pa.int64())] * 4, pa.array([number] * n, pa.int64()),
-                                              *[pa.nulls(n, pa.binary())] * 2, pa.array(np.arange(i, i + n), pa.int32()),
-                                              pa.array(pairs[some] >> ID_BITS, pa.int32()), pa.array(pairs[some] & ((1 << ID_BITS) - 1), pa.int32()),
-                                              pa.array(seen[some], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, t) for t in types], pa.nulls(n, pa.string()), *[pa.nulls(n, pa.int64())] * 4,
+                                              pa.array([number] * n, pa.int64()), *[pa.nulls(n, pa.binary())] * 2,
+                                              pa.array(np.arange(i, i + n), pa.int32()), pa.array(pairs[some] >> ID_BITS, pa.int32()),
+                                              pa.array(pairs[some] & ((1 << ID_BITS) - 1), pa.int32()), pa.array(seen[some], pa.int64())], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         number, held, docs = TaskContext.get().partitionId() << 32, 0, []
-        for batch in batches:
-            sizes = np.cumsum(pc.list_value_length(batch.column("a")).to_numpy())
-            steps = np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, SCAN_BYTES // 4), "left")
-            bounds = np.unique([0, *steps.tolist(), batch.num_rows]).tolist()
-            for i, j in zip(bounds, bounds[1:]):
-                part = batch.slice(i, j - i)
-                (ia, ca), (ib, cb), (na, groups), (nb, _) = (_flat(part.column(c)) for c in ("a", "b", "na", "nb"))
-                pairs, times, per_doc, links = document_links((ia, na, ca), (ib, nb, cb), groups)
-                docs.append(([part.column(c) for c in keep], pairs, times, per_doc, (ca, cb, groups, links)))
-                held += 4 * len(ia)                   # about the bytes of their text
-                if held >= block_bytes:
-                    yield from emit(number, docs)
-                    number, held, docs = number + 1, 0, []
+        for cols, a, b, groups in rows:
+            pairs, times, per_doc, links = document_links(a, b, groups)
+            docs.append((cols, pa.array(groups_text(a, b, groups), pa.string()), pairs, times.astype(np.uint32), per_doc, (a[2], b[2], groups, links)))
+            held += 4 * len(a[0]) + len(groups)       # about the bytes of their text
+            if held >= block_bytes:
+                yield from send(number, docs)
+                number, held, docs = number + 1, 0, []
         if docs:
-            yield from emit(number, docs)
+            yield from send(number, docs)
 
-    marks = materialize(aligned.select(*keep, "a", "b", "na", "nb").mapInArrow(run, schema), "links")
+    marks = _aligned(df, path_a, path_b, text, keep, range_bytes, max_pieces, emit, schema)
+    marks = materialize(marks.select(*names, *[e.alias(c) for c, e in derived.items()]).drop("groups"), "links")
+    keep += derived
     pairs = marks.where("_code IS NOT NULL").select(F.col("_block").alias("_of"), "_code", "_a", "_b", "_docs")
     counts = pairs.groupBy("_a", "_b").agg(F.sum("_docs").alias("_count"))
     # one row for each id of A: the vocabulary bounds it
@@ -472,5 +480,5 @@ def link_counts(aligned: DataFrame, keep: tuple[str, ...] = ("doc_id",), block_b
         return pa.Table.from_arrays([*[docs.column(c) for c in [*keep, *own]], pa.chunked_array([pa.array(n_best, pa.int64())]),
                                      pa.chunked_array([pa.array(total, pa.int64())])], names=[*keep, *own, "n_best", "count_sum"])
 
-    result = T.StructType(kept + [T.StructField(c, T.LongType()) for c in [*own, "n_best", "count_sum"]])
+    result = T.StructType(_fields(marks, keep) + [T.StructField(c, T.LongType()) for c in [*own, "n_best", "count_sum"]])
     return docs.groupBy("_block").cogroup(known.groupBy("_of")).applyInArrow(score, result)

@@ -158,9 +158,14 @@ def test_alignment_matches_brute_force(spark, paths, range_bytes):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id int, text string").selectExpr("*", "text AS a", "doc_id AS _row")
     of = aligner(paths)
     want = brute_links({i: of(t) for i, t in enumerate(ODD)})
-    out = token_align.align(frame, *paths, range_bytes=range_bytes).withColumn("h", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)))
-    got = token_align.link_counts(out, keep=("doc_id", "h"), block_bytes=4096)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    got = token_align.align_links(frame, *paths, derived={"h": digest}, range_bytes=range_bytes, block_bytes=4096)
     assert {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.h) for r in got.collect()} == want
+    for r in token_align.align(frame, *paths, range_bytes=range_bytes).collect():
+        g = of(ODD[r.doc_id])
+        assert (list(r.a), list(r.b)) == ([i for a, _ in g for i in a], [i for _, b in g for i in b])
+        assert (list(r.na), list(r.nb)) == ([len(a) for a, _ in g], [len(b) for _, b in g])
+        assert r.groups == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g)
 
 
 def test_alignment_of_odd_rows(spark, docs, paths):
@@ -168,9 +173,9 @@ def test_alignment_of_odd_rows(spark, docs, paths):
     rows = docs.collect()
     of = aligner(paths)
     want = Counter((r.doc_id, *w[:6]) for r, w in zip(rows, brute_links({n: of(r.text) for n, r in enumerate(rows)}).values()))
-    got = token_align.link_counts(token_align.align(docs, *paths, range_bytes=1000)).collect()
+    got = token_align.align_links(docs, *paths, range_bytes=1000).collect()
     assert Counter((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum) for r in got) == want
-    assert token_align.link_counts(token_align.align(docs.limit(0), *paths)).collect() == []
+    assert token_align.align_links(docs.limit(0), *paths).collect() == []
 
 
 def test_fragments_are_a_monoid():
