@@ -39,7 +39,7 @@ from equilens.llm.token_counts import WHITE
 
 BLOCK_BYTES = 8 << 20
 SCAN_BYTES = 1 << 20
-ANSWER_WORDS = 500_000                               # answers that a task holds before it sends them on
+BUCKETS = 4                                           # hash buckets of words for each shuffle partition
 SHORT_WORD = 48
 
 # fixed values: letters and numbers that Unicode has got since version 16, which the vocabulary's library doesn't know
@@ -200,18 +200,35 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: regex.Pattern, block_bytes
         yield number, words, parts
 
 
-def block_words(texts: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """``(_of, _digest, _code, _word)``: the distinct pre-tokens of each block of ``_text`` rows; the first has the digest."""
+_ASK = "_bucket int, _of long, _digest long, _n int, _codes binary, _lens binary, _words binary"
+_ANSWER = "_of long, _digest long, _n int, _codes binary, _sizes binary, _ids binary"
+
+
+def _names(ddl: str) -> list[str]:
+    return [f.split()[0] for f in ddl.split(", ")]
+
+
+def block_words(texts: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
+    """The distinct pre-tokens of each block of ``_text`` rows, packed by hash bucket: ``_n`` words one behind
+    another, their lengths, and the steps from code to code."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, words, _ in _blocks(batches, split_pattern(pattern), block_bytes, False):
-            digest, names = words.digest(), list(words.words)
-            for i in range(0, len(names), 20_000):
-                n = len(names[i:i + 20_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * n, pa.int64()), pa.array([None if i + k else digest for k in range(n)], pa.int64()),
-                     pa.array(range(i, i + n), pa.int32()), pa.array(names[i:i + n], pa.string())], names=["_of", "_digest", "_code", "_word"])
+            digest, raw = words.digest(), [w.encode("utf-8") for w in words.words]
+            bucket = np.fromiter(map(xxhash.xxh32_intdigest, raw), np.int64, len(raw)) % buckets
+            lens, order = np.fromiter(map(len, raw), np.int64, len(raw)), np.argsort(bucket, kind="stable")
+            cut = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+            out = []
+            for a, b in zip(cut, cut[1:]):
+                if a < b:
+                    some = order[a:b]
+                    step, size = np.diff(some, prepend=0), lens[some]
+                    out.append((int(bucket[some[0]]), number, digest, b - a, pack(step, width_of(int(step.max()) + 1)),
+                                pack(size, width_of(int(size.max()) + 1)), b"".join([raw[i] for i in some.tolist()])))
+            if out:
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=_names(_ASK))
 
-    return texts.select("_text").mapInArrow(run, "_of long, _digest long, _code int, _word string")
+    return texts.select("_text").mapInArrow(run, _ASK)
 
 
 def block_codes(texts: DataFrame, pattern: str, block_bytes: int, keep: list[str]) -> DataFrame:
@@ -230,63 +247,47 @@ def block_codes(texts: DataFrame, pattern: str, block_bytes: int, keep: list[str
     return texts.mapInArrow(run, T.StructType([T.StructField(c, texts.schema[c].dataType) for c in keep] + new))
 
 
-_ANSWER = "_of long, _digest long, _n int, _codes binary, _sizes binary, _ids binary"
-
-
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Packed ``(_codes, _sizes, _ids)`` of ``_n`` words of block ``_of``; each distinct word is encoded once.
+    """For each pack of words the sizes and ids of their tokens; each distinct word is encoded once.
 
-    Equal words meet in one partition and stand together, so one look at the word before is
-    enough.  A task gathers its answers by block and sends them as byte planes.
+    Equal words meet in one bucket, and a task holds the ids of one bucket's words at a time.
     """
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, last, ids = load_ranks(path), None, []
-        blocks, codes, digests, sizes, flat = [], [], [], [], []
-
-        def send() -> pa.RecordBatch:
-            of, code = np.concatenate(blocks), np.concatenate(codes)
-            size, items = np.array(sizes, np.int64), np.array(flat, np.int64)
-            order = np.argsort(of, kind="stable")
-            cut = [0, *(np.flatnonzero(np.diff(of[order])) + 1).tolist(), len(of)]
-            out = []
-            for a, b in zip(cut, cut[1:]):
-                some = order[a:b]
-                some = some[np.argsort(code[some])]
-                got, lens = ragged(some, items, size)
-                out.append((int(of[some[0]]), next((digests[i] for i in some[:1].tolist() if code[i] == 0), None), b - a,
-                            pack(code[some], width_of(int(code[some].max()) + 1)), pack(lens, width_of(int(lens.max()) + 1)),
-                            pack(got, width_of(int(got.max()) + 1))))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3))],
-                                              names=[f.split()[0] for f in _ANSWER.split(", ")])
-
+        ranks, at, known = load_ranks(path), None, {}
         for batch in batches:
-            for word in batch.column("_word").to_pylist():
-                if word != last:
-                    last, ids = word, encode_word(word.encode("utf-8"), ranks)
-                sizes.append(len(ids))
-                flat += ids
-            blocks.append(batch.column("_of").to_numpy())
-            codes.append(batch.column("_code").to_numpy())
-            digests += batch.column("_digest").to_pylist()
-            if len(flat) >= ANSWER_WORDS:
-                yield send()
-                blocks, codes, digests, sizes, flat = [], [], [], [], []
-        if sizes:
-            yield send()
+            sizes, ids = [], []
+            cols = [batch.column(c).to_pylist() for c in ("_bucket", "_n", "_lens", "_words")]
+            for bucket, count, lens, raw in zip(*cols):
+                if bucket != at:
+                    at, known = bucket, {}
+                ends = np.cumsum(unpack(lens, len(lens) // count)).tolist()
+                found = []
+                for a, b in zip([0, *ends], ends):
+                    word = raw[a:b]
+                    got = known.get(word)
+                    if got is None:
+                        got = known[word] = encode_word(word, ranks)
+                    found.append(got)
+                size = np.fromiter(map(len, found), np.int64, count)
+                flat = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+                sizes.append(pack(size, width_of(int(size.max()) + 1)))
+                ids.append(pack(flat, width_of(int(flat.max()) + 1)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_of", "_digest", "_n", "_codes")],
+                                              pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=_names(_ANSWER))
 
     # merging is work by the word, not by the byte: the number of tasks doesn't follow the table's size
-    return words.repartition(n, "_word").sortWithinPartitions("_word").mapInArrow(run, _ANSWER)
+    return words.repartition(n, "_bucket").sortWithinPartitions("_bucket").mapInArrow(run, _ANSWER)
 
 
 def _unpacked(known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids and sizes of a block's words in the order of their codes."""
     codes, sizes, flat = [], [], []
     for n, *packed in zip(*[known.column(c).to_pylist() for c in ("_n", "_codes", "_sizes", "_ids")]):
-        c, s = (unpack(x, len(x) // n) for x in packed[:2])
+        step, s = (unpack(x, len(x) // n) for x in packed[:2])
         total = int(s.sum())
-        codes.append(c)
+        codes.append(np.cumsum(step))
         sizes.append(s)
         flat.append(unpack(packed[2], len(packed[2]) // total))
     if not codes:
@@ -307,14 +308,15 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     """
     keep = list(keep)
     texts = df.select(*keep, df[text].alias("_text"))
-    known = encode_words(block_words(texts, pattern, block_bytes), path)
+    buckets = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = encode_words(block_words(texts, pattern, block_bytes, buckets), path)
     docs = block_codes(texts, pattern, block_bytes, keep)
     new = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("ids_u32", T.BinaryType())] * packed
 
     def assemble(docs: pa.Table, known: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         flat, sizes = _unpacked(known)
-        first = known.column("_digest").drop_null().to_pylist() or [Vocabulary(None).digest()]
+        first = pc.unique(known.column("_digest")).to_pylist() or [Vocabulary(None).digest()]
         if pc.unique(docs.column("_digest")).to_pylist() != first:
             raise RuntimeError("the rows to encode came in another order the second time; write them first")
         width = width_of(len(sizes))
