@@ -1,4 +1,4 @@
-"""Running totals and exact quantiles without a single-task window.
+"""Running totals without a single-task window, and exact quantiles without ordering.
 
 ``running_sums`` computes inclusive cumulative sums ordered by ``order`` within ``keys``.  A
 plain ``Window.partitionBy(keys).orderBy(order)`` would put all rows of a key into one task.
@@ -10,6 +10,7 @@ should be pre-aggregated (unique per keys + order), which bounds a hot value to
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,48 +71,114 @@ def hash_fraction(hex_digest: Column) -> Column:
     return F.conv(F.substring(hex_digest, 1, 8), 16, 10).cast("double")
 
 
-def _value_counts(df: DataFrame, items: Column) -> DataFrame:
-    return (df.select(items.alias("i")).select("i.*").where(F.col("v").isNotNull())
-              .groupBy("attr", "v").agg(F.count(F.lit(1)).cast("long").alias("cnt")))
-
-
-def _ranked_values(vc: DataFrame, qs) -> DataFrame:
-    """``(attr, q, value)`` from value counts: the two ranks around each position are looked up in
-    the slice that holds them (equality joins on attr and slice only)."""
-    sliced = vc.withColumn("_slice", slice_of(vc, F.col("v"), slice_count(vc)))
-    totals = sliced.groupBy("attr", "_slice").agg(F.sum("cnt").alias("_in"))
-    upto = Window.partitionBy("attr").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("attr")
-    totals = totals.select("attr", "_slice", (F.sum("_in").over(upto) - F.col("_in")).alias("_from"),
-                           F.sum("_in").over(upto).alias("_to"), F.sum("_in").over(whole).alias("n"))
-    h = (F.col("n") - 1) * F.col("q")
-    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor("h").cast("long").alias("r")),
-                             F.struct(F.lit(1).alias("side"), F.ceil("h").cast("long").alias("r"))))
-    targets = totals.select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).withColumn("h", h) \
-        .select("attr", "_slice", "_from", "_to", "q", "h", side.alias("t")).select("*", "t.side", "t.r").drop("t") \
-        .where((F.col("r") >= F.col("_from")) & (F.col("r") < F.col("_to")))
-    inner = Window.partitionBy("attr", "_slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.select("attr", "_slice", "v", "cnt", F.sum("cnt").over(inner).alias("_c"))
-    at = F.col("r") - F.col("_from")
-    hit = targets.join(local, ["attr", "_slice"]).where((at < F.col("_c")) & (at >= F.col("_c") - F.col("cnt")))
-    piv = hit.groupBy("attr", "q", "h").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("lo"),
-                                            F.max(F.when(F.col("side") == 1, F.col("v"))).alias("hi"))
-    frac = F.col("h") - F.floor("h")
-    return piv.select("attr", "q", (F.col("lo") + frac * (F.col("hi") - F.col("lo"))).alias("value"))
+# ---- exact quantiles by counting refinement ------------------------------------------------
+FIRST_BINS, NEXT_BINS = 4096, 1024
+
+
+def _bin(v: Column, lo: float, hi: float, bins: int) -> Column:
+    """Bin of a value in ``[lo, hi]``: never falls as ``v`` grows, ``lo`` and ``hi`` (if larger) lie in different bins."""
+    width = hi * 0.5 - lo * 0.5
+    if width == 0.0:                       # neighbours among the least numbers
+        return (v > F.lit(lo)).cast("int")
+    return F.floor((v * 0.5 - F.lit(lo * 0.5)) / F.lit(width) * F.lit(float(bins - 1))).cast("int")
+
+
+def _refine(df: DataFrame, cols, ranges: dict) -> dict:
+    """One pass over the rows: counters, least and greatest value of every bin of the open ranges.
+
+    ``ranges`` maps a number to ``(column number, lo, hi, bins)``; the ranges of a column are disjoint.
+    Returns, per range, its filled bins in order as ``(count, least, greatest)``.
+    """
+    by_col = {}
+    for r, (i, lo, hi, bins) in ranges.items():
+        by_col.setdefault(i, []).append((r, lo, hi, bins))
+    items = []
+    for i, some in by_col.items():
+        v = F.col(cols[i]).cast("double")
+        at = F.lit(None).cast("struct<r:int,b:int,v:double>")
+        for r, lo, hi, bins in some:
+            at = F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
+                        F.struct(F.lit(r).alias("r"), _bin(v, lo, hi, bins).alias("b"), v.alias("v"))).otherwise(at)
+        items.append(at)
+    rows = (df.select(F.explode(F.array(*items)).alias("i")).where(F.col("i").isNotNull()).select("i.*").groupBy("r", "b")
+              .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect())
+    out = {r: [] for r in ranges}
+    for row in sorted(rows, key=lambda x: (x["r"], x["b"])):
+        out[row["r"]].append((row["n"], row["least"], row["most"]))
+    return out
+
+
+def _select_ranks(df: DataFrame, cols, wanted: dict) -> dict:
+    """``{(column number, rank): value}`` of the finite values; ``wanted`` maps a column number to
+    ``(lo, hi, ranks)``.  Each pass keeps, of every column, only the bins that hold a wanted rank."""
+    found, open_ = {}, []                  # open ranges: column number, lo, hi, ranks with their place in the range
+    for i, (lo, hi, ranks) in wanted.items():
+        open_.append((i, lo, hi, [(r, r) for r in ranks]))
+    bins = FIRST_BINS
+    while True:
+        left = []
+        for i, lo, hi, ranks in open_:
+            if lo == hi:
+                found.update({(i, r): lo for r, _ in ranks})
+            elif ranks:
+                left.append((i, lo, hi, ranks))
+        if not left:
+            return found
+        counted = _refine(df, cols, {k: (i, lo, hi, bins) for k, (i, lo, hi, _) in enumerate(left)})
+        open_, bins = [], NEXT_BINS
+        for k, (i, _, _, ranks) in enumerate(left):
+            before = 0
+            for n, least, most in counted[k]:
+                here = [(r, at - before) for r, at in ranks if before <= at < before + n]
+                if here:
+                    open_.append((i, least, most, here))
+                before += n
 
 
 def quantile_table(df: DataFrame, cols, qs) -> dict:
     """Driver dict {col: [quantiles in the order of qs]}: exact, linearly interpolated (the pandas
-    and numpy default), nulls left out, None for a column without values.
+    and numpy default), nulls left out, None for a column without values.  Infinities and, above
+    them, NaN count as the values that Spark's order makes of them.
 
-    The columns are stacked, so one value-count aggregate and one ordered pass serve all.
+    Counting refinement: one aggregate gives extremes and counts, then each pass counts all open
+    ranges of all columns in bins and keeps the bins that hold a wanted rank.  No value is shuffled
+    or ordered: a pass exchanges one row for each task and filled bin.  A pass narrows a range a
+    thousandfold, so two or three passes serve any common column; equal values never need more.
     """
     cols, qs = list(cols), [float(q) for q in qs]
-    items = F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
-    vc = _value_counts(df, items).persist()
-    got = {(r["attr"], round(r["q"], 12)): r["value"] for r in _ranked_values(vc, qs).collect()}
-    vc.unpersist()
-    return {c: [got.get((i, round(q, 12))) for q in qs] for i, c in enumerate(cols)}
+    if not cols:
+        return {}
+    base = written(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]), "values")
+    names, inf = base.columns, float("inf")
+    parts = []
+    for i, c in enumerate(names):
+        finite = F.when(~F.isnan(c) & (F.abs(c) != inf), F.col(c) + 0.0)
+        parts += [F.count(finite).alias(f"n{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"),
+                  F.count_if(F.col(c) == -inf).alias(f"low{i}"), F.count_if(F.col(c) == inf).alias(f"high{i}"),
+                  F.count_if(F.isnan(c)).alias(f"nan{i}")]
+    st = base.agg(*parts).first()
+    wanted, places = {}, {}
+    for i in range(len(names)):
+        n = st[f"low{i}"] + st[f"n{i}"] + st[f"high{i}"] + st[f"nan{i}"]
+        places[i] = [(q, (n - 1) * q) for q in qs] if n else []
+        ranks = {int(math.floor(h)) for _, h in places[i]} | {int(math.ceil(h)) for _, h in places[i]}
+        inside = sorted(r - st[f"low{i}"] for r in ranks if 0 <= r - st[f"low{i}"] < st[f"n{i}"])
+        if inside:
+            wanted[i] = (st[f"lo{i}"], st[f"hi{i}"], inside)
+    got = _select_ranks(base, names, wanted)
+
+    def value(i: int, rank: int) -> float:
+        if rank < st[f"low{i}"]:
+            return -inf
+        if rank < st[f"low{i}"] + st[f"n{i}"]:
+            return got[(i, rank - st[f"low{i}"])] + 0.0
+        return inf if rank < st[f"low{i}"] + st[f"n{i}"] + st[f"high{i}"] else float("nan")
+
+    def at(i: int, h: float) -> float:
+        lo, hi = value(i, int(math.floor(h))), value(i, int(math.ceil(h)))
+        return lo if lo == hi else lo + (h - math.floor(h)) * (hi - lo)
+
+    return {c: [at(i, h) for _, h in places[i]] or [None] * len(qs) for i, c in enumerate(cols)}
 
 
 def quantile_values(df: DataFrame, col: str, qs) -> list:
