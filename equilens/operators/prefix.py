@@ -75,31 +75,27 @@ def hash_fraction(hex_digest: Column) -> Column:
 FIRST_BINS, NEXT_BINS = 4096, 1024
 
 
-def _bin(v: Column, lo: float, hi: float, bins: int) -> Column:
-    """Bin of a value in ``[lo, hi]``: never falls as ``v`` grows, ``lo`` and ``hi`` (if larger) lie in different bins."""
-    width = hi * 0.5 - lo * 0.5
-    if width == 0.0:                       # neighbours among the least numbers
-        return (v > F.lit(lo)).cast("int")
-    return F.floor((v * 0.5 - F.lit(lo * 0.5)) / F.lit(width) * F.lit(float(bins - 1))).cast("int")
-
-
-def _refine(df: DataFrame, cols, ranges: dict) -> dict:
+def _refine(df: DataFrame, cols, ranges: dict, bins: int) -> dict:
     """One pass over the rows: counters, least and greatest value of every bin of the open ranges.
 
-    ``ranges`` maps a number to ``(column number, lo, hi, bins)``; the ranges of a column are disjoint.
-    Returns, per range, its filled bins in order as ``(count, least, greatest)``.
+    ``ranges`` maps a number to ``(column number, lo, hi)``; the ranges of a column are disjoint.
+    A value's bin never falls as the value grows, and ``lo`` and ``hi`` lie in different bins, so
+    every pass narrows.  Returns, per range, its filled bins in order as ``(count, least, greatest)``.
     """
     by_col = {}
-    for r, (i, lo, hi, bins) in ranges.items():
-        by_col.setdefault(i, []).append((r, lo, hi, bins))
+    for r, (i, lo, hi) in ranges.items():
+        by_col.setdefault(i, []).append((lo, hi, r))
     items = []
     for i, some in by_col.items():
+        some.sort()
         v = F.col(cols[i]).cast("double")
-        at = F.lit(None).cast("struct<r:int,b:int,v:double>")
-        for r, lo, hi, bins in some:
-            at = F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
-                        F.struct(F.lit(r).alias("r"), _bin(v, lo, hi, bins).alias("b"), v.alias("v"))).otherwise(at)
-        items.append(at)
+        # the first range that doesn't end below the value, and its bounds as literal arrays
+        k = reduce(lambda a, x: a + (v > F.lit(x[1])).cast("int"), some, F.lit(0))
+        pick = lambda values: F.get(F.array(*[F.lit(x) for x in values]), k)
+        lo, half, width = (pick(x) for x in ([x[0] for x in some], [x[0] * 0.5 for x in some], [x[1] * 0.5 - x[0] * 0.5 for x in some]))
+        # neighbours among the least numbers have no width left
+        b = F.when(width == 0, (v > lo).cast("int")).otherwise(F.floor((v * 0.5 - half) / width * F.lit(float(bins - 1))).cast("int"))
+        items.append(F.when(v >= lo, F.struct(pick([x[2] for x in some]).alias("r"), b.alias("b"), v.alias("v"))))
     rows = (df.select(F.explode(F.array(*items)).alias("i")).where(F.col("i").isNotNull()).select("i.*").groupBy("r", "b")
               .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect())
     out = {r: [] for r in ranges}
@@ -124,7 +120,7 @@ def _select_ranks(df: DataFrame, cols, wanted: dict) -> dict:
                 left.append((i, lo, hi, ranks))
         if not left:
             return found
-        counted = _refine(df, cols, {k: (i, lo, hi, bins) for k, (i, lo, hi, _) in enumerate(left)})
+        counted = _refine(df, cols, {k: (i, lo, hi) for k, (i, lo, hi, _) in enumerate(left)}, bins)
         open_, bins = [], NEXT_BINS
         for k, (i, _, _, ranks) in enumerate(left):
             before = 0
@@ -148,7 +144,7 @@ def quantile_table(df: DataFrame, cols, qs) -> dict:
     cols, qs = list(cols), [float(q) for q in qs]
     if not cols:
         return {}
-    base = written(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]), "values")
+    base = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]).persist()
     names, inf = base.columns, float("inf")
     parts = []
     for i, c in enumerate(names):
@@ -166,6 +162,7 @@ def quantile_table(df: DataFrame, cols, qs) -> dict:
         if inside:
             wanted[i] = (st[f"lo{i}"], st[f"hi{i}"], inside)
     got = _select_ranks(base, names, wanted)
+    base.unpersist()
 
     def value(i: int, rank: int) -> float:
         if rank < st[f"low{i}"]:

@@ -59,7 +59,7 @@ def test_no_value_is_ordered_or_shuffled(spark, monkeypatch):
     """A pass exchanges counters of bins; the values themselves never meet an exchange or a sort."""
     plans = []
     refine = prefix._refine
-    monkeypatch.setattr(prefix, "_refine", lambda df, cols, ranges: plans.append(len(ranges)) or refine(df, cols, ranges))
+    monkeypatch.setattr(prefix, "_refine", lambda df, cols, ranges, bins: plans.append(len(ranges)) or refine(df, cols, ranges, bins))
     df = spark.range(20000).selectExpr("double(hash(id)) AS v")
     want = np.quantile(np.array([r.v for r in df.collect()]), 0.5)
     assert prefix.quantile_values(df, "v", [0.5]) == [pytest.approx(want, abs=0)]
