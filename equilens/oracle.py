@@ -127,7 +127,7 @@ ORACLE["ratio_mode"] = _with(SCORED, conf_cte()) + "\n" + " UNION ALL ".join(
 
 # ---- step 2 -----------------------------------------------------------------
 AUDIT = """
-audit AS (
+audit AS MATERIALIZED (
   SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax,
          p.p_retailprice, l.l_returnflag, l.l_linenumber, p.p_type, p.p_brand,
          o.o_orderpriority, c.c_mktsegment, o.o_totalprice
@@ -940,6 +940,16 @@ SELECT window_start, window_end, protected, group_value, n, tp, fp, fn, tn, n_po
        round(sum_score_pos, 6) sum_score_pos, round(sum_score_neg, 6) sum_score_neg FROM wc"""
 
 
+# ---- five nearest neighbours: every test row against every train row ------------------------
+ORACLE["score_knn"] = f"""
+WITH {DOCS},
+s AS (SELECT *, CAST('0x' || substr(md5(doc_id || ':1'), 1, 8) AS BIGINT) % 1000 < 700 AS tr FROM docs),
+d AS (SELECT a.doc_id, b.toxic, row_number() OVER (PARTITION BY a.doc_id ORDER BY
+             (a.n_chars - b.n_chars) * (a.n_chars - b.n_chars) + (a.quality - b.quality) * (a.quality - b.quality), b.doc_id) AS k
+      FROM s a JOIN s b ON NOT a.tr AND b.tr)
+SELECT doc_id, CAST(avg(toxic) > 0.5 AS INTEGER) AS pred_Y, round(avg(toxic), 6) AS score_S FROM d WHERE k <= 5 GROUP BY doc_id
+"""
+
 # ---- num-d on the labelled documents: dense matrix of all row pairs -------------------------
 def _num_d_docs_sql(dist, scaled):
     prot, cat = ("lang", "source"), ("quality", "toxic")

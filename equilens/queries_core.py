@@ -742,6 +742,15 @@ def q_permutation_importance(spark, sf):
     return finalize(imp_ops.permutation_importance(model, d.where("not is_train"), list(A.features), KEYS))
 
 
+@register("score_knn")
+def q_score_knn(spark, sf):
+    """Five nearest neighbours of every test document by length and quality."""
+    from equilens.operators import knn
+    d = split_ops.hash_split(fx.docs(spark, sf), ["doc_id"], 0.3, 1)
+    return finalize(knn.knn_score(d.where("is_train"), d.where("not is_train"), ["n_chars", "quality"], "toxic", "doc_id",
+                                  keep=("doc_id",)))
+
+
 @register("lasso_importance")
 def q_lasso_importance(spark, sf):
     d = audit_split(spark, sf)
