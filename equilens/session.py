@@ -52,10 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return current
+        # Spark's own form of the path names its file system, so executors read the same place
+        return sc.getCheckpointDir() or current
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="equilens-ckpt-", dir=os.environ.get("EQUILENS_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return sc.getCheckpointDir() or path
