@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from itertools import combinations
 
 import pytest
 
@@ -183,46 +184,47 @@ def test_order_h_distance_matches_subset_definition(spark, h):
             assert eps_h[a] == pytest.approx(eps[a], abs=1e-12)
 
 
+def _signed_pair_mean(points, labels, distance, scale):
+    """Every unordered pair of rows adds its scaled distance within a label and takes it off across
+    labels; the total is shared over all n * n cells.  The scale knows each row's distance to itself, 0."""
+    n, pairs, reach = len(points), [], [0.0] * len(points)
+    for i, j in combinations(range(n), 2):
+        d = distance(points[i], points[j])
+        pairs.append((d, 1 if labels[i] == labels[j] else -1))
+        reach[i] += d
+        reach[j] += d
+    mean = sum(reach) / n ** 2
+    if scale == "zscore":
+        spread = math.sqrt(2 * sum(d * d for d, _ in pairs) / n ** 2 - mean * mean)
+        return sum(sign * (d - mean) for d, sign in pairs) / spread / n ** 2
+    unit = {"none": 1.0, "mean": mean, "min": min(reach) / n}[scale]
+    return sum(sign * d for d, sign in pairs) / unit / n ** 2
+
+
 @pytest.mark.parametrize("scale", ["zscore", "mean", "min"])
-def test_num_d_terms_match_dense_matrix(spark, scale):
-    import numpy as np
+def test_num_d_squared_distance_is_the_signed_pair_mean(spark, scale):
     rnd = random.Random(4)
     rows = [(rnd.choice("PQR"), rnd.gauss(5, 3), rnd.uniform(0, 40), rnd.choice("xy")) for _ in range(70)]
     df = spark.createDataFrame(rows, "o string, a double, b double, c string")
     got = E.num_d_terms(df, ["o"], ["a", "b"], [("a", "b"), ("b",)], scale)
-    lab = np.array([r[0] for r in rows])
-    for sub, cols in ((("a", "b"), [1, 2]), (("b",), [2])):
-        x = np.array([[r[k] for k in cols] for r in rows])
-        dm = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
-        if scale == "zscore":
-            dm = (dm - dm.mean()) / dm.std()
-        elif scale == "mean":
-            dm = dm / dm.mean()
-        else:
-            dm = dm / dm.mean(axis=1).min()
-        delta = (lab[:, None] == lab[None, :]).astype(int)
-        mask = np.triu(np.ones_like(dm, dtype=bool), k=1)
-        ref = (dm * (2 * delta - 1) * mask).mean()
-        assert got[("o", sub)] == pytest.approx(ref, rel=1e-8, abs=1e-12)
+    for sub, pick in ((("a", "b"), slice(1, 3)), (("b",), slice(2, 3))):
+        want = _signed_pair_mean([r[pick] for r in rows], [r[0] for r in rows],
+                                 lambda p, q: sum((u - v) ** 2 for u, v in zip(p, q)), scale)
+        assert got[("o", sub)] == pytest.approx(want, rel=1e-8, abs=1e-12)
 
 
 @pytest.mark.parametrize("scale", ["none", "mean", "min"])
-def test_num_d_cityblock_matches_dense_matrix(spark, scale):
-    import numpy as np
+def test_num_d_cityblock_is_the_signed_pair_mean(spark, scale):
     rnd = random.Random(8)
     rows = [(rnd.choice("PQR"), rnd.choice("uv"), round(rnd.gauss(5, 3), 1), rnd.uniform(0, 40)) for _ in range(80)] + [("P", "u", None, 1.0)]
     df = spark.createDataFrame(rows, "o string, q string, a double, b double")
     got = E.num_d_cityblock_terms(df, ["o", "q"], ["a", "b"], [("a", "b"), ("b",), ()], scale)
     full = [r for r in rows if r[2] is not None]
-    for p in (0, 1):
-        lab = np.array([r[p] for r in full])
-        for sub, cols in ((("a", "b"), [2, 3]), (("b",), [3])):
-            x = np.array([[r[k] for k in cols] for r in full])
-            dm = np.abs(x[:, None, :] - x[None, :, :]).sum(-1)
-            dm = dm / {"none": 1.0, "mean": dm.mean(), "min": dm.mean(axis=1).min()}[scale]
-            delta = (lab[:, None] == lab[None, :]).astype(int)
-            ref = (dm * (2 * delta - 1) * np.triu(np.ones_like(dm, dtype=bool), k=1)).mean()
-            assert got[("oq"[p], sub)] == pytest.approx(ref, rel=1e-8, abs=1e-12)
-        assert got[("oq"[p], ())] == 0.0
+    for column, name in enumerate("oq"):
+        for sub, pick in ((("a", "b"), slice(2, 4)), (("b",), slice(3, 4))):
+            want = _signed_pair_mean([r[pick] for r in full], [r[column] for r in full],
+                                     lambda p, q: sum(abs(u - v) for u, v in zip(p, q)), scale)
+            assert got[(name, sub)] == pytest.approx(want, rel=1e-8, abs=1e-12)
+        assert got[(name, ())] == 0.0
     with pytest.raises(ValueError):
         E.num_d_cityblock_terms(df, ["o"], ["a"], [("a",)], "zscore")
