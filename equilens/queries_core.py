@@ -472,28 +472,15 @@ _RUNS: dict = {}
 
 
 def _run_once(spark, sf):
-    """A mitigation run of the default length on the audit table (memoised per session and scale)."""
+    """One mitigation iteration on the audit table (memoised per session and scale)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
-        mh, it, fs = run_ops.run(spark, fx.audit(spark, sf), A, KEYS, run_ops.RunConfig())
+        cfg = run_ops.RunConfig(max_iterations=1)
+        mh, it, fs = run_ops.run(spark, fx.audit(spark, sf), A, KEYS, cfg)
         _RUNS[key] = (mh, it, fs)
     return _RUNS[key]
 
 
-@register("run_resumed")
-def q_run_resumed(spark, sf):
-    """The history of a run that stopped after its first iteration and went on from its written state."""
-    import uuid
-
-    from equilens.plans import state
-    from equilens.session import ensure_checkpoint_dir
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/equilens-runs-{uuid.uuid4().hex}"
-    first = state.run_durable(spark, fx.audit(spark, sf), A, KEYS, run_ops.RunConfig(), folder, steps=1)
-    run_ops.finish(first)
-    ctx = state.run_durable(spark, fx.audit(spark, sf), A, KEYS, run_ops.RunConfig(), folder, run_id=first.state.run_id)
-    return finalize(run_ops.finish(ctx)[0].drop("run_id"))
-
-
 @register("run_history")
 def q_run_history(spark, sf):
     return finalize(_run_once(spark, sf)[0].drop("run_id"))
