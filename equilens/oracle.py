@@ -980,3 +980,55 @@ SELECT protected, attr, round(abs(u - avg(u) OVER (PARTITION BY protected)) / 3,
 
 ORACLE["epsilon_num_d_docs"] = _num_d_docs_sql("(a.n_chars - b.n_chars) ^ 2", "(d - mu) / sd")
 ORACLE["epsilon_num_d_cityblock"] = _num_d_docs_sql("abs(a.n_chars - b.n_chars)", "d / mu")
+
+
+# ---- logistic regression: Newton steps written out, levels eliminated by their own diagonal --
+def _newton_sql(start, step, steps=9):
+    ctes = [f"s0 AS MATERIALIZED ({start})"]
+    for k in range(steps):
+        ctes += [f"{name}{k if name != 's' else k + 1} AS MATERIALIZED ({sql.format(k=k)})" for name, sql in step]
+    return ",\n".join(ctes), f"s{steps}"
+
+
+def _lr_coefficients_sql():
+    newton, last = _newton_sql(
+        "SELECT f, f > min(f) OVER () AS free, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b, 0.0::DOUBLE AS m FROM (SELECT DISTINCT f FROM tr)",
+        [("g", """SELECT f, free, w, b, m, sum(p - y) + w AS g, sum((p - y) * x) AS gx, sum(p * (1 - p)) AS c,
+                  sum(p * (1 - p) * x) AS cx, sum(p * (1 - p) * x * x) AS cxx
+                  FROM (SELECT tr.*, s{k}.* EXCLUDE (f), 1 / (1 + exp(-(b + w + m * x))) AS p FROM tr JOIN s{k} USING (f))
+                  GROUP BY f, free, w, b, m"""),
+         ("t", """SELECT sum(c) - sum(c * c / (c + 1)) FILTER (free) AS a, sum(cx) - sum(c * cx / (c + 1)) FILTER (free) AS h,
+                  sum(cxx) + 1 - sum(cx * cx / (c + 1)) FILTER (free) AS d, sum(g - w) - sum(c * g / (c + 1)) FILTER (free) AS rb,
+                  sum(gx) + any_value(m) - sum(cx * g / (c + 1)) FILTER (free) AS rm FROM g{k}"""),
+         ("s", """SELECT f, free, CASE WHEN free THEN w - (g + c * db + cx * dm) / (c + 1) ELSE 0 END AS w, b + db AS b, m + dm AS m
+                  FROM g{k}, (SELECT -(d * rb - h * rm) / (a * d - h * h) AS db, -(a * rm - h * rb) / (a * d - h * h) AS dm FROM t{k})""")])
+    return _with(AUDIT, _LABELED) + f"""
+, tr AS MATERIALIZED (SELECT l_returnflag AS f, l_extendedprice / 1000 AS x, label_Y AS y FROM labeled WHERE {_hb(1)} < 700),
+{newton}
+SELECT 'l_returnflag' AS term, f AS level, round(w, 6) AS coefficient FROM {last} WHERE free
+UNION ALL SELECT 'price', NULL, round(any_value(m), 6) FROM {last} UNION ALL SELECT '', NULL, round(any_value(b), 6) FROM {last}"""
+
+
+ORACLE["lr_coefficients"] = _lr_coefficients_sql()
+
+
+def _ae_rebin_r3_sql():
+    newton, last = _newton_sql(
+        """SELECT i, j, f, n, pos, f > min(f) OVER (PARTITION BY i, j) AS free, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM (
+             SELECT i, j, CASE WHEN v = i THEN j ELSE v END AS f, sum(n) AS n, sum(pos) AS pos FROM pairs, cnt WHERE tr GROUP BY ALL)""",
+        [("g", """SELECT *, n / (1 + exp(-(b + w))) - pos + w AS g, n / (1 + exp(-(b + w))) * (1 - 1 / (1 + exp(-(b + w)))) AS c FROM s{k}"""),
+         ("s", """SELECT i, j, f, n, pos, free, CASE WHEN free THEN w - (g + c * db) / (c + 1) ELSE 0 END AS w, b + db AS b
+                  FROM g{k} JOIN (SELECT i, j, -(sum(g - w) - sum(c * g / (c + 1)) FILTER (free))
+                                         / (sum(c) - sum(c * c / (c + 1)) FILTER (free)) AS db FROM g{k} GROUP BY i, j) USING (i, j)""")])
+    return _with(AUDIT, _LABELED) + f"""
+, cnt AS MATERIALIZED (SELECT CAST(l_linenumber AS VARCHAR) AS v, {_hb(1)} < 700 AS tr, count(*) AS n, sum(label_Y) AS pos
+                       FROM labeled GROUP BY ALL),
+vals AS (SELECT DISTINCT v FROM cnt),
+pairs AS MATERIALIZED (SELECT a.v AS i, b.v AS j FROM vals a JOIN vals b ON a.v < b.v),
+{newton}
+SELECT i AS from_value, j AS to_value,
+       round(sum(CASE WHEN s.b + s.w > 0 THEN cnt.pos ELSE cnt.n - cnt.pos END) / sum(cnt.n), 6) AS accuracy
+FROM {last} s JOIN cnt ON NOT cnt.tr AND s.f = CASE WHEN cnt.v = i THEN j ELSE cnt.v END GROUP BY i, j"""
+
+
+ORACLE["ae_rebin_r3"] = _ae_rebin_r3_sql()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equilens.functions.beta import beta_stream
-from equilens.operators import confusion, epsilon as E, fairness
+from equilens.operators import confusion, epsilon as E, fairness, newton
 from equilens.operators.encode import bin_protected, binarize_target
 from equilens.operators.importance import lasso_importance, mutual_information, permutation_importance, pick_lowest
 from equilens.operators.models import fit, fit_score
@@ -363,19 +363,28 @@ def rows_changed(base: DataFrame, spec: AuditSpec, changes: dict, stream: list,
 
 
 def ae_rebin_r3(base: DataFrame, spec: AuditSpec, attr: str, changes: dict, stream: list, cfg: RunConfig):
-    """r3: try every merge {i: j} of two values of ``attr``, refit on the train rows of ``base`` and keep
-    the merge with the best accuracy on its other rows; ``(None, 0.0)`` where there is no pair.
+    """r3: the merge {i: j} of two values of ``attr`` whose refit on the train rows of ``base`` is the most
+    accurate on its other rows, ties to the first pair by value; ``(None, 0.0)`` where there is no pair.
 
-    One model fit per value pair (the method's search), so it is meant for attributes with few values.
+    Logistic regression fits all merges side by side, a pass over the rows for each Newton step; other
+    classifiers have no sums to share, so each merge is a fit of its own there.
     """
-    from itertools import combinations
-    cur = apply_changes(base, spec, changes, stream, cfg.method, cfg.multi)
-    values = sorted(r[0] for r in cur.select(attr).where(F.col(attr).isNotNull()).distinct().collect())
-    prev = changes.get(attr) if isinstance(changes.get(attr), dict) else {}
-    best, best_acc = None, 0.0
-    for i, j in combinations(values, 2):
-        trial = {**changes, attr: {**prev, i: j}}
-        acc = evaluate(apply_changes(base, spec, trial, stream, cfg.method, cfg.multi), spec, cfg)[("ACC", None)]
-        if acc > best_acc:
-            best, best_acc = {i: j}, acc
-    return best, best_acc
+    trials = rebin_trials(base, spec, attr, changes, stream, cfg)
+    best = max(trials, key=lambda t: t[2] or 0.0, default=None)
+    if best is None or not best[2]:
+        return None, 0.0
+    typed = base.sparkSession.range(1).select(*[F.lit(v).cast(base.schema[attr].dataType) for v in best[:2]]).first()
+    return {typed[0]: typed[1]}, best[2]
+
+
+def rebin_trials(base: DataFrame, spec: AuditSpec, attr: str, changes: dict, stream: list, cfg: RunConfig) -> list:
+    """``(from, to, accuracy)`` of every pair of current values of ``attr``, as text."""
+    earlier = changes.get(attr) if isinstance(changes.get(attr), dict) else {}
+    others = {a: c for a, c in changes.items() if a != attr}
+    table = apply_changes(base, spec, others, stream, cfg.method, cfg.multi)
+    if cfg.classifier in ("LR", "LR1000"):
+        return newton.merge_accuracies(table.where("is_train"), table.where("not is_train"), spec.numerical, spec.categorical,
+                                       attr, "label_Y", earlier)
+    now = newton.levels_of(apply_changes(base, spec, {attr: earlier}, stream, cfg.method, cfg.multi), [attr])[attr]
+    score = lambda merges: evaluate(apply_changes(base, spec, {**others, attr: merges}, stream, cfg.method, cfg.multi), spec, cfg)
+    return [(a, b, score({**earlier, a: b})[("ACC", None)]) for k, a in enumerate(now) for b in now[k + 1:]]

@@ -393,6 +393,23 @@ def q_ae_r2(spark, sf):
     return rb_ops.ae_rebin_r2(fx.audit(spark, sf), A.categorical)
 
 
+@register("ae_rebin_r3")
+def q_ae_r3(spark, sf):
+    """Every merge of two line numbers: accuracy of the refitted model, all merges fitted side by side."""
+    from equilens.operators import newton
+    d = audit_split(spark, sf)
+    rows = newton.merge_accuracies(d.where("is_train"), d.where("not is_train"), (), ("l_linenumber",), "l_linenumber", "label_Y")
+    return finalize(spark.createDataFrame(rows, "from_value string, to_value string, accuracy double"))
+
+
+@register("lr_coefficients")
+def q_lr_coefficients(spark, sf):
+    """Logistic regression by Newton steps over a number and a category."""
+    from equilens.operators import newton
+    d = audit_split(spark, sf).where("is_train").withColumn("price", F.col("l_extendedprice") / 1000)
+    return finalize(newton.coefficient_table(d, ("price",), ("l_returnflag",), "label_Y"))
+
+
 @register("mi_importance")
 def q_mi(spark, sf):
     return finalize(imp_ops.mutual_information(_audit_labeled(spark, sf), "label_Y", A.numerical, A.categorical))
