@@ -3,14 +3,15 @@
 Vectors are lifted by one component so that all have the largest norm ``R``; for a query
 lifted with 0, the squared distance is ``|q|^2 + R^2 - 2 q.x``, so the highest inner products
 are the nearest vectors.  Every vector is keyed by its nearest pivot and its distance to it;
-keys fall into annuli (pivot, distance range), and a large annulus into several blocks by a
-hash of the id, so equal vectors never crowd one task.
+keys fall into annuli (pivot, distance range).  Annuli of one pivot and of neighbouring pivots
+fill up a block together; a large annulus falls into several blocks by a hash of the id, so
+equal vectors never crowd one task.
 
 A search first scores each query inside its own block, which bounds its k-th best score from
 below.  By the triangle inequality a vector whose pivot distance lies ``g`` away from the
 query's is at least ``g`` away from the query; a query goes only to blocks that may hold
-better scores.  Inside a block, rows sorted by pivot distance are expanded strip by strip from
-the query's own distance outwards, until no strip left can reach the bound.
+better scores.  Inside a block, rows sorted by pivot and distance to it are expanded strip by
+strip from the query's own distance outwards, until no strip left can reach the bound.
 """
 
 from __future__ import annotations
@@ -115,16 +116,22 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 NONE = np.iinfo(np.int64).min
 
 
-def _search_block(ids: np.ndarray, x: np.ndarray, dist: np.ndarray, geo: Geometry, q_ids: np.ndarray, q: np.ndarray,
-                  q_dist: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _strips(dist: np.ndarray, pivot: np.ndarray) -> list[np.ndarray]:
+    """Rows of one pivot each, by distance to it, ``STRIP`` rows at most."""
+    order = np.lexsort((dist, pivot))
+    cuts = np.flatnonzero(np.diff(pivot[order])) + 1
+    return [part[i:i + STRIP] for part in np.split(order, cuts) for i in range(0, len(part), STRIP)]
+
+
+def _search_block(ids: np.ndarray, x: np.ndarray, dist: np.ndarray, cell: np.ndarray, geo: Geometry, q_ids: np.ndarray, q: np.ndarray,
+                  floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates ``(query row, id, score)`` of a block at or above each query's bound, which strips raise."""
-    order = np.argsort(dist, kind="stable")
     strips = []
-    for i in range(0, len(order), STRIP):
-        rows = order[i:i + STRIP]
+    for rows in _strips(dist, cell // geo.n_annuli):
         strips.append((dist[rows[0]], dist[rows[-1]], rows[np.argsort(ids[rows], kind="stable")]))
     low, high = np.array([s[0] for s in strips]), np.array([s[1] for s in strips])
-    gap = np.maximum(0.0, np.maximum(low[None, :] - q_dist[:, None], q_dist[:, None] - high[None, :]))
+    q_dist = geo.query_distances(q)[:, [cell[s[2][0]] // geo.n_annuli for s in strips]]
+    gap = np.maximum(0.0, np.maximum(low[None, :] - q_dist, q_dist - high[None, :]))
     ceiling = geo.ceiling(q, gap)
     floor = floor.copy()
     out_q, out_id, out_s = [], [], []
@@ -158,16 +165,17 @@ def _search_block(ids: np.ndarray, x: np.ndarray, dist: np.ndarray, geo: Geometr
 # ---------------------------------------------------------------- index and search
 
 def build_index(vectors: DataFrame, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Geometry | None, list]:
-    """Index of ``(id, v)`` rows: ``id, v, dist, block``; its geometry; and one directory entry for each cell.
+    """Index of ``(id, v)`` rows: ``id, v, dist, cell, block``; its geometry; and one directory entry for each cell.
 
     Pivots and edges are fitted on at most ``sample`` vectors, those of the smallest id
     hashes.  The directory has ``N_PIVOTS x N_ANNULI`` entries at most:
-    ``(cell, rows, blocks, first block, least and greatest distance)``.
+    ``(cell, rows, blocks, first block, least and greatest distance)``; cells that fit into one
+    block together share its number.
     """
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     top = vectors.agg(F.max(norm).alias("r2"), F.max(F.size("v")).alias("dim")).first()
     if top["dim"] is None:
-        return vectors.select("id", "v", F.lit(0.0).alias("dist"), F.lit(0).alias("block")), None, []
+        return vectors.select("id", "v", F.lit(0.0).alias("dist"), F.lit(0).alias("cell"), F.lit(0).alias("block")), None, []
     dim = max(top["dim"], 1)
     picked = vectors.orderBy(F.xxhash64("id")).limit(sample).collect()
     geo = Geometry(_matrix([r["v"] for r in picked], dim), float(top["r2"]), dim)
@@ -180,20 +188,36 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE, block_rows: int = BLOC
                                                   pa.array(cell, pa.int32())], names=["id", "v", "dist", "cell"])
 
     keyed = materialize(vectors.select("id", "v").mapInArrow(key, "id long, v array<long>, dist double, cell int"), "keys")
-    cells = sorted(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"),
-                                             F.max("dist").alias("high")).collect())
-    directory, first = [], 0
+    place = {p: i for i, p in enumerate(_chain(geo.pivots))}
+    cells = sorted(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect(),
+                   key=lambda c: (place[c["cell"] // geo.n_annuli], c["cell"]))
+    directory, first, filled = [], 0, 0
     for c in cells:
         blocks = -(-c["n"] // block_rows)
+        if filled and filled + c["n"] > block_rows:
+            first, filled = first + 1, 0
         directory.append((c["cell"], c["n"], blocks, first, c["low"], c["high"]))
-        first += blocks
+        if blocks > 1:
+            first += blocks
+        else:
+            filled += c["n"]
     start = F.create_map(*[F.lit(x) for d in directory for x in (d[0], d[3])])
     count = F.create_map(*[F.lit(x) for d in directory for x in (d[0], d[2])])
     block = F.element_at(start, F.col("cell")) + F.pmod(F.xxhash64("id"), F.element_at(count, F.col("cell"))).cast("int")
-    return keyed.select("id", "v", "dist", block.cast("int").alias("block")), geo, directory
+    return keyed.select("id", "v", "dist", "cell", block.cast("int").alias("block")), geo, directory
+
+
+def _chain(pivots: np.ndarray) -> list[int]:
+    """Pivots in an order that goes from each to the nearest one left."""
+    left, out = set(range(1, len(pivots))), [0]
+    apart = _distances(pivots, pivots)
+    while left:
+        out.append(min(left, key=lambda p: (apart[out[-1], p], p)))
+        left.remove(out[-1])
+    return out
 
 
-_ROW = "block int, id long, v array<long>, dist double, floor long, kind int"
+_ROW = "block int, id long, v array<long>, dist double, cell int, floor long, kind int"
 
 
 def _stream(rows: DataFrame, geo: Geometry, k: int, floors_only: bool) -> DataFrame:
@@ -211,7 +235,7 @@ def _stream(rows: DataFrame, geo: Geometry, k: int, floors_only: bool) -> DataFr
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
                     held.append((part.column("id").to_numpy(), _matrix(part.column("v").to_pylist(), geo.dim),
-                                 part.column("dist").to_numpy()))
+                                 part.column("dist").to_numpy(), part.column("cell").to_numpy()))
                     continue
                 if not held:
                     continue
@@ -220,8 +244,7 @@ def _stream(rows: DataFrame, geo: Geometry, k: int, floors_only: bool) -> DataFr
                 for i in range(0, len(part), QUERY_BATCH):
                     p = part.slice(i, QUERY_BATCH)
                     q_ids, floor = p.column("id").to_numpy(), p.column("floor").to_numpy()
-                    row, who, score = _search_block(*ready, geo, q_ids, _matrix(p.column("v").to_pylist(), geo.dim),
-                                                    p.column("dist").to_numpy(), floor, k)
+                    row, who, score = _search_block(*ready, geo, q_ids, _matrix(p.column("v").to_pylist(), geo.dim), floor, k)
                     if floors_only:                  # the k-th best score here, where there are k
                         full = np.bincount(row, minlength=len(p)) == k
                         last = np.full(len(p), np.iinfo(np.int64).max)
@@ -250,45 +273,35 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         return index.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"),
                             F.lit(0).cast("long").alias("score"))
     index = materialize(index, "index")
-    data = index.select("block", "id", "v", "dist", F.lit(NONE).alias("floor"), F.lit(0).alias("kind"))
+    data = index.select("block", "id", "v", "dist", "cell", F.lit(NONE).alias("floor"), F.lit(0).alias("kind"))
     queries = index.where(is_query)
-
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries with their distance to their own block's pivot."""
-        pivot = {b: d[0] // geo.n_annuli for d in directory for b in range(d[3], d[3] + d[2])}
-        for batch in batches:
-            if batch.num_rows:
-                d = geo.query_distances(_matrix(batch.column("v").to_pylist(), geo.dim))
-                own = np.array([pivot[b] for b in batch.column("block").to_pylist()])
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("block"), batch.column("id"), batch.column("v"), pa.array(d[np.arange(n), own], pa.float64()),
-                    pa.array(np.full(n, NONE)), pa.array(np.ones(n, np.int32))],
-                    names=["block", "id", "v", "dist", "floor", "kind"])
-
-    floors = _stream(data.unionByName(queries.mapInArrow(home, _ROW)), geo, k, True)
+    home = queries.select("block", "id", "v", "dist", "cell", F.lit(NONE).alias("floor"), F.lit(1).alias("kind"))
+    floors = _stream(data.unionByName(home), geo, k, True)
     floors = queries.select("id", "v").join(floors, "id", "left").select("id", "v", F.coalesce("floor", F.lit(NONE)).alias("floor"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries to every block that may hold a score at or above their bound."""
         cell = np.array([d[0] for d in directory])
         low, high = np.array([d[4] for d in directory]), np.array([d[5] for d in directory])
+        parts: dict[int, list[int]] = {}
+        for c, (_, _, blocks, first, _, _) in enumerate(directory):
+            for b in range(first, first + blocks):
+                parts.setdefault(b, []).append(c)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
                 q = _matrix(batch.column("v").to_pylist(), geo.dim)
                 d = geo.query_distances(q)[:, cell // geo.n_annuli]
                 gap = np.maximum(0.0, np.maximum(low - d, d - high))
-                floor = batch.column("floor").to_numpy()
-                may = geo.ceiling(q, gap) >= floor[:, None]
-                for c, (_, _, blocks, first, _, _) in enumerate(directory):
-                    go = np.flatnonzero(may[:, c])
-                    for b in range(first, first + blocks) if len(go) else ():
-                        part = batch.take(pa.array(go))
+                may = geo.ceiling(q, gap) >= batch.column("floor").to_numpy()[:, None]
+                for b, held in parts.items():
+                    go = np.flatnonzero(may[:, held].any(axis=1))
+                    if len(go):
+                        part, n = batch.take(pa.array(go)), len(go)
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(go), b, np.int32)), part.column("id"), part.column("v"),
-                            pa.array(d[go, c]), part.column("floor"), pa.array(np.ones(len(go), np.int32))],
-                            names=["block", "id", "v", "dist", "floor", "kind"])
+                            pa.array(np.full(n, b, np.int32)), part.column("id"), part.column("v"), pa.array(np.zeros(n)),
+                            pa.array(np.zeros(n, np.int32)), part.column("floor"), pa.array(np.ones(n, np.int32))],
+                            names=["block", "id", "v", "dist", "cell", "floor", "kind"])
 
     found = _stream(data.unionByName(materialize(floors, "floors").mapInArrow(spread, _ROW)), geo, k, False)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -42,6 +42,36 @@ def test_topk(spark, case, monkeypatch):
     assert {tuple(r) for r in got} == brute_topk(rows, lambda i: i % 5 == 0, 7) and len(got) == len({tuple(r) for r in got})
 
 
+def test_annuli_fill_blocks(spark):
+    """Vectors of one length without clusters: nothing can be left out, so blocks must be full."""
+    v = np.random.default_rng(4).normal(0, 8, (5000, 24)).round().astype(int)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<long>")
+    index, _, directory = topk_search.build_index(frame, block_rows=512)
+    sizes = [r["count"] for r in index.groupBy("block").count().collect()]
+    assert sum(sizes) == 5000 and len(sizes) <= 13 and len(directory) > 100          # 9.8 full blocks, 128 cells
+    assert {d[3] for d in directory} == {r.block for r in index.select("block").distinct().collect()}
+
+
+def test_bounds_leave_rows_of_other_clusters_unscored(monkeypatch):
+    """On clustered vectors of one length a query scores its own cluster's part of the rows, with the right result."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (32, 32))
+    centres *= 1000 / np.linalg.norm(centres, axis=1)[:, None]
+    x = np.rint(centres[rng.integers(0, 32, 8000)] + rng.normal(0, 10, (8000, 32))).astype(np.int64)
+    geo = topk_search.Geometry(x[:2000], float((x * x).sum(axis=1).max()), 32)
+    cell, dist = geo.key(x)
+    scored = []
+    monkeypatch.setattr(topk_search, "STRIP", 64)
+    monkeypatch.setattr(topk_search, "_products", lambda q, r, f=topk_search._products: (scored.append(len(q) * len(r)), f(q, r))[1])
+    ids = np.arange(8000)
+    for q in range(0, 8000, 100):
+        s = x @ x[q]
+        floor = np.sort(np.delete(s, q))[-20:-19]                                    # the final bound of this query
+        _, who, top = topk_search._search_block(ids, x, dist, cell, geo, ids[q:q + 1], x[q:q + 1], floor, 20)
+        assert list(zip(who, top)) == sorted(zip(np.delete(ids, q), np.delete(s, q)), key=lambda t: (-t[1], t[0]))[:20]
+    assert sum(scored) < 0.1 * 80 * 8000
+
+
 def test_topk_of_nothing(spark):
     frame = spark.createDataFrame([(1, None)], "id long, v array<long>")
     assert topk_search.search(frame, F.lit(True)).collect() == []
