@@ -1,16 +1,19 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton over trigrams.
 
-Model: bigrams over words and one end mark.  The root state has an arc for every word with
-its discounted unigram probability (absolute discounting, the freed mass goes to the unknown
-word).  Every word seen in training is a state: arcs for the words that followed it, smoothed
-towards the root (Dirichlet weight ``MU``), and a failure arc to the root that carries the
-rest of its mass.  A text is scored by one left-to-right traversal.
+Words and one end mark are the labels.  States are the root, every word seen in training, and
+every pair of neighbouring words seen at least ``MIN_PAIR`` times.  The root has an arc for every
+word with its discounted unigram probability (absolute discounting, the freed mass goes to the
+unknown word).  A word's or pair's state has arcs for the words that followed it, smoothed towards
+the state it falls back to (Dirichlet weights ``MU``, ``MU_PAIR``), and a failure arc to that state
+(pair, its second word, root) with the rest of its mass.  One left-to-right traversal of a text
+carries the state, takes failure arcs until a state has the next word, and adds up their weights.
 
 No task holds the whole automaton.  Texts are packed into blocks; a block asks for the
-corpus counts of its own distinct words and bigrams, and builds the slice of the automaton
-that its texts can reach.  Questions and answers travel as packed arrays, one for each block
-and hash range, so a frequent word is one entry for each block, not one row for each
-occurrence.
+corpus counts of its own distinct words, bigrams and trigrams, and builds the slice of the
+automaton that its texts can reach.  Questions and answers travel as packed arrays, one for each
+block and hash range, so a frequent word is one entry for each block, not one row for each
+occurrence.  An answer says too whether other blocks asked: where a trigram's first or second bigram
+stands in no other block, nor does the trigram, and the block's own count is the corpus count.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from equilens.llm.common import materialize, text_slices
 
-MU = 300.0                   # weight of the root against a state's own counts
+MU = 300.0                   # weight of the root against a word state's own counts
+MU_PAIR = 30.0               # weight of the word state against a pair state's own counts
+MIN_PAIR = 2                 # sightings in training that make a pair of words a state
 BUCKET_ENTRIES = 2_000_000   # entries that one bucket task holds, about
 PART_TOKENS = 4_000_000      # tokens of the blocks that one task scores one after the other, about
 END = b""                    # the end mark; words are never empty
@@ -104,21 +109,50 @@ class Block:
         self.own = np.bincount(self.tokens[self.learns], minlength=len(self.types))
 
     def bigrams(self) -> None:
-        """Distinct (state, label) pairs, where each position's pair stands, and their training counts."""
+        """Distinct (state, label) pairs, the pair that ends at each position, and their training counts."""
         inner = np.ones(len(self.tokens), bool)
         inner[self.first] = False                              # a text begins at the root
         self.inner = np.flatnonzero(inner)
         key = (self.tokens[self.inner - 1] << 32) | self.tokens[self.inner]
-        pairs, self.at = np.unique(key, return_inverse=True)
+        pairs, at = np.unique(key, return_inverse=True)
         self.state, self.label = pairs >> 32, pairs & 0xFFFFFFFF
-        self.own_pairs = np.bincount(self.at[self.learns[self.inner]], minlength=len(pairs))
+        self.own_pairs = np.bincount(at[self.learns[self.inner]], minlength=len(pairs))
+        self.pair = np.full(len(self.tokens), -1)
+        self.pair[self.inner] = at
+
+    def trigrams(self) -> None:
+        """Distinct (pair, label) trigrams: their pair, the pair of their last two words, where each stands, training counts."""
+        deep = self.inner[self.pair[self.inner - 1] >= 0]
+        key = (self.pair[deep - 1] << 32) | self.tokens[deep]
+        triples, first, at = np.unique(key, return_index=True, return_inverse=True)
+        self.context, self.last = triples >> 32, triples & 0xFFFFFFFF
+        self.tail = self.pair[deep[first]]
+        self.own_triples = np.bincount(at[self.learns[deep]], minlength=len(triples))
+        self.triple = np.full(len(self.tokens), -1)
+        self.triple[deep] = at
 
     def pair_hash(self) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = self.types[self.state] * np.uint64(0x9E3779B97F4A7C15) + self.types[self.label]
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            return x ^ (x >> np.uint64(31))
+        return _mix(self.types[self.state], self.types[self.label])
+
+    def asked(self, pairs: np.ndarray) -> np.ndarray:
+        """Trigrams whose corpus count the block must ask for, from the answers about its bigrams.
+
+        Both blocks that hold a trigram hold its two bigrams, so they agree on asking.
+        """
+        alone = pairs & 1 == 0
+        return np.flatnonzero(~alone[self.context] & ~alone[self.tail] & (pairs[self.context] >> 1 >= MIN_PAIR))
+
+    def triple_hash(self, at: np.ndarray) -> np.ndarray:
+        return _mix(self.pair_hash()[self.context[at]], self.types[self.last[at]])
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of two hashes, order counting."""
+    with np.errstate(over="ignore"):
+        x = a * np.uint64(0x9E3779B97F4A7C15) + b
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 # ---------------------------------------------------------------- questions and answers
@@ -157,7 +191,7 @@ def _questions(block: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int)
 
 
 def _put_answers(keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
-    """The inverse: corpus counts in the order of ``keys``."""
+    """The inverse: answers in the order of ``keys``, twice the corpus count and 1 where other blocks asked too."""
     out = np.zeros(len(keys), np.int64)
     if len(keys):
         out[np.argsort(keys, kind="stable")] = np.concatenate([_unpack(answers[b], np.int64) for b in sorted(answers)])
@@ -186,9 +220,10 @@ def _answer(questions: DataFrame, n_buckets: int) -> DataFrame:
             own = np.concatenate([_unpack(r["counts"], np.uint32) for r in rows])
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(at, own, len(distinct)).astype(np.int64)
+            reply = total * 2 + (np.bincount(at, minlength=len(distinct)) > 1)
             start = 0
             for r, k in zip(rows, keys):
-                yield _answer_row(r["block"], r["bucket"], _pack(total[at[start:start + len(k)]]), 0, 0, 0, 0)
+                yield _answer_row(r["block"], r["bucket"], _pack(reply[at[start:start + len(k)]]), 0, 0, 0, 0)
                 start += len(k)
             yield _answer_row(None, rows[0]["bucket"], b"", int((total > 0).sum()), int((total == 1).sum()),
                               int((total == 2).sum()), int(total.sum()))
@@ -218,7 +253,7 @@ def _with_answers(blocks: DataFrame, n_parts: int, **answers: DataFrame) -> Data
 
 
 def _read(rows: list[dict]) -> tuple[Block, dict[str, dict[int, bytes]]]:
-    got: dict[str, dict[int, bytes]] = {"words": {}, "pairs": {}}
+    got: dict[str, dict[int, bytes]] = {"words": {}, "pairs": {}, "triples": {}}
     for r in rows[1:]:
         got[r["kind"]][r["bucket"]] = r["counts"]
     return Block(rows[0]), got
@@ -251,31 +286,55 @@ class Totals:
 
 
 class BackoffAutomaton:
-    """A slice of the automaton: the states and arcs that a block's texts can reach."""
-
-    def __init__(self, counts: np.ndarray, state: np.ndarray, label: np.ndarray, pair_counts: np.ndarray,
-                 totals: Totals, mu: float):
-        self.root = totals.root(counts)
-        self.failure = np.log10(mu / (counts + mu))              # 0 for a word that is no state
-        seen = pair_counts > 0
-        smooth = (pair_counts + mu * 10 ** self.root[label]) / (counts[state] + mu)
-        # an arc of the state itself, else the failure arc and the root's arc
-        self.step = np.where(seen, np.log10(smooth), self.failure[state] + self.root[label])
-
-    def traverse(self, block: Block) -> np.ndarray:
-        """Accumulated log10 probability of each text: every step starts in the state the last one reached."""
-        weight = self.root[block.tokens]
-        weight[block.inner] = self.step[block.at]
-        return np.add.reduceat(weight, block.first)
+    """A slice of the automaton: the states and arcs that a block's texts can reach.
 
+    State 0 is the root, ``1 + w`` word ``w``, ``1 + words + p`` pair ``p`` of the block.
+    """
 
-def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", mu: float = MU) -> DataFrame:
+    def __init__(self, block: Block, counts: np.ndarray, pair_counts: np.ndarray, triple_counts: np.ndarray,
+                 totals: Totals, mu: float, mu_pair: float):
+        self.block, n = block, len(counts)
+        root = totals.root(counts)
+        second = (pair_counts + mu * 10 ** root[block.label]) / (counts[block.state] + mu)
+        third = (triple_counts + mu_pair * second[block.tail]) / (pair_counts[block.context] + mu_pair)
+        # weights of the arcs of the root, the words and the pairs; not a number: no such arc
+        self.arcs = (root, np.where(pair_counts > 0, np.log10(second), np.nan), np.where(triple_counts > 0, np.log10(third), np.nan))
+        self.failure = np.concatenate([[0.0], np.log10(mu / (counts + mu)), np.log10(mu_pair / (pair_counts + mu_pair))])
+        self.back = np.concatenate([np.zeros(n + 1, np.int64), 1 + block.label])
+        # where the arcs lead: the longest state that ends there
+        self.word_goes = np.where(counts > 0, np.arange(n) + 1, 0)
+        self.pair_goes = np.where(pair_counts >= MIN_PAIR, np.arange(len(pair_counts)) + n + 1, self.word_goes[block.label])
+
+    def traverse(self) -> np.ndarray:
+        """Accumulated log10 probability of each text; the state is carried from word to word."""
+        b, n = self.block, len(self.arcs[0])
+        root, second, third = (a.tolist() for a in self.arcs)
+        failure, back = self.failure.tolist(), self.back.tolist()
+        word_goes, pair_goes = self.word_goes.tolist(), self.pair_goes.tolist()
+        out = np.empty(len(b.sizes))
+        for i, (a, z) in enumerate(zip(b.first.tolist(), (b.first + b.sizes).tolist())):
+            state, total = 0, 0.0
+            for w, p, t in zip(b.tokens[a:z].tolist(), b.pair[a:z].tolist(), b.triple[a:z].tolist()):
+                while state:
+                    arc = third[t] if state > n else second[p]
+                    if arc == arc:
+                        break
+                    total += failure[state]
+                    state = back[state]
+                total += arc if state else root[w]
+                state = pair_goes[p] if p >= 0 else word_goes[w]
+            out[i] = total
+        return out
+
+
+def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", mu: float = MU,
+          mu_pair: float = MU_PAIR) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     ``train`` marks the rows the model learns from (null counts as not).  A-Z are
     lower-cased; null, empty and blank texts are one end mark; repeated rows count each
-    time.  Without training rows every probability is 1.  A state's own word counts, the
-    vocabulary and the bigrams are exact over all training rows.
+    time.  Without training rows every probability is 1.  The counts of words, bigrams and
+    trigrams are exact over all training rows.
     """
     id_type = docs.schema[doc_id].dataType
     id_arrow = to_arrow_type(id_type)
@@ -300,24 +359,39 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     t = words.where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n1", "n2", "total")]).first()
     totals = Totals(t["total"], t["n"], t["n1"], t["n2"])
     pairs = materialize(ask("pairs", n_pairs), "pair-counts")
+    n_parts = math.ceil((size["tokens"] or 0) / PART_TOKENS)
+
+    def ask_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, "block"):
+            b, got = _read(rows)
+            b.bigrams()
+            b.trigrams()
+            at = b.asked(_put_answers(b.pair_hash(), got["pairs"]))
+            yield _questions(b.block, b.triple_hash(at), b.own_triples[at], n_pairs)
+
+    triples = _answer(_with_answers(blocks, n_parts, pairs=pairs).mapInArrow(ask_triples, _ASK), n_pairs)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "block"):
             b, got = _read(rows)
-            counts = _put_answers(b.types, got["words"])
+            counts = _put_answers(b.types, got["words"]) >> 1
             b.bigrams()
-            pair_counts = _put_answers(b.pair_hash(), got["pairs"])
-            automaton = BackoffAutomaton(counts, b.state, b.label, pair_counts, totals, mu)
+            b.trigrams()
+            replies = _put_answers(b.pair_hash(), got["pairs"])
+            at, triple_counts = b.asked(replies), b.own_triples.copy()
+            triple_counts[at] = _put_answers(b.triple_hash(at), got["triples"]) >> 1
+            pair_counts = replies >> 1
+            triple_counts[pair_counts[b.context] < MIN_PAIR] = 0        # no such state
+            automaton = BackoffAutomaton(b, counts, pair_counts, triple_counts, totals, mu, mu_pair)
             known = np.add.reduceat((counts > 0)[b.tokens].astype(np.int64), b.first)
             base = np.add.reduceat(totals.base(counts)[b.tokens], b.first)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b.ids, id_arrow), pa.array(b.sizes, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(automaton.traverse(b), pa.float64())],
+                 pa.array(base, pa.float64()), pa.array(automaton.traverse(), pa.float64())],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()),
                            T.StructField("score", T.DoubleType())])
-    n_parts = math.ceil((size["tokens"] or 0) / PART_TOKENS)
-    out = _with_answers(blocks, n_parts, words=words, pairs=pairs).mapInArrow(finish, schema)
+    out = _with_answers(blocks, n_parts, words=words, pairs=pairs, triples=triples).mapInArrow(finish, schema)
     return out.withColumn("train_tokens", F.lit(totals.tokens).cast("long"))

@@ -73,25 +73,30 @@ def test_rule_learner_finds_a_conjunction(spark):
     assert "reject if" in str(rules)
 
 
-def brute_lm(rows, mu):
-    """Scores of (id, text, train) rows by the model's formulas."""
+def brute_lm(rows, mu, mu_pair):
+    """Scores of (id, text, train) rows by the model's formulas, each word's whole history at hand."""
     toks = [[w for w in words(lower(t))] + [""] for _, t, _ in rows]
-    uni, big = Counter(), Counter()
+    uni, big, tri = Counter(), Counter(), Counter()
     for t, (_, _, train) in zip(toks, rows):
         if train:
             uni.update(t)
             big.update(zip(t, t[1:]))
+            tri.update(zip(t, t[1:], t[2:]))
     n, v = sum(uni.values()), len(uni)
     once, twice = (sum(c == k for c in uni.values()) for k in (1, 2))
     d = once / (once + 2 * twice) if once and twice else 0.5
+
+    def probability(history, w):
+        if len(history) == 2:
+            lower_order = probability(history[1:], w)
+            return (tri[(*history, w)] + mu_pair * lower_order) / (big[history] + mu_pair) if big[history] >= lm_score.MIN_PAIR else lower_order
+        p = 1.0 if not n else (uni[w] - d) / n if uni[w] else d * v / n
+        return (big[(*history, w)] + mu * p) / (uni[history[0]] + mu) if history and uni[history[0]] else p
+
     out = []
     for t in toks:
         base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
-        total, prev = 0.0, None
-        for w in t:
-            p1 = 1.0 if not n else (uni[w] - d) / n if uni[w] else d * v / n
-            p = p1 if prev is None or not uni[prev] else (big[prev, w] + mu * p1) / (uni[prev] + mu)
-            total, prev = total + math.log10(p), w
+        total = sum(math.log10(probability(tuple(t[max(i - 2, 0):i]), w)) for i, w in enumerate(t))
         out.append((len(t), sum(uni[w] > 0 for w in t), n, round(base, 6), round(total, 6)))
     return out
 
@@ -101,28 +106,36 @@ def test_lm_matches_brute_force(spark, docs, none, monkeypatch):
     monkeypatch.setattr(lm_score, "BUCKET_ENTRIES", 40)
     train = F.lit(False) if none else F.col("lang") == "en"
     rows = [(r.doc_id, r.text, (not none) and r.lang == "en") for r in docs.collect()]
-    got = lm_score.score(docs, train, mu=10.0).collect()
-    want = brute_lm(rows, 10.0)
+    got = lm_score.score(docs, train, mu=10.0, mu_pair=3.0).collect()
+    want = brute_lm(rows, 10.0, 3.0)
     key = lambda x: str(x)
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got), key=key) \
         == sorted([(i, *w) for (i, _, _), w in zip(rows, want)], key=key)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    """Over the vocabulary and the unknown word, from the root and from a state."""
+def test_lm_probabilities_sum_to_one():
+    """Over the vocabulary and the unknown word, from the root, from a word's state and from a pair's."""
     counts = np.array([5, 3, 2, 1, 1, 0])
     totals = lm_score.Totals(12, 5, 2, 1)
-    assert abs(sum(10 ** totals.root(counts)) - 1) < 1e-12
-    pairs = np.array([2, 0, 1, 1, 0, 0])
-    auto = lm_score.BackoffAutomaton(counts, np.zeros(6, int), np.arange(6), np.array([2, 0, 2, 1, 0, 0]), totals, 7.0)
-    assert abs(sum(10 ** auto.step) - 1) < 1e-12 and pairs.sum() < 5
+    texts = [[w] for w in range(6)] + [[0, w] for w in range(6)] + [[1, 0, w] for w in range(6)] + [[1, 0]]
+    b = object.__new__(lm_score.Block)
+    b.types, b.tokens = np.arange(1, 7, dtype=np.uint64), np.array(sum(texts, []))
+    b.sizes = np.array([len(t) for t in texts])
+    b.first, b.learns = np.cumsum(b.sizes) - b.sizes, np.zeros(len(b.tokens), bool)
+    b.bigrams()
+    b.trigrams()
+    pairs = np.array([{(0, 0): 2, (0, 2): 2, (0, 3): 1, (1, 0): 3}.get(p, 0) for p in zip(b.state, b.label)])
+    triples = np.array([{0: 1, 2: 2}.get(w, 0) for w in b.last])
+    p = 10 ** lm_score.BackoffAutomaton(b, counts, pairs, triples, totals, 7.0, 2.0).traverse()
+    assert abs(p[:6].sum() - 1) < 1e-12 and abs(p[6:12].sum() - p[0]) < 1e-12 and abs(p[12:18].sum() - p[18]) < 1e-12
+    assert p[14] / p[18] > 2 / 5 and p[18] < p[1]
 
 
 def test_lm_query_on_whole_table(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BUCKET_ENTRIES", 50_000)
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = {i: w for (i, _, _), w in zip(rows, brute_lm(rows, lm_score.MU))}
+    want = {i: w for (i, _, _), w in zip(rows, brute_lm(rows, lm_score.MU, lm_score.MU_PAIR))}
     got = QUERIES["op6_lm_score"](spark, sf).collect()
     for r in got:
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
