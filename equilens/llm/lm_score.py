@@ -52,6 +52,16 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
 
 
+def _pack_planes(values: np.ndarray) -> bytes:
+    """Bytes of one weight together: the leading ones are mostly zero."""
+    return _pack(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T)
+
+
+def _unpack_planes(data: bytes, dtype) -> np.ndarray:
+    planes = _unpack(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype)[:, 0]
+
+
 def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_bytes: int = 4 << 20) -> DataFrame:
     """Texts as blocks of token numbers: one row for about ``block_bytes`` of text (a text is never cut)."""
     id_type = docs.schema[doc_id].dataType
@@ -73,16 +83,17 @@ def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_
                     known[w] = len(known)
                 flat.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-            order = np.argsort(hashes, kind="stable")       # types stand by hash
+            tokens = np.concatenate(flat)
+            order = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")    # frequent types first: small numbers
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
-            tokens = place[np.concatenate(flat)]
+            tokens = place[tokens]
             small = np.uint16 if len(order) <= 1 << 16 else np.uint32
             yield pa.RecordBatch.from_arrays([
                 pa.array([block], pa.int64()), pa.array([part.column("id").to_pylist()], _id_list(part)),
                 pa.array([part.column("train").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], pa.binary()),
                 pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()),
-                pa.array([hashes[order].tobytes()], pa.binary()), pa.array([_pack(tokens.astype(small))], pa.binary()),
+                pa.array([hashes[order].tobytes()], pa.binary()), pa.array([_pack_planes(tokens.astype(small))], pa.binary()),
                 pa.array([len(order)], pa.int64()), pa.array([len(tokens)], pa.int64())], names=schema.names)
             block += 1
 
@@ -101,7 +112,7 @@ class Block:
         self.block, self.ids = row["block"], row["ids"]
         self.types = np.frombuffer(row["types"], np.uint64)
         small = np.uint16 if len(self.types) <= 1 << 16 else np.uint32
-        self.tokens = _unpack(row["tokens"], small).astype(np.int64)
+        self.tokens = _unpack_planes(row["tokens"], small).astype(np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         train = np.frombuffer(row["train"], np.uint8).astype(bool)
         self.learns = np.repeat(train, self.sizes)             # token positions that train
@@ -134,13 +145,12 @@ class Block:
     def pair_hash(self) -> np.ndarray:
         return _mix(self.types[self.state], self.types[self.label])
 
-    def asked(self, pairs: np.ndarray) -> np.ndarray:
+    def asked(self, pair_counts: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """Trigrams whose corpus count the block must ask for, from the answers about its bigrams.
 
-        Both blocks that hold a trigram hold its two bigrams, so they agree on asking.
+        Two blocks that hold a trigram hold its two bigrams, so they agree on asking.
         """
-        alone = pairs & 1 == 0
-        return np.flatnonzero(~alone[self.context] & ~alone[self.tail] & (pairs[self.context] >> 1 >= MIN_PAIR))
+        return np.flatnonzero(shared[self.context] & shared[self.tail] & (pair_counts[self.context] >= MIN_PAIR))
 
     def triple_hash(self, at: np.ndarray) -> np.ndarray:
         return _mix(self.pair_hash()[self.context[at]], self.types[self.last[at]])
@@ -167,14 +177,12 @@ def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as steps, bytes of one weight together: the leading ones are mostly zero."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return _pack(steps.view(np.uint8).reshape(-1, 8).T)
+    """Ascending keys as steps."""
+    return _pack_planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    planes = _unpack(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64)
+    return np.cumsum(_unpack_planes(data, np.uint64), dtype=np.uint64)
 
 
 def _questions(block: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.RecordBatch:
@@ -186,16 +194,16 @@ def _questions(block: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int)
     return pa.RecordBatch.from_arrays([
         pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()),
         pa.array([_pack_keys(keys[cut[b]:cut[b + 1]]) for b in used], pa.binary()),
-        pa.array([_pack(counts[cut[b]:cut[b + 1]]) for b in used], pa.binary())],
+        pa.array([_pack_planes(counts[cut[b]:cut[b + 1]]) for b in used], pa.binary())],
         names=["bucket", "block", "keys", "counts"])
 
 
-def _put_answers(keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
-    """The inverse: answers in the order of ``keys``, twice the corpus count and 1 where other blocks asked too."""
-    out = np.zeros(len(keys), np.int64)
+def _put_answers(keys: np.ndarray, own: np.ndarray, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse: corpus counts in the order of ``keys``, and whether other blocks asked too."""
+    reply = np.zeros(len(keys), np.int64)
     if len(keys):
-        out[np.argsort(keys, kind="stable")] = np.concatenate([_unpack(answers[b], np.int64) for b in sorted(answers)])
-    return out
+        reply[np.argsort(keys, kind="stable")] = np.concatenate([_unpack_planes(answers[b], np.int64) for b in sorted(answers)])
+    return own + (reply >> 1), (reply & 1).astype(bool)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
@@ -213,17 +221,17 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]
 
 
 def _answer(questions: DataFrame, n_buckets: int) -> DataFrame:
-    """Corpus counts for every question, and each bucket's totals (block null)."""
+    """For every question twice the counts of other blocks, plus 1 where any of them asked; each bucket's totals (block null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "bucket"):
             keys = [_unpack_keys(r["keys"]) for r in rows]
-            own = np.concatenate([_unpack(r["counts"], np.uint32) for r in rows])
+            own = np.concatenate([_unpack_planes(r["counts"], np.uint32) for r in rows]).astype(np.int64)
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(at, own, len(distinct)).astype(np.int64)
-            reply = total * 2 + (np.bincount(at, minlength=len(distinct)) > 1)
+            reply = (total[at] - own) * 2 + (np.bincount(at, minlength=len(distinct)) > 1)[at]
             start = 0
             for r, k in zip(rows, keys):
-                yield _answer_row(r["block"], r["bucket"], _pack(reply[at[start:start + len(k)]]), 0, 0, 0, 0)
+                yield _answer_row(r["block"], r["bucket"], _pack_planes(reply[start:start + len(k)]), 0, 0, 0, 0)
                 start += len(k)
             yield _answer_row(None, rows[0]["bucket"], b"", int((total > 0).sum()), int((total == 1).sum()),
                               int((total == 2).sum()), int(total.sum()))
@@ -249,11 +257,11 @@ def _with_answers(blocks: DataFrame, n_parts: int, **answers: DataFrame) -> Data
                         F.lit(None).cast("binary").alias("counts"))
     for kind, rows in answers.items():
         out = out.unionByName(rows.where("block IS NOT NULL").select("block", *empty, F.lit(kind).alias("kind"), "bucket", "counts"))
-    return out.repartition(max(n_parts, _partitions(blocks)), "block").sortWithinPartitions("block", "kind")
+    return out.repartition(max(n_parts, _partitions(blocks)), "block")
 
 
 def _read(rows: list[dict]) -> tuple[Block, dict[str, dict[int, bytes]]]:
-    got: dict[str, dict[int, bytes]] = {"words": {}, "pairs": {}, "triples": {}}
+    got: dict[str, dict[int, bytes]] = {"words": {}, "pairs": {}}
     for r in rows[1:]:
         got[r["kind"]][r["bucket"]] = r["counts"]
     return Block(rows[0]), got
@@ -358,40 +366,38 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     words = materialize(ask("words", n_words), "word-counts")
     t = words.where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n1", "n2", "total")]).first()
     totals = Totals(t["total"], t["n"], t["n1"], t["n2"])
-    pairs = materialize(ask("pairs", n_pairs), "pair-counts")
+    # blocks with their answers are exchanged once and read twice
     n_parts = math.ceil((size["tokens"] or 0) / PART_TOKENS)
+    held = _with_answers(blocks, n_parts, words=words, pairs=ask("pairs", n_pairs))
 
     def ask_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "block"):
             b, got = _read(rows)
             b.bigrams()
             b.trigrams()
-            at = b.asked(_put_answers(b.pair_hash(), got["pairs"]))
+            at = b.asked(*_put_answers(b.pair_hash(), b.own_pairs, got["pairs"]))
             yield _questions(b.block, b.triple_hash(at), b.own_triples[at], n_pairs)
 
-    triples = _answer(_with_answers(blocks, n_parts, pairs=pairs).mapInArrow(ask_triples, _ASK), n_pairs)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, "block"):
-            b, got = _read(rows)
-            counts = _put_answers(b.types, got["words"]) >> 1
-            b.bigrams()
-            b.trigrams()
-            replies = _put_answers(b.pair_hash(), got["pairs"])
-            at, triple_counts = b.asked(replies), b.own_triples.copy()
-            triple_counts[at] = _put_answers(b.triple_hash(at), got["triples"]) >> 1
-            pair_counts = replies >> 1
-            triple_counts[pair_counts[b.context] < MIN_PAIR] = 0        # no such state
-            automaton = BackoffAutomaton(b, counts, pair_counts, triple_counts, totals, mu, mu_pair)
-            known = np.add.reduceat((counts > 0)[b.tokens].astype(np.int64), b.first)
-            base = np.add.reduceat(totals.base(counts)[b.tokens], b.first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(b.ids, id_arrow), pa.array(b.sizes, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(automaton.traverse(), pa.float64())],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+    triples = _answer(held.sortWithinPartitions("block", "kind").mapInArrow(ask_triples, _ASK), n_pairs) \
+        .where("block IS NOT NULL").select("block", "bucket", "counts")
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        b, got = _read(sorted(left.to_pylist(), key=lambda r: r["kind"]))
+        counts, _ = _put_answers(b.types, b.own, got["words"])
+        b.bigrams()
+        b.trigrams()
+        pair_counts, shared = _put_answers(b.pair_hash(), b.own_pairs, got["pairs"])
+        at, triple_counts = b.asked(pair_counts, shared), b.own_triples.copy()
+        triple_counts[at], _ = _put_answers(b.triple_hash(at), b.own_triples[at], {r["bucket"]: r["counts"] for r in right.to_pylist()})
+        triple_counts[pair_counts[b.context] < MIN_PAIR] = 0        # no such state
+        automaton = BackoffAutomaton(b, counts, pair_counts, triple_counts, totals, mu, mu_pair)
+        known = np.add.reduceat((counts > 0)[b.tokens].astype(np.int64), b.first)
+        base = np.add.reduceat(totals.base(counts)[b.tokens], b.first)
+        return pa.table([pa.array(b.ids, id_arrow), pa.array(b.sizes, pa.int64()), pa.array(known, pa.int64()),
+                         pa.array(base, pa.float64()), pa.array(automaton.traverse(), pa.float64())], names=schema.names)
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()),
                            T.StructField("score", T.DoubleType())])
-    out = _with_answers(blocks, n_parts, words=words, pairs=pairs, triples=triples).mapInArrow(finish, schema)
+    out = held.groupBy("block").cogroup(triples.groupBy("block")).applyInArrow(finish, schema)
     return out.withColumn("train_tokens", F.lit(totals.tokens).cast("long"))
