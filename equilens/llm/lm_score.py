@@ -84,7 +84,8 @@ def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_
                 flat.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
             tokens = np.concatenate(flat)
-            order = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")    # frequent types first: small numbers
+            # frequent types first: small numbers; types of one frequency by hash: small steps
+            order = np.lexsort((hashes, -np.bincount(tokens, minlength=len(known))))
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             tokens = place[tokens]
@@ -93,7 +94,7 @@ def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_
                 pa.array([block], pa.int64()), pa.array([part.column("id").to_pylist()], _id_list(part)),
                 pa.array([part.column("train").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], pa.binary()),
                 pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()),
-                pa.array([hashes[order].tobytes()], pa.binary()), pa.array([_pack_planes(tokens.astype(small))], pa.binary()),
+                pa.array([_pack_keys(hashes[order])], pa.binary()), pa.array([_pack_planes(tokens.astype(small))], pa.binary()),
                 pa.array([len(order)], pa.int64()), pa.array([len(tokens)], pa.int64())], names=schema.names)
             block += 1
 
@@ -110,7 +111,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.block, self.ids = row["block"], row["ids"]
-        self.types = np.frombuffer(row["types"], np.uint64)
+        self.types = _unpack_keys(row["types"])
         small = np.uint16 if len(self.types) <= 1 << 16 else np.uint32
         self.tokens = _unpack_planes(row["tokens"], small).astype(np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
@@ -177,7 +178,7 @@ def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as steps."""
+    """Keys in ascending runs as steps (modulo 2^64)."""
     return _pack_planes(np.diff(keys, prepend=np.uint64(0)))
 
 
