@@ -317,21 +317,23 @@ class BackoffAutomaton:
     def traverse(self) -> np.ndarray:
         """Accumulated log10 probability of each text; the state is carried from word to word."""
         b, n = self.block, len(self.arcs[0])
-        root, second, third = (a.tolist() for a in self.arcs)
-        failure, back = self.failure.tolist(), self.back.tolist()
-        word_goes, pair_goes = self.word_goes.tolist(), self.pair_goes.tolist()
+        root, second, third = self.arcs
+        # what each position can take from the root, a word, a pair, and where it then stands; no pair or triple: not a number
+        root, second, third = root[b.tokens], np.append(second, np.nan)[b.pair], np.append(third, np.nan)[b.triple]
+        goes = np.where(b.pair >= 0, np.append(self.pair_goes, 0)[b.pair], self.word_goes[b.tokens])
+        failure, back = self.failure.data, self.back.data
         out = np.empty(len(b.sizes))
         for i, (a, z) in enumerate(zip(b.first.tolist(), (b.first + b.sizes).tolist())):
             state, total = 0, 0.0
-            for w, p, t in zip(b.tokens[a:z].tolist(), b.pair[a:z].tolist(), b.triple[a:z].tolist()):
+            for r, s, t, go in zip(root[a:z].tolist(), second[a:z].tolist(), third[a:z].tolist(), goes[a:z].tolist()):
                 while state:
-                    arc = third[t] if state > n else second[p]
+                    arc = t if state > n else s
                     if arc == arc:
                         break
                     total += failure[state]
                     state = back[state]
-                total += arc if state else root[w]
-                state = pair_goes[p] if p >= 0 else word_goes[w]
+                total += arc if state else r
+                state = go
             out[i] = total
         return out
 
