@@ -62,7 +62,7 @@ def _unpack_planes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype)[:, 0]
 
 
-def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_bytes: int = 4 << 20) -> DataFrame:
+def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_bytes: int = 8 << 20) -> DataFrame:
     """Texts as blocks of token numbers: one row for about ``block_bytes`` of text (a text is never cut)."""
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
