@@ -62,7 +62,7 @@ def _unpack_planes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype)[:, 0]
 
 
-def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_bytes: int = 8 << 20) -> DataFrame:
+def encode_blocks(docs: DataFrame, text: str, doc_id: str, train: Column, block_bytes: int = 7 << 20) -> DataFrame:
     """Texts as blocks of token numbers: one row for about ``block_bytes`` of text (a text is never cut)."""
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
@@ -318,14 +318,15 @@ class BackoffAutomaton:
         """Accumulated log10 probability of each text; the state is carried from word to word."""
         b, n = self.block, len(self.arcs[0])
         root, second, third = self.arcs
-        # what each position can take from the root, a word, a pair, and where it then stands; no pair or triple: not a number
-        root, second, third = root[b.tokens], np.append(second, np.nan)[b.pair], np.append(third, np.nan)[b.triple]
-        goes = np.where(b.pair >= 0, np.append(self.pair_goes, 0)[b.pair], self.word_goes[b.tokens])
+        second, third, pair_goes = np.append(second, np.nan), np.append(third, np.nan), np.append(self.pair_goes, 0)    # -1: no pair or triple
         failure, back = self.failure.data, self.back.data
         out = np.empty(len(b.sizes))
         for i, (a, z) in enumerate(zip(b.first.tolist(), (b.first + b.sizes).tolist())):
             state, total = 0, 0.0
-            for r, s, t, go in zip(root[a:z].tolist(), second[a:z].tolist(), third[a:z].tolist(), goes[a:z].tolist()):
+            # what each position can take from the root, a word, a pair, and where it then stands
+            w, p, t = b.tokens[a:z], b.pair[a:z], b.triple[a:z]
+            goes = np.where(p >= 0, pair_goes[p], self.word_goes[w])
+            for r, s, t, go in zip(root[w].tolist(), second[p].tolist(), third[t].tolist(), goes.tolist()):
                 while state:
                     arc = t if state > n else s
                     if arc == arc:
