@@ -228,49 +228,58 @@ def mean_epsilon(eps: DataFrame) -> DataFrame:
 
 
 # ---- general order h (subsets of size >= h) ----------------------------------------------
-MAX_SUBSET_ATTRS = 16
+MAX_SUBSETS = 1 << 20       # subsets of h or more attributes that are worked through
 
 
 def subset_scores(s: DataFrame, attrs, min_size: int, how: str = "d1A") -> DataFrame:
-    """``(protected, mask, U)``: U = mean over group pairs of R(subset) for every attribute
-    subset (bitmask over ``attrs``) with at least ``min_size`` members."""
+    """``(protected, left_out, U)``: U = mean over group pairs of R(subset) for every subset of
+    ``attrs`` with at least ``min_size`` members (one at least), named by the ascending positions it leaves out.
+
+    Each pair's row carries its squared scores and is exploded into its subsets, so the work follows
+    their number, sum of C(p, k) for k up to p - min_size, at any p; above ``MAX_SUBSETS`` it raises.
+    """
     attrs = list(attrs)
     p = len(attrs)
-    if p > MAX_SUBSET_ATTRS:
-        raise ValueError(f"order-h epsilon enumerates 2^p subsets; p={p} exceeds {MAX_SUBSET_ATTRS}")
+    most = p - max(min_size, 1)                    # attributes a subset may leave out
+    n = sum(math.comb(p, k) for k in range(most + 1))
+    if n > MAX_SUBSETS:
+        raise ValueError(f"order-h epsilon: {n} subsets of {min_size} or more of {p} attributes exceed {MAX_SUBSETS}")
     spark = s.sparkSession
-    masks = spark.range(1 << p).where(F.expr("bit_count(id)") >= min_size).withColumnRenamed("id", "mask")
     idx = spark.createDataFrame([(a, i) for i, a in enumerate(attrs)], "attr string, bit int")
-    sb = s.join(F.broadcast(idx), "attr")
-    # masks: at most 2^16 rows, generated from p (a proven bound)
-    j = sb.join(F.broadcast(masks), F.expr("shiftleft(CAST(1 AS BIGINT), bit)").bitwiseAND(F.col("mask")) != 0)
     sq = F.pow(F.col("s"), 2)
-    r = F.sqrt(F.avg(sq)) if how == "d1A" else F.sqrt(F.sum(sq))
-    per_pair = j.groupBy("protected", "g1", "g2", "mask").agg(r.alias("r"))
-    return per_pair.groupBy("protected", "mask").agg(F.avg("r").alias("U"))
+    terms = F.array_sort(F.collect_list(F.when(sq.isNotNull(), F.struct("bit", sq.alias("sq")))))
+    rows = s.join(F.broadcast(idx), "attr").groupBy("protected", "g1", "g2").agg(terms.alias("terms")) \
+        .withColumns({"left_out": F.array().cast("array<int>"), "last": F.lit(-1)})
+    for k in range(most):
+        # a set is ended (null) or goes on with a later position
+        more = F.when(F.col("last") < p - 1, F.sequence(F.col("last") + 1, F.lit(p - 1))).otherwise(F.array().cast("array<int>"))
+        rows = rows.withColumn("next", F.explode(F.concat(F.array(F.lit(None).cast("int")), more)))
+        if k == 0:
+            rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "protected", "g1", "g2", "next")
+        rows = rows.withColumns({"left_out": F.when(F.col("next").isNull(), F.col("left_out")).otherwise(F.array_append("left_out", F.col("next"))),
+                                 "last": F.coalesce("next", F.lit(p))}).drop("next")
+    kept = F.transform(F.filter("terms", lambda t: ~F.array_contains(F.col("left_out"), t["bit"])), lambda t: t["sq"])
+    total = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x)
+    r = F.when(F.size(kept) > 0, F.sqrt(total / F.size(kept) if how == "d1A" else total))
+    return rows.select("protected", "left_out", r.alias("r")).groupBy("protected", "left_out").agg(F.avg("r").alias("U"))
 
 
 def attribute_distance_order_h(s: DataFrame, attrs, h: int, how: str = "d1A") -> DataFrame:
     """d(a, b) = (1/N) sum over subsets t of the other attributes with |t| >= h - 1 of
     |U(t + a) - U(t + b)|, N counting also the subsets that contain the zero 'origin' element."""
-    from math import comb
     attrs = list(attrs)
     p = len(attrs)
-    spark = s.sparkSession
     u = subset_scores(s, attrs, h, how)
-    n_sub = sum(comb(p - 1, k) for k in range(max(h - 1, 0), p))
-    ab = spark.createDataFrame([(a, i, b, j) for i, a in enumerate(attrs) for j, b in enumerate(attrs) if i < j],
-                               "a string, ia int, b string, ib int")     # p(p-1)/2 attribute pairs
-    one = u.alias("u1")
-    bit = lambda c: F.expr(f"shiftleft(CAST(1 AS BIGINT), {c})")
-    cand = one.join(F.broadcast(ab), (F.col("u1.mask").bitwiseAND(bit("ia")) != 0) &
-                    (F.col("u1.mask").bitwiseAND(bit("ib")) == 0))
-    cand = cand.select("u1.protected", "a", "b", F.col("u1.U").alias("U1"),
-                       (F.col("u1.mask") - bit("ia") + bit("ib")).alias("m2"))
-    two = u.select(F.col("protected").alias("p2"), F.col("mask").alias("m2"), F.col("U").alias("U2"))
-    d = cand.join(two, (cand.protected == two.p2) & (cand.m2 == two.m2))
-    return d.groupBy("protected", "a", "b").agg((F.sum(F.abs(F.col("U1") - F.col("U2"))) / n_sub).alias("dist")) \
-        .select("protected", F.col("a").alias("a1"), F.col("b").alias("a2"), "dist")
+    n_sub = sum(math.comb(p - 1, k) for k in range(max(h - 1, 0), p))
+    # t + a leaves out b and holds an earlier a; its partner t + b leaves out a in place of b
+    cand = u.withColumn("ib", F.explode("left_out")) \
+        .withColumn("ia", F.explode(F.when(F.col("ib") > 0, F.array_except(F.sequence(F.lit(0), F.col("ib") - 1), F.col("left_out"))))) \
+        .select("protected", "ia", "ib", F.col("U").alias("U1"),
+                F.array_sort(F.array_append(F.array_remove("left_out", F.col("ib")), F.col("ia"))).alias("left_out"))
+    d = cand.join(u, ["protected", "left_out"])
+    name = F.array(*[F.lit(a) for a in attrs])
+    return d.groupBy("protected", "ia", "ib").agg((F.sum(F.abs(F.col("U1") - F.col("U"))) / n_sub).alias("dist")) \
+        .select("protected", F.get(name, F.col("ia")).alias("a1"), F.get(name, F.col("ib")).alias("a2"), "dist")
 
 
 def epsilon_from_distance(dist: DataFrame) -> DataFrame:

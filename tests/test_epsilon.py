@@ -184,6 +184,37 @@ def test_order_h_distance_matches_subset_definition(spark, h):
             assert eps_h[a] == pytest.approx(eps[a], abs=1e-12)
 
 
+@pytest.mark.parametrize("h", [39, 38])
+def test_order_h_of_forty_attributes(spark, h):
+    """The subsets are told by what they leave out, as the definition walks them."""
+    rnd = random.Random(h)
+    p, pairs = 40, [("G1", "G2"), ("G1", "G3")]
+    attrs = [f"a{i:02d}" for i in range(p)]
+    S = [[rnd.random() for _ in attrs] for _ in pairs]
+    sdf = spark.createDataFrame([("o", *pr, a, "numerical", row[i]) for pr, row in zip(pairs, S) for i, a in enumerate(attrs)],
+                                "protected string, g1 string, g2 string, attr string, kind string, s double")
+
+    def u(out):
+        return sum(math.sqrt(sum(x * x for i, x in enumerate(row) if i not in out) / (p - len(out))) for row in S) / len(S)
+
+    dist = {(r["a1"], r["a2"]): r["dist"] for r in E.attribute_distance_order_h(sdf, attrs, h).collect()}
+    assert len(dist) == p * (p - 1) // 2
+    n = sum(math.comb(p - 1, k) for k in range(h - 1, p))
+    for i, j in itertools.combinations(range(p), 2):
+        rest = [k for k in range(p) if k not in (i, j)]
+        free = [set(c) for size in range(p - h) for c in itertools.combinations(rest, size)]
+        want = sum(abs(u(c | {j}) - u(c | {i})) for c in free) / n
+        assert dist[(attrs[i], attrs[j])] == pytest.approx(want, rel=1e-9, abs=1e-15)
+
+
+def test_order_h_raises_only_above_the_number_of_subsets(spark):
+    sdf = spark.createDataFrame([], "protected string, g1 string, g2 string, attr string, kind string, s double")
+    attrs = [f"a{i}" for i in range(40)]
+    assert E.attribute_distance_order_h(sdf, attrs, 39).count() == 0
+    with pytest.raises(ValueError, match="subsets"):
+        E.attribute_distance_order_h(sdf, attrs, 20)
+
+
 def _signed_pair_mean(points, labels, distance, scale):
     """Every unordered pair of rows adds its scaled distance within a label and takes it off across
     labels; the total is shared over all n * n cells.  The scale knows each row's distance to itself, 0."""
