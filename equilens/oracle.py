@@ -310,6 +310,17 @@ FROM audit"""
 ORACLE["binarize_target_binary"] = _with(DOCS) + "\nSELECT doc_id, toxic, CAST(toxic AS INTEGER) AS label_Y FROM docs"
 
 
+ORACLE["binarize_target_nulls"] = _with(AUDIT, NULLS) + f"""
+, m AS (SELECT quantile_cont(l_discount, 0.5) AS med FROM nulls)
+SELECT {_KEYS}, l_discount, CAST(coalesce(l_discount, med) > med AS INTEGER) AS label_Y FROM nulls, m"""
+
+ORACLE["binarize_target_null_class"] = f"""
+WITH t AS (SELECT {_KEYS}, nullif(l_linestatus, 'F') AS l_linestatus FROM lineitem),
+y AS (SELECT *, coalesce(l_linestatus, 'NaN') AS c FROM t),
+b AS (SELECT min(c) AS lo, max(c) AS hi FROM y)
+SELECT {_KEYS}, l_linestatus, CAST(c = hi AND lo <> hi AS INTEGER) AS label_Y FROM y, b"""
+
+
 # ---- step 4 -----------------------------------------------------------------
 def _hb(seed, salt=""):
     key = "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)"

@@ -182,6 +182,19 @@ def q_binarize_target_binary(spark, sf):
     return enc_ops.binarize_target(fx.docs(spark, sf).select("doc_id", "toxic"), "toxic")
 
 
+@register("binarize_target_nulls")
+def q_binarize_target_nulls(spark, sf):
+    """A numeric target with nulls: they take the median."""
+    return enc_ops.binarize_target(fx.nulls(spark, sf).select(*KEYS, "l_discount"), "l_discount")
+
+
+@register("binarize_target_null_class")
+def q_binarize_target_null_class(spark, sf):
+    """A string target whose nulls are a class of their own, 'NaN'."""
+    status = fx.table(spark, sf, "lineitem").select(*KEYS, F.expr("nullif(l_linestatus, 'F')").alias("l_linestatus"))
+    return enc_ops.binarize_target(status, "l_linestatus")
+
+
 # ---- step 4: splits, samples, subgroup filter ------------------------------------
 from equilens.operators import split as split_ops  # noqa: E402
 
