@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.operators.prefix import quantile_values, running_sums
+from equilens.operators.prefix import quantile_values, running_sums, slice_of, text_slice_of
 from equilens.operators.profile import distinct_values, equal_width_bin, equal_width_edges
 from equilens.operators.sizing import broadcast_if_small, written
 from equilens.spec import (LOADER_CATEGORICAL_MAX_DISTINCT, LOADER_OBJECT_DISTINCT_RATIO,
@@ -138,13 +138,16 @@ def encoding_dictionary(df: DataFrame, cols, null_label: str = "NaN") -> DataFra
     for c in cols:
         num = isinstance(types[c], T.NumericType)
         label = F.coalesce(F.col(c).cast("string"), F.lit(null_label))
-        # strings: their first bytes as a number, which never falls along the code point order
-        lead = F.rpad(F.hex(F.substring(F.encode(label, "UTF-8"), 1, 6)), 12, "0")
-        x = F.coalesce(F.col(c).cast("double"), F.lit(float("inf"))) if num else F.conv(lead, 16, 10).cast("double")
+        x = F.coalesce(F.col(c).cast("double"), F.lit(float("inf"))) if num else F.lit(0.0)
         parts.append(F.struct(F.lit(c).alias("attr"), label.alias("label"), F.lit(num).alias("num"), x.alias("x")))
     d = (df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
-           .groupBy("attr", "label").agg(F.min("x").alias("x"), F.lit(1).alias("one")))
-    ranked = running_sums(d, ["attr"], ["x", "label"], ["one"])
+           .groupBy("attr", "label").agg(F.max("num").alias("num"), F.min("x").alias("x"), F.lit(1).alias("one")))
+
+    def slices(rows: DataFrame, n: int):
+        by_number = slice_of(rows.where("num"), F.col("x"), n)
+        return F.when(F.col("num"), by_number).otherwise(text_slice_of(rows.where("NOT num"), F.col("label"), n))
+
+    ranked = running_sums(d, ["attr"], ["x", "label"], ["one"], slicer=slices)
     return ranked.select("attr", (F.col("cum_one") - 1).cast("int").alias("code"), "label")
 
 

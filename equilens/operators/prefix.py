@@ -11,6 +11,7 @@ should be pre-aggregated (unique per keys + order), which bounds a hot value to
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,17 @@ def slice_of(df: DataFrame, by: Column, n: int) -> Column:
     return F.coalesce(reduce(lambda a, c: a + (by > F.lit(c)).cast("int"), sorted(set(cuts)), F.lit(0)), F.lit(0))
 
 
+def text_slice_of(df: DataFrame, by: Column, n: int) -> Column:
+    """``slice_of`` for strings: the bounds are quantiles of the 20 ``n`` distinct strings of least hash.
+
+    They only share the rows out, so a sample will do; bounds are cut to 1,000 characters.
+    """
+    seen = df.select(F.substring(by, 1, 1000).alias("t")).where("t IS NOT NULL").distinct().orderBy(F.xxhash64("t"), "t").limit(20 * n)
+    t = sorted(r["t"] for r in seen.collect())
+    cuts = sorted({t[len(t) * i // n] for i in range(1, n)}) if t else []
+    return F.coalesce(reduce(lambda a, c: a + (by > F.lit(c)).cast("int"), cuts, F.lit(0)), F.lit(0))
+
+
 def _slice_starts(sliced: DataFrame, keys, sum_cols) -> DataFrame:
     """``(keys..., _slice, _o_<col>)``: sums over the slices before; one row for each key and slice."""
     totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
@@ -44,17 +56,19 @@ def _slice_starts(sliced: DataFrame, keys, sum_cols) -> DataFrame:
 
 
 def running_sums(df: DataFrame, keys, order, sum_cols, slice_by: Column | None = None, n_slices: int | None = None,
-                 prefix: str = "cum_") -> DataFrame:
+                 prefix: str = "cum_", slicer: Callable[[DataFrame, int], Column] | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` ordered by ``order`` within ``keys`` (null-safe in the keys).
 
     ``slice_by``: a number that never falls along ``order`` (by default the first ordering
-    column itself).  The offsets have one row for each key and slice; AQE broadcasts them
+    column itself).  ``slicer``: gives the slice number itself, from the rows and the number
+    of slices.  The offsets have one row for each key and slice; AQE broadcasts them
     once the totals are measured.
     """
     keys, order, sum_cols = list(keys), list(order), list(sum_cols)
     df = written(df, "ordered")                # read three times: bounds, totals, sums
     by = F.col(order[0]).cast("double") if slice_by is None else slice_by
-    sliced = df.withColumn("_slice", slice_of(df, by, n_slices or slice_count(df)))
+    n = n_slices or slice_count(df)
+    sliced = df.withColumn("_slice", slicer(df, n) if slicer else slice_of(df, by, n))
     starts = _slice_starts(sliced, keys, sum_cols)
     starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"),
                            *[f"_o_{c}" for c in sum_cols])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from equilens.functions.beta import beta_stream, beta_table, residue_table
 from equilens.functions.transforms import compose_rebin
 from equilens.operators import encode as enc
+from equilens.operators.prefix import text_slice_of
 from equilens.operators.transform import apply_changes, validity
 from equilens.spec import AuditSpec
 
@@ -96,6 +97,14 @@ def test_labels_sort_by_code_point_beyond_their_first_bytes(spark):
     assert [w for w, _ in sorted(d.items(), key=lambda x: x[1])] == sorted(words)
 
 
+def test_labels_of_one_prefix_are_spread_over_the_slices(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("https://example.org/"), F.md5(F.col("id").cast("string"))).alias("c"))
+    sizes = [r["count"] for r in df.withColumn("s", text_slice_of(df, F.col("c"), 16)).groupBy("s").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 20_000 / 16
+    d = {r["label"]: r["code"] for r in enc.encoding_dictionary(df, ["c"]).collect()}
+    assert d == {w: i for i, w in enumerate(sorted(r["c"] for r in df.collect()))}
+
+
 def test_numeric_labels_with_null(spark):
     df = spark.createDataFrame([(10.0,), (9.0,), (None,), (-1.0,)], "c double")
     d = {r["label"]: r["code"] for r in enc.encoding_dictionary(df, ["c"]).collect()}
