@@ -7,6 +7,8 @@ from equilens import queries_core as q
 from equilens.operators import pairs, split
 from equilens.plans import run as runs
 
+from paths import SF_SMALL
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -62,3 +64,8 @@ def test_totals_join_attributes_by_broadcast(spark, no_small_tables):
     slots = {"p": ["0", "1"]}
     wide = pairs.with_totals(pairs.wide_counts(df, slots, ["x"], True), slots)
     assert "SortMergeJoin" not in _joins(wide) and wide.count() == 5
+
+
+def test_audit_rows_are_joined_without_a_sort(spark, no_small_tables):
+    plan = _joins(q.fx.audit(spark, SF_SMALL))
+    assert plan.count("ShuffledHashJoin") == 3 and "SortMergeJoin" not in plan and "Sort [" not in plan
