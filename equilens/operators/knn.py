@@ -12,6 +12,7 @@ and equal queries are answered once, so a value that a third of the rows share c
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from equilens.operators.prefix import quantile_table
 from equilens.operators.sizing import written
 
 ROWS_PER_CELL, MAX_SLICES = 200, 256
+MAX_LINE = 4096         # slices of one feature where the other has few values
 
 
 def _slices(points: DataFrame, features: list, rows_per_cell: int) -> list[tuple[str, list[float]]]:
@@ -29,19 +31,38 @@ def _slices(points: DataFrame, features: list, rows_per_cell: int) -> list[tuple
     per_axis = min(max(int((n / rows_per_cell) ** (0.5 if len(features) > 1 else 1.0)), 1), MAX_SLICES)
     table = quantile_table(points, features, [i / per_axis for i in range(1, per_axis)]) if per_axis > 1 else {}
     edges = {c: sorted({x for x in table.get(c, []) if x is not None}) for c in features}
-    return sorted(edges.items(), key=lambda e: (-len(e[1]), e[0]))[:2]
+    axes = sorted(edges.items(), key=lambda e: (-len(e[1]), e[0]))[:2]
+    # few values on the second axis leave fewer cells than wanted: the first is cut finer, else cells grow with the rows.
+    # Any edges give the same neighbours, so a sketch of the quantiles will do
+    per_line = min(int(n / rows_per_cell / (len(axes[1][1]) + 1 if len(axes) > 1 else 1)), MAX_LINE)
+    if per_line > per_axis:
+        c = axes[0][0]
+        found = points.agg(F.percentile_approx(c, [i / per_line for i in range(1, per_line)], 10 * per_line)).first()[0]
+        axes[0] = (c, sorted({x for x in found or [] if math.isfinite(x)}))
+    return axes
+
+
+def _ends(edges: list[float]) -> Column:
+    if all(map(math.isfinite, edges)):
+        return F.expr(f"array({', '.join(f'{e!r}D' for e in edges)})")
+    return F.array(*[F.lit(e) for e in edges])
 
 
 def _slice_of(x: Column, edges: list[float]) -> Column:
     """Number of edges below ``x``: slice ``s`` holds the values in ``(edge[s-1], edge[s]]``."""
-    return reduce(lambda a, e: a + (x > F.lit(e)).cast("int"), edges, F.lit(0))
+    if len(edges) <= MAX_SLICES:
+        return reduce(lambda a, e: a + (x > F.lit(e)).cast("int"), edges, F.lit(0))
+    # whole steps of edges below x first, then the edges of the next step
+    step = math.isqrt(len(edges)) + 1
+    whole = reduce(lambda a, e: a + (x > F.lit(e)).cast("int"), edges[step - 1::step], F.lit(0)) * step
+    return whole + F.size(F.filter(F.slice(_ends(edges), whole + 1, F.lit(step)), lambda e: e < x))
 
 
 def _box_distance(x: Column, s: Column, edges: list[float]) -> Column:
     """Distance from ``x`` to the nearest end of slice ``s``; 0 inside."""
     if not edges:
         return F.lit(0.0)
-    ends = F.array(*[F.lit(e) for e in edges])
+    ends = _ends(edges)
     zero = F.lit(0.0)
     below = F.when(s > 0, F.get(ends, s - 1) - x)             # the slice begins above x
     above = F.when(s < len(edges), x - F.get(ends, s))        # the slice ends below x
@@ -77,10 +98,12 @@ def knn_score(train: DataFrame, test: DataFrame, features, label: str, key: str,
     target = points.select("cx", "cy", "y", "key", *[F.col(c).alias(f"p_{c}") for c in names])
     square = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}")) for c in names])
     nearest = Window.partitionBy("q").orderBy("d2", "key")
+    # by number: the cells are few bytes, so AQE would join them all, with all their pairs, in one task
+    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def neighbours(cells: DataFrame, so_far: DataFrame | None) -> DataFrame:
         """The ``k`` nearest of each query among the rows of its opened cells and those it has."""
-        found = cells.join(target, ["cx", "cy"]).select("q", square.alias("d2"), "key", "y")
+        found = cells.repartition(tasks, "cx", "cy").join(target.repartition(tasks, "cx", "cy"), ["cx", "cy"]).select("q", square.alias("d2"), "key", "y")
         if so_far is not None:
             found = found.unionByName(so_far)
         return written(found.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k).drop("place"), "neighbours")

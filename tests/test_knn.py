@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from equilens.operators import knn
 
@@ -52,3 +53,18 @@ def test_fewer_rows_than_neighbours_and_one_feature(spark):
     line = [(i, int(y), x) for i, y, x in line]
     ask = [(i, float(i * 301)) for i in range(60)]
     _close(_got(spark, line, ask, 1, k=7, rows_per_cell=9), _brute(line, ask, 7))
+
+
+def test_few_values_of_a_feature_leave_no_large_cells(spark):
+    """One feature has two values: the other is cut so fine that cells stay small, and neighbours exact."""
+    pts = spark.range(8000).select((F.col("id") * 7919 % 8009).cast("double").alias("f0"), (F.col("id") % 2).cast("double").alias("f1"))
+    (ax, ex), (ay, ey) = knn._slices(pts, ["f0", "f1"], 5)
+    cells = pts.groupBy(knn._slice_of(F.col(ax), ex), knn._slice_of(F.col(ay), ey)).count()
+    assert ax == "f0" and len(ex) > knn.MAX_SLICES
+    assert cells.agg(F.max("count")).first()[0] <= 40
+    below = pts.select("f0", knn._slice_of(F.col("f0"), ex).alias("s")).limit(500).collect()
+    assert all(r.s == sum(e < r.f0 for e in ex) for r in below)
+    r = np.random.default_rng(1)
+    train = [(i, int(r.integers(0, 2)), float(r.integers(0, 900)), float(i % 2)) for i in range(1200)]
+    test = [(i, float(r.integers(-50, 950)), float(i % 2)) for i in range(25)]
+    _close(_got(spark, train, test, 2, rows_per_cell=2), _brute(train, test, 5))
