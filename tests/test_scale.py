@@ -69,3 +69,11 @@ def test_totals_join_attributes_by_broadcast(spark, no_small_tables):
 def test_audit_rows_are_joined_without_a_sort(spark, no_small_tables):
     plan = _joins(q.fx.audit(spark, SF_SMALL))
     assert plan.count("ShuffledHashJoin") == 3 and "SortMergeJoin" not in plan and "Sort [" not in plan
+
+
+def test_mutual_information_writes_only_what_it_counts(spark, joined, monkeypatch):
+    seen, real = [], q.imp_ops.mutual_information
+    monkeypatch.setattr(q.fx, "audit", lambda *_: joined)
+    monkeypatch.setattr(q.imp_ops, "mutual_information", lambda df, *a: seen.append(df.columns) or real(df, *a))
+    assert q.q_mi(spark, "unused").count() == len(q.A.features)
+    assert set(seen[0]) == {*q.A.features, q.A.target, "label_Y"}
