@@ -65,6 +65,6 @@ def test_few_values_of_a_feature_leave_no_large_cells(spark):
     below = pts.select("f0", knn._slice_of(F.col("f0"), ex).alias("s")).limit(500).collect()
     assert all(r.s == sum(e < r.f0 for e in ex) for r in below)
     r = np.random.default_rng(1)
-    train = [(i, int(r.integers(0, 2)), float(r.integers(0, 900)), float(i % 2)) for i in range(1200)]
-    test = [(i, float(r.integers(-50, 950)), float(i % 2)) for i in range(25)]
-    _close(_got(spark, train, test, 2, rows_per_cell=2), _brute(train, test, 5))
+    train = [(i, int(r.integers(0, 2)), float(r.integers(0, 9000)), float(i % 2)) for i in range(600)]
+    test = [(i, float(r.integers(-50, 9050)), float(i % 2)) for i in range(12)]
+    _close(_got(spark, train, test, 2, rows_per_cell=0.5), _brute(train, test, 5))
