@@ -1,76 +1,118 @@
-"""AdaBoost (SAMME, two classes) with decision stumps as a driver loop of Spark ML fits.
+"""AdaBoost (SAMME, two classes) with decision stumps, one pass over the rows for each round.
 
-Weights live in a column; each round is one stump fit, one error aggregate and one
-weight update.  The weight column's lineage grows by one model per round, so it is
-cut every ``checkpoint_every`` rounds with ``DataFrame.checkpoint`` into the shared
-checkpoint folder (``spark.checkpoint.dir``), which survives executor loss.
+A stump looks at one column, so the sum of all stumps is one number for each cell of each column, and a
+row's weight follows from its cells and its label: no weight is stored, and the rows stay as they were written.
+A pass adds the weights up by cell and label; the round's stump, its error and its alpha follow from these sums.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import DecisionTreeClassifier
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from equilens.session import ensure_checkpoint_dir
-
-
-def fit_adaboost(train: DataFrame, features_col: str = "features", label: str = "label_Y", n_estimators: int = 50,
-                 learning_rate: float = 1.0, checkpoint_every: int = 10):
-    ensure_checkpoint_dir(train.sparkSession)
-    base = train.select(features_col, F.col(label).cast("double").alias("_y")).persist()
-    n = base.count()
-    df = base.withColumn("_w", F.lit(1.0 / n)).persist()
-    models, alphas = [], []
-    for m in range(n_estimators):
-        stump = DecisionTreeClassifier(maxDepth=1, featuresCol=features_col, labelCol="_y", weightCol="_w",
-                                       predictionCol="_p", rawPredictionCol="_raw", probabilityCol="_prob")
-        model = stump.fit(df)
-        pred = model.transform(df).withColumn("_bad", (F.col("_p") != F.col("_y")).cast("double"))
-        r = pred.agg(F.sum(F.col("_w") * F.col("_bad")).alias("e"), F.sum("_w").alias("t")).first()
-        err = r["e"] / r["t"]
-        if err <= 0:
-            models.append(model)
-            alphas.append(1.0)
-            break
-        if err >= 0.5:          # no better than chance for two classes
-            if not models:
-                models.append(model)
+
+from equilens.operators import cells as cl
+from equilens.operators.trees import gini_gain
+from equilens.spec import AuditSpec
+
+CHUNK_ROWS = 500_000
+
+
+def _sums(cells: cl.Cells, votes: np.ndarray, base: float):
+    """Weights by label and cell of a task's blocks; ``weight = exp(base - t votes / 2)`` with t = 1 or -1."""
+    def run(blocks):
+        out, held = np.zeros((2, cells.width)), []
+
+        def add():
+            x, y = np.concatenate([b[1] for b in held], axis=1), np.concatenate([b[2] for b in held])
+            w = weights(x, y, votes, base)
+            for j, (start, size) in enumerate(zip(cells.starts, cells.sizes)):
+                at = x[j].astype(np.int64) - start + y * np.int64(size)
+                out[:, start:start + size] += np.bincount(at, weights=w, minlength=2 * size).reshape(2, size)
+        for b in blocks:
+            held.append(b)
+            if sum(len(h[2]) for h in held) >= CHUNK_ROWS:
+                add()
+                held = []
+        if held:
+            add()
+        yield out
+    return run
+
+
+def weights(x: np.ndarray, y: np.ndarray, votes: np.ndarray, base: float) -> np.ndarray:
+    return np.exp(base - (2 * y - 1) * _decision(x, votes) / 2)
+
+
+def _decision(x: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    out = np.zeros(x.shape[1])
+    for column in x:
+        out += votes[column]
+    return out
+
+
+def fit_adaboost(train: DataFrame, spec: AuditSpec, label: str = "label_Y", n_estimators: int = 50, learning_rate: float = 1.0):
+    """Cells, the votes of all stumps by cell, and the alphas.
+
+    A round's cuts lie at about equal weights apart, by the round's weights, as in the library: they are
+    chosen among all cuts between the values of the rows that give them.
+    """
+    cells, n, seen = cl.learn(train, spec, label, None)
+    rows = cl.blocks(train, cells, n, label)
+    x, y = cells.encode(seen), seen.column("y").to_numpy().astype(np.int8)
+    values = [seen.column(f"n{j}").to_numpy() for j in range(len(cells.cuts))]
+    most = min(cl.MAX_BINS, max(n, 1)) - 1
+    votes, base, alphas = np.zeros(cells.width), -math.log(max(n, 1)), []
+    for _ in range(n_estimators):
+        w = weights(x, y, votes, base)
+        offered = [cl.cuts(v, w, most) for v in values]
+        sums = rows.mapPartitions(_sums(cells, votes, base)).treeReduce(np.add)
+        vote, err = _stump(cells, sums.T, offered)
+        if err <= 0 or err >= 0.5:                 # perfect, or no better than chance for two classes
+            if err <= 0 or not alphas:
                 alphas.append(1.0)
+                votes = votes + vote
             break
         alpha = learning_rate * math.log((1 - err) / err)
-        models.append(model)
         alphas.append(alpha)
-        # new total weight follows from the error: t ((1 - err) + err e^alpha); no extra job
-        tot = r["t"] * ((1 - err) + err * math.exp(alpha))
-        upd = pred.select(features_col, "_y",
-                          (F.col("_w") * F.exp(F.lit(alpha) * F.col("_bad")) / F.lit(tot)).alias("_w"))
-        prev = df
-        if (m + 1) % checkpoint_every == 0:
-            df = upd.checkpoint(eager=True)        # reliable: cuts the lineage of the weights
-        else:
-            df = upd.persist()
-            df.count()
-        prev.unpersist()
-    df.unpersist()
-    base.unpersist()
-    return models, alphas
-
-
-def score_adaboost(models, alphas, df: DataFrame, features_col: str = "features") -> DataFrame:
+        votes = votes + alpha * vote
+        # weights grow by e^alpha where the stump is wrong and are divided by their new total
+        base += alpha / 2 - math.log((1 - err) + err * math.exp(alpha))
+    return cells, votes, alphas
+
+
+def _stump(cells: cl.Cells, sums: np.ndarray, offered):
+    """Votes (1 or -1, in the cells of the stump's column) of the best stump and its share of wrong weight."""
+    left, total = cells.sides(sums[None])
+    use = np.ones(len(cells.feature), bool)
+    for j, points in enumerate(offered):
+        at = np.flatnonzero(cells.column == j)
+        use[at] = np.isin(cells.cuts[j], points)
+    best, gain = 0, -np.inf
+    if use.any():
+        gains = np.where(use, gini_gain(left, total, cells.by_level)[0], -np.inf)
+        best = int(np.argmax(gains))
+        gain = gains[best]
+    t = total[0]
+    sides = [left[0, best], t - left[0, best]] if gain > 0 else [t, t]
+    says = [int(s[1] > s[0]) for s in sides]
+    vote = np.zeros(cells.width)
+    if says[0] == says[1]:                         # no split, or both sides say the same
+        vote[:cells.sizes[0]] = 2 * says[0] - 1
+        return vote, t[1 - says[0]] / t.sum()
+    j = cells.column[best]
+    vote[cells.starts[j]:cells.starts[j + 1]] = 2 * says[0] - 1
+    vote[cells.low[best]:cells.high[best] + 1] = 2 * says[1] - 1
+    return vote, (sides[0][1 - says[0]] + sides[1][1 - says[1]]) / t.sum()
+
+
+def score_adaboost(model, df: DataFrame, spec: AuditSpec, label: str = "label_Y", keep=()) -> DataFrame:
     """decision = sum_m alpha_m (2 h_m(x) - 1) / sum alpha; P(y=1) = 1 / (1 + exp(-decision))."""
-    out = df
+    cells, votes, alphas = model
     total = sum(alphas)
-    dec = F.lit(0.0)
-    for i, (m, a) in enumerate(zip(models, alphas)):
-        m = m.copy()
-        m.setPredictionCol(f"_h{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
-        out = m.transform(out).drop(f"_r{i}", f"_q{i}")
-        dec = dec + F.lit(a) * (2 * F.col(f"_h{i}") - 1)
-    dec = dec / F.lit(total)
-    out = out.withColumn("_dec", dec)
-    return out.withColumn("score_S", 1.0 / (1.0 + F.exp(-F.col("_dec")))) \
-              .withColumn("pred_Y", (F.col("_dec") > 0).cast("int")) \
-              .drop("_dec", *[f"_h{i}" for i in range(len(models))])
+
+    def predict(x):
+        d = _decision(x, votes) / total
+        return (d > 0).astype(np.int32), 1.0 / (1.0 + np.exp(-d))
+    return cl.scored(df, cells, spec, label, keep, predict)

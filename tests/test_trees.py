@@ -7,7 +7,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
-from equilens.operators import models, trees
+from equilens.operators import boosting, models, trees
 from equilens.spec import AuditSpec
 
 SPEC = AuditSpec("y", ("o",), ("x", "z"), ("c", "k"))
@@ -61,7 +61,36 @@ def test_driver_holds_only_the_top(spark, monkeypatch):
     assert trees.tree_fit_score(train, test.where("false"), SPEC, 30).count() == 0
 
 
-@pytest.mark.parametrize("fit", [lambda d: trees.fit_boosted(d, SPEC, 1, 3, 0.1)])
+def _stumps(train, test, rounds):
+    """AdaBoost as a loop of library fits on reweighted rows."""
+    import math
+    fe = Pipeline(stages=models.feature_stages(SPEC)).fit(train)
+    df, test = fe.transform(train).withColumn("w", F.lit(1.0 / train.count())).cache(), fe.transform(test)
+    decision, alphas = F.lit(0.0), []
+    for m in range(rounds):
+        model = DecisionTreeClassifier(maxDepth=1, labelCol="label_Y", weightCol="w", predictionCol=f"p{m}", rawPredictionCol="r", probabilityCol="q").fit(df)
+        bad = (F.col(f"p{m}") != F.col("label_Y")).cast("double")
+        out = model.transform(df).drop("r", "q")
+        e, t = out.agg(F.sum(F.col("w") * bad), F.sum("w")).first()
+        alpha = math.log((t - e) / e)
+        df = out.withColumn("w", F.col("w") * F.exp(alpha * bad) / (t - e + e * math.exp(alpha))).localCheckpoint()
+        test = model.transform(test).drop("r", "q")
+        decision, alphas = decision + alpha * (2 * F.col(f"p{m}") - 1), [*alphas, alpha]
+    d = decision / sum(alphas)
+    return test.select("id", "label_Y", (d > 0).cast("int").alias("pred_Y"), (1 / (1 + F.exp(-d))).alias("score_S"), "o"), alphas
+
+
+def test_adaboost_is_a_loop_of_library_stumps(spark):
+    train, test = _rows(spark)
+    want, alphas = _stumps(train, test, 8)
+    model = boosting.fit_adaboost(train, SPEC, n_estimators=8)
+    assert model[2] == pytest.approx(alphas, abs=1e-9)
+    _same(boosting.score_adaboost(model, test, SPEC, keep=("id",)), want)
+    easy = train.withColumn("label_Y", (F.col("c") == "d").cast("int"))
+    assert boosting.fit_adaboost(easy, SPEC)[2] == [1.0]
+
+
+@pytest.mark.parametrize("fit", [lambda d: trees.fit_boosted(d, SPEC, 1, 3, 0.1), lambda d: boosting.fit_adaboost(d, SPEC)])
 def test_rows_to_learn_from_are_checked(spark, fit):
     train, test = _rows(spark)
     with pytest.raises(Exception, match="to learn from is"):
