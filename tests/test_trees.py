@@ -61,6 +61,20 @@ def test_driver_holds_only_the_top(spark, monkeypatch):
     assert trees.tree_fit_score(train, test.where("false"), SPEC, 30).count() == 0
 
 
+def test_forest(spark):
+    train, test = _rows(spark)
+    cells, (one,) = trees.fit_forest(train, SPEC, 1, 6, take=9, bag=False)
+    want = _library(train, test, DecisionTreeClassifier(maxDepth=6, labelCol="label_Y"))
+    _same(trees.score_forest((cells, [one]), test, SPEC, keep=("id",)), want)
+    known = test.where("label_Y IS NOT NULL")
+    ours, lib = models.fit_score(train, known, SPEC, "RF", keep=("id",)), _library(train, known, models.classifier("RF"))
+    j = ours.select("id", "label_Y", F.col("score_S").alias("a")).join(lib.select("id", F.col("score_S").alias("b")), "id")
+    r = j.agg(F.corr("a", "b").alias("corr"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("off"), F.avg("a").alias("a"), F.avg("b").alias("b")).first()
+    assert r["corr"] > 0.97 and r["off"] < 0.05 and abs(r["a"] - r["b"]) < 0.02
+    again = models.fit_score(train, known, SPEC, "RF", keep=("id",))
+    assert _by_id(ours) == _by_id(again)
+
+
 def _stumps(train, test, rounds):
     """AdaBoost as a loop of library fits on reweighted rows."""
     import math
