@@ -61,6 +61,11 @@ def test_driver_holds_only_the_top(spark, monkeypatch):
     assert trees.tree_fit_score(train, test.where("false"), SPEC, 30).count() == 0
 
 
+def test_boosted_trees_are_the_librarys(spark):
+    train, test = _rows(spark)
+    _same(models.fit_score(train, test, SPEC, "GBDT", keep=("id",)), _library(train, test, models.classifier("GBDT")))
+
+
 def test_forest(spark):
     train, test = _rows(spark)
     cells, (one,) = trees.fit_forest(train, SPEC, 1, 6, take=9, bag=False)
