@@ -165,3 +165,18 @@ def test_r3_rebin_search_returns_a_merge_of_two_values(spark):
     base.unpersist()
     (old, new), = best.items()
     assert old in values and new in values and old != new and 0.0 < acc <= 1.0
+
+
+def test_registered_run_goes_as_far_as_the_method(spark, monkeypatch):
+    """One iteration was all that the registered runs did."""
+    from equilens import queries_core as q
+    monkeypatch.setattr(q, "_RUNS", {})
+    monkeypatch.setattr(q, "A", SMALL)
+    monkeypatch.setattr(q, "KEYS", ["id"])
+    rows = [(i, float(i * 7 % 50), "abc"[i % 3], "mn"[i % 2], i * 5 % 11 % 2) for i in range(200)]
+    monkeypatch.setattr(q.fx, "audit", lambda *_: spark.createDataFrame(rows, "id int, x double, c string, age string, y int"))
+    got = q.q_run_status_loop(spark, "unused").first()
+    final = q.q_run_final(spark, "unused").first()
+    assert final["max_iterations"] == run_ops.DEFAULT_MAX_ITERATIONS == 2
+    assert got["total_iterations"] == 2 or got["termination_reason"] in ("epsilon_threshold", "no_candidate")
+    assert len(got["accuracy_series"]) == got["total_iterations"] + 1
