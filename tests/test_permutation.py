@@ -47,3 +47,53 @@ def test_permutation_of_a_single_content_and_of_nothing(spark):
     one = imp.permutation_importance(_Sum(), spark.createDataFrame([(1, 2, 3, 1)] * 3, schema), ["a"], ["k"], "y", 2)
     assert [tuple(r) for r in one.collect()] == [("a", 0.0)]
     assert imp.permutation_importance(_Sum(), spark.createDataFrame([], schema), ["a"], ["k"], "y", 2).count() == 0
+
+
+def _fitted(spark):
+    from equilens.operators import models
+    from equilens.spec import AuditSpec
+    rows = [(i, i * 37 % 101 / 7 if i % 11 else None, "pqr"[i * i % 3] if i % 13 else None, i * 29 % 5, int(i * 37 % 101 + 30 * (i * i % 3) + i % 17 > 70)) for i in range(600)]
+    rows += [rows[5]] * 40 + [(601, float("inf"), "s", 9, 1), (602, float("nan"), "q", 2, None), (603, 2.0, "new", 1, 3)]
+    df = spark.createDataFrame(rows, "k int, x double, c string, d int, y int")
+    train = df.where("k < 400 and x is not null")
+    return models.fit(train, AuditSpec("y", (), ("x",), ("c", "d")), "LR", "y"), df.where("k >= 300 or k = 5")
+
+
+class _Opaque:
+    """Hides what kind of model it is."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def transform(self, df):
+        return self.model.transform(df)
+
+
+@pytest.mark.parametrize("slice_rows, pass_rows, block_rows", [(10 ** 6, 10 ** 7, 16_384), (37, 700, 50), (3, 1, 7)])
+def test_linear_model_is_scored_from_packed_rows(spark, monkeypatch, slice_rows, pass_rows, block_rows):
+    """No row is copied for a permutation, and the importance is that of the stacked rows."""
+    model, test = _fitted(spark)
+    args = (["x", "c", "d"], ["k"], "y", 2 if slice_rows > 3 else 1, 7)
+    want = {r["attr"]: r["importance"] for r in imp.permutation_importance(_Opaque(model), test, *args).collect()}
+    monkeypatch.setattr(imp, "_stacked_accuracies", None)
+    for name, v in (("SLICE_ROWS", slice_rows), ("PASS_ROWS", pass_rows)):
+        monkeypatch.setattr(imp.permuted, name, v)
+    monkeypatch.setattr(imp.permuted, "BLOCK_ROWS", block_rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(block_rows))
+    try:
+        got = {r["attr"]: r["importance"] for r in imp.permutation_importance(model, test, *args).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == pytest.approx(want, abs=1e-12) and any(abs(v) > 0.01 for v in got.values())
+    assert imp.permutation_importance(model, test.where("false"), *args).count() == 0
+
+
+def test_stacked_permutations_go_in_passes(spark, monkeypatch):
+    model, test = _fitted(spark)
+    args = (["x", "c"], ["k"], "y", 2, 0)
+    want = {r["attr"]: r["importance"] for r in imp.permutation_importance(_Opaque(model), test, *args).collect()}
+    seen, real = [], imp._stacked_accuracies
+    monkeypatch.setattr(imp, "_stacked_accuracies", lambda *a: seen.append(len(a[4])) or real(*a))
+    monkeypatch.setattr(imp, "STACKED_ROWS", 3 * test.count())
+    got = {r["attr"]: r["importance"] for r in imp.permutation_importance(_Opaque(model), test, *args).collect()}
+    assert got == pytest.approx(want, abs=1e-12) and seen == [3, 1]
