@@ -117,3 +117,21 @@ def test_rows_to_learn_from_are_checked(spark, fit):
     train, test = _rows(spark)
     with pytest.raises(Exception, match="to learn from is"):
         fit(train.unionByName(test))
+
+
+@pytest.mark.parametrize("levels", [1, 2, 4])
+def test_forest_goes_on_from_marks(spark, monkeypatch, levels):
+    """The forest is that of rows sent from the root at every level, and a pass sends no row further than from the last mark."""
+    train, _ = _rows(spark)
+    monkeypatch.setattr(trees, "MARK_LEVELS", 100)
+    _, want = trees.fit_forest(train, SPEC, 3, 9)
+    monkeypatch.setattr(trees, "MARK_LEVELS", levels)
+    grow, asked = trees._grow_forest, []
+
+    def watched(rows, n, depth, marked, sums, search):
+        return grow(rows, n, depth, marked, lambda *a: asked.append(a[3]) or sums(*a), search)
+    monkeypatch.setattr(trees, "_grow_forest", watched)
+    _, got = trees.fit_forest(train, SPEC, 3, 9)
+    assert all((a.split == b.split).all() and (a.stats == b.stats).all() for a, b in zip(got, want))
+    assert max(asked) <= levels and max(len(a.split) for a in got) > 100
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
